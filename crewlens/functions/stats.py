@@ -76,6 +76,7 @@ def zscore_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def apply_zscore(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
     """z = (x - mean) / std with std 0 treated as 1; stats joined as one broadcast row."""
+    # one-row global aggregate: broadcast size is fixed
     joined = df.crossJoin(F.broadcast(stats))
     out = [F.col(c) for c in df.columns if c not in cols]
     for c in cols:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from crewlens.functions import labels as L
 from crewlens.functions.stats import cut3, quantile_cuts, rounded
+from crewlens.operators.core import attach_one_row
 from crewlens.plans.people import PeopleModel
 
 MIN_EVALUATIONS = 2
@@ -40,7 +41,7 @@ def banded(m: PeopleModel, *extra_cols: str, restrict: DataFrame | None = None)
     cuts = quantile_cuts(pop, "potencial_bruto", L.POT_PROBS, ("q33", "q66"))
     e = L.PERF_EDGES
     return (
-        pop.crossJoin(F.broadcast(cuts))
+        attach_one_row(pop, cuts)
         .withColumn("perf_cat", cut3("perf_media", e[0], e[1], e[2], e[3], L.PERF_LABELS))
         .withColumn(
             "pot_cat", cut3("potencial_bruto", L.POT_LOW, F.col("q33"), F.col("q66"), L.POT_HIGH, L.POT_LABELS)
@@ -64,7 +65,7 @@ def matrix(m: PeopleModel) -> DataFrame:
         "n", F.coalesce(F.col("n"), F.lit(0).cast("long"))
     )
     total = grid.agg(F.sum("n").alias("total"))
-    return grid.crossJoin(F.broadcast(total)).select(
+    return attach_one_row(grid, total).select(
         "pot_cat", "perf_cat", "quadrante", "n",
         rounded(F.col("n") * 100.0 / F.nullif(F.col("total"), F.lit(0))).alias("pct"),
         "valor",
@@ -121,7 +122,7 @@ def kpi_moves(m: PeopleModel) -> DataFrame:
     pop = population(m)
     cuts = quantile_cuts(pop, "potencial_bruto", L.POT_PROBS, ("q33", "q66"))
     p, f = F.col("potencial_bruto"), F.col("perf_media")
-    return pop.crossJoin(F.broadcast(cuts)).agg(
+    return attach_one_row(pop, cuts).agg(
         F.count(F.when((p > F.col("q66")) & (f < L.KPI_UNDERALLOCATED_PERF), 1)).alias("subalocados"),
         F.count(F.when((p <= F.col("q33")) & (f < L.KPI_AT_RISK_PERF), 1)).alias("em_risco"),
         F.count(F.lit(1)).alias("populacao"),
