@@ -43,6 +43,7 @@ def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
 def load_all() -> None:
     """Import every module that registers queries."""
     from crewlens.queries import (  # noqa: F401
+        q_analysis,
         q_feed,
         q_ninebox,
     )

@@ -107,15 +107,17 @@ def value_counts(df: DataFrame, cols: Sequence[str], dropna: bool = True) -> Dat
 
 
 def crosstab_zero_fill(
-    df: DataFrame, row: Sequence[str], col: str, values: Sequence, n_col: str = "n"
+    df: DataFrame, row: Sequence[str], col: str, values: Sequence | None, n_col: str = "n"
 ) -> DataFrame:
-    """Long cross-tab with zero cells for every row key x fixed column value.
+    """Long cross-tab with zero cells for every row key x column value.
 
-    Pivoting over an explicit, bounded value list makes the zero cells without a
-    cross join; the unpivot brings the table back to long form.
+    Pivoting over a bounded value list (fixed, or the column's distinct values
+    found by Spark's pivot) makes the zero cells without a cross join; the
+    unpivot brings the table back to long form.
     """
-    counts = df.groupBy(*row).pivot(col, list(values)).agg(F.count(F.lit(1)))
-    names = [str(v) for v in values]
+    g = df.groupBy(*row)
+    counts = (g.pivot(col, list(values)) if values is not None else g.pivot(col)).agg(F.count(F.lit(1)))
+    names = [c for c in counts.columns if c not in row]
     filled = counts.na.fill(0, subset=names)
     return filled.unpivot(list(row), names, col, n_col).withColumn(n_col, F.col(n_col).cast("long"))
 
