@@ -44,6 +44,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from crewlens.queries import (  # noqa: F401
         q_analysis,
+        q_clean,
         q_feed,
         q_ninebox,
     )

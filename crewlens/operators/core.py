@@ -154,11 +154,11 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
         F.count("valor").alias("count"),
         rounded(F.avg("valor")).alias("mean"),
         rounded(F.stddev_samp("valor")).alias("std"),
-        F.min("valor").alias("min"),
+        rounded(F.min("valor")).alias("min"),
         rounded(q[0]).alias("p25"),
         rounded(q[1]).alias("p50"),
         rounded(q[2]).alias("p75"),
-        F.max("valor").alias("max"),
+        rounded(F.max("valor")).alias("max"),
     )
 
 

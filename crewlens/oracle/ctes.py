@@ -18,6 +18,11 @@ def sql_title(x: str) -> str:
     )
 
 
+def sql_upper(x: str) -> str:
+    """Upper case as Python / Java do it: DuckDB maps 'ß' to 'ẞ', they expand it to 'SS'."""
+    return f"upper(replace({x}, 'ß', 'SS'))"
+
+
 def sql_fold(x: str) -> str:
     return "regexp_replace(strip_accents(" + x + r"), '[^\x00-\x7F]', '', 'g')"
 

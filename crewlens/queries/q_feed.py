@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crewlens.catalog import fixtures, register
-from crewlens.oracle.ctes import CTES, WS, sql_normalize, with_ctes
+from crewlens.oracle.ctes import CTES, WS, sql_normalize, sql_upper, with_ctes
 from crewlens.plans.feed import FeedJob
 
 
@@ -11,7 +11,7 @@ def job(spark, sf_dir) -> FeedJob:
     return FeedJob.from_fixtures(fixtures(spark, sf_dir))
 
 
-_NORM = sql_normalize("upper(colaborador)")
+_NORM = sql_normalize(sql_upper("colaborador"))
 
 CTES.update(
     {
@@ -155,10 +155,11 @@ def scd2_area(spark, sf_dir):
     return job(spark, sf_dir).area_changes
 
 
-_LEVEL = lambda x: sql_normalize(f"upper(regexp_split_to_array(regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g'), '{WS}+')[1])")
+def _LEVEL(x: str) -> str:  # noqa: N802
+    return sql_normalize(sql_upper(f"regexp_split_to_array(regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g'), '{WS}+')[1]"))
 
 _SCD2_JOB = f"""cur AS (
-  SELECT c.*, {sql_normalize('upper(cargo)')} AS cargo_norm, {_LEVEL('cargo')} AS level_novo
+  SELECT c.*, {sql_normalize(sql_upper('cargo'))} AS cargo_norm, {_LEVEL('cargo')} AS level_novo
   FROM current_rows c WHERE c.cargo IS NOT NULL),
 act AS (
   SELECT id, person, start_date, name AS cargo_atual, {sql_normalize('name')} AS cargo_atual_norm,
@@ -171,7 +172,7 @@ SELECT CAST(_aid AS bigint) AS id, person, _astart AS start_date, data_alteracao
 FROM j WHERE cargo_atual_norm IS NOT NULL AND cargo_atual_norm IS DISTINCT FROM cargo_norm
 UNION ALL
 SELECT CAST(NULL AS bigint) AS id, person, data_alteracao AS start_date, CAST(NULL AS timestamp) AS end_date,
-  upper(cargo) AS name, level_novo AS level, 'abrir' AS acao, chg_id
+  {sql_upper('cargo')} AS name, level_novo AS level, 'abrir' AS acao, chg_id
 FROM j WHERE cargo_atual_norm IS NULL OR cargo_atual_norm IS DISTINCT FROM cargo_norm"""
 
 
