@@ -32,12 +32,38 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-def model(spark: SparkSession, sf_dir: str) -> PeopleModel:
-    return PeopleModel.from_fixtures(Fixtures(spark, sf_dir))
+# One set of lazy table handles / fixture plans / people model per session and
+# directory: resolving parquet footers and analysing the cleaning expressions
+# happens once, and every query of the session shares the same plans (and the
+# persisted person-level tables of the model).
+_FIXTURES: dict[tuple[int, str], Fixtures] = {}
+_MODELS: dict[tuple[int, str], PeopleModel] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple[int, str]:
+    return (id(spark._jsparkSession), sf_dir.rstrip("/"))
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
-    return Fixtures(spark, sf_dir)
+    k = _key(spark, sf_dir)
+    if k not in _FIXTURES:
+        _FIXTURES[k] = Fixtures(spark, sf_dir)
+    return _FIXTURES[k]
+
+
+def model(spark: SparkSession, sf_dir: str) -> PeopleModel:
+    k = _key(spark, sf_dir)
+    if k not in _MODELS:
+        _MODELS[k] = PeopleModel.from_fixtures(fixtures(spark, sf_dir))
+    return _MODELS[k]
+
+
+def clear() -> None:
+    """Drop memoized plans and release persisted model tables."""
+    for m in _MODELS.values():
+        m.release()
+    _MODELS.clear()
+    _FIXTURES.clear()
 
 
 def load_all() -> None:
@@ -46,5 +72,6 @@ def load_all() -> None:
         q_analysis,
         q_clean,
         q_feed,
+        q_models,
         q_ninebox,
     )

@@ -60,14 +60,17 @@ def matrix(m: PeopleModel) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     dim = L.quadrant_dim(spark)
-    # 9 rows at most on each side: the grid join and the total are tiny.
+    # 9 rows at most on each side: the grid join and the total are tiny, so the
+    # total is a window over the 9-row grid (no second pass over the population)
+    from pyspark.sql import Window
+
     grid = dim.join(F.broadcast(counts), ["pot_cat", "perf_cat"], "left").withColumn(
         "n", F.coalesce(F.col("n"), F.lit(0).cast("long"))
     )
-    total = grid.agg(F.sum("n").alias("total"))
-    return attach_one_row(grid, total).select(
+    total = F.sum("n").over(Window.partitionBy())
+    return grid.select(
         "pot_cat", "perf_cat", "quadrante", "n",
-        rounded(F.col("n") * 100.0 / F.nullif(F.col("total"), F.lit(0))).alias("pct"),
+        rounded(F.col("n") * 100.0 / F.nullif(total, F.lit(0))).alias("pct"),
         "valor",
     )
 

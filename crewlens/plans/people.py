@@ -17,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,20 +44,24 @@ ASSESSMENT_COLUMNS = {
 }
 
 
-def clean_people(people: DataFrame) -> DataFrame:
-    """D1 step 1: full name (X6), band label (X5), presence flags."""
-    keep = [c for c in people.columns if c not in ("nome", "sobrenome", "cultura_classificacao")]
-    flags = [
-        F.col(src).isNotNull().cast("int").alias(flag)
-        for flag, src in PRESENCE_FLAGS.items()
-        if src in people.columns
-    ]
-    return people.select(
-        text.full_name("nome", "sobrenome").alias("nome_completo"),
-        *keep,
-        text.band_label("cultura_classificacao").alias("cultura_classificacao"),
-        *flags,
-    )
+def clean_expressions(people: DataFrame) -> dict[str, "F.Column"]:
+    """D1 step 1 as named expressions: full name (X6), band label (X5), flags."""
+    exprs = {"nome_completo": text.full_name("nome", "sobrenome")}
+    for c in people.columns:
+        if c not in ("nome", "sobrenome", "cultura_classificacao"):
+            exprs[c] = F.col(c)
+    exprs["cultura_classificacao"] = text.band_label("cultura_classificacao")
+    for flag, src in PRESENCE_FLAGS.items():
+        if src in people.columns:
+            exprs[flag] = F.col(src).isNotNull().cast("int")
+    return exprs
+
+
+def clean_people(people: DataFrame, cols=None) -> DataFrame:
+    """D1 step 1: the cleaned assessment table (optionally only ``cols``)."""
+    exprs = clean_expressions(people)
+    names = [c for c in exprs if cols is None or c in cols or c == "cpf"]
+    return people.select(*[exprs[c].alias(c) for c in names])
 
 
 def clean_area(area: DataFrame, order_col: str = "ordinal") -> DataFrame:
@@ -96,15 +101,31 @@ class PeopleModel:
 
     @cached_property
     def people(self) -> DataFrame:
-        return clean_people(self.people_raw)
+        """Cleaned people table; person-level and reused by every analysis -> persisted."""
+        return self._keep(clean_people(self.people_raw))
 
     @cached_property
     def area(self) -> DataFrame:
-        return clean_area(self.area_raw)
+        return self._keep(clean_area(self.area_raw))
 
     @cached_property
     def summary(self) -> DataFrame:
-        return perf_summary(self.perf)
+        """A8/A9 computed once per model (the reference recomputes it at ~20 sites)."""
+        return self._keep(perf_summary(self.perf))
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        # person-level tables only (never the long performance / attribute
+        # tables): lost blocks are recomputed from lineage
+        if not hasattr(self, "_persisted"):
+            self._persisted = []
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._persisted.append(df)
+        return df
+
+    def release(self) -> None:
+        for df in getattr(self, "_persisted", []):
+            df.unpersist()
+        self._persisted = []
 
     @cached_property
     def perf_area(self) -> DataFrame:

@@ -58,7 +58,10 @@ class Fixtures:
         """(cpf, ano, semestre, score): one performance score per person and half-year."""
         o = self.t.orders
         ts = F.col("o_orderdate")
-        first = F.min(F.substring("o_orderpriority", 1, 1))
+        # min over the first character's code point orders exactly like the
+        # string min of that character, and keeps a fixed-width buffer so the
+        # aggregate runs hash-based instead of sort-based
+        first = F.min(F.ascii("o_orderpriority"))
         return (
             o.where((ts >= ts_ntz("1998-01-01 00:00:00")) & (ts < ts_ntz("2000-01-01 00:00:00")))
             .groupBy(
@@ -67,7 +70,7 @@ class Fixtures:
                 F.when(F.month(ts) <= 6, F.lit(1)).otherwise(F.lit(2)).alias("semestre"),
             )
             .agg(
-                F.when(first == "1", F.lit(3)).when(first <= "4", F.lit(2)).otherwise(F.lit(1)).alias("score")
+                F.when(first == ord("1"), F.lit(3)).when(first <= ord("4"), F.lit(2)).otherwise(F.lit(1)).alias("score")
             )
         )
 
