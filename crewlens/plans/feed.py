@@ -20,6 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,9 +217,15 @@ class FeedJob:
     def priority(self) -> DataFrame:
         return person_priority(self.people_norm, self.jobs, self.areas)
 
+    @cached_property
+    def best(self) -> DataFrame:
+        """One person per system name (name-keyed, people-sized)."""
+        return best_person_per_name(self.priority)
+
     @cached_property
     def ids(self) -> DataFrame:
-        return resolve(split_names(self.changes), best_person_per_name(self.priority))
+        """The resolved change list feeds every output: computed once, persisted."""
+        return resolve(split_names(self.changes), self.best).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def found(self) -> DataFrame:
@@ -245,23 +252,26 @@ class FeedJob:
         return scd2_job(self.found, self.jobs)
 
     def summary(self) -> DataFrame:
-        """Run counts as one row (each part is a one-row aggregate)."""
-        def n(df: DataFrame, name: str, cond=None) -> DataFrame:
-            src = df if cond is None else df.where(cond)
-            return src.agg(F.count(F.lit(1)).alias(name))
+        """Run counts as one row. Each output table is aggregated once
+        (conditional counts), then the one-row parts are placed side by side."""
+        def one(df: DataFrame, **named) -> DataFrame:
+            return df.agg(*[expr.alias(name) for name, expr in named.items()])
+
+        def cnt(cond=None):
+            return F.count(F.lit(1)) if cond is None else F.count(F.when(cond, 1))
 
         acao = F.col("acao")
+        rows = salary_rows(self.found, self.salaries)
+        hist = self.salaries.select("person", F.to_date("dt").alias("_day")).distinct().withColumn("_h", F.lit(1))
+        sal = rows.join(hist, ["person", "_day"], "left")
         parts = [
-            n(self.changes, "linhas"),
-            n(self.ids, "resolvidos", F.col("person").isNotNull()),
-            n(self.pending, "pendentes"),
-            n(self.salaries_split[0], "salarios_novos"),
-            n(self.salaries_split[1], "salarios_ignorados"),
-            n(self.created, "instancias_novas"),
-            n(self.area_changes, "areas_fechadas", acao == "fechar"),
-            n(self.area_changes, "areas_abertas", acao == "abrir"),
-            n(self.job_changes, "cargos_fechados", acao == "fechar"),
-            n(self.job_changes, "cargos_abertos", acao == "abrir"),
+            one(self.changes, linhas=cnt()),
+            one(self.ids, resolvidos=cnt(F.col("person").isNotNull())),
+            one(self.pending, pendentes=cnt()),
+            one(sal, salarios_novos=cnt(F.col("_h").isNull()), salarios_ignorados=cnt(F.col("_h").isNotNull())),
+            one(self.created, instancias_novas=cnt()),
+            one(self.area_changes, areas_fechadas=cnt(acao == "fechar"), areas_abertas=cnt(acao == "abrir")),
+            one(self.job_changes, cargos_fechados=cnt(acao == "fechar"), cargos_abertos=cnt(acao == "abrir")),
         ]
         out = parts[0]
         for p in parts[1:]:

@@ -7,8 +7,15 @@ from crewlens.oracle.ctes import CTES, WS, sql_normalize, sql_upper, with_ctes
 from crewlens.plans.feed import FeedJob
 
 
+_JOBS: dict[tuple[int, str], FeedJob] = {}
+
+
 def job(spark, sf_dir) -> FeedJob:
-    return FeedJob.from_fixtures(fixtures(spark, sf_dir))
+    """One feed job per session and directory (its resolved list is persisted)."""
+    k = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    if k not in _JOBS:
+        _JOBS[k] = FeedJob.from_fixtures(fixtures(spark, sf_dir))
+    return _JOBS[k]
 
 
 _NORM = sql_normalize(sql_upper("colaborador"))
@@ -91,9 +98,7 @@ def feed_resolve(spark, sf_dir):
 
 @register("person_priority", with_ctes("SELECT nome, sobrenome, person, prioridade FROM best", "best"))
 def person_priority(spark, sf_dir):
-    from crewlens.plans.feed import best_person_per_name
-
-    return best_person_per_name(job(spark, sf_dir).priority).select("nome", "sobrenome", "person", "prioridade")
+    return job(spark, sf_dir).best.select("nome", "sobrenome", "person", "prioridade")
 
 
 @register("feed_pending", with_ctes("SELECT * FROM pending_rows", "pending_rows"))
