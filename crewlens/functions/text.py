@@ -24,6 +24,12 @@ _FOLD_RANGES = ((0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2070, 0x209F), (0x2150, 0
 # Whitespace as Python's ``re`` ``\s`` sees it on ASCII text (includes the
 # file/group/record/unit separators), written as a Java/RE2 class.
 WS_CLASS = "[\\x09-\\x0D\\x20\\x1C-\\x1F]"
+# Every character Python's ``str.isspace`` accepts (``strip()`` / ``split()``
+# without arguments); the ``\\x{..}`` form reads the same in Java and RE2.
+PY_SPACE = (
+    "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+)
 
 
 @lru_cache(maxsize=2)
@@ -73,9 +79,9 @@ def normalize_text(col) -> Column:
 
 
 def strip_py(col) -> Column:
-    """Python ``str.strip()`` on ASCII-range whitespace."""
+    """Python ``str.strip()``: every Unicode whitespace character at both ends."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, "^" + WS_CLASS + "+|" + WS_CLASS + "+$", "")
+    return F.regexp_replace(c, "^" + PY_SPACE + "+|" + PY_SPACE + "+$", "")
 
 
 def title_case(col) -> Column:
@@ -83,6 +89,9 @@ def title_case(col) -> Column:
 
     ``initcap`` only splits on spaces ("Médio-baixo"); here the text is cut
     into letter runs and non-letter runs and each run is capitalised.
+    Known difference: a word-*initial* character with a special titlecase
+    mapping (``ß``, ligatures such as ``ﬁ``) is upper-cased ("SS", "FI")
+    where Python writes "Ss", "Fi".
     """
     c = F.col(col) if isinstance(col, str) else col
     runs = F.regexp_extract_all(c, F.lit("(\\p{L}+|[^\\p{L}]+)"), 1)
@@ -112,5 +121,5 @@ def split_first(col) -> tuple[Column, Column]:
 def first_word_level(col) -> Column:
     """First word of the title, upper-cased and normalised (job level)."""
     c = F.col(col) if isinstance(col, str) else col
-    words = F.split(strip_py(c), WS_CLASS + "+")
+    words = F.split(strip_py(c), PY_SPACE + "+")
     return normalize_text(F.upper(F.element_at(words, 1)))

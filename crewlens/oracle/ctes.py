@@ -7,8 +7,9 @@ dependency order, so each oracle string is self-contained.
 
 from __future__ import annotations
 
-# Whitespace class shared with crewlens.functions.text.WS_CLASS.
+# Whitespace classes shared with crewlens.functions.text (WS_CLASS, PY_SPACE).
 WS = r"[\x09-\x0D\x20\x1C-\x1F]"
+PY_SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def sql_title(x: str) -> str:
@@ -28,7 +29,7 @@ def sql_fold(x: str) -> str:
 
 
 def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"regexp_replace({x}, '^{PY_SPACE}+|{PY_SPACE}+$', '', 'g')"
 
 
 def sql_normalize(x: str) -> str:

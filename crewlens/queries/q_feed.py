@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crewlens.catalog import fixtures, register
-from crewlens.oracle.ctes import CTES, WS, sql_normalize, sql_upper, with_ctes
+from crewlens.oracle.ctes import CTES, PY_SPACE, sql_normalize, sql_strip, sql_upper, with_ctes
 from crewlens.plans.feed import FeedJob
 
 
@@ -161,7 +161,7 @@ def scd2_area(spark, sf_dir):
 
 
 def _LEVEL(x: str) -> str:  # noqa: N802
-    return sql_normalize(sql_upper(f"regexp_split_to_array(regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g'), '{WS}+')[1]"))
+    return sql_normalize(sql_upper(f"regexp_split_to_array({sql_strip(x)}, '{PY_SPACE}+')[1]"))
 
 _SCD2_JOB = f"""cur AS (
   SELECT c.*, {sql_normalize(sql_upper('cargo'))} AS cargo_norm, {_LEVEL('cargo')} AS level_novo
