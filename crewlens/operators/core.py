@@ -145,21 +145,26 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     """Count, mean, sample std, min, exact 25/50/75 %, max per numeric column.
 
     Columns are unpivoted to ``(coluna, valor)`` so one group-by computes every
-    column's statistics (``summary()`` would use approximate percentiles).
+    column's moments; the quartiles come from the distributed exact-quantile
+    operator (``summary()`` would use approximate percentiles, ``percentile``
+    would hold every distinct value of a column in one task).
     """
+    from crewlens.operators.quantiles import exact_quantiles
+
     cols = list(cols or numeric_columns(df))
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "coluna", "valor")
-    q = F.percentile("valor", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("coluna").agg(
+    moments = long.groupBy("coluna").agg(
         F.count("valor").alias("count"),
         rounded(F.avg("valor")).alias("mean"),
         rounded(F.stddev_samp("valor")).alias("std"),
         rounded(F.min("valor")).alias("min"),
-        rounded(q[0]).alias("p25"),
-        rounded(q[1]).alias("p50"),
-        rounded(q[2]).alias("p75"),
         rounded(F.max("valor")).alias("max"),
     )
+    q = exact_quantiles(long, ["coluna"], "valor", [0.25, 0.5, 0.75], ["_p25", "_p50", "_p75"])
+    return moments.join(q, "coluna", "left").select(
+        "coluna", "count", "mean", "std", "min",
+        rounded("_p25").alias("p25"), rounded("_p50").alias("p50"), rounded("_p75").alias("p75"), "max",
+    )
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crewlens.functions import labels as L
 from crewlens.functions.stats import pair_count, pearson, rounded, strength_words, trend_class
 from crewlens.operators.core import attach_one_row, crosstab_zero_fill, share_within, top_k
+from crewlens.operators.quantiles import exact_quantiles
 from crewlens.plans.people import ASSESSMENT_COLUMNS, PeopleModel
 
 # Analyses that need a minimum number of rows (F9, F10) -- fixed values.
@@ -204,18 +205,23 @@ def duration_vs_score(m: PeopleModel, cut_for: dict[str, float] | None = None, d
         (F.timestamp_diff("MICROSECOND", F.col("inicio"), F.col("fim")) / 6e7).alias("dur"),
     ).dropna(subset=["dur", "score"]).where(F.col("dur") > 0)
     probs = sorted({default_cut, *cut_for.values()})
-    qs = s.groupBy("assessment").agg(F.percentile("dur", F.array(*[F.lit(q) for q in probs])).alias("_q"))
-    corte = F.col("_q")[probs.index(default_cut)]
+    # durations are continuous: exact quantiles by distributed selection
+    qs = exact_quantiles(s, ["assessment"], "dur", probs, [f"_q{i}" for i in range(len(probs))])
+    corte = F.col(f"_q{probs.index(default_cut)}")
     for k, v in cut_for.items():
-        corte = F.when(F.col("assessment") == k, F.col("_q")[probs.index(v)]).otherwise(corte)
+        corte = F.when(F.col("assessment") == k, F.col(f"_q{probs.index(v)}")).otherwise(corte)
     cuts = qs.select("assessment", corte.alias("corte"))
     kept = s.join(cuts, "assessment").where(F.col("dur") <= F.col("corte"))
-    return kept.groupBy("assessment").agg(
-        rounded(F.first("corte")).alias("corte"),
-        rounded(pearson("dur", "score")).alias("r"), F.count(F.lit(1)).alias("n"),
-        rounded(F.regr_slope("score", "dur")).alias("slope"),
-        rounded(F.regr_intercept("score", "dur")).alias("intercept"),
-        rounded(F.median("dur")).alias("mediana_dur"),
+    med = exact_quantiles(kept, ["assessment"], "dur", [0.5], ["_med"])
+    stats = kept.groupBy("assessment").agg(
+        F.first("corte").alias("_corte"),
+        pearson("dur", "score").alias("_r"), F.count(F.lit(1)).alias("n"),
+        F.regr_slope("score", "dur").alias("_slope"),
+        F.regr_intercept("score", "dur").alias("_icpt"),
+    )
+    return stats.join(med, "assessment").select(
+        "assessment", rounded("_corte").alias("corte"), rounded("_r").alias("r"), "n",
+        rounded("_slope").alias("slope"), rounded("_icpt").alias("intercept"), rounded("_med").alias("mediana_dur"),
     )
 
 

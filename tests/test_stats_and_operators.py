@@ -92,3 +92,26 @@ def test_scd2_diff_branches_and_fanout(spark):
     )
     closes = [r for r in out if r.acao == "fechar"]
     assert all(r.end_date is not None for r in closes)
+
+
+def test_exact_quantiles_match_numpy_on_skewed_groups(spark):
+    import numpy as np
+
+    from crewlens.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(7)
+    rows = [("hot", float(v)) for v in rng.normal(size=3000).round(3)]          # a third-plus of all rows
+    rows += [(f"g{i % 7}", float(v)) for i, v in enumerate(rng.exponential(size=2000).round(2))]
+    rows += [("one", 5.0), ("ties", 1.0), ("ties", 1.0), ("ties", 2.0), (None, 3.0), ("nul", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.33, 0.5, 0.9, 0.95, 1.0]
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, num_partitions=16).collect()}
+    by: dict = {}
+    for g, v in rows:
+        if v is not None and g is not None:  # null group keys are dropped (pandas groupby)
+            by.setdefault(g, []).append(v)
+    assert set(got) == set(by)
+    for g, vals in by.items():
+        expect = np.quantile(np.array(vals), probs)  # linear interpolation
+        for p, e in zip(probs, expect):
+            assert math.isclose(got[g][f"q{int(round(p * 100))}"], e, rel_tol=1e-9, abs_tol=1e-9), (g, p)
