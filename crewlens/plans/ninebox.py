@@ -107,6 +107,12 @@ def profile(m: PeopleModel) -> DataFrame:
     )
 
 
+def profile_wide(m: PeopleModel) -> DataFrame:
+    """The profile transposed, one row per attribute, one column per quadrant
+    (pivot over the fixed quadrant order)."""
+    return profile(m).groupBy("idx").pivot("quadrante", list(L.QUADRANT_ORDER)).agg(F.first("media"))
+
+
 def moves(m: PeopleModel) -> tuple[DataFrame, DataFrame]:
     """Promotable (high potential, low/middle performance) and at-risk lists."""
     b = banded(m, "nome_completo", "area")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crewlens.catalog import model, register
+from crewlens.catalog import ORACLE, model, register
 from crewlens.oracle.ctes import with_ctes
+from crewlens.functions.labels import QUADRANT_ORDER
 from crewlens.plans import ninebox
 
 
@@ -82,6 +83,22 @@ def ninebox_profile(spark, sf_dir):
     return ninebox.profile(model(spark, sf_dir))
 
 
+QUERIES_SQL_PROFILE = ORACLE["ninebox_profile"]
+
+
+@register(
+    "ninebox_profile_wide",
+    with_ctes(
+        "SELECT idx, "
+        + ", ".join(f"max(CASE WHEN quadrante = '{q}' THEN media END) AS \"{q}\"" for q in QUADRANT_ORDER)
+        + " FROM prof GROUP BY idx",
+        extra=(("prof", "SELECT * FROM (" + QUERIES_SQL_PROFILE + ")"),),
+    ),
+)
+def ninebox_profile_wide(spark, sf_dir):
+    return ninebox.profile_wide(model(spark, sf_dir))
+
+
 _MOVE_COLS = """cpf, nome_completo, area, round(potencial_bruto, 6) AS potencial_bruto, round(perf_media, 6) AS perf_media"""
 
 

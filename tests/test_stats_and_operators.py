@@ -115,3 +115,15 @@ def test_exact_quantiles_match_numpy_on_skewed_groups(spark):
         expect = np.quantile(np.array(vals), probs)  # linear interpolation
         for p, e in zip(probs, expect):
             assert math.isclose(got[g][f"q{int(round(p * 100))}"], e, rel_tol=1e-9, abs_tol=1e-9), (g, p)
+
+
+def test_projection_helpers(spark):
+    df = spark.createDataFrame([(1, "u", "v", 2.0)], "cpf long, `URL a` string, `URL b` string, `Performance 1º/2018` double")
+    assert core.drop_prefix(df, "URL").columns == ["cpf", "Performance 1º/2018"]
+    assert core.cols_with_prefix(df, "URL") == ["URL a", "URL b"]
+    renamed = core.rename_literals(df, [("Performance ", "perf_"), ("º/", "_")])
+    assert renamed.columns[-1] == "perf_1_2018"
+    assert core.move_first(df, "URL b").columns[0] == "URL b"
+    assert core.with_fallback(df, "area", F.lit("N/A")).first().area == "N/A"
+    long = core.melt(renamed, ["cpf"], ["perf_1_2018"], "semestre", "score").first()
+    assert (long.semestre, long.score) == ("perf_1_2018", 2.0)
