@@ -40,8 +40,13 @@ _FIXTURES: dict[tuple[int, str], Fixtures] = {}
 _MODELS: dict[tuple[int, str], PeopleModel] = {}
 
 
-def _key(spark: SparkSession, sf_dir: str) -> tuple[int, str]:
-    return (id(spark._jsparkSession), sf_dir.rstrip("/"))
+def session_key(spark: SparkSession) -> tuple[str, int]:
+    """Identity of a live session: a new context never sees another's plans."""
+    return (spark.sparkContext.applicationId, id(spark._jsparkSession))
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    return (*session_key(spark), sf_dir.rstrip("/"))
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:

@@ -31,6 +31,12 @@ from pyspark.sql import functions as F
 from crewlens.session import ensure_checkpoint_dir
 
 
+# Largest group (rows) whose exact quantiles may be computed by Spark's
+# ``percentile`` aggregate: its value -> count map then holds at most this
+# many entries in the task that merges the group (tens of MB).
+MAX_GROUP_IN_ONE_TASK = 1_000_000
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: Sequence[str],
@@ -38,11 +44,15 @@ def exact_quantiles(
     probs: Sequence[float],
     names: Sequence[str] | None = None,
     num_partitions: int | None = None,
+    max_group_in_one_task: int = MAX_GROUP_IN_ONE_TASK,
 ) -> DataFrame:
     """One row per group with the exact quantile for each probability.
 
     Rows with a null value or a null group key are left out (pandas
-    ``groupby`` semantics, N2).
+    ``groupby`` semantics, N2). The size of the largest group is checked
+    first (one small aggregate): when it is within ``max_group_in_one_task``
+    the built-in ``percentile`` is used, otherwise the distributed selection
+    below. Both give the same linear-interpolated values.
     """
     groups = list(groups)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
@@ -55,6 +65,13 @@ def exact_quantiles(
         keep = keep & g.isNotNull()
     src = df.where(keep).select(*gcols, F.col(value).cast("double").alias("_v"))
 
+    largest = src.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()["m"]
+    if largest is None or largest <= max_group_in_one_task:
+        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
+        return src.groupBy(*gcols).agg(q.alias("_q")).select(
+            *gcols, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)]
+        )
+
     # 1. range partitioning by (group, value): a hot group spreads over many
     #    partitions. The bounds come from sampling, and row order after a
     #    shuffle is not deterministic, so the partitioned data is checkpointed

@@ -35,7 +35,7 @@ def period_key(ano="ano", semestre="semestre"):
 
 
 def people_count(m: PeopleModel) -> DataFrame:
-    return m.people.agg(F.count(F.lit(1)).alias("total"))
+    return m.merged.agg(F.count(F.lit(1)).alias("total"))
 
 
 # ---- D3 coverage -----------------------------------------------------------
@@ -57,7 +57,7 @@ def coverage_by_period(m: PeopleModel) -> DataFrame:
 def coverage_by_dimension(m: PeopleModel) -> DataFrame:
     """Available n and % per dimension (potential, complete attributes, each assessment)."""
     complete = m.attrs_complete().withColumn("_complete", F.lit(1))
-    p = m.people.join(complete, "cpf", "left")
+    p = m.merged.join(complete, "cpf", "left")
     dims = {"Potencial Bruto": "potencial_bruto", "Atributos (completos)": "_complete"}
     dims.update({label: col for label, col in ASSESSMENT_COLUMNS.items()})
     wide = p.agg(F.count(F.lit(1)).alias("total"), *[F.count(c).alias(k) for k, c in dims.items()])
@@ -71,7 +71,7 @@ def coverage_by_dimension(m: PeopleModel) -> DataFrame:
 def unevaluated_people(m: PeopleModel) -> DataFrame:
     """People without any performance score (anti-join), as counts."""
     scored = m.perf.where(F.col("score").isNotNull()).select("cpf")
-    p = m.people.select("cpf")
+    p = m.merged.select("cpf")
     none = p.join(scored, "cpf", "left_anti")
     return attach_one_row(
         people_count(m), none.agg(F.count(F.lit(1)).alias("sem_avaliacao"))
@@ -290,7 +290,7 @@ def culture_box(m: PeopleModel) -> DataFrame:
 
 def culture_band_counts(m: PeopleModel) -> DataFrame:
     """A4 (D14): distribution of culture bands in fixed order (present bands only)."""
-    b = m.people.where(F.col("cultura_classificacao").isin(*L.CULTURE_BANDS))
+    b = m.merged.where(F.col("cultura_classificacao").isin(*L.CULTURE_BANDS))
     return b.groupBy(F.col("cultura_classificacao").alias("classe")).agg(F.count(F.lit(1)).alias("n")).select(
         "classe", "n", L.order_rank("classe", L.CULTURE_BANDS).alias("ordem")
     )
@@ -315,7 +315,7 @@ def perf_box_by_band(m: PeopleModel) -> DataFrame:
 def low_band_share(m: PeopleModel) -> DataFrame:
     """% of people in the low culture bands among those classified."""
     c = F.col("cultura_classificacao")
-    return m.people.where(c.isNotNull()).agg(
+    return m.merged.where(c.isNotNull()).agg(
         F.count(F.lit(1)).alias("classificados"),
         F.count(F.when(c.isin(*L.CULTURE_LOW_BANDS), 1)).alias("baixos"),
     ).select("classificados", "baixos", rounded(F.col("baixos") * 100.0 / F.nullif(F.col("classificados"), F.lit(0))).alias("pct"))
@@ -325,7 +325,7 @@ def low_band_share(m: PeopleModel) -> DataFrame:
 def trajectories(m: PeopleModel) -> DataFrame:
     """First and last non-null score (chronological) of people with >= 2 scores."""
     k = period_key()
-    s = m.perf.join(m.people.select("cpf"), "cpf").where(F.col("score").isNotNull())
+    s = m.perf.join(m.merged.select("cpf"), "cpf").where(F.col("score").isNotNull())
     per = s.groupBy("cpf").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("score", k).alias("primeiro"), F.max_by("score", k).alias("ultimo")
     ).where(F.col("n") >= 2)
@@ -353,7 +353,7 @@ def trajectory_curve(m: PeopleModel) -> DataFrame:
 def person_record(m: PeopleModel, cpf=None) -> DataFrame:
     """One record per person (or the chosen one): area, potential, band,
     chronological score series and mean, assessments, attribute count."""
-    p = m.people
+    p = m.merged
     if cpf is not None:
         p = p.where(F.col("cpf") == cpf)
     series = m.perf.where(F.col("score").isNotNull()).groupBy("cpf").agg(
@@ -364,8 +364,7 @@ def person_record(m: PeopleModel, cpf=None) -> DataFrame:
         F.transform("_s", lambda e: F.format_string("%d-%dº:%d", e["ano"], e["semestre"], e["score"])), " | "
     )
     return (
-        p.join(m.area, "cpf", "left")
-        .join(series, "cpf", "left")
+        p.join(series, "cpf", "left")
         .select(
             "cpf", "nome_completo", "area", "potencial_bruto", "cultura_classificacao",
             "raciocinio", "social", "motivacional", "cultura_pontuacao",
@@ -377,7 +376,7 @@ def person_record(m: PeopleModel, cpf=None) -> DataFrame:
 # ---- D22 KPIs ------------------------------------------------------------------
 def score_mode(m: PeopleModel) -> DataFrame:
     """Modal score over all stacked scores (smallest of ties) and its share."""
-    s = m.perf.join(m.people.select("cpf"), "cpf").where(F.col("score").isNotNull())
+    s = m.perf.join(m.merged.select("cpf"), "cpf").where(F.col("score").isNotNull())
     mode = s.agg(F.mode("score", True).alias("score_modal"))
     return attach_one_row(s, mode).agg(
         F.first("score_modal").alias("score_modal"),

@@ -52,6 +52,24 @@ def attribute_matrix(m: PeopleModel) -> DataFrame:
     return wide.dropna(subset=ATTR_COLS)
 
 
+# Rows per partition of the cached feature table: enough per task to amortise
+# scheduling, small enough that a 1000-executor cluster gets every core busy.
+ROWS_PER_PARTITION = 200_000
+
+
+def cached_features(df: DataFrame) -> tuple[DataFrame, int]:
+    """Persist the feature table sized to its row count; returns (df, n)."""
+    feats = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = feats.count()
+    parts = max(1, -(-n // ROWS_PER_PARTITION))
+    if parts != feats.rdd.getNumPartitions():
+        sized = feats.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+        sized.count()
+        feats.unpersist()
+        feats = sized
+    return feats, n
+
+
 def scaled_features(df: DataFrame, cols: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
@@ -96,11 +114,9 @@ def kmeans_elbow(m: PeopleModel, ks=K_RANGE, n_init: int = N_INIT, seed: int = S
     """Inertia (best of ``n_init``) and silhouette for each k."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    feats = scaled_features(attribute_matrix(m), ATTR_COLS).select("cpf", "features")
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    feats, n = cached_features(scaled_features(attribute_matrix(m), ATTR_COLS).select("cpf", "features"))
     rows = []
     try:
-        n = feats.count()
         fitted = _fit_many(feats, [k for k in ks if n > k], n_init, seed)
         evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
         for k in sorted(fitted):
@@ -117,8 +133,7 @@ class Archetypes:
 
     def __init__(self, m: PeopleModel, k: int = K_ARCHETYPES, n_init: int = N_INIT, seed: int = SEED):
         self.m = m
-        feats = scaled_features(attribute_matrix(m), ATTR_COLS).select("cpf", "features")
-        feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+        feats, _ = cached_features(scaled_features(attribute_matrix(m), ATTR_COLS).select("cpf", "features"))
         self._feats = feats
         _, model = _best_kmeans(feats, k, n_init, seed)
         pred = model.transform(feats).select("cpf", F.col("prediction").alias("_c"))

@@ -101,21 +101,35 @@ class PeopleModel:
 
     @cached_property
     def people(self) -> DataFrame:
-        """Cleaned people table; person-level and reused by every analysis -> persisted."""
-        return self._keep(clean_people(self.people_raw))
+        """Cleaned assessment table (lazy; analyses read it through ``merged``)."""
+        return clean_people(self.people_raw)
 
     @cached_property
     def area(self) -> DataFrame:
-        return self._keep(clean_area(self.area_raw))
+        return clean_area(self.area_raw)
 
     @cached_property
     def summary(self) -> DataFrame:
-        """A8/A9 computed once per model (the reference recomputes it at ~20 sites)."""
-        return self._keep(perf_summary(self.perf))
+        """A8/A9 per person (the reference recomputes it at ~20 sites)."""
+        return perf_summary(self.perf)
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        """Cleaned people ⟕ last area ⟕ performance summary, one row per person.
+
+        Like the reference's cleaned output file, this person-level table is
+        materialised once (persisted, lost blocks recomputed from lineage) and
+        every analysis selects its columns from it: no analysis re-runs the
+        cleaning, the dedupe or the person-key joins.
+        """
+        df = (
+            self.people.join(self.area, "cpf", "left")
+            .join(self.summary, "cpf", "left")
+            .withColumn("n_avaliacoes", F.coalesce(F.col("n_avaliacoes"), F.lit(0).cast("long")))
+        )
+        return self._keep(df)
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        # person-level tables only (never the long performance / attribute
-        # tables): lost blocks are recomputed from lineage
         if not hasattr(self, "_persisted"):
             self._persisted = []
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -130,26 +144,11 @@ class PeopleModel:
     @cached_property
     def perf_area(self) -> DataFrame:
         """Long performance of the people in the base, with their area (R1 output)."""
-        base = self.people.select("cpf").join(self.area, "cpf", "left")
-        return self.perf.join(base, "cpf")
+        return self.perf.join(self.merged.select("cpf", "area"), "cpf")
 
     def base(self, *cols: str) -> DataFrame:
-        """People ⟕ area ⟕ performance summary, one row per person.
-
-        Only the requested people columns are carried; area and summary are
-        joined only when asked for, so each analysis scans what it uses.
-        """
-        wanted = list(cols)
-        people_cols = [c for c in wanted if c in self.people.columns and c != "cpf"]
-        df = self.people.select("cpf", *people_cols)
-        if "area" in wanted:
-            df = df.join(self.area, "cpf", "left")
-        if "perf_media" in wanted or "n_avaliacoes" in wanted:
-            s = self.summary
-            df = df.join(s, "cpf", "left").withColumn(
-                "n_avaliacoes", F.coalesce(F.col("n_avaliacoes"), F.lit(0).cast("long"))
-            )
-        return df.select("cpf", *[c for c in wanted if c != "cpf"])
+        """Columns of the merged person table (``cpf`` first)."""
+        return self.merged.select("cpf", *[c for c in cols if c != "cpf"])
 
     def attrs_complete(self, n_attributes: int = N_ATTRIBUTES) -> DataFrame:
         """People with every attribute non-null (F3), as a key set."""

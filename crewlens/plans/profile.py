@@ -26,8 +26,7 @@ def null_profile_merged(m: PeopleModel) -> DataFrame:
 
 def merged(m: PeopleModel) -> DataFrame:
     """Cleaned people ⟕ deduplicated area ⟕ performance summary."""
-    cols = [c for c in m.people.columns if c != "cpf"]
-    return m.base(*cols, "area", "perf_media", "n_avaliacoes")
+    return m.merged
 
 
 def distinct_values(m: PeopleModel) -> DataFrame:
@@ -35,7 +34,7 @@ def distinct_values(m: PeopleModel) -> DataFrame:
     parts = [
         m.people_raw.select(F.lit("cultura_classificacao").alias("coluna"), F.col("cultura_classificacao").alias("valor")),
         m.area_raw.select(F.lit("area").alias("coluna"), F.col("area").alias("valor")),
-        m.people.select(F.lit("nome_completo").alias("coluna"), F.col("nome_completo").alias("valor")),
+        m.merged.select(F.lit("nome_completo").alias("coluna"), F.col("nome_completo").alias("valor")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crewlens.catalog import fixtures, register
+from crewlens.catalog import fixtures, register, session_key
 from crewlens.oracle.ctes import CTES, PY_SPACE, sql_normalize, sql_strip, sql_upper, with_ctes
 from crewlens.plans.feed import FeedJob
 
@@ -12,7 +12,7 @@ _JOBS: dict[tuple[int, str], FeedJob] = {}
 
 def job(spark, sf_dir) -> FeedJob:
     """One feed job per session and directory (its resolved list is persisted)."""
-    k = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    k = (*session_key(spark), sf_dir.rstrip("/"))
     if k not in _JOBS:
         _JOBS[k] = FeedJob.from_fixtures(fixtures(spark, sf_dir))
     return _JOBS[k]
