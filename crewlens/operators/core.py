@@ -64,6 +64,17 @@ def presence_flags(df: DataFrame, flags: dict[str, str]) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin redistribute when the scan gives fewer partitions than cores.
+
+    For CPU-heavy narrow work (folding whole documents) on inputs stored as a
+    few large row groups. On a cluster reading many files the scan already
+    has more splits than cores and this is a no-op (no extra shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # -- window-like operators (W1-W3, W5) ----------------------------------------
 def keep_by(df: DataFrame, keys: Sequence[str], order: Column, last: bool) -> DataFrame:
     """One row per key, the one with the highest (``last``) or lowest order.

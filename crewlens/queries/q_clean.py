@@ -25,7 +25,9 @@ def r6(x: str) -> str:
 )
 def text_fold(spark, sf_dir):
     """X1/X2 on whole documents: NFD fold + whitespace collapse, plain and upper-cased."""
-    d = fixtures(spark, sf_dir).t.documents
+    from crewlens.operators.core import spread
+
+    d = spread(fixtures(spark, sf_dir).t.documents)
     return d.select(
         "doc_id",
         text.normalize_text("text").alias("texto_normalizado"),
