@@ -29,6 +29,25 @@ def merged(m: PeopleModel) -> DataFrame:
     return m.merged
 
 
+def run_summary(m: PeopleModel) -> DataFrame:
+    """S8 for the cleaning job: rows x columns of each input and of the merged
+    output, and how many people got an area (one aggregate per table)."""
+    parts = [
+        ("assessments", m.people_raw, None),
+        ("performance", m.perf, None),
+        ("area", m.area_raw, None),
+        ("merged", m.merged, F.col("area").isNotNull()),
+    ]
+    out = None
+    for name, df, mapped in parts:
+        part = df.agg(
+            F.count(F.lit(1)).alias("linhas"),
+            (F.count(F.when(mapped, 1)) if mapped is not None else F.lit(None).cast("long")).alias("com_area"),
+        ).select(F.lit(name).alias("tabela"), "linhas", F.lit(len(df.columns)).alias("colunas"), "com_area")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def distinct_values(m: PeopleModel) -> DataFrame:
     """Sorted distinct raw band labels, raw areas and cleaned names (picker list)."""
     parts = [

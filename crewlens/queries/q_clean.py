@@ -305,6 +305,21 @@ def key_overlap(spark, sf_dir):
     return P.key_overlap(model(spark, sf_dir))
 
 
+@register(
+    "run_summary",
+    with_ctes(
+        """SELECT 'assessments' AS tabela, count(*) AS linhas, 9 AS colunas, CAST(NULL AS bigint) AS com_area FROM people_main
+UNION ALL SELECT 'performance', count(*), 4, CAST(NULL AS bigint) FROM perf_long
+UNION ALL SELECT 'area', count(*), 3, CAST(NULL AS bigint) FROM area_raw
+UNION ALL SELECT 'merged', count(*), 16, count(area) FROM base""",
+        "people_main", "perf_long", "area_raw", "base",
+    ),
+)
+def run_summary(spark, sf_dir):
+    """S8 of the cleaning job."""
+    return P.run_summary(model(spark, sf_dir))
+
+
 @register("contract_check")
 def contract_check(spark, sf_dir):
     """S5 on the three people tables of the delivery (metadata only; rows-only check)."""
