@@ -16,10 +16,19 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code-point ranges whose precomposed characters are folded: Latin-1
-# Supplement, Latin Extended-A/B, Latin Extended Additional, and the
-# compatibility blocks NFKD maps (superscripts, number forms, ligatures).
-_FOLD_RANGES = ((0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2070, 0x209F), (0x2150, 0x218F), (0xFB00, 0xFB06))
+# Code points whose decomposition is scanned to build the fold maps. NFD
+# (canonical) is scanned over the whole Basic Multilingual Plane: only 495
+# characters keep exactly one ASCII character and none keep several, so the
+# long-text normaliser is exact on the BMP. NFKD (compatibility) is scanned
+# over the Latin, punctuation, letter-like, number-form, enclosed,
+# ideographic-space, ligature and full-width blocks.
+_FOLD_RANGES = {
+    "NFD": ((0x00A0, 0xFFFF),),
+    "NFKD": (
+        (0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0x2070, 0x209F), (0x2100, 0x214F),
+        (0x2150, 0x218F), (0x2460, 0x24FF), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF00, 0xFFEF),
+    ),
+}
 
 # Whitespace as Python's ``re`` ``\s`` sees it on ASCII text (includes the
 # file/group/record/unit separators), written as a Java/RE2 class.
@@ -37,12 +46,14 @@ def fold_maps(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """(from_chars, to_chars, multi) for ``translate`` plus multi-letter expansions.
 
     A character whose decomposition keeps exactly one ASCII character maps to
-    it; one that keeps several (e.g. a ligature under NFKD) is expanded with
-    ``replace``; one that keeps none is left to the final non-ASCII strip.
+    it; one that keeps several (e.g. a ligature under NFKD) is expanded by a
+    map lookup; one that keeps none is left to the final non-ASCII strip.
     """
     src, dst, multi = [], [], []
-    for lo, hi in _FOLD_RANGES:
+    for lo, hi in _FOLD_RANGES[form]:
         for cp in range(lo, hi + 1):
+            if 0xD800 <= cp <= 0xDFFF:
+                continue
             ch = chr(cp)
             kept = unicodedata.normalize(form, ch).encode("ascii", "ignore").decode("ascii")
             if len(kept) == 1:
@@ -61,8 +72,13 @@ def fold_ascii(col, form: str = "NFKD") -> Column:
     """
     c = F.col(col) if isinstance(col, str) else col
     src, dst, multi = fold_maps(form)
-    for ch, repl in multi:
-        c = F.replace(c, F.lit(ch), F.lit(repl))
+    if multi:
+        # multi-letter expansions (ligatures, fractions, roman numerals...):
+        # per-character map lookup, only for strings that contain one
+        expand = F.create_map(*[F.lit(x) for pair in multi for x in pair])
+        chars = F.split(c, "")
+        expanded = F.array_join(F.transform(chars, lambda ch: F.coalesce(F.try_element_at(expand, ch), ch)), "")
+        c = F.when(c.rlike("[" + "".join(ch for ch, _ in multi) + "]"), expanded).otherwise(c)
     c = F.translate(c, src, dst)
     return F.regexp_replace(c, "[^\\x00-\\x7F]", "")
 

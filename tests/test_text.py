@@ -91,3 +91,28 @@ def test_first_word_level(spark):
     df = spark.createDataFrame([("  Analista de Operações",), ("Coordenador",)], "s string")
     out = [r.l for r in df.select(text.first_word_level("s").alias("l")).collect()]
     assert out == ["ANALISTA", "COORDENADOR"]
+
+
+def test_random_strings_match_python(spark):
+    import random
+
+    rnd = random.Random(11)
+    alphabet = (
+        "abcxyzABCXYZ" "áàâãäåçéèêëíìîïñóòôõöúùûüýÿÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝŒœĳŁłŠšŽžĞğİı"
+        "0123456789" " \t\n  　" "-'.,/º²½" "̧́"
+    )
+    special = set("ßﬁﬂ")
+    samples = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 24))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    rows = df.select(
+        "i", "s",
+        text.fold_ascii("s", "NFKD").alias("k"), text.fold_ascii("s", "NFD").alias("d"),
+        text.normalize_text("s").alias("n"), text.title_case("s").alias("t"), text.strip_py("s").alias("p"),
+    ).collect()
+    for r in rows:
+        assert r.k == py_fold(r.s, "NFKD"), repr(r.s)
+        assert r.d == py_fold(r.s, "NFD"), repr(r.s)
+        assert r.n == py_norm(r.s), repr(r.s)
+        assert r.p == r.s.strip(), repr(r.s)
+        if not special & set(r.s):
+            assert r.t == r.s.title(), repr(r.s)
