@@ -58,12 +58,18 @@ def cut3(x, e0, e1, e2, e3, labels: tuple[str, str, str]) -> Column:
 def quantile_cuts(df: DataFrame, col: str, probs=(0.33, 0.66), names=("q33", "q66")) -> DataFrame:
     """One-row table of exact linear-interpolated quantiles.
 
-    ``percentile`` keeps a value -> count map per partition that is merged in
-    the final aggregate, so its size is bounded by the number of *distinct*
-    values, not rows. The result is exactly one row, safe to broadcast.
+    Computed by the size-checked exact operator (no value map of the whole
+    population in one task). The result is one row, safe to broadcast; an
+    empty input gives one row of nulls, like an ungrouped aggregate.
     """
-    q = F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs]))
-    return df.agg(q.alias("_q")).select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    from crewlens.operators.quantiles import exact_quantiles
+
+    return _one_row(exact_quantiles(df, [], col, list(probs), list(names)), names)
+
+
+def _one_row(q: DataFrame, names) -> DataFrame:
+    """Exactly one row: the quantiles, or nulls when the input was empty."""
+    return q.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
 
 
 def zscore_stats(df: DataFrame, cols: list[str]) -> DataFrame:

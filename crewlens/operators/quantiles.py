@@ -56,6 +56,10 @@ def exact_quantiles(
     """
     groups = list(groups)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    if not groups:  # global quantiles: one constant group, dropped at the end
+        return exact_quantiles(
+            df.withColumn("_all", F.lit(0)), ["_all"], value, probs, names, num_partitions, max_group_in_one_task
+        ).drop("_all")
     spark = df.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     gcols = [F.col(g) for g in groups]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlens.functions import labels as L
-from crewlens.functions.stats import pair_count, pearson, rounded, strength_words, trend_class
+from crewlens.functions.stats import pearson, quantile_cuts, rounded, strength_words, trend_class
 from crewlens.operators.core import attach_one_row, crosstab_zero_fill, share_within, top_k
 from crewlens.operators.quantiles import exact_quantiles
 from crewlens.plans.people import ASSESSMENT_COLUMNS, PeopleModel
@@ -240,8 +240,8 @@ def top_attrs_by_area(m: PeopleModel) -> DataFrame:
 def culture_by_area(m: PeopleModel) -> DataFrame:
     """Median culture score per area, rank by median desc, overall median."""
     b = m.base("cultura_pontuacao", "area").where(F.col("cultura_pontuacao").isNotNull())
-    overall = b.agg(F.median("cultura_pontuacao").alias("_geral"))
-    per = b.where(F.col("area").isNotNull()).groupBy("area").agg(F.median("cultura_pontuacao").alias("_med"))
+    overall = quantile_cuts(b, "cultura_pontuacao", (0.5,), ("_geral",))
+    per = exact_quantiles(b, ["area"], "cultura_pontuacao", [0.5], ["_med"])
     ranked = top_k(per, [], [F.col("_med").desc(), F.col("area")], 1 << 30, "ordem")
     return attach_one_row(ranked, overall).select(
         "area", rounded("_med").alias("mediana"), rounded("_geral").alias("mediana_geral"), "ordem"
@@ -263,12 +263,8 @@ def culture_mix(m: PeopleModel) -> DataFrame:
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Q1, median, Q3, 1.5 IQR whiskers (most extreme values inside), min, max."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    quart = df.groupBy(group).agg(q.alias("_q"), F.min(value).alias("minimo"), F.max(value).alias("maximo"))
-    quart = quart.select(
-        group, "minimo", "maximo",
-        F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("mediana"), F.col("_q")[2].alias("q3"),
-    )
+    ext = df.groupBy(group).agg(F.min(value).alias("minimo"), F.max(value).alias("maximo"))
+    quart = exact_quantiles(df, [group], value, [0.25, 0.5, 0.75], ["q1", "mediana", "q3"]).join(ext, group)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value)
@@ -421,10 +417,10 @@ def headline_kpis(m: PeopleModel) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count(F.when(F.col("n_avaliacoes") > 0, 1)).alias("com_avaliacao"),
         rounded(pearson("potencial_bruto", "perf_media")).alias("r_potencial"),
-        rounded(F.median("cultura_pontuacao")).alias("mediana_cultura"),
         rounded(pearson("cultura_pontuacao", "perf_media")).alias("r_cultura"),
     ).withColumn("pct_avaliados", rounded(F.col("com_avaliacao") * 100.0 / F.nullif(F.col("total"), F.lit(0))))
-    out = core
+    med = quantile_cuts(b, "cultura_pontuacao", (0.5,), ("_med",)).select(rounded("_med").alias("mediana_cultura"))
+    out = attach_one_row(core, med)
     for part in (
         score_mode(m).select("score_modal", "pct_modal"),
         low_band_share(m).select(F.col("pct").alias("pct_cultura_baixa")),

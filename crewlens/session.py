@@ -29,6 +29,8 @@ DEFAULT_CONF = {
     # this package is a one-row or fixed-size table
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # AQE merges small shuffle partitions up to this size and splits skewed ones
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -55,6 +57,10 @@ def build_session(
     spark = builder.getOrCreate()
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    if shuffle_partitions is None and not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
+        # unset by the deployment: size the shuffle to the cluster (AQE then
+        # coalesces small partitions), not Spark's fixed default of 200
+        spark.conf.set("spark.sql.shuffle.partitions", str(4 * spark.sparkContext.defaultParallelism))
     ensure_checkpoint_dir(spark)
     return spark
 
