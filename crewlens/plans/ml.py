@@ -25,6 +25,7 @@ from crewlens.functions.stats import apply_zscore, rounded, zscore_stats
 from crewlens.operators.core import top_k
 from crewlens.plans.people import ASSESSMENT_COLUMNS, N_ATTRIBUTES, PeopleModel
 
+# Model settings of the reference's analysis.
 SEED = 42
 N_INIT = 10
 K_RANGE = range(2, 9)
