@@ -319,7 +319,14 @@ def low_band_share(m: PeopleModel) -> DataFrame:
 
 # ---- D18 trajectories -----------------------------------------------------------
 def trajectories(m: PeopleModel) -> DataFrame:
-    """First and last non-null score (chronological) of people with >= 2 scores."""
+    """First and last non-null score (chronological) of people with >= 2 scores.
+
+    Person-level and read by three analyses: built once per model, persisted.
+    """
+    return m.shared("trajectories", lambda: _trajectories(m))
+
+
+def _trajectories(m: PeopleModel) -> DataFrame:
     k = period_key()
     s = m.perf.join(m.merged.select("cpf"), "cpf").where(F.col("score").isNotNull())
     per = s.groupBy("cpf").agg(

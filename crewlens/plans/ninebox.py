@@ -36,7 +36,18 @@ def population(m: PeopleModel, *extra_cols: str, restrict: DataFrame | None = No
 
 
 def banded(m: PeopleModel, *extra_cols: str, restrict: DataFrame | None = None) -> DataFrame:
-    """Population with q33/q66 cuts, performance band, potential band and quadrant."""
+    """Population with q33/q66 cuts, performance band, potential band and quadrant.
+
+    The full-population variant (with name and area) feeds the matrix, the
+    listing, the quadrant counts, the move lists and the KPIs: it is built
+    once per model and persisted (one row per person of the population).
+    """
+    if restrict is None and set(extra_cols) <= {"nome_completo", "area"}:
+        return m.shared("ninebox_banded", lambda: _banded(m, "nome_completo", "area"))
+    return _banded(m, *extra_cols, restrict=restrict)
+
+
+def _banded(m: PeopleModel, *extra_cols: str, restrict: DataFrame | None = None) -> DataFrame:
     pop = population(m, *extra_cols, restrict=restrict)
     cuts = quantile_cuts(pop, "potencial_bruto", L.POT_PROBS, ("q33", "q66"))
     e = L.PERF_EDGES
@@ -128,10 +139,8 @@ def moves(m: PeopleModel) -> tuple[DataFrame, DataFrame]:
 
 def kpi_moves(m: PeopleModel) -> DataFrame:
     """D22 part: under-allocated (pot > q66 & perf < 2.0) and at-risk (pot <= q33 & perf < 1.5) counts."""
-    pop = population(m)
-    cuts = quantile_cuts(pop, "potencial_bruto", L.POT_PROBS, ("q33", "q66"))
     p, f = F.col("potencial_bruto"), F.col("perf_media")
-    return attach_one_row(pop, cuts).agg(
+    return banded(m).agg(
         F.count(F.when((p > F.col("q66")) & (f < L.KPI_UNDERALLOCATED_PERF), 1)).alias("subalocados"),
         F.count(F.when((p <= F.col("q33")) & (f < L.KPI_AT_RISK_PERF), 1)).alias("em_risco"),
         F.count(F.lit(1)).alias("populacao"),

@@ -129,6 +129,13 @@ class PeopleModel:
         )
         return self._keep(df)
 
+    def shared(self, name: str, build) -> DataFrame:
+        """A person-level intermediate several analyses read (built once, persisted)."""
+        cache = self.__dict__.setdefault("_shared", {})
+        if name not in cache:
+            cache[name] = self._keep(build())
+        return cache[name]
+
     def _keep(self, df: DataFrame) -> DataFrame:
         if not hasattr(self, "_persisted"):
             self._persisted = []
