@@ -31,11 +31,6 @@ def pearson(x, y) -> Column:
     return F.covar_pop(x, y) / F.nullif(denom, F.lit(0.0))
 
 
-def pair_count(x, y) -> Column:
-    """n of complete (x, y) pairs."""
-    return F.count(F.when(_c(x).isNotNull() & _c(y).isNotNull(), F.lit(1)))
-
-
 def rounded(col, scale: int = DISPLAY_SCALE) -> Column:
     return F.round(_c(col), scale)
 

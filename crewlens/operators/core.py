@@ -226,6 +226,7 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str, val
     return df.unpivot(list(ids), list(values), var, val)
 
 
-def unstack(df: DataFrame, row: Sequence[str], col: str, values: Iterable, agg: Column) -> DataFrame:
-    """R2: long -> wide over an explicit value list."""
-    return df.groupBy(*row).pivot(col, list(values)).agg(agg)
+def unstack(df: DataFrame, row: Sequence[str], col: str, values: Iterable | None, agg: Column) -> DataFrame:
+    """R2: long -> wide over an explicit value list (or the column's distinct values)."""
+    g = df.groupBy(*row)
+    return (g.pivot(col, list(values)) if values is not None else g.pivot(col)).agg(agg)

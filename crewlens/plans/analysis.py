@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crewlens.functions import labels as L
 from crewlens.functions.stats import pearson, quantile_cuts, rounded, strength_words, trend_class
-from crewlens.operators.core import attach_one_row, crosstab_zero_fill, share_within, top_k
+from crewlens.operators.core import attach_one_row, crosstab_zero_fill, share_within, top_k, unstack, value_counts
 from crewlens.operators.quantiles import exact_quantiles
 from crewlens.plans.people import ASSESSMENT_COLUMNS, PeopleModel
 
@@ -123,7 +123,7 @@ def period_pivot(m: PeopleModel) -> DataFrame:
     """R2: the wide ``perf_<half>_<year>`` layout, one row per person with any score."""
     name = F.format_string("perf_%d_%d", F.col("semestre"), F.col("ano"))
     # pivot values are the distinct period names (a handful per year of data)
-    return m.perf.withColumn("_c", name).groupBy("cpf").pivot("_c").agg(F.first("score"))
+    return unstack(m.perf.withColumn("_c", name), ["cpf"], "_c", None, F.first("score"))
 
 
 def period_delta(m: PeopleModel) -> DataFrame:
@@ -337,8 +337,7 @@ def _trajectories(m: PeopleModel) -> DataFrame:
 
 def trajectory_mix(m: PeopleModel) -> DataFrame:
     """Counts and % of each trajectory class."""
-    counts = trajectories(m).groupBy("trajetoria").agg(F.count(F.lit(1)).alias("n"))
-    return share_within(counts, [])
+    return share_within(value_counts(trajectories(m), ["trajetoria"]), [])
 
 
 def trajectory_curve(m: PeopleModel) -> DataFrame:

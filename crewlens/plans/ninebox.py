@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from crewlens.functions import labels as L
 from crewlens.functions.stats import cut3, quantile_cuts, rounded
-from crewlens.operators.core import attach_one_row
+from crewlens.operators.core import attach_one_row, value_counts
 from crewlens.plans.people import PeopleModel
 
 MIN_EVALUATIONS = 2
@@ -104,7 +104,7 @@ def listing(m: PeopleModel) -> DataFrame:
 
 def quadrant_counts(m: PeopleModel) -> DataFrame:
     """A4 over quadrants (value counts of the listing, 'N/A' kept)."""
-    return banded(m).groupBy("quadrante").agg(F.count(F.lit(1)).alias("n"))
+    return value_counts(banded(m), ["quadrante"], dropna=False)
 
 
 def profile(m: PeopleModel) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crewlens.catalog import fixtures, model, register
 from crewlens.functions import text
 from crewlens.functions.stats import rounded
-from crewlens.oracle.ctes import CTES, PY_SPACE, sql_band, sql_fold, sql_normalize, sql_strip, sql_title, sql_upper, with_ctes
+from crewlens.oracle.ctes import PY_SPACE, sql_band, sql_fold, sql_normalize, sql_strip, sql_title, sql_upper, with_ctes
 from crewlens.plans import profile as P
 from crewlens.plans.analysis import period_key, period_label
 from crewlens.plans.feed import split_names

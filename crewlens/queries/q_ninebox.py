@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from crewlens.catalog import ORACLE, model, register
 from crewlens.oracle.ctes import with_ctes
 from crewlens.functions.labels import QUADRANT_ORDER
