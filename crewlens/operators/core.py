@@ -129,6 +129,8 @@ def crosstab_zero_fill(
     g = df.groupBy(*row)
     counts = (g.pivot(col, list(values)) if values is not None else g.pivot(col)).agg(F.count(F.lit(1)))
     names = [c for c in counts.columns if c not in row]
+    if not names:  # empty input: no column values to pivot on
+        return df.select(*row, F.col(col).cast("string").alias(col), F.lit(0).cast("long").alias(n_col)).limit(0)
     filled = counts.na.fill(0, subset=names)
     return filled.unpivot(list(row), names, col, n_col).withColumn(n_col, F.col(n_col).cast("long"))
 

@@ -134,8 +134,13 @@ class Archetypes:
 
     def __init__(self, m: PeopleModel, k: int = K_ARCHETYPES, n_init: int = N_INIT, seed: int = SEED):
         self.m = m
-        feats, _ = cached_features(scaled_features(attribute_matrix(m), ATTR_COLS).select("cpf", "features"))
+        feats, n = cached_features(scaled_features(attribute_matrix(m), ATTR_COLS).select("cpf", "features"))
         self._feats = feats
+        if n < k:  # too few people with complete attributes: no clusters
+            self.assign = feats.select(
+                "cpf", F.lit(0).alias("cluster"), F.lit("").alias("perfil")
+            ).limit(0)
+            return
         _, model = _best_kmeans(feats, k, n_init, seed)
         pred = model.transform(feats).select("cpf", F.col("prediction").alias("_c"))
         # renumber by size desc (k rows): stable cluster ids across runs
