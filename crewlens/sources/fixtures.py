@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crewlens.operators.sequence import next_in_group
+
 
 
 # Fixed values of the fixture mapping: vowels accented in generated names.
@@ -187,12 +189,15 @@ class Fixtures:
         rows = o.where(
             (F.col("o_orderdate") < ts_ntz("2001-07-25 00:00:00")) & (F.col("o_custkey") % modulo != 0)
         ).join(excluded, o.o_custkey == excluded.c_custkey, "left_anti")
-        w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+        # end_date = next start of the same person (lead over the person),
+        # computed without putting a hot person's rows in one task
+        rows = rows.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+        rows = next_in_group(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", "end_date")
         return rows.select(
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("person"),
             F.col("o_orderdate").alias("start_date"),
-            F.lead("o_orderdate").over(w).alias("end_date"),
+            "end_date",
             "o_orderpriority",
             "o_orderstatus",
         )

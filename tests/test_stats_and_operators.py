@@ -133,3 +133,17 @@ def test_projection_helpers(spark):
     assert core.with_fallback(df, "area", F.lit("N/A")).first().area == "N/A"
     long = core.melt(renamed, ["cpf"], ["perf_1_2018"], "semestre", "score").first()
     assert (long.semestre, long.score) == ("perf_1_2018", 2.0)
+
+
+def test_next_in_group_matches_window_on_hot_key(spark):
+    from pyspark.sql import Window
+
+    from crewlens.operators.sequence import next_in_group
+
+    rows = [(1, d, d * 10) for d in range(4000)]                       # one hot key
+    rows += [(k, d, k * 1000 + d) for k in range(2, 300) for d in range(3)]
+    rows += [(None, 1, 5), (None, 2, 6)]
+    df = spark.createDataFrame(rows, "k int, d int, v int")
+    got = next_in_group(df, "k", ["d"], "v", "nxt", num_partitions=16, max_group_in_one_task=100)
+    want = df.withColumn("nxt", F.lead("v").over(Window.partitionBy("k").orderBy("d")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
