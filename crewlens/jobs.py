@@ -101,7 +101,7 @@ def performance_long(df: DataFrame) -> DataFrame:
     df = core.rename_literals(df, PERFORMANCE_RENAMES)
     periods = core.cols_with_prefix(df, "perf_")
     long = core.melt(
-        df.select(F.col("cpf").cast("string").alias("cpf"), *[F.col(c).cast("double") for c in periods]),
+        df.select(F.col("cpf").cast("string").alias("cpf"), *[F.col(c).try_cast("double").alias(c) for c in periods]),
         ["cpf"], periods, "_col", "score",
     )
     parts = F.split("_col", "_")

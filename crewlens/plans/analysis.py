@@ -233,7 +233,11 @@ def top_attrs_by_area(m: PeopleModel) -> DataFrame:
     )
     corr = long.join(sizes, "area", "left_semi").groupBy("area", "idx").agg(pearson("value", "perf_media").alias("_r"))
     top = top_k(corr, ["area"], [rounded("_r").desc_nulls_last(), F.col("idx")], TOP_ATTRIBUTES, "rank")
-    return top.select("area", "rank", "idx", rounded("_r").alias("r"))
+    # the block runs only when the complete attribute table has > 10 rows
+    rows = long.agg(F.count_distinct("cpf").alias("_rows"))
+    return attach_one_row(top, rows).where(F.col("_rows") > MIN_ROWS_ATTR_TABLE).select(
+        "area", "rank", "idx", rounded("_r").alias("r")
+    )
 
 
 # ---- D13 / D14 culture ---------------------------------------------------------
@@ -354,7 +358,9 @@ def trajectory_curve(m: PeopleModel) -> DataFrame:
 # ---- D23 person record ------------------------------------------------------------
 def person_record(m: PeopleModel, cpf=None) -> DataFrame:
     """One record per person (or the chosen one): area, potential, band,
-    chronological score series and mean, assessments, attribute count."""
+    chronological score series and mean, assessments, attribute values.
+
+    The per-person lists are bounded by the number of periods and attributes."""
     p = m.merged
     if cpf is not None:
         p = p.where(F.col("cpf") == cpf)
@@ -365,12 +371,17 @@ def person_record(m: PeopleModel, cpf=None) -> DataFrame:
     serie = F.array_join(
         F.transform("_s", lambda e: F.format_string("%d-%dº:%d", e["ano"], e["semestre"], e["score"])), " | "
     )
+    attrs = m.attrs.where(F.col("value").isNotNull()).groupBy("cpf").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_a")
+    )
+    atributos = F.array_join(F.transform("_a", lambda e: F.format_string("%d:%.6f", e["idx"], e["value"])), " | ")
     return (
         p.join(series, "cpf", "left")
+        .join(attrs, "cpf", "left")
         .select(
             "cpf", "nome_completo", "area", "potencial_bruto", "cultura_classificacao",
             "raciocinio", "social", "motivacional", "cultura_pontuacao",
-            serie.alias("serie"), rounded("_m").alias("perf_media"),
+            serie.alias("serie"), rounded("_m").alias("perf_media"), atributos.alias("atributos"),
         )
     )
 

@@ -328,7 +328,7 @@ def duration_vs_score(spark, sf_dir):
   SELECT area, idx, _r, CAST(row_number() OVER (PARTITION BY area ORDER BY round(_r, 6) DESC NULLS LAST, idx) AS int) AS rank
   FROM (SELECT area, idx, {sql_pearson('value', 'perf_media')} AS _r FROM apl_area
         WHERE area IN (SELECT area FROM apl_area GROUP BY area HAVING count(DISTINCT cpf) >= 5) GROUP BY 1, 2)
-) WHERE rank <= 3""",
+) WHERE rank <= 3 AND (SELECT count(DISTINCT cpf) FROM apl_area) > 10""",
         "apl_area",
     ),
 )
@@ -466,12 +466,15 @@ def trajectory_curve(spark, sf_dir):
     with_ctes(
         f"""SELECT p.cpf, p.nome_completo, a.area, p.potencial_bruto, p.cultura_classificacao,
   {r6('p.raciocinio')} AS raciocinio, {r6('p.social')} AS social, {r6('p.motivacional')} AS motivacional,
-  p.cultura_pontuacao, s.serie, {r6('s._m')} AS perf_media
+  p.cultura_pontuacao, s.serie, {r6('s._m')} AS perf_media, t.atributos
 FROM people p LEFT JOIN area a ON p.cpf = a.cpf LEFT JOIN (
   SELECT cpf, string_agg(printf('%d-%dº:%d', ano, semestre, score), ' | ' ORDER BY ano, semestre) AS serie,
     avg(score) AS _m
-  FROM perf_long WHERE score IS NOT NULL GROUP BY cpf) s ON p.cpf = s.cpf""",
-        "people", "area", "perf_long",
+  FROM perf_long WHERE score IS NOT NULL GROUP BY cpf) s ON p.cpf = s.cpf
+LEFT JOIN (
+  SELECT cpf, string_agg(printf('%d:%.6f', idx, value), ' | ' ORDER BY idx) AS atributos
+  FROM attributes_long WHERE value IS NOT NULL GROUP BY cpf) t ON p.cpf = t.cpf""",
+        "people", "area", "perf_long", "attributes_long",
     ),
 )
 def person_record(spark, sf_dir):
