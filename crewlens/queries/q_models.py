@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crewlens.catalog import model, register
+from crewlens.catalog import model, register, session_key
 from crewlens.functions.stats import rounded
 from crewlens.oracle.ctes import with_ctes
 from crewlens.plans import ml
@@ -15,19 +15,30 @@ def kmeans_elbow(spark, sf_dir):
     return ml.kmeans_elbow(model(spark, sf_dir))
 
 
+_ARCHETYPES: dict[tuple, ml.Archetypes] = {}
+
+
+def archetypes(spark, sf_dir) -> ml.Archetypes:
+    """One k = 4 fit (best of 10 seeds) per session and directory, shared by the three views."""
+    k = (*session_key(spark), sf_dir.rstrip("/"))
+    if k not in _ARCHETYPES:
+        _ARCHETYPES[k] = ml.Archetypes(model(spark, sf_dir))
+    return _ARCHETYPES[k]
+
+
 @register("kmeans_profile")
 def kmeans_profile(spark, sf_dir):
-    return ml.Archetypes(model(spark, sf_dir)).profile()
+    return archetypes(spark, sf_dir).profile()
 
 
 @register("kmeans_area_fit")
 def kmeans_area_fit(spark, sf_dir):
-    return ml.Archetypes(model(spark, sf_dir)).area_fit()
+    return archetypes(spark, sf_dir).area_fit()
 
 
 @register("kmeans_ideal")
 def kmeans_ideal(spark, sf_dir):
-    return ml.Archetypes(model(spark, sf_dir)).ideal()
+    return archetypes(spark, sf_dir).ideal()
 
 
 @register("regression_coefs")
