@@ -15,8 +15,23 @@ from crewlens.plans.people import PeopleModel
 
 
 def describe_people(m: PeopleModel) -> DataFrame:
-    """A20 over the numeric columns of the raw assessment table."""
-    return core.describe_numeric(m.people_raw)
+    """A20 over the numeric columns of the raw assessment table (the person key
+    is an identifier, text in the source, so it is not described)."""
+    cols = [c for c in core.numeric_columns(m.people_raw) if c != "cpf"]
+    return core.describe_numeric(m.people_raw, cols)
+
+
+def null_profile_raw(m: PeopleModel) -> DataFrame:
+    """A19 on each raw input table (assessments, performance, area)."""
+    parts = [
+        core.null_profile(m.people_raw, "assessments"),
+        core.null_profile(m.perf, "performance"),
+        core.null_profile(m.area_raw, "area"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def null_profile_merged(m: PeopleModel) -> DataFrame:

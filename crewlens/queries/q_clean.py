@@ -210,7 +210,32 @@ def null_profile(spark, sf_dir):
     return P.null_profile_merged(model(spark, sf_dir))
 
 
-_NUM = ["cpf", "potencial_bruto", "raciocinio", "social", "motivacional", "cultura_pontuacao"]
+_NUM = ["potencial_bruto", "raciocinio", "social", "motivacional", "cultura_pontuacao"]
+
+
+_RAW_COLS = {
+    "assessments": ("people_main", ["cpf", "nome", "sobrenome", "potencial_bruto", "raciocinio", "social",
+                                    "motivacional", "cultura_pontuacao", "cultura_classificacao"]),
+    "performance": ("perf_long", ["cpf", "ano", "semestre", "score"]),
+    "area": ("area_raw", ["cpf", "area", "ordinal"]),
+}
+
+
+@register(
+    "null_profile_raw",
+    with_ctes(
+        "SELECT coluna, nulos, round(CAST(nulos AS double) * 100 / nullif(total, 0), 6) AS pct_nulos, tabela FROM ("
+        + "\nUNION ALL\n".join(
+            f"SELECT '{c}' AS coluna, count(*) - count({c}) AS nulos, count(*) AS total, '{t}' AS tabela FROM {view}"
+            for t, (view, cols) in _RAW_COLS.items() for c in cols
+        )
+        + ") WHERE nulos > 0",
+        "people_main", "perf_long", "area_raw",
+    ),
+)
+def null_profile_raw(spark, sf_dir):
+    """A19 on the raw input tables."""
+    return P.null_profile_raw(model(spark, sf_dir))
 
 
 @register(
