@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewlens.operators import core
-from crewlens.plans.feed import FeedJob
+from crewlens.plans.feed import FeedJob, import_ids
 from crewlens.plans.people import PeopleModel
 from crewlens.plans.profile import run_summary
 from crewlens.sources import tables as T
@@ -171,8 +171,8 @@ def feed_job(spark: SparkSession, changes: str, system_dir: str, out_dir: str, h
         "salarios": new,
         # ids are internal; the import file leaves them blank
         "instancia_area": job.created.select(F.lit("").alias("id"), "name"),
-        "areas": job.area_changes,
-        "cargos": job.job_changes,
+        "areas": import_ids(job.area_changes),
+        "cargos": import_ids(job.job_changes),
     }
     for name, df in outputs.items():
         T.write_table(df, f"{out_dir.rstrip('/')}/{name}{ext if fmt is None else '.' + fmt}", fmt)

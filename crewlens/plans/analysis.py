@@ -123,7 +123,9 @@ def period_pivot(m: PeopleModel) -> DataFrame:
     """R2: the wide ``perf_<half>_<year>`` layout, one row per person with any score."""
     name = F.format_string("perf_%d_%d", F.col("semestre"), F.col("ano"))
     # pivot values are the distinct period names (a handful per year of data)
-    return unstack(m.perf.withColumn("_c", name), ["cpf"], "_c", None, F.first("score"))
+    # scores as doubles: a period without a score is a missing value (NaN in the
+    # reference's wide frame)
+    return unstack(m.perf.withColumn("_c", name), ["cpf"], "_c", None, F.first("score").cast("double"))
 
 
 def period_delta(m: PeopleModel) -> DataFrame:

@@ -29,6 +29,11 @@ from crewlens.functions import text
 from crewlens.operators.core import attach_one_row, keep_by
 from crewlens.operators.scd2 import scd2_diff
 
+def import_ids(df: DataFrame) -> DataFrame:
+    """Import-file form of SCD2 records: the existing id to edit, blank to create."""
+    return df.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("")))
+
+
 CHANGE_COLS = ("chg_id", "colaborador", "data_alteracao", "salario", "departamento", "cargo", "situacao")
 
 

@@ -57,7 +57,8 @@ def run_summary(m: PeopleModel) -> DataFrame:
     for name, df, mapped in parts:
         part = df.agg(
             F.count(F.lit(1)).alias("linhas"),
-            (F.count(F.when(mapped, 1)) if mapped is not None else F.lit(None).cast("long")).alias("com_area"),
+            # only defined for the merged table (missing elsewhere, hence double)
+            (F.count(F.when(mapped, 1)) if mapped is not None else F.lit(None)).cast("double").alias("com_area"),
         ).select(F.lit(name).alias("tabela"), "linhas", F.lit(len(df.columns)).alias("colunas"), "com_area")
         out = part if out is None else out.unionByName(part)
     return out

@@ -208,7 +208,7 @@ def area_period_mean(spark, sf_dir):
     with_ctes(
         "SELECT cpf, "
         + ", ".join(
-            f"max(CASE WHEN ano = {y} AND semestre = {s} THEN score END) AS perf_{s}_{y}"
+            f"CAST(max(CASE WHEN ano = {y} AND semestre = {s} THEN score END) AS double) AS perf_{s}_{y}"
             for y in (1998, 1999) for s in (1, 2)
         )
         + " FROM perf_long GROUP BY cpf",

@@ -163,10 +163,10 @@ def rename_periods(spark, sf_dir):
     "ts_parse_duration",
     with_ctes(
         f"""SELECT cpf, assessment, wk, inicio, fim, date_diff('microsecond', inicio, fim) / 6e7 AS dur_min,
-  CAST(inicio AS date) AS dia, strftime(inicio, '%d/%m/%Y') AS data_txt,
-  CAST(try_strptime(strftime(inicio, '%d/%m/%Y'), '%d/%m/%Y') AS date) AS data_parsed,
+  CAST(CAST(inicio AS date) AS timestamp) AS dia, strftime(inicio, '%d/%m/%Y') AS data_txt,
+  CAST(CAST(try_strptime(strftime(inicio, '%d/%m/%Y'), '%d/%m/%Y') AS date) AS timestamp) AS data_parsed,
   try_strptime(strftime(fim, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS fim_segundos,
-  CAST(try_strptime(assessment, '%d/%m/%Y') AS date) AS data_invalida
+  CAST(CAST(try_strptime(assessment, '%d/%m/%Y') AS date) AS timestamp) AS data_invalida
 FROM assess_sessions""",
         "assess_sessions",
     ),
@@ -179,11 +179,12 @@ def ts_parse_duration(spark, sf_dir):
     return s.select(
         "cpf", "assessment", "wk", "inicio", "fim",
         (F.timestamp_diff("MICROSECOND", F.col("inicio"), F.col("fim")) / 6e7).alias("dur_min"),
-        F.to_date("inicio").alias("dia"),
+        # day keys are returned as midnight timestamps
+        F.to_date("inicio").cast("timestamp_ntz").alias("dia"),
         data_txt.alias("data_txt"),
-        F.try_to_date(data_txt, "dd/MM/yyyy").alias("data_parsed"),
+        F.try_to_date(data_txt, "dd/MM/yyyy").cast("timestamp_ntz").alias("data_parsed"),
         F.try_to_timestamp(fim_txt, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("fim_segundos"),
-        F.try_to_timestamp(F.col("assessment"), F.lit("dd/MM/yyyy")).cast("date").alias("data_invalida"),
+        F.try_to_timestamp(F.col("assessment"), F.lit("dd/MM/yyyy")).cast("date").cast("timestamp_ntz").alias("data_invalida"),
     )
 
 
@@ -333,10 +334,10 @@ def key_overlap(spark, sf_dir):
 @register(
     "run_summary",
     with_ctes(
-        """SELECT 'assessments' AS tabela, count(*) AS linhas, 9 AS colunas, CAST(NULL AS bigint) AS com_area FROM people_main
-UNION ALL SELECT 'performance', count(*), 4, CAST(NULL AS bigint) FROM perf_long
-UNION ALL SELECT 'area', count(*), 3, CAST(NULL AS bigint) FROM area_raw
-UNION ALL SELECT 'merged', count(*), 16, count(area) FROM base""",
+        """SELECT 'assessments' AS tabela, count(*) AS linhas, 9 AS colunas, CAST(NULL AS double) AS com_area FROM people_main
+UNION ALL SELECT 'performance', count(*), 4, CAST(NULL AS double) FROM perf_long
+UNION ALL SELECT 'area', count(*), 3, CAST(NULL AS double) FROM area_raw
+UNION ALL SELECT 'merged', count(*), 16, CAST(count(area) AS double) FROM base""",
         "people_main", "perf_long", "area_raw", "base",
     ),
 )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from crewlens.catalog import fixtures, register, session_key
 from crewlens.oracle.ctes import CTES, PY_SPACE, sql_normalize, sql_strip, sql_upper, with_ctes
-from crewlens.plans.feed import FeedJob
+from crewlens.plans.feed import FeedJob, import_ids
 
 
 _JOBS: dict[tuple[int, str], FeedJob] = {}
@@ -91,9 +93,14 @@ WHERE name NOT IN (SELECT name FROM sys_instances)""",
 )
 
 
-@register("feed_resolve", with_ctes("SELECT * FROM ids", "ids"))
+def person_text(df):
+    """Output form of the nullable person id (text; null when not found)."""
+    return df.withColumn("person", F.col("person").cast("string"))
+
+
+@register("feed_resolve", with_ctes("SELECT * REPLACE (CAST(person AS varchar) AS person) FROM ids", "ids"))
 def feed_resolve(spark, sf_dir):
-    return job(spark, sf_dir).ids
+    return person_text(job(spark, sf_dir).ids)
 
 
 @register("person_priority", with_ctes("SELECT nome, sobrenome, person, prioridade FROM best", "best"))
@@ -101,9 +108,9 @@ def person_priority(spark, sf_dir):
     return job(spark, sf_dir).best.select("nome", "sobrenome", "person", "prioridade")
 
 
-@register("feed_pending", with_ctes("SELECT * FROM pending_rows", "pending_rows"))
+@register("feed_pending", with_ctes("SELECT * REPLACE (CAST(person AS varchar) AS person) FROM pending_rows", "pending_rows"))
 def feed_pending(spark, sf_dir):
-    return job(spark, sf_dir).pending
+    return person_text(job(spark, sf_dir).pending)
 
 
 @register(
@@ -140,11 +147,11 @@ _SCD2_AREA = """mapped AS (
   WHERE c.departamento IS NOT NULL),
 j AS (SELECT w.*, a.id AS _aid, a.start_date AS _astart, a.area AS area_atual
   FROM mapped w LEFT JOIN (SELECT * FROM sys_areas WHERE end_date IS NULL) a ON w.person = a.person)
-SELECT CAST(_aid AS bigint) AS id, person, _astart AS start_date, data_alteracao AS end_date, area_atual AS area,
+SELECT CAST(_aid AS varchar) AS id, person, _astart AS start_date, data_alteracao AS end_date, area_atual AS area,
   'fechar' AS acao, chg_id
 FROM j WHERE area_atual IS NOT NULL AND area_atual IS DISTINCT FROM area_nova
 UNION ALL
-SELECT CAST(NULL AS bigint) AS id, person, data_alteracao AS start_date, CAST(NULL AS timestamp) AS end_date,
+SELECT '' AS id, person, data_alteracao AS start_date, CAST(NULL AS timestamp) AS end_date,
   area_nova AS area, 'abrir' AS acao, chg_id
 FROM j WHERE area_atual IS NULL OR area_atual IS DISTINCT FROM area_nova"""
 
@@ -157,7 +164,7 @@ FROM j WHERE area_atual IS NULL OR area_atual IS DISTINCT FROM area_nova"""
     ),
 )
 def scd2_area(spark, sf_dir):
-    return job(spark, sf_dir).area_changes
+    return import_ids(job(spark, sf_dir).area_changes)
 
 
 def _LEVEL(x: str) -> str:  # noqa: N802
@@ -172,11 +179,11 @@ act AS (
   FROM sys_jobs WHERE end_date IS NULL),
 j AS (SELECT c.*, a.id AS _aid, a.start_date AS _astart, a.cargo_atual, a.cargo_atual_norm, a.level_atual
   FROM cur c LEFT JOIN act a ON c.person = a.person)
-SELECT CAST(_aid AS bigint) AS id, person, _astart AS start_date, data_alteracao AS end_date,
+SELECT CAST(_aid AS varchar) AS id, person, _astart AS start_date, data_alteracao AS end_date,
   cargo_atual AS name, level_atual AS level, 'fechar' AS acao, chg_id
 FROM j WHERE cargo_atual_norm IS NOT NULL AND cargo_atual_norm IS DISTINCT FROM cargo_norm
 UNION ALL
-SELECT CAST(NULL AS bigint) AS id, person, data_alteracao AS start_date, CAST(NULL AS timestamp) AS end_date,
+SELECT '' AS id, person, data_alteracao AS start_date, CAST(NULL AS timestamp) AS end_date,
   {sql_upper('cargo')} AS name, level_novo AS level, 'abrir' AS acao, chg_id
 FROM j WHERE cargo_atual_norm IS NULL OR cargo_atual_norm IS DISTINCT FROM cargo_norm"""
 
@@ -189,7 +196,7 @@ FROM j WHERE cargo_atual_norm IS NULL OR cargo_atual_norm IS DISTINCT FROM cargo
     ),
 )
 def scd2_job(spark, sf_dir):
-    return job(spark, sf_dir).job_changes
+    return import_ids(job(spark, sf_dir).job_changes)
 
 
 @register(

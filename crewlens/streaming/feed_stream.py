@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from crewlens.plans.feed import FeedJob
+from crewlens.plans.feed import FeedJob, import_ids
 from crewlens.session import ensure_checkpoint_dir
 
 OUTPUTS = ("pendencias", "salarios", "salarios_ignorados", "instancias", "areas", "cargos")
@@ -34,8 +34,8 @@ def batch_outputs(job: FeedJob) -> dict[str, DataFrame]:
         "salarios": new,
         "salarios_ignorados": skipped,
         "instancias": job.created,
-        "areas": job.area_changes,
-        "cargos": job.job_changes,
+        "areas": import_ids(job.area_changes),
+        "cargos": import_ids(job.job_changes),
     }
 
 
