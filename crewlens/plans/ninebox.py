@@ -93,13 +93,17 @@ def listing(m: PeopleModel) -> DataFrame:
     reference sorts by it and then by performance descending.
     """
     b = banded(m, "nome_completo", "area")
-    return b.select(
+    out = b.select(
         "cpf", "nome_completo", "area",
         rounded("potencial_bruto").alias("potencial_bruto"),
         rounded("perf_media").alias("perf_media"),
         "pot_cat", "perf_cat", "quadrante",
         L.order_rank("quadrante", L.QUADRANT_ORDER).alias("ordem"),
     )
+    # O2: distributed sort (range shuffle); unmapped quadrants (rank 0) last
+    return out.orderBy(
+        F.when(F.col("ordem") == 0, F.lit(1 << 20)).otherwise(F.col("ordem")), F.col("perf_media").desc(), "cpf"
+    )
 
 
 def quadrant_counts(m: PeopleModel) -> DataFrame:
@@ -132,8 +136,16 @@ def moves(m: PeopleModel) -> tuple[DataFrame, DataFrame]:
         rounded("potencial_bruto").alias("potencial_bruto"),
         rounded("perf_media").alias("perf_media"),
     ]
-    promotable = b.where((F.col("pot_cat") == "Alto") & F.col("perf_cat").isin(*L.PROMOTABLE_PERF)).select(*cols)
-    at_risk = b.where((F.col("pot_cat") == "Baixo") & (F.col("perf_cat") == "Baixa")).select(*cols)
+    promotable = (
+        b.where((F.col("pot_cat") == "Alto") & F.col("perf_cat").isin(*L.PROMOTABLE_PERF))
+        .select(*cols)
+        .orderBy(F.col("potencial_bruto").desc(), "cpf")
+    )
+    at_risk = (
+        b.where((F.col("pot_cat") == "Baixo") & (F.col("perf_cat") == "Baixa"))
+        .select(*cols)
+        .orderBy("perf_media", "cpf")
+    )
     return promotable, at_risk
 
 
