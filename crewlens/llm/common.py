@@ -22,6 +22,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has that name."""
+    while base in df.columns:
+        base += "_"
+    return base
+
+
 def local_view(path: str) -> str:
     """The shared folder as a path that ``open`` and ``mmap`` understand.
 
@@ -83,15 +90,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for every vertex with an edge to another vertex; ``component`` is the
     smallest id reachable. Each round is two shuffles with map-side minima; a
     hub's edges are split by AQE in the join, never gathered in one task.
-    Rounds are checkpointed to the shared folder. Empty input gives no rows.
+    Rounds are written to the shared folder. Empty input gives no rows.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    cur = (
-        edges.where(F.col("src") != F.col("dst"))
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
-        .checkpoint()
-    )
+    cur = edges.where(F.col("src") != F.col("dst"))
+    cur = materialize(cur.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
     mark = None
     for _ in range(max_rounds):
         # large-star: every larger neighbour of u moves to the smallest of u's neighbourhood
@@ -104,7 +106,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         moved = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = moved.union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        cur = materialize(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         seen = cur.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()

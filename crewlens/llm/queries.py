@@ -36,3 +36,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
     return file_digests(spark, path)
+
+
+@register("op5_simhash_anchors")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op10_spaced_seed_leaks")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
