@@ -50,3 +50,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+@register("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.language_id import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@register("op9_crf_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.pii import KINDS, find_personal_data
+    from crewlens.llm.spans import base_spans, count_kind, written
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(written(base_spans(F.col("spans"))), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
