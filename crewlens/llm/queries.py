@@ -69,3 +69,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in KINDS],
         F.sha2(written(base_spans(F.col("spans"))), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
     )
+
+
+@register("op7_grammar_secrets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.secrets import BASE_KINDS, find_secrets
+    from crewlens.llm.spans import base_spans, count_kind, written
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(written(base_spans(F.col("spans"))), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
+
+
+@register("op6_kd_tree_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.sharding import kd_shards
+
+    return kd_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
