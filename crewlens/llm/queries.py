@@ -98,3 +98,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.embedding_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op3_kneser_ney")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.ngram_lm import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"))
