@@ -21,6 +21,12 @@ from crewlens.operators.sequence import next_in_group
 PLAIN_VOWELS = "aeiou"
 ACCENTED_VOWELS = "áéíóú"
 
+# System history lies before the boundary, the client's changes from it on;
+# salaries run a few days over it so that some changes are already present.
+FEED_BOUNDARY = "2000-07-01 00:00:00"
+SALARY_START = "2000-07-03 00:00:00"
+SALARY_BOUNDARY = "2000-07-04 00:00:00"
+
 
 def ts_ntz(text: str):
     """A TIMESTAMP_NTZ literal (the driver tables store naive timestamps)."""
@@ -65,8 +71,7 @@ class Fixtures:
         # aggregate runs hash-based instead of sort-based
         first = F.min(F.ascii("o_orderpriority"))
         return (
-            o.where((ts >= ts_ntz("1998-01-01 00:00:00")) & (ts < ts_ntz("2000-01-01 00:00:00")))
-            .groupBy(
+            o.groupBy(
                 F.col("o_custkey").alias("cpf"),
                 F.year(ts).cast("int").alias("ano"),
                 F.when(F.month(ts) <= 6, F.lit(1)).otherwise(F.lit(2)).alias("semestre"),
@@ -128,11 +133,21 @@ class Fixtures:
             band.alias("cultura_classificacao"),
         )
         s = self.assess_scores
-        return base.join(s, "cpf", "left").select(
+        # one row per key by construction: the join goes away where its columns are not read
+        e = self.t.embeddings.groupBy(F.col("vec_id").alias("cpf")).agg(
+            F.max(F.col("label").cast("double")).alias("perfil_comunicacao"),
+            F.max(self._attribute(F.get("embedding", F.lit(0)))).alias("atributo_comunicacao"),
+        )
+        return base.join(s, "cpf", "left").join(e, "cpf", "left").select(
             "cpf", "nome", "sobrenome", "potencial_bruto", "raciocinio", "social", "motivacional",
-            "cultura_pontuacao", "cultura_classificacao",
+            "cultura_pontuacao", "cultura_classificacao", "perfil_comunicacao", "atributo_comunicacao",
         )
 
+    @staticmethod
+    def _attribute(v):
+        """An embedding coordinate on the 0-100 scale of the attribute scores."""
+        return v.cast("double") * 100 + 50
+
     @cached_property
     def area_raw(self) -> DataFrame:
         """(cpf, area, ordinal): duplicate keys, keep the highest ordinal."""
@@ -153,12 +168,15 @@ class Fixtures:
         return first.unionByName(moved)
 
     @cached_property
-    def attributes_long(self) -> DataFrame:
-        """(cpf, idx, value): 16 behavioural attributes per person, long form."""
-        e = self.t.embeddings
-        return e.select(
-            F.col("vec_id").alias("cpf"), F.posexplode(F.slice("embedding", 1, 16)).alias("pos", "v")
-        ).select("cpf", (F.col("pos") + 1).alias("idx"), (F.col("v").cast("double") * 100 + 50).alias("value"))
+    def attributes(self) -> DataFrame:
+        """(cpf, attrs): the behavioural attributes of a person as one array.
+
+        The first 16 coordinates stand for the 16 attributes of the source.
+        """
+        return self.t.embeddings.select(
+            F.col("vec_id").alias("cpf"),
+            F.transform(F.slice("embedding", 1, 16), self._attribute).alias("attrs"),
+        )
 
     # -- activity 2 inputs -------------------------------------------------
     @cached_property
@@ -174,25 +192,52 @@ class Fixtures:
     def sys_salaries(self) -> DataFrame:
         o, c = self.t.orders, self.t.customer
         hist = o.where(
-            (F.col("o_orderdate") < ts_ntz("2001-07-28 00:00:00")) & (F.col("o_custkey") % 5 != 0)
+            (F.col("o_orderdate") < ts_ntz(SALARY_BOUNDARY)) & (F.col("o_custkey") % 5 != 0)
         ).select(
             F.col("o_custkey").alias("person"), F.col("o_orderdate").alias("dt"), F.col("o_totalprice").alias("salary")
         )
         start = c.where(F.col("c_custkey") % 3 == 0).select(
-            F.col("c_custkey").alias("person"), ts_ntz("2001-07-27 00:00:00").alias("dt"), F.col("c_acctbal").alias("salary")
+            F.col("c_custkey").alias("person"), ts_ntz(SALARY_START).alias("dt"), F.col("c_acctbal").alias("salary")
         )
         return hist.unionByName(start)
 
+    @cached_property
+    def sys_salaries_text(self) -> DataFrame:
+        """Salary history as exported: days as dd/mm/yyyy text, every 50th order's in another form."""
+        ts = F.col("o_orderdate")
+        day = F.when(F.col("o_orderkey") % 50 == 0, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "dd/MM/yyyy"))
+        return self.t.orders.select(
+            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), day.alias("date"),
+            F.col("o_totalprice").alias("salary"),
+        )
+
+    @cached_property
+    def change_sheet(self) -> DataFrame:
+        """The customer list as a headerless sheet: two preamble rows, a header row, then data, all text."""
+        c = self.t.customer
+        data = c.select(
+            (F.col("c_custkey") + 10).alias("linha"), F.col("c_custkey").cast("string").alias("_c0"),
+            F.col("c_name").alias("_c1"), F.col("c_mktsegment").alias("_c2"),
+        )
+        # the three leading rows come from the table's own one-row count
+        n = c.agg(F.count(F.lit(1)).cast("string").alias("n"))
+        lead = n.select(F.explode(F.array(
+            F.struct(F.lit(0).cast("long").alias("linha"), F.lit("Relatório").alias("_c0"), F.col("n").alias("_c1"), F.lit(None).cast("string").alias("_c2")),
+            F.struct(F.lit(1).cast("long").alias("linha"), F.lit(None).cast("string").alias("_c0"), F.lit(None).cast("string").alias("_c1"), F.lit(None).cast("string").alias("_c2")),
+            F.struct(F.lit(2).cast("long").alias("linha"), F.lit("chave").alias("_c0"), F.lit("nome").alias("_c1"), F.lit("segmento").alias("_c2")),
+        )).alias("r")).select("r.*")
+        return data.unionByName(lead)
+
     def _history(self, modulo: int, nation_mod: int, nation_rem: int) -> DataFrame:
         o, c = self.t.orders, self.t.customer
         excluded = c.where(F.col("c_nationkey") % nation_mod == nation_rem).select(F.col("c_custkey"))
         rows = o.where(
-            (F.col("o_orderdate") < ts_ntz("2001-07-25 00:00:00")) & (F.col("o_custkey") % modulo != 0)
+            (F.col("o_orderdate") < ts_ntz(FEED_BOUNDARY)) & (F.col("o_custkey") % modulo != 0)
         ).join(excluded, o.o_custkey == excluded.c_custkey, "left_anti")
         # end_date = next start of the same person (lead over the person),
-        # computed without putting a hot person's rows in one task
+        # computed day by day, so a hot person's rows are not sorted in one task
         rows = rows.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-        rows = next_in_group(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", "end_date")
+        rows = next_in_group(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", "end_date", F.to_date("o_orderdate"))
         return rows.select(
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("person"),
@@ -238,7 +283,7 @@ class Fixtures:
         o, c, n = self.t.orders, self.t.customer, self.t.nation
         prio = F.col("o_orderpriority")
         return (
-            o.where(F.col("o_orderdate") >= ts_ntz("2001-07-25 00:00:00"))
+            o.where(F.col("o_orderdate") >= ts_ntz(FEED_BOUNDARY))
             .join(c, o.o_custkey == c.c_custkey)
             .join(n, c.c_nationkey == n.n_nationkey)
             .select(
@@ -251,11 +296,14 @@ class Fixtures:
                 ).alias("colaborador"),
                 F.col("o_orderdate").alias("data_alteracao"),
                 F.col("o_totalprice").alias("salario"),
-                F.concat(F.lit("Dept "), prio).alias("departamento"),
-                F.when(prio == "1-URGENT", F.lit("Analista de Operações"))
+                # every 41st, 43rd and 97th change lacks a value (cases for the pending list)
+                F.when(F.col("o_orderkey") % 41 != 0, F.concat(F.lit("Dept "), prio)).alias("departamento"),
+                F.when(F.col("o_orderkey") % 43 == 0, F.lit(None).cast("string"))
+                .when(prio == "1-URGENT", F.lit("Analista de Operações"))
                 .when(prio == "2-HIGH", F.lit("Coordenador"))
                 .otherwise(F.lit("Assistente"))
                 .alias("cargo"),
-                F.when(F.col("o_orderstatus") == "F", F.lit("Desligado")).otherwise(F.lit("Atual")).alias("situacao"),
+                F.when(F.col("o_orderkey") % 97 == 0, F.lit(None).cast("string"))
+                .when(F.col("o_orderstatus") == "F", F.lit("Desligado")).otherwise(F.lit("Atual")).alias("situacao"),
             )
         )

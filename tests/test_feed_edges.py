@@ -87,3 +87,35 @@ def test_summary_counts_are_consistent(spark):
     s = j.summary().first()
     assert s.linhas == 5 and s.resolvidos == 4 and s.pendentes == 2
     assert s.salarios_novos + s.salarios_ignorados == s.resolvidos
+
+
+def test_missing_targets_are_pending_with_a_reason(spark):
+    j = build(spark)
+    extra = spark.createDataFrame(
+        [
+            (6, "Ana", dt.datetime(2024, 4, 1), 210.0, None, None, "Atual"),
+            (7, "Ana", dt.datetime(2024, 5, 1), 220.0, "Dept A", "Coordenador", None),
+            (8, "Ana", dt.datetime(2024, 6, 1), 230.0, None, None, "Desligado"),
+        ],
+        j.changes.schema,
+    )
+    j = FeedJob(j.changes.unionByName(extra), j.people, j.salaries, j.areas, j.instances, j.jobs)
+    got = sorted((r.chg_id, r.motivo) for r in j.pending.collect() if r.chg_id > 5)
+    assert got == [(6, L.REASON_NO_JOB), (6, L.REASON_NO_DEPARTMENT), (7, L.REASON_NO_STATUS)]
+    assert not [r for r in j.area_changes.collect() + j.job_changes.collect() if r.chg_id > 5]
+    assert {r.date.month for r in j.salaries_split[0].collect() if r.person == 2} == {3, 4, 5, 6}
+
+
+def test_options_sequence_and_normalised_departments(spark):
+    j = build(spark)
+    extra = spark.createDataFrame(
+        [(6, "Ana", dt.datetime(2024, 4, 1), 1.0, "dépt  b", "Gerente", "Atual")], j.changes.schema
+    )
+    parts = (j.changes.unionByName(extra), j.people, j.salaries, j.areas, j.instances, j.jobs)
+    plain = FeedJob(*parts)
+    assert sorted(r.name for r in plain.created.collect()) == ["Dept New", "dépt  b"]
+    assert [r.name for r in FeedJob(*parts, normalize_departments=True).created.collect()] == ["DEPT NEW"]
+    last = FeedJob(*parts, sequence=True)
+    assert sorted(r.chg_id for r in last.found.collect()) == [1, 3, 6]
+    opened = [(r.person, r.chg_id) for r in last.job_changes.collect() if r.acao == "abrir"]
+    assert (2, 6) in opened and (2, 2) not in opened

@@ -17,7 +17,7 @@ def q(spark, name):
 def test_ninebox_cells_sum_to_population(spark):
     cells = q(spark, "ninebox_matrix").collect()
     pop = q(spark, "ninebox_listing").where(F.col("quadrante") != "N/A").count()
-    assert sum(r.n for r in cells) == pop == 1003
+    assert sum(r.n for r in cells) == pop > 1000
     assert math.isclose(sum(r.pct for r in cells), 100.0, abs_tol=1e-4)
 
 
@@ -63,8 +63,9 @@ def test_regression_r2_matches_normal_equations(spark):
     m = model(spark, SF_MID)
     assess = list(ASSESSMENT_COLUMNS.values())
     base = m.base(*assess, "perf_media").dropna(subset=[*assess, "perf_media"])
-    pdf = base.join(ml.attribute_matrix(m), "cpf").toPandas()  # test-side brute force on a small fixture
-    X = pdf[assess + ml.ATTR_COLS].to_numpy(float)
+    matrix, columns = ml.attribute_matrix(m)
+    pdf = base.join(matrix, "cpf").toPandas()  # test-side brute force on a small fixture
+    X = pdf[assess + columns].to_numpy(float)
     std = X.std(axis=0)
     std[std == 0] = 1.0
     Z = (X - X.mean(axis=0)) / std
@@ -83,3 +84,60 @@ def test_kmeans_inertia_non_increasing(spark):
     costs = [r.inercia for r in rows]
     assert all(b <= a * 1.05 for a, b in zip(costs, costs[1:]))
     assert all(-1.0 <= r.silhouette <= 1.0 for r in rows)
+
+
+def test_regression_residuals_are_orthogonal_to_the_features(spark):
+    """At the least-squares solution the gradient vanishes: checked against the stored coefficients."""
+    import numpy as np
+
+    from crewlens.catalog import model
+    from crewlens.plans import ml
+    from crewlens.plans.people import ASSESSMENT_COLUMNS
+
+    coefs = {r.variavel: r.coef for r in q(spark, "regression_coefs").collect()}
+    if not coefs:
+        return
+    m = model(spark, SF_MID)
+    assess = list(ASSESSMENT_COLUMNS.values())
+    matrix, columns = ml.attribute_matrix(m)
+    pdf = m.base(*assess, "perf_media").dropna().join(matrix, "cpf").toPandas()
+    X = pdf[assess + columns].to_numpy(float)
+    Z = (X - X.mean(axis=0)) / np.where(X.std(axis=0) == 0, 1, X.std(axis=0))
+    names = list(ASSESSMENT_COLUMNS) + [f"atributo-{i + 1}" for i in range(len(columns))]
+    y = pdf["perf_media"].to_numpy(float)
+    residual = y - y.mean() - Z @ np.array([coefs[n] for n in names])
+    assert np.abs(Z.T @ residual).max() / len(y) < 1e-6
+
+
+def test_cluster_means_weighted_by_size_are_the_population_means(spark):
+    from crewlens.catalog import model
+    from crewlens.plans.analysis import attr_long
+
+    profile = q(spark, "kmeans_profile")
+    pooled = profile.groupBy("idx").agg((F.sum(F.col("media") * F.col("n")) / F.sum("n")).alias("p"), F.sum("n").alias("n"))
+    plain = attr_long(model(spark, SF_MID).complete_vectors()).groupBy("idx").agg(F.avg("value").alias("m"), F.count("value").alias("k"))
+    rows = pooled.join(plain, "idx").collect()
+    assert len(rows) == 16 and all(math.isclose(r.p, r.m, abs_tol=1e-5) and r.n == r.k for r in rows)
+
+
+def test_area_shares_stay_below_100_when_people_lack_an_area(spark):
+    rows = q(spark, "area_share").collect()
+    assert 80 < sum(r.pct for r in rows) < 99.9
+    two = sum(r.pct for r in rows if r["rank"] <= 2)
+    assert all(math.isclose(r.pct_duas_maiores, two, abs_tol=1e-5) for r in rows)
+
+
+def test_results_follow_rewritten_files(spark, tmp_path):
+    """Nothing is kept by path: the same folder with other rows gives other results."""
+    import shutil
+
+    folder = str(tmp_path / "data")
+    shutil.copytree("/root/testdata/sf0.001", folder, copy_function=shutil.copyfile)
+    first = E.queries()["score_distribution"](spark, folder).agg(F.sum("n")).first()[0]
+    half = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_custkey % 2 = 0")
+    import os
+
+    os.remove(f"{folder}/orders.parquet")
+    half.write.parquet(f"{folder}/orders.parquet")
+    second = E.queries()["score_distribution"](spark, folder).agg(F.sum("n")).first()[0]
+    assert 0 < second < first

@@ -67,3 +67,61 @@ def test_feed_job_matches_plan(spark):
     want = FeedJob.from_fixtures(fx).summary().first().asDict()
     assert got == want
     assert spark.read.parquet(f"{d}/out/instancia_area.parquet").where("id = ''").count() == want["instancias_novas"]
+    assert spark.read.parquet(f"{d}/out/rejeitados.parquet").count() == 0
+
+
+def test_file_order_decides_the_last_row(spark):
+    """A one-row file before a large one: the larger file is packed first, but its rows come later."""
+    from crewlens.jobs import area_table, read_in_order
+    from crewlens.plans.people import clean_area
+
+    for fmt in ("parquet", "csv"):
+        d = tempfile.mkdtemp(prefix="crewlens-order-")
+        path = f"{d}/area.{fmt}"
+        for name, rows in (("a", [("7", "Old")]), ("b", [(str(i), f"area {i}") for i in range(20_000)] + [("7", "New"), ("7", "Newest")])):
+            out = f"{d}/{name}"
+            frame = spark.createDataFrame(rows, "CPF string, `Área` string").coalesce(1)
+            (frame.write.option("header", True).csv(out) if fmt == "csv" else frame.write.parquet(out))
+            import glob
+            import os
+            import shutil
+
+            os.makedirs(path, exist_ok=True)
+            part = glob.glob(f"{out}/part-*.{fmt}" if fmt == "csv" else f"{out}/part-*.parquet")[0]
+            shutil.copyfile(part, f"{path}/part-{name}.{fmt}")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        try:
+            table = area_table(read_in_order(spark, path))
+            assert table.select("ordinal").distinct().count() == 20_003
+            assert clean_area(table).where("cpf = '7'").first().area == "Newest"
+            order = [r.area for r in table.orderBy("ordinal").collect()]
+            assert order[0] == "Old" and order[1:5] == ["area 0", "area 1", "area 2", "area 3"] and order[-1] == "Newest"
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+
+
+def test_salary_days_typed_text_and_unreadable(spark):
+    from crewlens.jobs import salary_history
+
+    typed, none = salary_history(spark.sql("SELECT 1 AS person, DATE '2020-01-02' AS date, 5.0 AS salary"))
+    assert str(typed.first().dt) == "2020-01-02 00:00:00" and none.count() == 0
+    text = spark.createDataFrame([(1, "02/01/2020"), (2, "2020-01-02"), (3, "31/02/2020"), (4, None)], "person int, date string")
+    good, bad = salary_history(text)
+    assert [(r.person, str(r.dt)) for r in good.collect()] == [(1, "2020-01-02 00:00:00")]
+    assert sorted(r.person for r in bad.collect()) == [2, 3, 4] and bad.first().motivo
+
+
+def test_feed_amounts_stay_decimal_and_header_row_is_found(spark):
+    from decimal import Decimal
+
+    from crewlens.jobs import changes_table
+
+    d = tempfile.mkdtemp(prefix="crewlens-sheet-")
+    lines = ["Relatório,,,,,", ",,,,,", "Colaborador,Data de Alteração,Salário,Departamento,Cargo,Situação",
+             "Ana Lima,2024-01-02,1234567890123.45,Dept A,Analista,Atual", "Ze X,2024-01-03,10.10,,,Atual"]
+    with open(f"{d}/sheet.csv", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    rows = changes_table(spark, f"{d}/sheet.csv", header_row=2).orderBy("chg_id").collect()
+    assert [(r.colaborador, r.salario, r.cargo) for r in rows] == [
+        ("Ana Lima", Decimal("1234567890123.45"), "Analista"), ("Ze X", Decimal("10.10"), None),
+    ]

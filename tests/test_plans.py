@@ -14,15 +14,33 @@ def formatted(df) -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-def test_filters_and_columns_reach_the_orders_scan(spark):
-    text = formatted(E.queries()["score_distribution"](spark, SF_MID))
-    scans = [b for b in text.split("\n\n") if "Scan parquet" in b and "orders.parquet" in b]
-    assert scans, "orders scan expected"
-    for block in scans:
-        assert "GreaterThanOrEqual(o_orderdate" in block and "LessThan(o_orderdate" in block
-        schema = re.search(r"ReadSchema: struct<(.*)>", block).group(1)
-        cols = {c.split(":")[0] for c in schema.split(",")}
-        assert cols <= {"o_custkey", "o_orderdate", "o_orderpriority"}, cols
+def scanned(text: str) -> dict[str, set]:
+    """Columns read of each table."""
+    found: dict[str, set] = {}
+    for block in text.split("\n\n"):
+        table = re.search(r"/(\w+)\.parquet", block)
+        if "Scan parquet" in block and table:
+            schema = re.search(r"ReadSchema: struct<(.*)>", block).group(1)
+            found.setdefault(table[1], set()).update(c.split(":")[0] for c in schema.split(",") if c)
+    return found
+
+
+def test_only_the_tables_and_columns_of_a_question_are_scanned(spark):
+    found = scanned(formatted(E.queries()["score_distribution"](spark, SF_MID)))
+    assert set(found) <= {"orders", "customer", "nation"}
+    assert found["orders"] <= {"o_custkey", "o_orderdate", "o_orderpriority"}
+    assert found["customer"] <= {"c_custkey", "c_nationkey"}
+
+
+def test_date_boundaries_reach_the_scan(spark):
+    text = formatted(E.queries()["feed_resolve"](spark, SF_MID))
+    assert "GreaterThanOrEqual(o_orderdate" in text and "LessThan(o_orderdate" in text
+
+
+def test_attributes_are_exploded_once(spark):
+    for name in ("top_attrs_by_area", "attr_corr_by_area", "ninebox_profile", "hiring_hint"):
+        plan = E.queries()[name](spark, SF_MID)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate posexplode") == 1, name
 
 
 @pytest.mark.parametrize("name", ["ninebox_matrix", "headline_kpis", "feed_summary", "culture_by_area", "scd2_area"])

@@ -105,9 +105,9 @@ def test_exact_quantiles_match_numpy_on_skewed_groups(spark):
     rows += [("one", 5.0), ("ties", 1.0), ("ties", 1.0), ("ties", 2.0), (None, 3.0), ("nul", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.33, 0.5, 0.9, 0.95, 1.0]
-    # force the distributed path (the hot group is far above the threshold)
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, num_partitions=16, max_group_in_one_task=100).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, slices=8).collect()}
     small = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == set(small)
     for g in got:
         for p in probs:
             k = f"q{int(round(p * 100))}"
@@ -135,6 +135,50 @@ def test_projection_helpers(spark):
     assert (long.semestre, long.score) == ("perf_1_2018", 2.0)
 
 
+def test_quantiles_with_a_hot_value_and_far_outliers(spark):
+    """One value holds 90 % of the rows; a few values span 300 orders of magnitude."""
+    import numpy as np
+
+    from crewlens.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    values = [2.0] * 9000 + rng.normal(2, 1e-6, 900).tolist() + [1e300, -1e300, 1e-300, 0.0, -0.0, 1e15]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    probs = [0.0, 0.01, 0.02, 0.05, 0.5, 0.95, 0.999, 1.0]
+    got = exact_quantiles(df, [], "v", probs, [f"p{i}" for i in range(len(probs))], slices=16).first()
+    for i, want in enumerate(np.quantile(np.array(values), probs)):
+        assert math.isclose(got[i], want, rel_tol=1e-9), (probs[i], got[i], want)
+    assert exact_quantiles(df.where("v > 1e308"), [], "v", [0.5], ["m"]).collect() == []
+
+
+def test_building_the_plans_runs_no_job(spark):
+    from crewlens.operators.quantiles import exact_quantiles
+    from crewlens.operators.sequence import next_in_group, numbered
+
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("g"), F.col("id").cast("double").alias("v"))
+    spark.sparkContext.setJobGroup("building", "no job may start here")
+    try:
+        exact_quantiles(df, ["g"], "v", [0.5])
+        next_in_group(df, "g", ["id"], "v", "n", F.floor(F.col("id") / 10))
+        numbered(df, "id", "g", "n")
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("building") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_numbered_matches_a_window(spark):
+    from pyspark.sql import Window
+
+    from crewlens.operators.sequence import numbered
+
+    rows = [(i * i % 991, f"n{i}") for i in range(700)] + [(5, "x"), (5, "a"), (10**9, "far")]
+    df = spark.createDataFrame(rows, "o long, name string")
+    want = df.withColumn("n", F.row_number().over(Window.orderBy("o", "name")).cast("long"))
+    for slices in (1, 7, 4096):
+        assert sorted(numbered(df, "o", "name", "n", slices).collect()) == sorted(want.collect())
+    assert numbered(df.where("o < 0"), "o", "name", "n").collect() == []
+
+
 def test_next_in_group_matches_window_on_hot_key(spark):
     from pyspark.sql import Window
 
@@ -144,6 +188,6 @@ def test_next_in_group_matches_window_on_hot_key(spark):
     rows += [(k, d, k * 1000 + d) for k in range(2, 300) for d in range(3)]
     rows += [(None, 1, 5), (None, 2, 6)]
     df = spark.createDataFrame(rows, "k int, d int, v int")
-    got = next_in_group(df, "k", ["d"], "v", "nxt", num_partitions=16, max_group_in_one_task=100)
+    got = next_in_group(df, "k", ["d"], "v", "nxt", F.floor(F.col("d") / 100))
     want = df.withColumn("nxt", F.lead("v").over(Window.partitionBy("k").orderBy("d")))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

@@ -116,3 +116,16 @@ def test_random_strings_match_python(spark):
         assert r.p == r.s.strip(), repr(r.s)
         if not special & set(r.s):
             assert r.t == r.s.title(), repr(r.s)
+
+
+def test_every_code_point_folds_like_unicodedata(spark):
+    """All of Unicode, in both forms, as whole strings of one character."""
+    import sys
+
+    points = [cp for cp in range(1, sys.maxunicode + 1) if not 0xD800 <= cp <= 0xDFFF and unicodedata.category(chr(cp)) not in ("Cn", "Co")]
+    df = spark.createDataFrame([(cp, f"a{chr(cp)}z") for cp in points], "cp int, s string").repartition(8)
+    rows = df.select("cp", text.fold_ascii("s", "NFKD").alias("k"), text.fold_ascii("s", "NFD").alias("d")).collect()
+    assert len(rows) == len(points)
+    for r in rows:
+        s = f"a{chr(r.cp)}z"
+        assert r.k == py_fold(s, "NFKD") and r.d == py_fold(s, "NFD"), hex(r.cp)
