@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
 
@@ -69,6 +70,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
+def small_batches(batch: pa.RecordBatch, text_at: int, limit: int = 2 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``limit`` bytes of text each (a longer text is a run alone)."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(sizes) // limit
+    cut = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, z in zip(cut, cut[1:]):
+        yield batch.slice(a, z - a)
+
+
 def blocks(buf: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of about ``size`` bytes; each cut stands before a space or line
     feed that follows a printable ASCII byte and precedes one."""

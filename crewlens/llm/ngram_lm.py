@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewlens.llm.bytescan import hashed_words
+from crewlens.llm.bytescan import hashed_words, small_batches
 from crewlens.llm.common import local_view, scratch_path
 
 #: Corpus bytes behind one bucket of the model.
 BUCKET_BYTES = 16 << 20
 #: Tokens that a task gathers before it sorts and passes them on.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 2_000_000
 
 # no word has these hashes: they are not hashes of word bytes
 END = np.uint64(0xE0D0_0000_0000_0001)
@@ -240,7 +240,7 @@ def _tables(shape: Shape, with_pairs: bool) -> Tables:
 def _gathered(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(sorted keys, counts) of every few million tokens."""
     held, size = [], 0
-    for batch in batches:
+    for batch in (b for whole in batches for b in small_batches(whole, 0)):
         held.append(keys_of(batch.column(0)))
         size += len(held[-1])
         if size >= FLUSH_TOKENS:
@@ -416,8 +416,7 @@ def score_documents(docs: DataFrame, shape: Shape, id_col: str = "doc_id", text_
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
+            for batch in small_batches(whole, 2):
                 tokens, before, sizes = token_pairs(batch.column(2))
                 known, base, model = score_tokens(shape, tokens, before)
                 cut = np.cumsum(sizes) - sizes

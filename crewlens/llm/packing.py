@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crewlens.llm.bytescan import small_batches
 from crewlens.llm.common import materialize
 from crewlens.llm.tokenize import WORD_BPE, Vocabulary, encoder, with_end
 
@@ -70,7 +71,7 @@ def pack_documents(
         enc = encoder(vocab, vocab_path)
         part = TaskContext.get().partitionId()
         seen = [0] * max_length.bit_length()
-        for batch in batches:
+        for batch in (b for whole in batches for b in small_batches(whole, 1)):
             ids, lengths = with_end(*enc.encode(batch.column(1)), end_id)
             raw = memoryview(ids.astype("<u4")).cast("B")
             row, start, length, crc, bucket, nth = [], [], [], [], [], []

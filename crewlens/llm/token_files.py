@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crewlens.llm.bytescan import small_batches
 from crewlens.llm.tokenize import BYTE_BPE, Vocabulary, encoder, with_end
 
 END_ID = 0
@@ -58,7 +59,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab, vocab_path)
         part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b for whole in batches for b in small_batches(whole, 1)):
             ids, lengths = with_end(*enc.encode(batch.column(1)), end_id)
             edges = np.concatenate([[0], np.cumsum(lengths)])
             yield pa.RecordBatch.from_arrays(
