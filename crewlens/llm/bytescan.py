@@ -81,9 +81,10 @@ def small_batches(batch: pa.RecordBatch, text_at: int, limit: int = 2 * BLOCK_BY
         yield batch.slice(a, z - a)
 
 
-def blocks(buf: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``size`` bytes; each cut stands before a space or line
-    feed that follows a printable ASCII byte and precedes one."""
+def blocks(buf: np.ndarray, rows: np.ndarray | None = None, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``size`` bytes; each cut stands before a space or line feed
+    that follows a printable ASCII byte and precedes one, or at the start of one
+    of ``rows`` where a script has no such spaces."""
     at, n = 0, len(buf)
     while at < n:
         end = at + size
@@ -94,7 +95,11 @@ def blocks(buf: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
             if len(fit):
                 end = max(at + 1, end - 65536) + 1 + int(fit[-1])
                 break
-            end += 65536
+            row = 0 if rows is None else int(rows[np.searchsorted(rows, end, "right") - 1])
+            if row > at:
+                end = row
+                break
+            end += min(size, 65536)
         end = min(end, n)
         yield at, end
         at = end
@@ -117,7 +122,7 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     the number of words of each row."""
     buf, offs = text_buffer(column)
     hashes, counts = [], np.zeros(len(offs) - 1, np.int64)
-    for a, z in blocks(buf):
+    for a, z in blocks(buf, offs):
         part = LOWER[buf[a:z]]
         first = np.searchsorted(offs, a, "left")
         last = np.searchsorted(offs, z, "left")

@@ -112,7 +112,7 @@ class Model:
         buf, offs = _padded(column)
         n_rows = len(offs) - 1
         sums, grams = np.zeros((n_rows, len(self.languages))), np.zeros(n_rows, np.int64)
-        for a, z in blocks(buf):
+        for a, z in blocks(buf, offs):
             letters = np.concatenate([[np.uint8(0x20)], _letters(buf[a:z])])
             first = int(np.searchsorted(offs, a, "right")) - 1
             last = int(np.searchsorted(offs, z, "left"))

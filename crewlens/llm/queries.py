@@ -105,3 +105,37 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.ngram_lm import language_model_scores
 
     return language_model_scores(table(spark, sf_dir, "documents"))
+
+
+# -- DuckDB twins, where SQL can express an operator: all pairs, no index ------
+ORACLE["op2_epsilon_grid_order"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS double[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, c) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.c = p.a),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
+m AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, least(v.vec_id, coalesce(m.c, v.vec_id)) AS component_id,
+  v.vec_id = least(v.vec_id, coalesce(m.c, v.vec_id)) AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN m ON m.a = v.vec_id
+"""
+
+# Of 13 aligned tokens with at most 2 unequal, some 4 in a row are equal.
+ORACLE["op10_spaced_seed_leaks"] = r"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, w FROM (SELECT DISTINCT doc_id, text,
+    list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)),
+i AS (SELECT row_number() OVER () AS k, item_id, w FROM (SELECT DISTINCT item_id,
+    list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
+ds AS (SELECT u, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS s FROM (SELECT u, w, unnest(range(0, len(w) - 3)) AS p FROM d)),
+ik AS (SELECT k, q, w[q + 1] || ' ' || w[q + 2] || ' ' || w[q + 3] || ' ' || w[q + 4] AS s FROM (SELECT k, w, unnest(range(0, len(w) - 3)) AS q FROM i)),
+g AS (SELECT DISTINCT u, k, p - q AS g FROM ds JOIN ik ON ds.s = ik.s),
+e AS (SELECT d.doc_id, i.item_id, g.g, len(i.w) AS n, least(13, len(i.w)) AS wide,
+    list_transform(range(greatest(-g.g, 0), least(len(i.w), len(d.w) - g.g)), lambda x: CASE WHEN d.w[g.g + x + 1] = i.w[x + 1] THEN 1 ELSE 0 END) AS q
+  FROM g JOIN d ON d.u = g.u JOIN i ON i.k = g.k),
+f AS (SELECT *, list_max(list_transform(range(0, len(q) - wide + 1), lambda x: list_sum(q[x + 1:x + wide]))) AS best FROM e)
+SELECT doc_id, item_id, CAST(g AS int) AS doc_token, CAST(n AS int) AS item_tokens, CAST(list_sum(q) AS int) AS equal_tokens,
+  CAST(best AS int) AS window_equal
+FROM f WHERE best >= CASE WHEN n < 13 THEN n ELSE 11 END
+"""

@@ -178,7 +178,7 @@ class Encoder:
         buf, offs = text_buffer(column)
         lengths = np.zeros(len(offs) - 1, np.int64)
         out = []
-        for a, z in blocks(buf):
+        for a, z in blocks(buf, offs):
             lo, hi = np.searchsorted(offs, a, "left"), np.searchsorted(offs, z, "left")
             ids, counts, starts = self._block(buf[a:z], offs[lo:hi] - a)
             out.append(ids)

@@ -127,3 +127,31 @@ def test_token_file_format(spark, small_docs):
             assert "DELTA_BINARY_PACKED" in cols["doc_id"].encodings and cols["doc_id"].has_column_index
             assert "RLE_DICTIONARY" in cols["ids.list.element"].encodings and cols["ids.list.element"].has_offset_index
     assert groups >= 1
+
+
+def test_runs_of_rows_cover_a_batch_in_order():
+    from crewlens.llm.bytescan import small_batches, text_buffer
+
+    texts = ["a" * n for n in (0, 5, 90, 3, 200, 0, 1, 40, 40, 40)] + [None, "é" * 30]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"]).slice(1)
+    runs = [*small_batches(whole, 1, limit=100)]
+    assert sum(([*r.column(0).to_pylist()] for r in runs), []) == whole.column(0).to_pylist()
+    assert all(len(r) for r in runs) and len(runs) > 3
+    for r in runs:
+        buf, offs = text_buffer(r.column(1))
+        assert [bytes(buf[a:z]).decode() for a, z in zip(offs, offs[1:])] == [t or "" for t in r.column(1).to_pylist()]
+    assert [*small_batches(whole.slice(0, 0), 1)] == []
+
+
+def test_scripts_without_spaces_are_cut_between_rows():
+    from crewlens.llm.bytescan import blocks, text_buffer
+
+    texts = ["漢字かな" * 400, "一二三" * 900, "plain words here " * 50, "，。" * 700] * 6
+    column = pa.array(texts)
+    buf, offs = text_buffer(column)
+    cuts = [*blocks(buf, offs, size=8000)]
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(buf) and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+    assert len(cuts) > 5
+    for vocab in (tokenize.WORD_BPE, tokenize.BYTE_BPE):
+        ids, lengths = tokenize.encoder(vocab).encode(column)
+        assert [g.tolist() for g in np.split(ids, np.cumsum(lengths)[:-1])] == library_ids(vocab, texts)
