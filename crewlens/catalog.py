@@ -32,43 +32,13 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-# One set of lazy table handles / fixture plans / people model per session and
-# directory: resolving parquet footers and analysing the cleaning expressions
-# happens once, and every query of the session shares the same plans (and the
-# persisted person-level tables of the model).
-_FIXTURES: dict[tuple[int, str], Fixtures] = {}
-_MODELS: dict[tuple[int, str], PeopleModel] = {}
-
-
-def session_key(spark: SparkSession) -> tuple[str, int]:
-    """Identity of a live session: a new context never sees another's plans."""
-    return (spark.sparkContext.applicationId, id(spark._jsparkSession))
-
-
-def _key(spark: SparkSession, sf_dir: str) -> tuple:
-    return (*session_key(spark), sf_dir.rstrip("/"))
-
-
 def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
-    k = _key(spark, sf_dir)
-    if k not in _FIXTURES:
-        _FIXTURES[k] = Fixtures(spark, sf_dir)
-    return _FIXTURES[k]
+    """Lazy views of one directory; made anew for each call, so results follow the files."""
+    return Fixtures(spark, sf_dir)
 
 
 def model(spark: SparkSession, sf_dir: str) -> PeopleModel:
-    k = _key(spark, sf_dir)
-    if k not in _MODELS:
-        _MODELS[k] = PeopleModel.from_fixtures(fixtures(spark, sf_dir))
-    return _MODELS[k]
-
-
-def clear() -> None:
-    """Drop memoized plans and release persisted model tables."""
-    for m in _MODELS.values():
-        m.release()
-    _MODELS.clear()
-    _FIXTURES.clear()
+    return PeopleModel.from_fixtures(Fixtures(spark, sf_dir))
 
 
 def load_all() -> None:

@@ -37,6 +37,10 @@ ASSESSMENTS = ("Raciocínio", "Social", "Motivacional", "Cultura")
 NOT_APPLICABLE = "N/A"
 REASON_NOT_FOUND = "pessoa nao encontrada em Pessoas - Full"
 REASON_DUPLICATE = "nome duplicado em Pessoas - Full"
+REASON_NO_STATUS = "situacao ausente"
+REASON_NO_DEPARTMENT = "departamento ausente"
+REASON_NO_JOB = "cargo ausente"
+REASON_BAD_DAY = "data de salario invalida"
 RAISE_OTHERS, RAISE_INITIAL, RAISE_RAISE = "others", "initial", "raise"
 PRESENT_STATUS_PREFIX = "Atual"
 # Internal moves (dashboard block): promotable = high potential with low or

@@ -1,35 +1,22 @@
 """Text functions as native column expressions.
 
 Spark has no Unicode normaliser, so accent folding is a ``translate`` whose
-map is *derived* at import time from Python's Unicode database: every
-precomposed character in the Latin blocks is decomposed (NFD or NFKD) and its
-ASCII remainder becomes the replacement. Whatever is still non-ASCII after the
+map is *derived* on first use from Python's Unicode database: every code point
+with a decomposition is decomposed (NFD or NFKD) and its ASCII remainder
+becomes the replacement. Whatever is still non-ASCII after the
 map is dropped, which also removes combining marks of already-decomposed
 input. Everything runs inside whole-stage codegen; no Python UDF.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code points whose decomposition is scanned to build the fold maps. NFD
-# (canonical) is scanned over the whole Basic Multilingual Plane: only 495
-# characters keep exactly one ASCII character and none keep several, so the
-# long-text normaliser is exact on the BMP. NFKD (compatibility) is scanned
-# over the Latin, punctuation, letter-like, number-form, enclosed,
-# ideographic-space, ligature and full-width blocks.
-_FOLD_RANGES = {
-    "NFD": ((0x00A0, 0xFFFF),),
-    "NFKD": (
-        (0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0x2070, 0x209F), (0x2100, 0x214F),
-        (0x2150, 0x218F), (0x2460, 0x24FF), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF00, 0xFFEF),
-    ),
-}
-
 # Whitespace as Python's ``re`` ``\s`` sees it on ASCII text (includes the
 # file/group/record/unit separators), written as a Java/RE2 class.
 WS_CLASS = "[\\x09-\\x0D\\x20\\x1C-\\x1F]"
@@ -50,17 +37,17 @@ def fold_maps(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     map lookup; one that keeps none is left to the final non-ASCII strip.
     """
     src, dst, multi = [], [], []
-    for lo, hi in _FOLD_RANGES[form]:
-        for cp in range(lo, hi + 1):
-            if 0xD800 <= cp <= 0xDFFF:
-                continue
-            ch = chr(cp)
-            kept = unicodedata.normalize(form, ch).encode("ascii", "ignore").decode("ascii")
-            if len(kept) == 1:
-                src.append(ch)
-                dst.append(kept)
-            elif len(kept) > 1:
-                multi.append((ch, kept))
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        # only characters with a decomposition of their own can leave ASCII behind
+        if not unicodedata.decomposition(ch):
+            continue
+        kept = unicodedata.normalize(form, ch).encode("ascii", "ignore").decode("ascii")
+        if len(kept) == 1:
+            src.append(ch)
+            dst.append(kept)
+        elif len(kept) > 1:
+            multi.append((ch, kept))
     return "".join(src), "".join(dst), tuple(multi)
 
 
@@ -76,7 +63,7 @@ def fold_ascii(col, form: str = "NFKD") -> Column:
         # multi-letter expansions (ligatures, fractions, roman numerals...):
         # per-character map lookup, only for strings that contain one
         expand = F.create_map(*[F.lit(x) for pair in multi for x in pair])
-        chars = F.split(c, "")
+        chars = F.regexp_extract_all(c, F.lit("(?s)."), 0)  # whole code points
         expanded = F.array_join(F.transform(chars, lambda ch: F.coalesce(F.try_element_at(expand, ch), ch)), "")
         c = F.when(c.rlike("[" + "".join(ch for ch, _ in multi) + "]"), expanded).otherwise(c)
     c = F.translate(c, src, dst)

@@ -17,13 +17,14 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crewlens.operators import core
-from crewlens.plans.feed import FeedJob, import_ids
+from crewlens.plans.feed import FeedJob, import_ids, salary_days
 from crewlens.plans.people import PeopleModel
 from crewlens.plans.profile import run_summary
+from crewlens.session import written_once
 from crewlens.sources import tables as T
 
 # The reference's input headers -> our column names.
@@ -53,6 +54,7 @@ EMPTY_COLUMN = "Match"
 URL_PREFIX = "URL"
 TIMESTAMP_PREFIXES = ("Início", "Fim")
 SALARY_DATE_FORMAT = "dd/MM/yyyy"
+MONEY = "decimal(18,2)"
 
 
 def rename_known(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -60,13 +62,25 @@ def rename_known(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
 
 
-def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """Capture file order as an explicit column (N4) right after the read.
+def read_in_order(spark: SparkSession, path: str, name: str = "ordinal", schema_read=None) -> DataFrame:
+    """S1 plus the file order as a column (N4): files by name, rows by their place in the file.
 
-    ``monotonically_increasing_id`` grows with the split index and the row
-    position inside a split, which is file order for an unshuffled scan.
+    Spark packs larger files first, so its own row ids are no file order. For
+    Parquet the place is the row index; for text formats it is the position of
+    the split and of the row in it. A table that already has the column keeps it.
     """
-    return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
+    df = schema_read(path) if schema_read else T.read_table(spark, path)
+    if name in df.columns:
+        return df
+    parquet = T.suffix_of(path) == ".parquet"
+    place = F.col("_metadata.row_index") if parquet else F.monotonically_increasing_id()
+    # row ids of a text file count on from its splits: their start keeps a file's rows in order
+    begin = F.lit(0).cast("long") if parquet else F.col("_metadata.file_block_start")
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), begin.alias("_begin"), place.alias("_place"))
+    files = rows.select("_file").distinct()
+    rank = files.withColumn("_rank", F.row_number().over(Window.orderBy("_file")))  # one row per file
+    order = F.col("_rank").cast("long") * F.lit(1 << 44) + F.col("_begin") + F.col("_place") % F.lit(1 << 33)
+    return rows.join(F.broadcast(rank), "_file").withColumn(name, order).drop("_file", "_begin", "_place", "_rank")
 
 
 def standardize_assessments(df: DataFrame) -> DataFrame:
@@ -111,60 +125,66 @@ def performance_long(df: DataFrame) -> DataFrame:
 
 
 def area_table(df: DataFrame) -> DataFrame:
-    df = with_ordinal(rename_known(df, AREA_HEADERS))
-    return df.select(F.col("cpf").cast("string").alias("cpf"), "area", "ordinal")
+    """The area table with its ``ordinal`` column (file order, see ``read_in_order``)."""
+    return rename_known(df, AREA_HEADERS).select(F.col("cpf").cast("string").alias("cpf"), "area", "ordinal")
 
 
 def clean_job(spark: SparkSession, dataset_dir: str, output: str | None = None, ext: str = ".parquet",
               fmt: str | None = None) -> dict:
     """Lifecycle (1): load -> clean -> merge -> write; returns the run summary."""
     t = T.load_people(spark, dataset_dir, ext)
+    t["area"] = read_in_order(spark, f"{dataset_dir.rstrip('/')}/area{ext}")
     people = standardize_assessments(t["assessments"])
     m = PeopleModel(people, area_table(t["area"]), performance_long(t["performance"]))
-    merged = m.merged
+    merged = m.merged_with_periods()
     out = output or T.default_output_path(dataset_dir.rstrip("/") + "/merged" + ext)
     T.write_table(merged, out, fmt)
     summary = [r.asDict() for r in run_summary(m).collect()]
     nulls = [r.asDict() for r in core.null_profile(merged).orderBy(F.col("pct_nulos").desc(), "coluna").collect()]
-    m.release()
     return {"output": out, "summary": summary, "nulls": nulls}
 
 
 def changes_table(spark: SparkSession, path: str, header_row: int | None = None) -> DataFrame:
     """E1 input: the client list, optionally with preamble rows before the header (S3)."""
     if header_row is None:
-        df = T.read_table(spark, path)
+        df = read_in_order(spark, path, "chg_id")
     else:
-        raw = spark.read.option("header", False).csv(path) if T.suffix_of(path) == ".csv" else T.read_table(spark, path)
-        df = T.promote_header(with_ordinal(raw, "_row"), "_row", header_row).drop("_row")
-    df = with_ordinal(rename_known(df, CHANGE_HEADERS), "chg_id")
+        plain = spark.read.option("header", False).csv if T.suffix_of(path) == ".csv" else None
+        raw = read_in_order(spark, path, "chg_id", plain)
+        # the header is the row with that many rows before it
+        ids = [r["chg_id"] for r in raw.select("chg_id").orderBy("chg_id").limit(header_row + 1).collect()]
+        df = T.promote_header(raw, "chg_id", ids[-1])
+    df = rename_known(df, CHANGE_HEADERS)
     return df.select(
         "chg_id", "colaborador",
         F.col("data_alteracao").cast("timestamp_ntz").alias("data_alteracao"),
-        F.col("salario").cast("double").alias("salario"),
+        F.col("salario").cast(MONEY).alias("salario"),
         "departamento", "cargo", "situacao",
     )
 
 
-def salary_history(df: DataFrame) -> DataFrame:
-    """Salary day parsed strictly as dd/MM/yyyy; unparseable days are null."""
-    if "dt" in df.columns:
-        return df
-    return df.withColumn("dt", F.try_to_timestamp(F.col("date").cast("string"), F.lit(SALARY_DATE_FORMAT)).cast("timestamp_ntz"))
+def salary_history(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(history with ``dt``, rejects); the day is a typed date or text in dd/MM/yyyy."""
+    return salary_days(df, "dt" if "dt" in df.columns else "date", SALARY_DATE_FORMAT)
 
 
 def feed_job(spark: SparkSession, changes: str, system_dir: str, out_dir: str, header_row: int | None = None,
-             ext: str = ".parquet", fmt: str | None = None) -> dict:
-    """Lifecycle (2): resolve, diff and write the five import tables."""
+             ext: str = ".parquet", fmt: str | None = None, sequence: bool = False,
+             normalize_departments: bool = False) -> dict:
+    """Lifecycle (2): resolve, diff and write the five import tables and the salary rejects."""
     base = system_dir.rstrip("/")
+    salaries, rejects = salary_history(T.read_table(spark, f"{base}/salaries{ext}"))
     job = FeedJob(
         changes_table(spark, changes, header_row),
         T.read_table(spark, f"{base}/people{ext}"),
-        salary_history(T.read_table(spark, f"{base}/salaries{ext}")),
+        salaries,
         T.read_table(spark, f"{base}/areas{ext}"),
         T.read_table(spark, f"{base}/instances{ext}"),
         T.read_table(spark, f"{base}/jobs{ext}"),
+        sequence=sequence, normalize_departments=normalize_departments,
     )
+    # every output reads the resolved list: it is written once, to the shared folder
+    job.ids = written_once(job.ids, "resolved")
     new, _ = job.salaries_split
     outputs = {
         "pendencias": job.pending,
@@ -173,12 +193,11 @@ def feed_job(spark: SparkSession, changes: str, system_dir: str, out_dir: str, h
         "instancia_area": job.created.select(F.lit("").alias("id"), "name"),
         "areas": import_ids(job.area_changes),
         "cargos": import_ids(job.job_changes),
+        "rejeitados": rejects,
     }
     for name, df in outputs.items():
         T.write_table(df, f"{out_dir.rstrip('/')}/{name}{ext if fmt is None else '.' + fmt}", fmt)
-    summary = job.summary().first().asDict()
-    job.ids.unpersist()
-    return summary
+    return job.summary().first().asDict()
 
 
 def main(argv=None) -> None:
@@ -196,6 +215,8 @@ def main(argv=None) -> None:
     f.add_argument("system_dir")
     f.add_argument("out_dir")
     f.add_argument("--header-row", type=int)
+    f.add_argument("--sequence", action="store_true", help="apply only the latest change of a person")
+    f.add_argument("--normalize-departments", action="store_true")
     f.add_argument("--ext", default=".parquet")
     f.add_argument("--format")
     args = ap.parse_args(argv)
@@ -203,7 +224,7 @@ def main(argv=None) -> None:
     if args.cmd == "clean":
         res = clean_job(spark, args.dataset_dir, args.output, args.ext, args.format)
     else:
-        res = feed_job(spark, args.changes, args.system_dir, args.out_dir, args.header_row, args.ext, args.format)
+        res = feed_job(spark, args.changes, args.system_dir, args.out_dir, args.header_row, args.ext, args.format, args.sequence, args.normalize_departments)
     print(json.dumps(res, default=str, ensure_ascii=False))
 
 

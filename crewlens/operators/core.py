@@ -64,17 +64,6 @@ def presence_flags(df: DataFrame, flags: dict[str, str]) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin redistribute when the scan gives fewer partitions than cores.
-
-    For CPU-heavy narrow work (folding whole documents) on inputs stored as a
-    few large row groups. On a cluster reading many files the scan already
-    has more splits than cores and this is a no-op (no extra shuffle).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # -- window-like operators (W1-W3, W5) ----------------------------------------
 def keep_by(df: DataFrame, keys: Sequence[str], order: Column, last: bool) -> DataFrame:
     """One row per key, the one with the highest (``last``) or lowest order.
@@ -88,6 +77,17 @@ def keep_by(df: DataFrame, keys: Sequence[str], order: Column, last: bool) -> Da
     return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload])
 
 
+def ranked(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
+    """O3: all rows with their 1-based rank by ``order``.
+
+    For tables of one row per area, attribute or period: the single window
+    partition holds as many rows as there are such names.
+    """
+    from pyspark.sql import Window
+
+    return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
+
+
 def top_k(df: DataFrame, part: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """The first ``k`` rows per partition by ``order`` with their 1-based rank.
 

@@ -1,40 +1,40 @@
-"""Exact linear-interpolated quantiles for unbounded value domains.
+"""Exact linear-interpolated quantiles (A11, A13, A20, A30, F6), one plan for every size.
 
 Spark's ``percentile`` keeps a value -> count map per group and merges it in
-one task: fine for bounded domains (scores 1-3, integer culture scores,
-two-decimal potentials), but for continuous values (durations, averaged
-assessment scores, ids) the map of one hot group grows with the data.
-
-This operator selects the order statistics instead of holding them:
-
-1. range-partition by (group, value), so a hot group is spread over many
-   partitions, and checkpoint that once (stable partition ids);
-2. count rows per (group, partition) -- a table of at most groups x
-   partitions rows -- and sum it into group sizes;
-3. target ranks ``floor((n-1)p)`` and ``ceil((n-1)p)`` (pandas / DuckDB
-   ``quantile_cont``); a running sum over the small slice table tells which
-   partition holds each target rank and at which local position;
-4. only those partitions' slices are ranked locally (each slice is bounded
-   by the partition size) and the target rows are picked.
-
-Every step is a shuffle or aggregate over bounded pieces; no group is ever
-materialised in one task.
+one task, and a window over a group sorts it there. Here order statistics are
+selected by slices, lazily, without an action or a checkpoint:
+
+1. count rows per (group, value) -- map-side combine, so a value that most
+   rows share is one row per task before any shuffle;
+2. total each (group, slice), where a slice is a narrow range of values that
+   depends on the value alone (``SLICES`` per power of two and sign): a running
+   total over a group's slices tells which one holds each wanted rank
+   ``floor((n-1)p)`` and ``ceil((n-1)p)``;
+3. run over the distinct values of those slices, pick, and interpolate.
+
+A window sees the slices of a group (their number is fixed by the number of
+powers of two its values span) or the distinct values of one slice, which is
+1/65536 of a power of two wide; never the rows of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewlens.session import ensure_checkpoint_dir
+#: Slices that each power of two is cut into.
+SLICES = 1 << 16
+
+_LEAST_POWER = 1075  # doubles reach down to 2 ** -1074
 
 
-# Largest group (rows) whose exact quantiles may be computed by Spark's
-# ``percentile`` aggregate: its value -> count map then holds at most this
-# many entries in the task that merges the group (tens of MB).
-MAX_GROUP_IN_ONE_TASK = 1_000_000
+def _slice(value: str, slices: int) -> Column:
+    """Slice number of a double; it never falls as the value grows (``log2`` is monotonic)."""
+    size = F.least(F.log2(F.abs(F.col(value))), F.lit(1024.0))  # infinities with the largest
+    number = F.floor(size * slices).cast("long") + _LEAST_POWER * slices
+    return F.when(F.col(value) > 0, number).when(F.col(value) < 0, -number).otherwise(F.lit(0).cast("long"))
 
 
 def exact_quantiles(
@@ -43,81 +43,49 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     names: Sequence[str] | None = None,
-    num_partitions: int | None = None,
-    max_group_in_one_task: int = MAX_GROUP_IN_ONE_TASK,
+    slices: int = SLICES,
 ) -> DataFrame:
     """One row per group with the exact quantile for each probability.
 
     Rows with a null value or a null group key are left out (pandas
-    ``groupby`` semantics, N2). The size of the largest group is checked
-    first (one small aggregate): when it is within ``max_group_in_one_task``
-    the built-in ``percentile`` is used, otherwise the distributed selection
-    below. Both give the same linear-interpolated values.
+    ``groupby`` semantics, N2).
     """
     groups = list(groups)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     if not groups:  # global quantiles: one constant group, dropped at the end
-        return exact_quantiles(
-            df.withColumn("_all", F.lit(0)), ["_all"], value, probs, names, num_partitions, max_group_in_one_task
-        ).drop("_all")
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gcols = [F.col(g) for g in groups]
-
-    keep = F.col(value).isNotNull()
-    for g in gcols:
-        keep = keep & g.isNotNull()
-    src = df.where(keep).select(*gcols, F.col(value).cast("double").alias("_v"))
-
-    largest = src.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()["m"]
-    if largest is None or largest <= max_group_in_one_task:
-        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
-        return src.groupBy(*gcols).agg(q.alias("_q")).select(
-            *gcols, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)]
-        )
-
-    # 1. range partitioning by (group, value): a hot group spreads over many
-    #    partitions. The bounds come from sampling, and row order after a
-    #    shuffle is not deterministic, so the partitioned data is checkpointed
-    #    once (shared checkpoint folder): every later step sees the same
-    #    partition ids, and an executor loss re-reads it instead of
-    #    re-sampling.
-    ensure_checkpoint_dir(spark)
-    ranged = (
-        src.repartitionByRange(parts, *gcols, F.col("_v"))
-        .withColumn("_pid", F.spark_partition_id())
-        .checkpoint(eager=True)
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, names, slices).drop("_all")
+
+    keep = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    for g in groups:
+        keep = keep & F.col(g).isNotNull()
+    counts = (
+        df.where(keep).select(*groups, F.col(value).cast("double").alias("_v"))
+        .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    )
+    # 2. slices
+    sliced = counts.withColumn("_s", _slice("_v", slices))
+    totals = sliced.groupBy(*groups, "_s").agg(F.sum("_c").alias("_n"))
+    upto = Window.partitionBy(*groups).orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = totals.withColumn("_end", F.sum("_n").over(upto)).withColumn("_size", F.sum("_n").over(Window.partitionBy(*groups)))
+    last = F.col("_size") - 1
+    ranks = F.array_distinct(F.array(*[f(last * F.lit(float(p))).cast("long") for p in probs for f in (F.floor, F.ceil)]))
+    begin = F.col("_end") - F.col("_n")
+    inside = F.filter(ranks, lambda r: (r >= begin) & (r < F.col("_end")))
+    wanted = totals.withColumn("_ranks", inside).where(F.size("_ranks") > 0).select(
+        *groups, "_s", "_size", "_ranks", begin.alias("_before")
+    )
+    # 3. distinct values of the slices that hold a rank
+    few = sliced.join(wanted, [*groups, "_s"])
+    upto = Window.partitionBy(*groups, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = few.withColumn("_end", F.col("_before") + F.sum("_c").over(upto)).withColumn("_begin", F.col("_end") - F.col("_c"))
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_begin")) & (r < F.col("_end")))
+    picked = few.select(*groups, "_size", "_v", F.explode(hit).alias("_rank"))
+    chosen = picked.groupBy(*groups).agg(
+        F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_m"), F.first("_size").alias("_size")
     )
-
-    # 2. per (group, partition) counts -> slice offsets; group sizes follow
-    slices = ranged.groupBy(*gcols, "_pid").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = slices.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
-    n = slices.groupBy(*gcols).agg(F.sum("_c").alias("_n"))
-
-    # 3. target ranks (0-based): floor and ceil of (n - 1) p
-    pos = [((F.col("_n") - 1) * F.lit(float(p))).alias(f"_h{i}") for i, p in enumerate(probs)]
-    n = n.select(*gcols, "_n", *pos)
-    bounds = [F.floor(F.col(f"_h{i}")).cast("long") for i in range(len(probs))]
-    bounds += [F.ceil(F.col(f"_h{i}")).cast("long") for i in range(len(probs))]
-    ranks = n.select(*gcols, F.explode(F.array_distinct(F.array(*bounds))).alias("_rank"))
-    wanted = ranks.join(slices, groups).where(
-        (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end"))
-    ).select(*groups, "_pid", "_rank", (F.col("_rank") - F.col("_start")).alias("_local"))
-
-    # 4. rank only the slices that hold a target, pick the target rows
-    needed = ranged.join(wanted.select(*groups, "_pid").distinct(), [*groups, "_pid"], "left_semi")
-    lw = Window.partitionBy(*gcols, "_pid").orderBy("_v")
-    local = needed.withColumn("_local", F.row_number().over(lw) - 1)
-    picked = local.join(wanted, [*groups, "_pid", "_local"]).select(*groups, "_rank", "_v")
-
-    # interpolate: v[lo] + (h - lo) * (v[hi] - v[lo])
-    vals = picked.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))
-    out = n.join(vals, groups)
     cols = []
-    for i, name in enumerate(names):
-        h = F.col(f"_h{i}")
-        lo, hi = F.floor(h).cast("long"), F.ceil(h).cast("long")
-        vlo, vhi = F.col("_m")[lo], F.col("_m")[hi]
-        cols.append((vlo + (h - lo) * (vhi - vlo)).alias(name))
-    return out.select(*gcols, *cols)
+    for p, name in zip(probs, names):
+        h = (F.col("_size") - 1) * F.lit(float(p))
+        below, above = (F.try_element_at("_m", f(h).cast("long")) for f in (F.floor, F.ceil))
+        cols.append((below + (h - F.floor(h)) * (above - below)).alias(name))
+    return chosen.select(*groups, *cols)

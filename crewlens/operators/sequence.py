@@ -2,16 +2,10 @@
 
 Deriving ``end_date`` of a history row from the next ``start_date`` of the
 same person is ``lead() over (partition by person order by start)``; a plain
-window sorts each key inside one task, so a key holding a third of the rows
-would be one huge task. Here:
-
-1. the largest key is measured first (one small aggregate); within the
-   bound the plain window is used;
-2. otherwise rows are range-partitioned by (key, order) and checkpointed once
-   (stable partition ids): a hot key spreads over many partitions;
-3. ``lead`` runs inside each (key, partition) slice, bounded by partition size;
-4. the last row of a slice takes the first value of the key's next slice,
-   found from a table of one row per (key, partition).
+window sorts each key inside one task. Here ``lead`` runs inside (key, slice),
+where ``slice`` is a coarser form of the order (the day or month of a
+timestamp), and the last row of a slice takes the first value of the key's
+next slice, found over one row per (key, slice). One lazy plan for every size.
 """
 
 from __future__ import annotations
@@ -21,45 +15,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewlens.session import ensure_checkpoint_dir
-
-MAX_GROUP_IN_ONE_TASK = 1_000_000
 
+def next_in_group(df: DataFrame, key: str, order: Sequence[str], value: str, out: str, slice: Column) -> DataFrame:
+    """``df`` plus ``out`` = ``value`` of the next row of the same ``key`` (null for the last).
 
-def next_in_group(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    value: str,
-    out: str,
-    num_partitions: int | None = None,
-    max_group_in_one_task: int = MAX_GROUP_IN_ONE_TASK,
-) -> DataFrame:
-    """``df`` plus ``out`` = ``value`` of the next row of the same ``key`` (null for the last)."""
+    ``slice`` must not decrease along ``order`` within a key.
+    """
     order = list(order)
-    spark = df.sparkSession
-    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()["m"]
-    if largest is None or largest <= max_group_in_one_task:
-        return df.withColumn(out, F.lead(value).over(Window.partitionBy(key).orderBy(*order)))
-
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ensure_checkpoint_dir(spark)
-    ranged = (
-        df.repartitionByRange(parts, F.col(key), *[F.col(c) for c in order])
-        .withColumn("_pid", F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
-    slice_w = Window.partitionBy(key, "_pid").orderBy(*order)
-    local = ranged.withColumn("_next", F.lead(value).over(slice_w)).withColumn(
-        "_last", F.lead(F.lit(1)).over(slice_w).isNull()
+    rows = df.withColumn("_slice", slice)
+    inside = Window.partitionBy(key, "_slice").orderBy(*order)
+    rows = rows.withColumn("_next", F.lead(value).over(inside)).withColumn(
+        "_last", F.lead(F.lit(1)).over(inside).isNull()
     )
-    first_of_slice: Column = F.min_by(value, F.struct(*[F.col(c) for c in order]))
-    firsts = ranged.groupBy(key, "_pid").agg(first_of_slice.alias("_first"))
-    nxt = firsts.select(
-        F.col(key).alias("_k"), F.col("_pid").alias("_p"),
-        F.lead("_first").over(Window.partitionBy(key).orderBy("_pid")).alias("_next_slice"),
+    firsts = df.withColumn("_slice", slice).groupBy(key, "_slice").agg(
+        F.min_by(value, F.struct(*[F.col(c) for c in order])).alias("_first")
     )
-    joined = local.join(nxt, local[key].eqNullSafe(nxt["_k"]) & (local["_pid"] == nxt["_p"]))
-    return joined.withColumn(out, F.when(F.col("_last"), F.col("_next_slice")).otherwise(F.col("_next"))).select(
-        *df.columns, out
+    following = firsts.select(
+        F.col(key).alias("_k"), F.col("_slice").alias("_s"),
+        F.lead("_first").over(Window.partitionBy(key).orderBy("_slice")).alias("_then"),
     )
+    # only the last row of a slice looks across
+    match = F.col("_last") & rows[key].eqNullSafe(following["_k"]) & rows["_slice"].eqNullSafe(following["_s"])
+    joined = rows.join(following, match, "left")
+    return joined.withColumn(out, F.when(F.col("_last"), F.col("_then")).otherwise(F.col("_next"))).select(*df.columns, out)
+
+
+def numbered(df: DataFrame, order: str, tie: str, out: str, slices: int = 4096) -> DataFrame:
+    """``df`` plus ``out`` = 1, 2, 3 ... by (``order``, ``tie``); ``order`` is a number without nulls.
+
+    The order's range is cut into equal slices: rows are numbered inside their
+    slice, and a running total over at most ``slices`` + 1 rows places the slices.
+    """
+    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    part = F.floor((F.col(order) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)) * slices)
+    rows = df.crossJoin(F.broadcast(ends)).withColumn("_slice", part).drop("_lo", "_hi")
+    sizes = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(order, tie))
+    return rows.withColumn("_in", inside).join(starts, "_slice").withColumn(
+        out, (F.col("_start") + F.col("_in")).cast("long")
+    ).select(*df.columns, out)

@@ -12,6 +12,10 @@ WS = r"[\x09-\x0D\x20\x1C-\x1F]"
 PY_SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+# Years of the order dates: SQL has to name the wide period columns.
+PERIOD_YEARS = range(1995, 2002)
+
+
 def sql_title(x: str) -> str:
     return (
         "array_to_string(list_transform(regexp_extract_all(" + x + r", '(\p{L}+|[^\p{L}]+)'), "
@@ -53,7 +57,6 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
   CASE WHEN min(substring(o_orderpriority,1,1)) = '1' THEN 3
        WHEN min(substring(o_orderpriority,1,1)) <= '4' THEN 2 ELSE 1 END AS score
 FROM orders
-WHERE o_orderdate >= timestamp '1998-01-01 00:00:00' AND o_orderdate < timestamp '2000-01-01 00:00:00'
 GROUP BY 1, 2, 3""",
         (),
     ),
@@ -82,8 +85,10 @@ FROM events GROUP BY 1""",
        WHEN (c_custkey * 7919) % 101 < 15 THEN ' muito baixo'  WHEN (c_custkey * 7919) % 101 < 35 THEN 'BAIXO'
        WHEN (c_custkey * 7919) % 101 < 50 THEN 'médio baixo '  WHEN (c_custkey * 7919) % 101 < 60 THEN 'Médio'
        WHEN (c_custkey * 7919) % 101 < 75 THEN 'médio-alto'    WHEN (c_custkey * 7919) % 101 < 90 THEN 'alto'
-       ELSE 'Muito Alto' END AS cultura_classificacao
-FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN assess_scores ON cpf = c_custkey""",
+       ELSE 'Muito Alto' END AS cultura_classificacao,
+  CAST(label AS double) AS perfil_comunicacao, CAST(embedding[1] AS double) * 100 + 50 AS atributo_comunicacao
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN assess_scores ON cpf = c_custkey
+  LEFT JOIN embeddings ON vec_id = c_custkey""",
         ("assess_scores",),
     ),
     "area_raw": (
@@ -101,16 +106,16 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     ),
     "sys_salaries": (
         """SELECT o_custkey AS person, o_orderdate AS dt, o_totalprice AS salary
-FROM orders WHERE o_orderdate < timestamp '2001-07-28 00:00:00' AND o_custkey % 5 <> 0
+FROM orders WHERE o_orderdate < timestamp '2000-07-04 00:00:00' AND o_custkey % 5 <> 0
 UNION ALL
-SELECT c_custkey AS person, timestamp '2001-07-27 00:00:00' AS dt, c_acctbal AS salary FROM customer WHERE c_custkey % 3 = 0""",
+SELECT c_custkey AS person, timestamp '2000-07-03 00:00:00' AS dt, c_acctbal AS salary FROM customer WHERE c_custkey % 3 = 0""",
         (),
     ),
     "sys_areas": (
         """SELECT o_orderkey AS id, o_custkey AS person, o_orderdate AS start_date,
   lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS end_date,
   CAST(substring(o_orderpriority,1,1) AS int) AS area
-FROM orders WHERE o_orderdate < timestamp '2001-07-25 00:00:00' AND o_custkey % 7 <> 0
+FROM orders WHERE o_orderdate < timestamp '2000-07-01 00:00:00' AND o_custkey % 7 <> 0
   AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 6 = 0)""",
         (),
     ),
@@ -123,7 +128,7 @@ FROM orders WHERE o_orderpriority < '4'""",
         """SELECT o_orderkey AS id, o_custkey AS person, o_orderdate AS start_date,
   lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS end_date,
   CASE o_orderstatus WHEN 'F' THEN 'ANALISTA DE OPERACOES' WHEN 'O' THEN 'COORDENADOR' ELSE 'ASSISTENTE' END AS name
-FROM orders WHERE o_orderdate < timestamp '2001-07-25 00:00:00' AND o_custkey % 8 <> 0
+FROM orders WHERE o_orderdate < timestamp '2000-07-01 00:00:00' AND o_custkey % 8 <> 0
   AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 8 = 1)""",
         (),
     ),
@@ -131,11 +136,13 @@ FROM orders WHERE o_orderdate < timestamp '2001-07-25 00:00:00' AND o_custkey %
         """SELECT o_orderkey AS chg_id,
   concat(translate(lower(c_mktsegment), 'aeiou', 'áéíóú'), '  ', lower(n_name),
          CASE WHEN c_custkey % 10 = 0 THEN ' x' ELSE '' END) AS colaborador,
-  o_orderdate AS data_alteracao, o_totalprice AS salario, concat('Dept ', o_orderpriority) AS departamento,
-  CASE o_orderpriority WHEN '1-URGENT' THEN 'Analista de Operações' WHEN '2-HIGH' THEN 'Coordenador' ELSE 'Assistente' END AS cargo,
-  CASE WHEN o_orderstatus = 'F' THEN 'Desligado' ELSE 'Atual' END AS situacao
+  o_orderdate AS data_alteracao, o_totalprice AS salario,
+  CASE WHEN o_orderkey % 41 <> 0 THEN concat('Dept ', o_orderpriority) END AS departamento,
+  CASE WHEN o_orderkey % 43 = 0 THEN NULL WHEN o_orderpriority = '1-URGENT' THEN 'Analista de Operações'
+       WHEN o_orderpriority = '2-HIGH' THEN 'Coordenador' ELSE 'Assistente' END AS cargo,
+  CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'Desligado' ELSE 'Atual' END AS situacao
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE o_orderdate >= timestamp '2001-07-25 00:00:00'""",
+WHERE o_orderdate >= timestamp '2000-07-01 00:00:00'""",
         (),
     ),
     "attributes_long": (
@@ -151,8 +158,10 @@ FROM embeddings, range(1, 17) t(i)""",
   CAST(raciocinio IS NOT NULL AS int) AS fez_raciocinio,
   CAST(cultura_pontuacao IS NOT NULL AS int) AS fez_cultura,
   CAST(social IS NOT NULL AS int) AS fez_social,
+  perfil_comunicacao, atributo_comunicacao,
   CAST(motivacional IS NOT NULL AS int) AS fez_motivacional,
-  CAST(potencial_bruto IS NOT NULL AS int) AS fez_potencial
+  CAST(perfil_comunicacao IS NOT NULL AS int) AS fez_perfil,
+  CAST(atributo_comunicacao IS NOT NULL AS int) AS fez_atributos
 FROM people_main""",
         ("people_main",),
     ),
@@ -166,6 +175,17 @@ FROM area_raw WHERE cpf IS NOT NULL GROUP BY cpf""",
 FROM perf_long WHERE cpf IS NOT NULL GROUP BY cpf""",
         ("perf_long",),
     ),
+    "periods": (
+        "SELECT cpf, " + ", ".join(
+            f"CAST(max(CASE WHEN ano = {y} AND semestre = {s} THEN score END) AS double) AS perf_{s}_{y}"
+            for y in PERIOD_YEARS for s in (1, 2)
+        ) + " FROM perf_long WHERE cpf IS NOT NULL GROUP BY cpf",
+        ("perf_long",),
+    ),
+    "merged": (
+        """SELECT b.*, w.* EXCLUDE (cpf) FROM base b LEFT JOIN periods w ON b.cpf = w.cpf""",
+        ("base", "periods"),
+    ),
     "base": (
         """SELECT p.*, a.area, s.perf_media, coalesce(s.n_avaliacoes, 0) AS n_avaliacoes
 FROM people p LEFT JOIN area a ON p.cpf = a.cpf LEFT JOIN summary s ON p.cpf = s.cpf""",

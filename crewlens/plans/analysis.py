@@ -7,14 +7,14 @@ shuffle per question instead of one pass per column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewlens.functions import labels as L
 from crewlens.functions.stats import pearson, quantile_cuts, rounded, strength_words, trend_class
-from crewlens.operators.core import attach_one_row, crosstab_zero_fill, share_within, top_k, unstack, value_counts
+from crewlens.operators.core import attach_one_row, crosstab_zero_fill, ranked, share_within, top_k, unstack, value_counts
 from crewlens.operators.quantiles import exact_quantiles
-from crewlens.plans.people import ASSESSMENT_COLUMNS, PeopleModel
+from crewlens.plans.people import ASSESSMENT_COLUMNS, PeopleModel, period_column
 
 # Analyses that need a minimum number of rows (F9, F10) -- fixed values.
 MIN_ROWS_AREA_CORR = 5          # areas with fewer complete rows are skipped
@@ -35,7 +35,7 @@ def period_key(ano="ano", semestre="semestre"):
 
 
 def people_count(m: PeopleModel) -> DataFrame:
-    return m.merged.agg(F.count(F.lit(1)).alias("total"))
+    return m.people.agg(F.count(F.lit(1)).alias("total"))
 
 
 # ---- D3 coverage -----------------------------------------------------------
@@ -57,7 +57,7 @@ def coverage_by_period(m: PeopleModel) -> DataFrame:
 def coverage_by_dimension(m: PeopleModel) -> DataFrame:
     """Available n and % per dimension (potential, complete attributes, each assessment)."""
     complete = m.attrs_complete().withColumn("_complete", F.lit(1))
-    p = m.merged.join(complete, "cpf", "left")
+    p = m.people.join(complete, "cpf", "left")
     dims = {"Potencial Bruto": "potencial_bruto", "Atributos (completos)": "_complete"}
     dims.update({label: col for label, col in ASSESSMENT_COLUMNS.items()})
     wide = p.agg(F.count(F.lit(1)).alias("total"), *[F.count(c).alias(k) for k, c in dims.items()])
@@ -71,7 +71,7 @@ def coverage_by_dimension(m: PeopleModel) -> DataFrame:
 def unevaluated_people(m: PeopleModel) -> DataFrame:
     """People without any performance score (anti-join), as counts."""
     scored = m.perf.where(F.col("score").isNotNull()).select("cpf")
-    p = m.merged.select("cpf")
+    p = m.people.select("cpf")
     none = p.join(scored, "cpf", "left_anti")
     return attach_one_row(
         people_count(m), none.agg(F.count(F.lit(1)).alias("sem_avaliacao"))
@@ -121,11 +121,9 @@ def area_period_mean(m: PeopleModel) -> DataFrame:
 
 def period_pivot(m: PeopleModel) -> DataFrame:
     """R2: the wide ``perf_<half>_<year>`` layout, one row per person with any score."""
-    name = F.format_string("perf_%d_%d", F.col("semestre"), F.col("ano"))
-    # pivot values are the distinct period names (a handful per year of data)
     # scores as doubles: a period without a score is a missing value (NaN in the
     # reference's wide frame)
-    return unstack(m.perf.withColumn("_c", name), ["cpf"], "_c", None, F.first("score").cast("double"))
+    return unstack(m.perf.withColumn("_c", period_column()), ["cpf"], "_c", m.period_columns(), F.first("score").cast("double"))
 
 
 def period_delta(m: PeopleModel) -> DataFrame:
@@ -160,10 +158,20 @@ def potential_fit(m: PeopleModel) -> DataFrame:
 
 
 def attr_perf_long(m: PeopleModel, with_area: bool) -> DataFrame:
-    """Complete cases of the attribute table (16 attributes + perf [+ area]) in long form."""
+    """Complete cases of the attribute table (all attributes + perf [+ area]) in long form."""
+    return attr_long(complete_cases(m, with_area))
+
+
+def complete_cases(m: PeopleModel, with_area: bool) -> DataFrame:
+    """One row per person with performance [, area] and the whole attribute array."""
     cols = ("perf_media", "area") if with_area else ("perf_media",)
-    b = m.base(*cols).dropna(subset=list(cols)).join(m.attrs_complete(), "cpf", "left_semi")
-    return m.attrs.join(b, "cpf")
+    return m.base(*cols).dropna(subset=list(cols)).join(m.complete_vectors(), "cpf")
+
+
+def attr_long(cases: DataFrame) -> DataFrame:
+    """The attribute array as (idx, value) rows; exploded once, after the person join."""
+    keep = [c for c in cases.columns if c != "attrs"]
+    return cases.select(*keep, F.posexplode("attrs").alias("_p", "value")).withColumn("idx", F.col("_p") + 1).drop("_p")
 
 
 def attr_corr_by_area(m: PeopleModel) -> DataFrame:
@@ -178,8 +186,7 @@ def attr_corr_global(m: PeopleModel) -> DataFrame:
     corr = attr_perf_long(m, False).groupBy("idx").agg(
         pearson("value", "perf_media").alias("_r"), F.count(F.lit(1)).alias("n")
     )
-    ranked = top_k(corr, [], [rounded("_r").desc_nulls_last(), F.col("idx")], 1 << 30, "rank")
-    return ranked.select("idx", rounded("_r").alias("r"), "n", "rank")
+    return ranked(corr, [F.col("_r").desc_nulls_last(), F.col("idx")]).select("idx", rounded("_r").alias("r"), "n", "rank")
 
 
 def assessment_corr(m: PeopleModel) -> DataFrame:
@@ -229,16 +236,28 @@ def duration_vs_score(m: PeopleModel, cut_for: dict[str, float] | None = None, d
 
 def top_attrs_by_area(m: PeopleModel) -> DataFrame:
     """Top-3 attributes (by r) per area with >= 5 complete rows."""
-    long = attr_perf_long(m, True)
-    sizes = long.groupBy("area").agg(F.count_distinct("cpf").alias("_rows")).where(
-        F.col("_rows") >= MIN_ROWS_AREA_CORR
+    # one explode: a (area, idx) group has one row per person, so its count is the
+    # area's number of complete rows, and the areas' counts add up to the table's
+    corr = attr_perf_long(m, True).groupBy("area", "idx").agg(
+        pearson("value", "perf_media").alias("_r"), F.count(F.lit(1)).alias("_rows")
     )
-    corr = long.join(sizes, "area", "left_semi").groupBy("area", "idx").agg(pearson("value", "perf_media").alias("_r"))
-    top = top_k(corr, ["area"], [rounded("_r").desc_nulls_last(), F.col("idx")], TOP_ATTRIBUTES, "rank")
+    total = F.sum(F.when(F.col("idx") == 1, F.col("_rows"))).over(Window.partitionBy())  # areas x attributes rows
     # the block runs only when the complete attribute table has > 10 rows
-    rows = long.agg(F.count_distinct("cpf").alias("_rows"))
-    return attach_one_row(top, rows).where(F.col("_rows") > MIN_ROWS_ATTR_TABLE).select(
-        "area", "rank", "idx", rounded("_r").alias("r")
+    corr = corr.withColumn("_total", total).where(
+        (F.col("_rows") >= MIN_ROWS_AREA_CORR) & (F.col("_total") > MIN_ROWS_ATTR_TABLE)
+    )
+    top = top_k(corr, ["area"], [F.col("_r").desc_nulls_last(), F.col("idx")], TOP_ATTRIBUTES, "rank")
+    return top.select("area", "rank", "idx", rounded("_r").alias("r"))
+
+
+def hiring_hint(m: PeopleModel) -> DataFrame:
+    """Per area the top attributes with r as one text, and the hiring hint."""
+    best = top_attrs_by_area(m).groupBy("area").agg(F.array_sort(F.collect_list(F.struct("rank", "idx", "r"))).alias("t"))
+    shown = F.array_join(F.transform("t", lambda a: F.format_string("%d (r=%.2f)", a["idx"], a["r"])), ", ")
+    names = F.array_join(F.transform(F.slice("t", 1, 2), lambda a: a["idx"].cast("string")), " e ")
+    return best.select(
+        "area", shown.alias("atributos"),
+        F.concat(F.lit("Priorizar candidatos com alto score em "), names).alias("recomendacao"),
     )
 
 
@@ -248,8 +267,8 @@ def culture_by_area(m: PeopleModel) -> DataFrame:
     b = m.base("cultura_pontuacao", "area").where(F.col("cultura_pontuacao").isNotNull())
     overall = quantile_cuts(b, "cultura_pontuacao", (0.5,), ("_geral",))
     per = exact_quantiles(b, ["area"], "cultura_pontuacao", [0.5], ["_med"])
-    ranked = top_k(per, [], [F.col("_med").desc(), F.col("area")], 1 << 30, "ordem")
-    return attach_one_row(ranked, overall).select(
+    order = ranked(per, [F.col("_med").desc(), F.col("area")], "ordem")
+    return attach_one_row(order, overall).select(
         "area", rounded("_med").alias("mediana"), rounded("_geral").alias("mediana_geral"), "ordem"
     )
 
@@ -325,16 +344,9 @@ def low_band_share(m: PeopleModel) -> DataFrame:
 
 # ---- D18 trajectories -----------------------------------------------------------
 def trajectories(m: PeopleModel) -> DataFrame:
-    """First and last non-null score (chronological) of people with >= 2 scores.
-
-    Person-level and read by three analyses: built once per model, persisted.
-    """
-    return m.shared("trajectories", lambda: _trajectories(m))
-
-
-def _trajectories(m: PeopleModel) -> DataFrame:
+    """First and last non-null score (chronological) of people with >= 2 scores."""
     k = period_key()
-    s = m.perf.join(m.merged.select("cpf"), "cpf").where(F.col("score").isNotNull())
+    s = m.perf.join(m.people.select("cpf"), "cpf").where(F.col("score").isNotNull())
     per = s.groupBy("cpf").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("score", k).alias("primeiro"), F.max_by("score", k).alias("ultimo")
     ).where(F.col("n") >= 2)
@@ -373,10 +385,9 @@ def person_record(m: PeopleModel, cpf=None) -> DataFrame:
     serie = F.array_join(
         F.transform("_s", lambda e: F.format_string("%d-%dº:%d", e["ano"], e["semestre"], e["score"])), " | "
     )
-    attrs = m.attrs.where(F.col("value").isNotNull()).groupBy("cpf").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_a")
-    )
-    atributos = F.array_join(F.transform("_a", lambda e: F.format_string("%d:%.6f", e["idx"], e["value"])), " | ")
+    attrs = m.attrs.where(F.exists("attrs", lambda v: v.isNotNull()))
+    written = F.transform("attrs", lambda v, i: F.when(v.isNotNull(), F.format_string("%d:%.6f", i + 1, v)))
+    atributos = F.array_join(F.array_compact(written), " | ")
     return (
         p.join(series, "cpf", "left")
         .join(attrs, "cpf", "left")
@@ -391,12 +402,12 @@ def person_record(m: PeopleModel, cpf=None) -> DataFrame:
 # ---- D22 KPIs ------------------------------------------------------------------
 def score_mode(m: PeopleModel) -> DataFrame:
     """Modal score over all stacked scores (smallest of ties) and its share."""
-    s = m.perf.join(m.merged.select("cpf"), "cpf").where(F.col("score").isNotNull())
-    mode = s.agg(F.mode("score", True).alias("score_modal"))
-    return attach_one_row(s, mode).agg(
-        F.first("score_modal").alias("score_modal"),
-        rounded(F.avg((F.col("score") == F.col("score_modal")).cast("double")) * 100).alias("pct_modal"),
-        F.count(F.lit(1)).alias("n"),
+    counts = value_counts(m.perf.join(m.people.select("cpf"), "cpf"), ["score"])  # one row per distinct score
+    best = F.min_by("score", F.struct((-F.col("n")).alias("n"), F.col("score").alias("s")))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return counts.agg(
+        best.alias("score_modal"), rounded(F.max("n") * 100.0 / F.nullif(total, F.lit(0))).alias("pct_modal"),
+        total.alias("n"),
     )
 
 
@@ -406,46 +417,109 @@ def area_mean_of_means(m: PeopleModel) -> DataFrame:
         F.avg("score").alias("_m")
     )
     by_area = per.where(F.col("_m").isNotNull()).groupBy("area").agg(F.avg("_m").alias("_mm"))
-    ranked = top_k(by_area, [], [rounded("_mm").desc(), F.col("area")], 1 << 30, "rank")
-    return ranked.select("area", rounded("_mm").alias("media"), "rank")
+    return ranked(by_area, [F.col("_mm").desc(), F.col("area")])
+
+
+def area_mean_rank(m: PeopleModel) -> DataFrame:
+    """A28 for display: the mean rounded, ranked on the raw value."""
+    return area_mean_of_means(m).select("area", rounded("_mm").alias("media"), "rank")
 
 
 def area_best_worst(m: PeopleModel) -> DataFrame:
     """Best and worst area by mean of means (ties -> first name)."""
     a = area_mean_of_means(m)
     return a.agg(
-        F.min_by("area", F.struct((-F.col("media")).alias("v"), F.col("area").alias("a"))).alias("melhor_area"),
-        F.min_by("area", F.struct(F.col("media").alias("v"), F.col("area").alias("a"))).alias("pior_area"),
+        F.min_by("area", F.struct((-F.col("_mm")).alias("v"), F.col("area").alias("a"))).alias("melhor_area"),
+        F.min_by("area", F.struct(F.col("_mm").alias("v"), F.col("area").alias("a"))).alias("pior_area"),
     )
 
 
 def area_share(m: PeopleModel) -> DataFrame:
-    """Share of people per area; top-2 flag and under-5 % flag."""
+    """Share of all people (with or without an area) per area, total share of the
+    two largest areas, and the under-5 % flag."""
     counts = m.base("area").where(F.col("area").isNotNull()).groupBy("area").agg(F.count(F.lit(1)).alias("n"))
-    shared = share_within(counts, [])
-    ranked = top_k(shared, [], [F.col("n").desc(), F.col("area")], 1 << 30, "rank")
-    return ranked.select("area", "n", "pct", "rank", (F.col("pct") < 5).alias("abaixo_5pct"))
+    shared = attach_one_row(ranked(counts, [F.col("n").desc(), F.col("area")]), people_count(m))
+    share = F.col("n") * 100.0 / F.nullif(F.col("total"), F.lit(0))
+    two = shared.where(F.col("rank") <= 2).agg(F.sum(share).alias("_two"))
+    return attach_one_row(shared, two).select(
+        "area", "n", rounded(share).alias("pct"), "rank", (share < 5).alias("abaixo_5pct"),
+        rounded("_two").alias("pct_duas_maiores"),
+    )
 
 
 def headline_kpis(m: PeopleModel) -> DataFrame:
-    """One row of headline numbers (each part a one-row aggregate)."""
+    """One row of headline numbers.
+
+    Parts that share an input share its pass: one aggregate over people, one
+    small table of score counts by area and period, the two quantile plans and
+    the attribute correlations.
+    """
     from crewlens.plans import ninebox
 
-    b = m.base("potencial_bruto", "cultura_pontuacao", "perf_media", "n_avaliacoes")
+    assess = list(ASSESSMENT_COLUMNS.values())
+    b = m.base("potencial_bruto", "cultura_classificacao", "perf_media", "n_avaliacoes", *assess)
+    band, complete = F.col("cultura_classificacao"), F.col("perf_media").isNotNull()
+    for c in assess:
+        complete = complete & F.col(c).isNotNull()
+    r_of = [
+        F.struct(rounded(pearson(F.when(complete, F.col(c)), "perf_media")).alias("r"), F.lit(label).alias("assessment"))
+        for label, c in ASSESSMENT_COLUMNS.items()
+    ]
+    low = F.count(F.when(band.isin(*L.CULTURE_LOW_BANDS), 1)) * 100.0 / F.nullif(F.count(band), F.lit(0))
     core = b.agg(
         F.count(F.lit(1)).alias("total"),
         F.count(F.when(F.col("n_avaliacoes") > 0, 1)).alias("com_avaliacao"),
         rounded(pearson("potencial_bruto", "perf_media")).alias("r_potencial"),
         rounded(pearson("cultura_pontuacao", "perf_media")).alias("r_cultura"),
-    ).withColumn("pct_avaliados", rounded(F.col("com_avaliacao") * 100.0 / F.nullif(F.col("total"), F.lit(0))))
+        rounded(low).alias("pct_cultura_baixa"),
+        F.array_max(F.filter(F.array(*r_of), lambda x: x["r"].isNotNull())).alias("_best"),
+    ).select(
+        "total", "com_avaliacao", "r_potencial", "r_cultura", "pct_cultura_baixa",
+        rounded(F.col("com_avaliacao") * 100.0 / F.nullif(F.col("total"), F.lit(0))).alias("pct_avaliados"),
+        F.col("_best.assessment").alias("assessment_top"), F.col("_best.r").alias("r_assessment_top"),
+    )
     med = quantile_cuts(b, "cultura_pontuacao", (0.5,), ("_med",)).select(rounded("_med").alias("mediana_cultura"))
-    out = attach_one_row(core, med)
-    for part in (
-        score_mode(m).select("score_modal", "pct_modal"),
-        low_band_share(m).select(F.col("pct").alias("pct_cultura_baixa")),
-        area_best_worst(m),
-        period_delta(m).select("delta"),
-        ninebox.kpi_moves(m).select("subalocados", "em_risco"),
-    ):
+    top = attr_corr_global(m).where(F.col("rank") == 1).agg(F.max("idx").alias("atributo_top"), F.max("r").alias("r_atributo_top"))
+    # one row per area, period and score
+    counts = m.perf_area.where(F.col("score").isNotNull()).groupBy("area", "ano", "semestre", "score").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    out = attach_one_row(attach_one_row(core, med), top)
+    for part in (_score_mode(counts), _best_worst(counts), _delta(counts)):
         out = attach_one_row(out, part)
-    return out
+    return attach_one_row(out, ninebox.kpi_moves(m).select("subalocados", "em_risco"))
+
+
+def _score_mode(counts: DataFrame) -> DataFrame:
+    by = counts.groupBy("score").agg(F.sum("n").alias("n"))
+    return by.agg(
+        F.min_by("score", F.struct((-F.col("n")).alias("n"), F.col("score").alias("s"))).alias("score_modal"),
+        rounded(F.max("n") * 100.0 / F.nullif(F.sum("n"), F.lit(0))).alias("pct_modal"),
+    )
+
+
+def _mean(n: str = "n"):
+    return F.sum(F.col("score") * F.col(n)) / F.sum(n)
+
+
+def _best_worst(counts: DataFrame) -> DataFrame:
+    means = counts.where(F.col("area").isNotNull()).groupBy("area", "ano", "semestre").agg(_mean().alias("_m"))
+    by_area = means.groupBy("area").agg(F.avg("_m").alias("_mm"))
+    return by_area.agg(
+        F.min_by("area", F.struct((-F.col("_mm")).alias("v"), F.col("area").alias("a"))).alias("melhor_area"),
+        F.min_by("area", F.struct(F.col("_mm").alias("v"), F.col("area").alias("a"))).alias("pior_area"),
+    )
+
+
+def _delta(counts: DataFrame) -> DataFrame:
+    per = counts.groupBy("ano", "semestre").agg(_mean().alias("media"), F.sum("n").alias("n")).where(
+        F.col("n") > MIN_ROWS_PERIOD_MEAN
+    )
+    ends = per.agg(
+        F.min_by(F.struct(period_label().alias("l"), "media"), period_key()).alias("f"),
+        F.max_by(F.struct(period_label().alias("l"), "media"), period_key()).alias("t"),
+    )
+    return ends.select(
+        rounded(F.col("t.media") - F.col("f.media")).alias("delta"),
+        F.col("f.l").alias("primeiro_periodo"), F.col("t.l").alias("ultimo_periodo"),
+    )

@@ -20,7 +20,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +27,7 @@ from crewlens.functions import labels as L
 from crewlens.functions import text
 from crewlens.operators.core import attach_one_row, keep_by
 from crewlens.operators.scd2 import scd2_diff
+from crewlens.operators.sequence import numbered
 
 def import_ids(df: DataFrame) -> DataFrame:
     """Import-file form of SCD2 records: the existing id to edit, blank to create."""
@@ -77,9 +77,13 @@ def resolve(changes_split: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def pending(ids: DataFrame, people: DataFrame) -> DataFrame:
-    """Not-found rows ∪ first change per duplicated system name, with reason.
+    """Not-found rows ∪ first change per duplicated system name ∪ changes that lack a
+    target, each with its reason.
 
-    Ambiguous people stay in the main flow (only not-found rows are removed).
+    Ambiguous people stay in the main flow (only not-found rows are removed). A
+    resolved change without a status, or a current one without a department or
+    job title, opens and closes nothing there; it is listed here, once for each
+    missing value.
     """
     not_found = ids.where(F.col("person").isNull()).withColumn("motivo", F.lit(L.REASON_NOT_FOUND))
     dup_names = (
@@ -92,7 +96,29 @@ def pending(ids: DataFrame, people: DataFrame) -> DataFrame:
     ambiguous = keep_by(amb_rows, ["nome", "sobrenome"], F.col("chg_id"), last=False).withColumn(
         "motivo", F.lit(L.REASON_DUPLICATE)
     )
-    return not_found.unionByName(ambiguous.select(*not_found.columns))
+    return not_found.unionByName(ambiguous.select(*not_found.columns)).unionByName(missing_targets(ids))
+
+
+def missing_targets(ids: DataFrame) -> DataFrame:
+    """Resolved changes with a null status, department or job title, one row per reason."""
+    status = F.col("situacao")
+    current = F.coalesce(status.startswith(L.PRESENT_STATUS_PREFIX), F.lit(False))
+    reasons = F.array(
+        F.when(status.isNull(), F.lit(L.REASON_NO_STATUS)),
+        F.when(current & F.col("departamento").isNull(), F.lit(L.REASON_NO_DEPARTMENT)),
+        F.when(current & F.col("cargo").isNull(), F.lit(L.REASON_NO_JOB)),
+    )
+    return ids.where(F.col("person").isNotNull()).select("*", F.explode(F.array_compact(reasons)).alias("motivo"))
+
+
+def latest_per_person(ids: DataFrame) -> DataFrame:
+    """B10, ``sequence=True``: only a person's latest change (by date, then file order) is applied."""
+    order = F.struct("data_alteracao", "chg_id")
+    cols = [c for c in ids.columns if c != "person"]
+    last = ids.where(F.col("person").isNotNull()).groupBy("person").agg(
+        F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_row")
+    )
+    return last.select("person", *[F.col(f"_row.{c}").alias(c) for c in cols])
 
 
 def salary_rows(found: DataFrame, salaries: DataFrame) -> DataFrame:
@@ -112,6 +138,20 @@ def salary_rows(found: DataFrame, salaries: DataFrame) -> DataFrame:
     )
 
 
+def salary_days(salaries: DataFrame, day_col: str, fmt: str) -> tuple[DataFrame, DataFrame]:
+    """(history with ``dt``, rejects) of salary rows whose day is a text or a typed date.
+
+    Text is read strictly in ``fmt``. A row without a readable day is kept out
+    of the history and listed with its reason.
+    """
+    typed = dict(salaries.dtypes)[day_col] != "string"
+    day = F.col(day_col)
+    dt = (day if typed else F.try_to_timestamp(day, F.lit(fmt))).cast("timestamp_ntz")
+    parsed = salaries.withColumn("dt", dt)
+    bad = parsed.where(F.col("dt").isNull()).drop("dt").withColumn("motivo", F.lit(L.REASON_BAD_DAY))
+    return parsed.where(F.col("dt").isNotNull()), bad
+
+
 def salary_split(found: DataFrame, salaries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new salary rows, already-present rows) on the (person, day) key (J4 anti / J5 semi)."""
     rows = salary_rows(found, salaries)
@@ -125,10 +165,9 @@ def salary_split(found: DataFrame, salaries: DataFrame) -> tuple[DataFrame, Data
 def new_instances(found: DataFrame, instances: DataFrame) -> DataFrame:
     """E5: departments not yet known, numbered max(id)+1.. in order of first appearance.
 
-    The numbering window runs over the distinct *new* names only.
+    Names are free text, so their number grows with the feed: they are numbered
+    slice by slice, never in one window.
     """
-    from pyspark.sql import Window
-
     depts = (
         found.where(F.col("departamento").isNotNull())
         .groupBy(F.col("departamento").alias("name"))
@@ -136,9 +175,8 @@ def new_instances(found: DataFrame, instances: DataFrame) -> DataFrame:
     )
     new = depts.join(instances.select("name"), "name", "left_anti")
     max_id = instances.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_max"))
-    w = Window.orderBy("_first", "name")
-    return attach_one_row(new, max_id).select(
-        (F.col("_max") + F.row_number().over(w)).cast("long").alias("id"), "name"
+    return attach_one_row(numbered(new, "_first", "name", "_nth"), max_id).select(
+        (F.col("_max") + F.col("_nth")).cast("long").alias("id"), "name"
     )
 
 
@@ -159,7 +197,7 @@ def scd2_area(found: DataFrame, areas: DataFrame, instances: DataFrame, created:
     """Close / open area records; departments mapped to instance ids.
 
     A change whose department is null is not applied (it would open a record
-    without an area); it stays visible in the change list.
+    without an area); ``pending`` lists it with its reason.
     """
     cur = current_rows(found).where(F.col("departamento").isNotNull())
     mapped = cur.join(instance_map(instances, created), cur["departamento"] == F.col("name"), "left").drop("name")
@@ -206,6 +244,10 @@ class FeedJob:
     areas: DataFrame
     instances: DataFrame
     jobs: DataFrame
+    #: Apply only the latest change of a person instead of each against the system row
+    sequence: bool = False
+    #: Compare departments upper-cased, without accents and doubled spaces
+    normalize_departments: bool = False
 
     @classmethod
     def from_fixtures(cls, fx) -> "FeedJob":
@@ -229,13 +271,24 @@ class FeedJob:
 
     @cached_property
     def ids(self) -> DataFrame:
-        """The resolved change list feeds every output: computed once, persisted."""
-        return resolve(split_names(self.changes), self.best).persist(StorageLevel.MEMORY_AND_DISK)
+        """The resolved change list; every output starts from it."""
+        changes = self.changes
+        if self.normalize_departments:
+            changes = changes.withColumn("departamento", text.normalize_text(F.upper("departamento")))
+        return resolve(split_names(changes), self.best)
 
     @cached_property
     def found(self) -> DataFrame:
+        if self.sequence:
+            return latest_per_person(self.ids)
         return self.ids.where(F.col("person").isNotNull())
 
+    @cached_property
+    def known_instances(self) -> DataFrame:
+        if self.normalize_departments:
+            return self.instances.withColumn("name", text.normalize_text(F.upper("name")))
+        return self.instances
+
     @cached_property
     def pending(self) -> DataFrame:
         return pending(self.ids, self.people_norm)
@@ -246,11 +299,11 @@ class FeedJob:
 
     @cached_property
     def created(self) -> DataFrame:
-        return new_instances(self.found, self.instances)
+        return new_instances(self.found, self.known_instances)
 
     @cached_property
     def area_changes(self) -> DataFrame:
-        return scd2_area(self.found, self.areas, self.instances, self.created)
+        return scd2_area(self.found, self.areas, self.known_instances, self.created)
 
     @cached_property
     def job_changes(self) -> DataFrame:

@@ -1,7 +1,6 @@
 """Behavioural clusters and regression (D15, D16, D17, D19) with Spark ML.
 
-* Features are the long attribute table pivoted over the fixed attribute
-  list (a shuffle on ``cpf``), z-scored with *population* std (sklearn
+* Features are read from the person's attribute array (no shuffle), z-scored with *population* std (sklearn
   ``StandardScaler``; std 0 -> scale 1) using a one-row broadcast of the
   column statistics.
 * K-Means is Spark's k-means|| ; the reference keeps the best of 10
@@ -17,13 +16,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewlens.functions.stats import apply_zscore, rounded, zscore_stats
 from crewlens.operators.core import top_k
-from crewlens.plans.people import ASSESSMENT_COLUMNS, N_ATTRIBUTES, PeopleModel
+from crewlens.plans.people import ASSESSMENT_COLUMNS, PeopleModel
+from crewlens.session import written_once
 
 # Model settings of the reference's analysis.
 SEED = 42
@@ -31,44 +30,24 @@ N_INIT = 10
 K_RANGE = range(2, 9)
 K_ARCHETYPES = 4
 MIN_ROWS_REGRESSION = 20
-TOP_CENTROID_ATTRS = 3
+MIN_ROWS_CLUSTERS = 8
+TOP_CENTROID_ATTRS = 4
+
+#: Fits submitted at a time; each is a run of small distributed jobs.
+FIT_PARALLELISM = 8
 
 
 def attr_col(i: int) -> str:
     return f"a{i:02d}"
 
 
-ATTR_COLS = [attr_col(i) for i in range(1, N_ATTRIBUTES + 1)]
-
-
-def attribute_matrix(m: PeopleModel) -> DataFrame:
-    """Wide (cpf, a01..a16) for people with every attribute."""
-    wide = (
-        m.attrs.where(F.col("value").isNotNull())
-        .groupBy("cpf")
-        .pivot("idx", list(range(1, N_ATTRIBUTES + 1)))
-        .agg(F.first("value"))
-    )
-    wide = wide.toDF("cpf", *ATTR_COLS)
-    return wide.dropna(subset=ATTR_COLS)
-
+def attribute_matrix(m: PeopleModel) -> tuple[DataFrame, list[str]]:
+    """(cpf, a01, a02, ...) of people with every attribute, and the attribute columns.
 
-# Rows per partition of the cached feature table: enough per task to amortise
-# scheduling, small enough that a 1000-executor cluster gets every core busy.
-ROWS_PER_PARTITION = 200_000
-
-
-def cached_features(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist the feature table sized to its row count; returns (df, n)."""
-    feats = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = feats.count()
-    parts = max(1, -(-n // ROWS_PER_PARTITION))
-    if parts != feats.rdd.getNumPartitions():
-        sized = feats.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
-        sized.count()
-        feats.unpersist()
-        feats = sized
-    return feats, n
+    The array of a person is read in place: no explode, no pivot.
+    """
+    names = [attr_col(i + 1) for i in range(m.n_attributes())]
+    return m.complete_vectors().select("cpf", *[F.col("attrs")[i].alias(c) for i, c in enumerate(names)]), names
 
 
 def scaled_features(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -78,12 +57,7 @@ def scaled_features(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(z)
 
 
-def _fit_parallelism(feats: DataFrame) -> int:
-    """Concurrent fits: one per free core slot, as ``CrossValidator(parallelism=...)`` does."""
-    return max(1, min(16, feats.sparkSession.sparkContext.defaultParallelism))
-
-
-def _fit_many(feats: DataFrame, ks, n_init: int, seed: int) -> dict[int, tuple[float, object]]:
+def _fit_many(feats: DataFrame, ks, n_init: int, seed: int, parallelism: int = FIT_PARALLELISM) -> dict[int, tuple[float, object]]:
     """Fit every (k, seed) pair concurrently; keep the lowest-cost model per k.
 
     Each fit is a sequence of small distributed jobs; submitting them from a
@@ -100,7 +74,7 @@ def _fit_many(feats: DataFrame, ks, n_init: int, seed: int) -> dict[int, tuple[f
 
     jobs = [(k, seed + i) for k in ks for i in range(n_init)]
     best: dict[int, tuple[float, int, object]] = {}
-    with ThreadPoolExecutor(max_workers=_fit_parallelism(feats)) as pool:
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
         for k, s, cost, model in pool.map(fit, jobs):
             if k not in best or (cost, s) < best[k][:2]:
                 best[k] = (cost, s, model)
@@ -115,17 +89,16 @@ def kmeans_elbow(m: PeopleModel, ks=K_RANGE, n_init: int = N_INIT, seed: int = S
     """Inertia (best of ``n_init``) and silhouette for each k."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    feats, n = cached_features(scaled_features(attribute_matrix(m), ATTR_COLS).select("cpf", "features"))
+    matrix, names = attribute_matrix(m)
+    spark = m.people_raw.sparkSession
     rows = []
-    try:
-        fitted = _fit_many(feats, [k for k in ks if n > k], n_init, seed)
+    if matrix.count() >= MIN_ROWS_CLUSTERS:  # the reference's guard for the whole block
+        feats = written_once(scaled_features(matrix, names).select("cpf", "features"), "features")
+        n = feats.count()
         evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-        for k in sorted(fitted):
-            cost, model = fitted[k]
+        # a model needs more rows than clusters to be evaluated
+        for k, (cost, model) in sorted(_fit_many(feats, [k for k in ks if k < n], n_init, seed).items()):
             rows.append((k, float(cost), float(evaluator.evaluate(model.transform(feats))), n))
-    finally:
-        feats.unpersist()
-    spark = m.people_raw.sparkSession
     return spark.createDataFrame(rows, "k int, inercia double, silhouette double, n long")
 
 
@@ -134,13 +107,11 @@ class Archetypes:
 
     def __init__(self, m: PeopleModel, k: int = K_ARCHETYPES, n_init: int = N_INIT, seed: int = SEED):
         self.m = m
-        feats, n = cached_features(scaled_features(attribute_matrix(m), ATTR_COLS).select("cpf", "features"))
-        self._feats = feats
-        if n < k:  # too few people with complete attributes: no clusters
-            self.assign = feats.select(
-                "cpf", F.lit(0).alias("cluster"), F.lit("").alias("perfil")
-            ).limit(0)
+        matrix, names = attribute_matrix(m)
+        if matrix.count() < MIN_ROWS_CLUSTERS:  # the reference's guard for the whole block
+            self.assign = matrix.select("cpf", F.lit(0).alias("cluster"), F.lit("").alias("perfil")).where(F.lit(False))
             return
+        feats = written_once(scaled_features(matrix, names).select("cpf", "features"), "features")
         _, model = _best_kmeans(feats, k, n_init, seed)
         pred = model.transform(feats).select("cpf", F.col("prediction").alias("_c"))
         # renumber by size desc (k rows): stable cluster ids across runs
@@ -153,32 +124,35 @@ class Archetypes:
             "cpf", "cluster", F.concat(F.lit("Perfil "), F.col("cluster")).alias("perfil")
         )
 
-    def release(self) -> None:
-        self._feats.unpersist()
-
     def profile(self) -> DataFrame:
         """Centroids in original units (mean attribute per cluster) and sizes."""
-        a = self.m.attrs.join(self.assign, "cpf")
-        return a.groupBy("cluster", "perfil", "idx").agg(
-            rounded(F.avg("value")).alias("media"), F.count(F.lit(1)).alias("n")
-        )
+        from crewlens.plans.analysis import attr_long
+
+        a = attr_long(self.m.complete_vectors().join(self.assign, "cpf"))
+        return a.groupBy("cluster", "perfil", "idx").agg(F.avg("value").alias("_media"), F.count(F.lit(1)).alias("n"))
 
     def area_fit(self) -> DataFrame:
         """Mean performance per area x archetype (people with performance)."""
+        return self._area_fit().select("area", "cluster", "perfil", rounded("_media").alias("perf_media"), "n")
+
+    def _area_fit(self) -> DataFrame:
         b = self.m.base("area", "perf_media").where(F.col("perf_media").isNotNull() & F.col("area").isNotNull())
         return b.join(self.assign, "cpf").groupBy("area", "cluster", "perfil").agg(
-            rounded(F.avg("perf_media")).alias("perf_media"), F.count(F.lit(1)).alias("n")
+            F.avg("perf_media").alias("_media"), F.count(F.lit(1)).alias("n")
         )
 
     def ideal(self) -> DataFrame:
-        """Best archetype per area (highest mean, ties -> lower cluster) and its top-3 attributes."""
-        fit = self.area_fit()
-        best = fit.groupBy("area").agg(
-            F.min_by("cluster", F.struct((-F.col("perf_media")).alias("v"), F.col("cluster").alias("c"))).alias("cluster")
+        """Best archetype per area (highest raw mean, ties -> lower cluster), its mean, its
+        people out of the area's, and its top-4 attributes by raw centroid."""
+        order = F.struct((-F.col("_media")).alias("v"), F.col("cluster").alias("c"))
+        best = self._area_fit().groupBy("area").agg(
+            F.min_by(F.struct("cluster", "_media", "n"), order).alias("b"), F.sum("n").alias("n_area")
+        )
+        best = best.select("area", "b.cluster", rounded("b._media").alias("perf_media"), F.col("b.n").alias("n_ideal"), "n_area")
+        top = top_k(self.profile().drop("n"), ["cluster"], [F.col("_media").desc(), F.col("idx")], TOP_CENTROID_ATTRS, "rank")
+        return best.join(top, "cluster").select(
+            "area", "cluster", "perfil", "perf_media", "n_ideal", "n_area", "rank", "idx", rounded("_media").alias("media")
         )
-        prof = self.profile()
-        top = top_k(prof, ["cluster"], [F.col("media").desc(), F.col("idx")], TOP_CENTROID_ATTRS, "rank")
-        return best.join(top, "cluster").select("area", "cluster", "perfil", "rank", "idx", "media")
 
 
 def regression_coefs(m: PeopleModel) -> DataFrame:
@@ -191,23 +165,20 @@ def regression_coefs(m: PeopleModel) -> DataFrame:
 
     spark = m.people_raw.sparkSession
     assess = list(ASSESSMENT_COLUMNS.values())
-    names = list(ASSESSMENT_COLUMNS) + [f"atributo-{i}" for i in range(1, N_ATTRIBUTES + 1)]
+    matrix, columns = attribute_matrix(m)
+    names = list(ASSESSMENT_COLUMNS) + [f"atributo-{i + 1}" for i in range(len(columns))]
     base = m.base(*assess, "perf_media").dropna(subset=[*assess, "perf_media"])
-    data = base.join(attribute_matrix(m), "cpf").persist(StorageLevel.MEMORY_AND_DISK)
+    data = written_once(base.join(matrix, "cpf"), "regression")
     schema = "variavel string, coef double, rank int, r2 double, n long"
-    try:
-        n = data.count()
-        if n <= MIN_ROWS_REGRESSION:
-            return spark.createDataFrame([], schema)
-        feats = scaled_features(data, assess + ATTR_COLS)
-        model = LinearRegression(
-            featuresCol="features", labelCol="perf_media", solver="normal", regParam=0.0,
-            standardization=False, fitIntercept=True,
-        ).fit(feats)
-        r2 = float(model.summary.r2)
-        coefs = list(zip(names, [float(c) for c in model.coefficients]))
-    finally:
-        data.unpersist()
+    n = data.count()
+    if n <= MIN_ROWS_REGRESSION:
+        return spark.createDataFrame([], schema)
+    model = LinearRegression(
+        featuresCol="features", labelCol="perf_media", solver="normal", regParam=0.0,
+        standardization=False, fitIntercept=True,
+    ).fit(scaled_features(data, assess + columns))
+    r2 = float(model.summary.r2)
+    coefs = list(zip(names, [float(c) for c in model.coefficients]))
     ranked = sorted(coefs, key=lambda t: (-abs(t[1]), t[0]))
     rows = [(v, c, i + 1, r2, n) for i, (v, c) in enumerate(ranked)]
     return spark.createDataFrame(rows, schema)

@@ -36,18 +36,7 @@ def population(m: PeopleModel, *extra_cols: str, restrict: DataFrame | None = No
 
 
 def banded(m: PeopleModel, *extra_cols: str, restrict: DataFrame | None = None) -> DataFrame:
-    """Population with q33/q66 cuts, performance band, potential band and quadrant.
-
-    The full-population variant (with name and area) feeds the matrix, the
-    listing, the quadrant counts, the move lists and the KPIs: it is built
-    once per model and persisted (one row per person of the population).
-    """
-    if restrict is None and set(extra_cols) <= {"nome_completo", "area"}:
-        return m.shared("ninebox_banded", lambda: _banded(m, "nome_completo", "area"))
-    return _banded(m, *extra_cols, restrict=restrict)
-
-
-def _banded(m: PeopleModel, *extra_cols: str, restrict: DataFrame | None = None) -> DataFrame:
+    """Population with q33/q66 cuts, performance band, potential band and quadrant."""
     pop = population(m, *extra_cols, restrict=restrict)
     cuts = quantile_cuts(pop, "potencial_bruto", L.POT_PROBS, ("q33", "q66"))
     e = L.PERF_EDGES
@@ -86,24 +75,25 @@ def matrix(m: PeopleModel) -> DataFrame:
     )
 
 
-def listing(m: PeopleModel) -> DataFrame:
-    """One row per person of the population with bands and quadrant.
+def listing(m: PeopleModel, quadrants: tuple[str, ...] = ()) -> DataFrame:
+    """One row per person of the population with bands and quadrant,
+    of the chosen ``quadrants`` if any are given (F11).
 
     ``ordem`` carries the fixed listing order of the quadrant (O2); the
     reference sorts by it and then by performance descending.
     """
     b = banded(m, "nome_completo", "area")
+    if quadrants:
+        b = b.where(F.col("quadrante").isin(*quadrants))
     out = b.select(
         "cpf", "nome_completo", "area",
         rounded("potencial_bruto").alias("potencial_bruto"),
         rounded("perf_media").alias("perf_media"),
         "pot_cat", "perf_cat", "quadrante",
-        L.order_rank("quadrante", L.QUADRANT_ORDER).alias("ordem"),
-    )
-    # O2: distributed sort (range shuffle); unmapped quadrants (rank 0) last
-    return out.orderBy(
-        F.when(F.col("ordem") == 0, F.lit(1 << 20)).otherwise(F.col("ordem")), F.col("perf_media").desc(), "cpf"
+        L.order_rank("quadrante", L.QUADRANT_ORDER).alias("ordem"), F.col("perf_media").alias("_raw"),
     )
+    # O2: distributed sort on raw values (range shuffle); unmapped quadrants (rank 0) last
+    return out.orderBy(F.col("ordem") == 0, "ordem", F.col("_raw").desc(), "cpf").drop("_raw")
 
 
 def quadrant_counts(m: PeopleModel) -> DataFrame:
@@ -115,8 +105,9 @@ def profile(m: PeopleModel) -> DataFrame:
     """Mean of each attribute per quadrant, terciles recomputed on the
     complete-attribute population (A26 on long form)."""
     b = banded(m, restrict=m.attrs_complete()).select("cpf", "quadrante")
+    long = m.complete_vectors().join(b, "cpf").select("quadrante", F.posexplode("attrs").alias("_p", "value"))
     return (
-        m.attrs.join(b, "cpf")
+        long.withColumn("idx", F.col("_p") + 1)
         .groupBy("quadrante", "idx")
         .agg(rounded(F.avg("value")).alias("media"), F.count("value").alias("n"))
     )
@@ -138,13 +129,13 @@ def moves(m: PeopleModel) -> tuple[DataFrame, DataFrame]:
     ]
     promotable = (
         b.where((F.col("pot_cat") == "Alto") & F.col("perf_cat").isin(*L.PROMOTABLE_PERF))
-        .select(*cols)
-        .orderBy(F.col("potencial_bruto").desc(), "cpf")
+        .select(*cols, F.col("potencial_bruto").alias("_raw"))
+        .orderBy(F.col("_raw").desc(), "cpf").drop("_raw")
     )
     at_risk = (
         b.where((F.col("pot_cat") == "Baixo") & (F.col("perf_cat") == "Baixa"))
-        .select(*cols)
-        .orderBy("perf_media", "cpf")
+        .select(*cols, F.col("perf_media").alias("_raw"))
+        .orderBy("_raw", "cpf").drop("_raw")
     )
     return promotable, at_risk
 

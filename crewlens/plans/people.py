@@ -5,11 +5,11 @@ Inputs are the reference's three tables re-shaped for Spark:
 * ``people``  - one assessment row per person (``cpf`` key),
 * ``area``    - ``(cpf, area, ordinal)`` with duplicate keys (keep the last),
 * ``perf``    - long performance ``(cpf, ano, semestre, score)``,
-* ``attrs``   - long behavioural attributes ``(cpf, idx, value)``,
+* ``attrs``   - behavioural attributes ``(cpf, attrs)``, one array per person,
 * ``sessions``- timed assessment attempts ``(cpf, assessment, inicio, fim, score)``.
 
-Every derived table is a lazy DataFrame; the per-person performance summary
-(mean and count, A8/A9) is computed once and reused by every analysis.
+Every derived table is a lazy DataFrame over the scans; nothing is kept
+between queries, so a result always follows the files as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +28,10 @@ PRESENCE_FLAGS = {
     "fez_cultura": "cultura_pontuacao",
     "fez_social": "social",
     "fez_motivacional": "motivacional",
-    "fez_potencial": "potencial_bruto",
+    "fez_perfil": "perfil_comunicacao",
+    "fez_atributos": "atributo_comunicacao",
 }
 
-# Size of the behavioural attribute group (``atributo-*`` columns).
-N_ATTRIBUTES = 16
-
 ASSESSMENT_COLUMNS = {
     # label -> column (fixed order of the reference's assessment list)
     "Raciocínio": "raciocinio",
@@ -87,6 +84,11 @@ def perf_summary(perf: DataFrame) -> DataFrame:
     )
 
 
+def period_column():
+    """The wide column name of a half-year."""
+    return F.format_string("perf_%d_%d", F.col("semestre"), F.col("ano"))
+
+
 @dataclass
 class PeopleModel:
     people_raw: DataFrame
@@ -97,7 +99,7 @@ class PeopleModel:
 
     @classmethod
     def from_fixtures(cls, fx) -> "PeopleModel":
-        return cls(fx.people_main, fx.area_raw, fx.perf_long, fx.attributes_long, fx.assess_sessions)
+        return cls(fx.people_main, fx.area_raw, fx.perf_long, fx.attributes, fx.assess_sessions)
 
     @cached_property
     def people(self) -> DataFrame:
@@ -115,54 +117,55 @@ class PeopleModel:
 
     @cached_property
     def merged(self) -> DataFrame:
-        """Cleaned people ⟕ last area ⟕ performance summary, one row per person.
+        """Cleaned people ⟕ last area ⟕ performance summary, one row per person.
 
-        Like the reference's cleaned output file, this person-level table is
-        materialised once (persisted, lost blocks recomputed from lineage) and
-        every analysis selects its columns from it: no analysis re-runs the
-        cleaning, the dedupe or the person-key joins.
+        A lazy relation of joins on the unique person key: an analysis that
+        selects no column of a side does not scan it.
         """
-        df = (
+        return (
             self.people.join(self.area, "cpf", "left")
             .join(self.summary, "cpf", "left")
             .withColumn("n_avaliacoes", F.coalesce(F.col("n_avaliacoes"), F.lit(0).cast("long")))
         )
-        return self._keep(df)
-
-    def shared(self, name: str, build) -> DataFrame:
-        """A person-level intermediate several analyses read (built once, persisted)."""
-        cache = self.__dict__.setdefault("_shared", {})
-        if name not in cache:
-            cache[name] = self._keep(build())
-        return cache[name]
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        if not hasattr(self, "_persisted"):
-            self._persisted = []
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._persisted.append(df)
-        return df
-
-    def release(self) -> None:
-        for df in getattr(self, "_persisted", []):
-            df.unpersist()
-        self._persisted = []
+
+    def merged_with_periods(self) -> DataFrame:
+        """The merged table with one ``perf_<half>_<year>`` column per half-year.
+
+        The column list spans the first to the last year of the data, read from
+        a one-row aggregate.
+        """
+        wide = self.perf.where(F.col("cpf").isNotNull()).withColumn("_c", period_column())
+        wide = wide.groupBy("cpf").pivot("_c", self.period_columns()).agg(F.first("score").cast("double"))
+        return self.merged.join(wide, "cpf", "left")
+
+    def period_columns(self) -> list[str]:
+        """Names of the period columns, in order of time."""
+        span = self.perf.agg(F.min("ano").alias("a"), F.max("ano").alias("z")).first()
+        if span["a"] is None:
+            return []
+        return [f"perf_{half}_{year}" for year in range(span["a"], span["z"] + 1) for half in (1, 2)]
 
     @cached_property
     def perf_area(self) -> DataFrame:
         """Long performance of the people in the base, with their area (R1 output)."""
-        return self.perf.join(self.merged.select("cpf", "area"), "cpf")
+        return self.perf.join(self.people.select("cpf").join(self.area, "cpf", "left"), "cpf")
 
     def base(self, *cols: str) -> DataFrame:
         """Columns of the merged person table (``cpf`` first)."""
         return self.merged.select("cpf", *[c for c in cols if c != "cpf"])
 
-    def attrs_complete(self, n_attributes: int = N_ATTRIBUTES) -> DataFrame:
-        """People with every attribute non-null (F3), as a key set."""
-        return (
-            self.attrs.where(F.col("value").isNotNull())
-            .groupBy("cpf")
-            .agg(F.count("idx").alias("_n"))
-            .where(F.col("_n") == n_attributes)
-            .select("cpf")
+    def complete_vectors(self) -> DataFrame:
+        """people with every attribute non-null, one array per person (no regrouping)."""
+        size = self.attrs.agg(F.max(F.size("attrs")).alias("_n"))
+        full = self.attrs.crossJoin(F.broadcast(size)).where(
+            (F.size("attrs") == F.col("_n")) & F.forall("attrs", lambda v: v.isNotNull())
         )
+        return full.select("cpf", "attrs")
+
+    def attrs_complete(self) -> DataFrame:
+        """Key set of ``complete_vectors``."""
+        return self.complete_vectors().select("cpf")
+
+    def n_attributes(self) -> int:
+        """Number of attributes, from the data."""
+        return self.attrs.agg(F.max(F.size("attrs")).alias("n")).first()["n"] or 0

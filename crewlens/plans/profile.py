@@ -1,13 +1,11 @@
-"""Raw-data profiling (D2) and the data contract check.
+"""Raw-data profiling.
 
 Every profile is one aggregate pass (plus an unpivot) over the whole table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlens.operators import core
@@ -40,8 +38,8 @@ def null_profile_merged(m: PeopleModel) -> DataFrame:
 
 
 def merged(m: PeopleModel) -> DataFrame:
-    """Cleaned people ⟕ deduplicated area ⟕ performance summary."""
-    return m.merged
+    """Cleaned people ⟕ deduplicated area ⟕ performance summary ⟕ period scores."""
+    return m.merged_with_periods()
 
 
 def run_summary(m: PeopleModel) -> DataFrame:
@@ -51,7 +49,7 @@ def run_summary(m: PeopleModel) -> DataFrame:
         ("assessments", m.people_raw, None),
         ("performance", m.perf, None),
         ("area", m.area_raw, None),
-        ("merged", m.merged, F.col("area").isNotNull()),
+        ("merged", merged(m), F.col("area").isNotNull()),
     ]
     out = None
     for name, df, mapped in parts:
@@ -69,12 +67,12 @@ def distinct_values(m: PeopleModel) -> DataFrame:
     parts = [
         m.people_raw.select(F.lit("cultura_classificacao").alias("coluna"), F.col("cultura_classificacao").alias("valor")),
         m.area_raw.select(F.lit("area").alias("coluna"), F.col("area").alias("valor")),
-        m.merged.select(F.lit("nome_completo").alias("coluna"), F.col("nome_completo").alias("valor")),
+        m.people.select(F.lit("nome_completo").alias("coluna"), F.col("nome_completo").alias("valor")),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where(F.col("valor").isNotNull()).distinct()
+    return out.where(F.col("valor").isNotNull()).distinct().orderBy("coluna", "valor")
 
 
 def duplicate_counts(m: PeopleModel) -> DataFrame:
@@ -113,66 +111,3 @@ def key_overlap(m: PeopleModel) -> DataFrame:
         cnt(pf & ~mn).alias("perf_sem_main"), cnt(ar & ~mn).alias("area_sem_main"),
         cnt(mn & ~pf & ~ar).alias("so_main"),
     )
-
-
-# ---- S5 data contract ------------------------------------------------------------
-@dataclass(frozen=True)
-class Contract:
-    """Tables expected in a delivery, required columns, prefix groups, regex groups, join key."""
-
-    tables: tuple[str, ...]
-    required: dict[str, tuple[str, ...]]
-    prefix_groups: dict[str, tuple[tuple[str, str, int], ...]]   # table -> (label, prefix, min count)
-    regex_groups: dict[str, tuple[tuple[str, str], ...]]          # table -> (label, regex)
-    key: str
-
-
-PEOPLE_CONTRACT = Contract(
-    tables=("assessments", "performance", "area"),
-    required={
-        "assessments": ("cpf", "nome", "sobrenome", "raciocinio", "social", "motivacional",
-                        "cultura_pontuacao", "cultura_classificacao", "potencial_bruto"),
-        "performance": ("cpf",),
-        "area": ("cpf", "area"),
-    },
-    prefix_groups={"assessments": (("colunas de cultura", "cultura_", 1),)},
-    regex_groups={"performance": (("colunas de performance", r"^(score|perf_)"),)},
-    key="cpf",
-)
-
-
-def validate(spark: SparkSession, tables: dict[str, DataFrame], contract: Contract = PEOPLE_CONTRACT) -> DataFrame:
-    """Metadata-only checks -> rows ``(secao, verificacao, status, detalhe)``.
-
-    Only schemas are read (no job runs); status is ok / warn / err and the
-    error count is the number of ``err`` rows.
-    """
-    import re
-
-    rows: list[tuple[str, str, str, str | None]] = []
-    for t in contract.tables:
-        ok = t in tables
-        rows.append(("1. tabelas", f"tabela {t}", "ok" if ok else "err", None if ok else "tabela ausente"))
-    has_all = all(t in tables for t in contract.tables)
-    for t in contract.tables:
-        section = f"2. colunas - {t}"
-        if not has_all:
-            rows.append((section, "validacao ignorada", "info", "tabela ausente"))
-            continue
-        cols = tables[t].columns
-        for c in contract.required.get(t, ()):
-            ok = c in cols
-            rows.append((section, f"coluna obrigatoria {c}", "ok" if ok else "err", None if ok else "coluna ausente"))
-        for label, prefix, min_count in contract.prefix_groups.get(t, ()):
-            found = [c for c in cols if c.startswith(prefix)]
-            ok = len(found) >= min_count
-            rows.append((section, f"{label} ({len(found)})", "ok" if ok else "warn", None if ok else "prefixo ausente"))
-        for label, pattern in contract.regex_groups.get(t, ()):
-            found = [c for c in cols if re.match(pattern, c, re.I)]
-            ok = bool(found)
-            rows.append((section, f"{label} ({len(found)})", "ok" if ok else "err", None if ok else "nenhuma coluna"))
-    if has_all:
-        for t in contract.tables:
-            ok = contract.key in tables[t].columns
-            rows.append(("3. chave de juncao", f"{contract.key} em {t}", "ok" if ok else "err", None if ok else "chave ausente"))
-    return spark.createDataFrame(rows, "secao string, verificacao string, status string, detalhe string")

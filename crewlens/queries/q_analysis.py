@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crewlens.catalog import model, register
-from crewlens.oracle.ctes import CTES, sql_pearson, with_ctes
+from crewlens.oracle.ctes import PERIOD_YEARS, CTES, sql_pearson, with_ctes
 from crewlens.plans import analysis as A
 
 
@@ -209,7 +209,7 @@ def area_period_mean(spark, sf_dir):
         "SELECT cpf, "
         + ", ".join(
             f"CAST(max(CASE WHEN ano = {y} AND semestre = {s} THEN score END) AS double) AS perf_{s}_{y}"
-            for y in (1998, 1999) for s in (1, 2)
+            for y in PERIOD_YEARS for s in (1, 2)
         )
         + " FROM perf_long GROUP BY cpf",
         "perf_long",
@@ -258,7 +258,7 @@ def attr_corr_by_area(spark, sf_dir):
 @register(
     "attr_corr_global",
     with_ctes(
-        f"""SELECT idx, {r6('_r')} AS r, n, CAST(row_number() OVER (ORDER BY round(_r, 6) DESC NULLS LAST, idx) AS int) AS rank
+        f"""SELECT idx, {r6('_r')} AS r, n, CAST(row_number() OVER (ORDER BY _r DESC NULLS LAST, idx) AS int) AS rank
 FROM (SELECT idx, {sql_pearson('value', 'perf_media')} AS _r, count(*) AS n FROM apl GROUP BY 1)""",
         "apl",
     ),
@@ -273,6 +273,12 @@ _WORDS = """CASE WHEN _r IS NULL THEN NULL ELSE concat_ws(' ',
   CASE WHEN _r > 0 THEN 'positiva' ELSE 'negativa' END) END"""
 
 
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for _, c in _ASSESS) + " AND perf_media IS NOT NULL"
+_ASSESS_R = " UNION ALL ".join(
+    f"SELECT '{label}' AS assessment, {r6(sql_pearson(col, 'perf_media'))} AS r FROM base WHERE {_COMPLETE}" for label, col in _ASSESS
+)
+
+
 @register(
     "assessment_corr",
     with_ctes(
@@ -325,7 +331,7 @@ def duration_vs_score(spark, sf_dir):
     "top_attrs_by_area",
     with_ctes(
         f"""SELECT area, rank, idx, {r6('_r')} AS r FROM (
-  SELECT area, idx, _r, CAST(row_number() OVER (PARTITION BY area ORDER BY round(_r, 6) DESC NULLS LAST, idx) AS int) AS rank
+  SELECT area, idx, _r, CAST(row_number() OVER (PARTITION BY area ORDER BY _r DESC NULLS LAST, idx) AS int) AS rank
   FROM (SELECT area, idx, {sql_pearson('value', 'perf_media')} AS _r FROM apl_area
         WHERE area IN (SELECT area FROM apl_area GROUP BY area HAVING count(DISTINCT cpf) >= 5) GROUP BY 1, 2)
 ) WHERE rank <= 3 AND (SELECT count(DISTINCT cpf) FROM apl_area) > 10""",
@@ -336,6 +342,24 @@ def top_attrs_by_area(spark, sf_dir):
     return A.top_attrs_by_area(model(spark, sf_dir))
 
 
+_TOP3 = f"""SELECT area, idx, _r, CAST(row_number() OVER (PARTITION BY area ORDER BY _r DESC NULLS LAST, idx) AS int) AS rank
+  FROM (SELECT area, idx, {sql_pearson('value', 'perf_media')} AS _r FROM apl_area
+        WHERE area IN (SELECT area FROM apl_area GROUP BY area HAVING count(DISTINCT cpf) >= 5) GROUP BY 1, 2)"""
+
+
+@register(
+    "hiring_hint",
+    with_ctes(
+        f"""SELECT area, string_agg(printf('%d (r=%.2f)', idx, round(_r, 6)), ', ' ORDER BY rank) AS atributos,
+  'Priorizar candidatos com alto score em ' || string_agg(CASE WHEN rank <= 2 THEN CAST(idx AS varchar) END, ' e ' ORDER BY rank) AS recomendacao
+FROM ({_TOP3}) WHERE rank <= 3 AND (SELECT count(DISTINCT cpf) FROM apl_area) > 10 GROUP BY area""",
+        "apl_area",
+    ),
+)
+def hiring_hint(spark, sf_dir):
+    return A.hiring_hint(model(spark, sf_dir))
+
+
 @register(
     "culture_by_area",
     with_ctes(
@@ -494,15 +518,15 @@ def score_mode(spark, sf_dir):
 @register(
     "area_mean_of_means",
     with_ctes(
-        f"SELECT area, {r6('_mm')} AS media, CAST(row_number() OVER (ORDER BY round(_mm, 6) DESC, area) AS int) AS rank FROM area_mm",
+        f"SELECT area, {r6('_mm')} AS media, CAST(row_number() OVER (ORDER BY _mm DESC, area) AS int) AS rank FROM area_mm",
         "area_mm",
     ),
 )
 def area_mean_of_means(spark, sf_dir):
-    return A.area_mean_of_means(model(spark, sf_dir))
+    return A.area_mean_rank(model(spark, sf_dir))
 
 
-_BEST_WORST = """SELECT arg_min(area, (-round(_mm, 6), area)) AS melhor_area, arg_min(area, (round(_mm, 6), area)) AS pior_area FROM area_mm"""
+_BEST_WORST = """SELECT arg_min(area, (-_mm, area)) AS melhor_area, arg_min(area, (_mm, area)) AS pior_area FROM area_mm"""
 
 
 @register("area_best_worst", with_ctes(_BEST_WORST, "area_mm"))
@@ -513,8 +537,10 @@ def area_best_worst(spark, sf_dir):
 @register(
     "area_share",
     with_ctes(
-        f"""SELECT area, n, pct, CAST(row_number() OVER (ORDER BY n DESC, area) AS int) AS rank, pct < 5 AS abaixo_5pct
-FROM (SELECT area, n, {pct('n', 'sum(n) OVER ()')} AS pct FROM (SELECT area, count(*) AS n FROM base WHERE area IS NOT NULL GROUP BY 1))""",
+        f"""SELECT area, n, {pct('n', 'total')} AS pct, rank, n * 100.0 / total < 5 AS abaixo_5pct,
+  round(sum(CASE WHEN rank <= 2 THEN n * 100.0 / total END) OVER (), 6) AS pct_duas_maiores
+FROM (SELECT area, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, area) AS int) AS rank
+      FROM base WHERE area IS NOT NULL GROUP BY area), (SELECT count(*) AS total FROM base)""",
         "base",
     ),
 )
@@ -528,15 +554,20 @@ def area_share(spark, sf_dir):
         f"""SELECT c.total, c.com_avaliacao, c.r_potencial, c.mediana_cultura, c.r_cultura,
   {pct('c.com_avaliacao', 'c.total')} AS pct_avaliados,
   m.score_modal, m.pct_modal, {pct('lb.baixos', 'lb.classificados')} AS pct_cultura_baixa,
-  bw.melhor_area, bw.pior_area, {r6('d.ml - d.mf')} AS delta, k.subalocados, k.em_risco
+  bw.melhor_area, bw.pior_area, {r6('d.ml - d.mf')} AS delta, d.primeiro AS primeiro_periodo, d.ultimo AS ultimo_periodo,
+  ta.idx AS atributo_top, ta.r AS r_atributo_top, ts.assessment_top, ts.r_assessment_top, k.subalocados, k.em_risco
 FROM (SELECT count(*) AS total, count(CASE WHEN n_avaliacoes > 0 THEN 1 END) AS com_avaliacao,
         {r6(sql_pearson('potencial_bruto', 'perf_media'))} AS r_potencial,
         {r6('median(cultura_pontuacao)')} AS mediana_cultura,
         {r6(sql_pearson('cultura_pontuacao', 'perf_media'))} AS r_cultura FROM base) c,
   score_mode_q m, low_band lb, ({_BEST_WORST}) bw, per_delta d,
+  (SELECT max(idx) AS idx, max(r) AS r FROM (
+     SELECT idx, {r6('_r')} AS r, row_number() OVER (ORDER BY _r DESC NULLS LAST, idx) AS rank
+     FROM (SELECT idx, {sql_pearson('value', 'perf_media')} AS _r FROM apl GROUP BY 1)) WHERE rank = 1) ta,
+  (SELECT arg_max(assessment, (r, assessment)) AS assessment_top, max(r) AS r_assessment_top FROM ({_ASSESS_R}) WHERE r IS NOT NULL) ts,
   (SELECT count(CASE WHEN potencial_bruto > q66 AND perf_media < 2.0 THEN 1 END) AS subalocados,
           count(CASE WHEN potencial_bruto <= q33 AND perf_media < 1.5 THEN 1 END) AS em_risco FROM nb_banded) k""",
-        "base", "score_mode_q", "low_band", "area_mm", "per_delta", "nb_banded",
+        "base", "score_mode_q", "low_band", "area_mm", "per_delta", "nb_banded", "apl",
     ),
 )
 def headline_kpis(spark, sf_dir):

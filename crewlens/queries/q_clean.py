@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crewlens.catalog import fixtures, model, register
 from crewlens.functions import text
 from crewlens.functions.stats import rounded
-from crewlens.oracle.ctes import PY_SPACE, sql_band, sql_fold, sql_normalize, sql_strip, sql_title, sql_upper, with_ctes
+from crewlens.oracle.ctes import PERIOD_YEARS, PY_SPACE, sql_band, sql_fold, sql_normalize, sql_strip, sql_title, sql_upper, with_ctes
 from crewlens.plans import profile as P
 from crewlens.plans.analysis import period_key, period_label
 from crewlens.plans.feed import split_names
@@ -15,6 +15,9 @@ from crewlens.plans.people import PRESENCE_FLAGS
 from crewlens.queries import q_feed  # noqa: F401  (registers the feed CTEs used below)
 
 
+PERIOD_COLUMNS = [f"perf_{s}_{y}" for y in PERIOD_YEARS for s in (1, 2)]
+
+
 def r6(x: str) -> str:
     return f"round({x}, 6)"
 
@@ -25,10 +28,7 @@ def r6(x: str) -> str:
 )
 def text_fold(spark, sf_dir):
     """X1/X2 on whole documents: NFD fold + whitespace collapse, plain and upper-cased."""
-    from crewlens.operators.core import spread
-
-    d = spread(fixtures(spark, sf_dir).t.documents)
-    return d.select(
+    return fixtures(spark, sf_dir).t.documents.select(
         "doc_id",
         text.normalize_text("text").alias("texto_normalizado"),
         text.normalize_text(F.upper("text")).alias("texto_upper"),
@@ -122,12 +122,14 @@ def presence_totals(spark, sf_dir):
 _MERGED_COLS = (
     "cpf, nome_completo, potencial_bruto, round(raciocinio, 6) AS raciocinio, round(social, 6) AS social, "
     "round(motivacional, 6) AS motivacional, cultura_pontuacao, cultura_classificacao, "
+    "perfil_comunicacao, atributo_comunicacao, "
     + ", ".join(PRESENCE_FLAGS)
-    + ", area, round(perf_media, 6) AS perf_media, n_avaliacoes"
+    + ", area, round(perf_media, 6) AS perf_media, n_avaliacoes, "
+    + ", ".join(PERIOD_COLUMNS)
 )
 
 
-@register("clean_merge", with_ctes(f"SELECT {_MERGED_COLS} FROM base", "base"))
+@register("clean_merge", with_ctes(f"SELECT {_MERGED_COLS} FROM merged", "merged"))
 def clean_merge(spark, sf_dir):
     """Cleaned people ⟕ last area per cpf ⟕ performance summary."""
     df = P.merged(model(spark, sf_dir))
@@ -190,9 +192,8 @@ def ts_parse_duration(spark, sf_dir):
 
 _MERGED_ALL = (
     "nome_completo potencial_bruto raciocinio social motivacional cultura_pontuacao cultura_classificacao "
-    + " ".join(PRESENCE_FLAGS)
-    + " area perf_media n_avaliacoes"
-).split()
+    "perfil_comunicacao atributo_comunicacao " + " ".join(PRESENCE_FLAGS) + " area perf_media n_avaliacoes"
+).split() + PERIOD_COLUMNS
 
 
 @register(
@@ -200,10 +201,10 @@ _MERGED_ALL = (
     with_ctes(
         "SELECT coluna, nulos, round(CAST(nulos AS double) * 100 / nullif(total, 0), 6) AS pct_nulos FROM ("
         + "\nUNION ALL\n".join(
-            f"SELECT '{c}' AS coluna, count(*) - count({c}) AS nulos, count(*) AS total FROM base" for c in ["cpf", *_MERGED_ALL]
+            f"SELECT '{c}' AS coluna, count(*) - count({c}) AS nulos, count(*) AS total FROM merged" for c in ["cpf", *_MERGED_ALL]
         )
         + ") WHERE nulos > 0",
-        "base",
+        "merged",
     ),
 )
 def null_profile(spark, sf_dir):
@@ -211,12 +212,13 @@ def null_profile(spark, sf_dir):
     return P.null_profile_merged(model(spark, sf_dir))
 
 
-_NUM = ["potencial_bruto", "raciocinio", "social", "motivacional", "cultura_pontuacao"]
+_NUM = ["potencial_bruto", "raciocinio", "social", "motivacional", "cultura_pontuacao", "perfil_comunicacao", "atributo_comunicacao"]
 
 
 _RAW_COLS = {
     "assessments": ("people_main", ["cpf", "nome", "sobrenome", "potencial_bruto", "raciocinio", "social",
-                                    "motivacional", "cultura_pontuacao", "cultura_classificacao"]),
+                                    "motivacional", "cultura_pontuacao", "cultura_classificacao",
+                                    "perfil_comunicacao", "atributo_comunicacao"]),
     "performance": ("perf_long", ["cpf", "ano", "semestre", "score"]),
     "area": ("area_raw", ["cpf", "area", "ordinal"]),
 }
@@ -284,7 +286,7 @@ def _dup_sql(table: str, key: str, src: str, cols: str) -> str:
     with_ctes(
         "\nUNION ALL\n".join(
             [
-                _dup_sql("assessments", "*", "people_main", "cpf, nome, sobrenome, potencial_bruto, raciocinio, social, motivacional, cultura_pontuacao, cultura_classificacao"),
+                _dup_sql("assessments", "*", "people_main", "cpf, nome, sobrenome, potencial_bruto, raciocinio, social, motivacional, cultura_pontuacao, cultura_classificacao, perfil_comunicacao, atributo_comunicacao"),
                 _dup_sql("assessments", "cpf", "people_main", "cpf"),
                 _dup_sql("assessments", "nome,sobrenome", "people_main", "nome, sobrenome"),
                 _dup_sql("area", "cpf", "area_raw", "cpf"),
@@ -334,21 +336,13 @@ def key_overlap(spark, sf_dir):
 @register(
     "run_summary",
     with_ctes(
-        """SELECT 'assessments' AS tabela, count(*) AS linhas, 9 AS colunas, CAST(NULL AS double) AS com_area FROM people_main
+        f"""SELECT 'assessments' AS tabela, count(*) AS linhas, 11 AS colunas, CAST(NULL AS double) AS com_area FROM people_main
 UNION ALL SELECT 'performance', count(*), 4, CAST(NULL AS double) FROM perf_long
 UNION ALL SELECT 'area', count(*), 3, CAST(NULL AS double) FROM area_raw
-UNION ALL SELECT 'merged', count(*), 16, CAST(count(area) AS double) FROM base""",
-        "people_main", "perf_long", "area_raw", "base",
+UNION ALL SELECT 'merged', count(*), {len(_MERGED_ALL) + 1}, CAST(count(area) AS double) FROM merged""",
+        "people_main", "perf_long", "area_raw", "merged",
     ),
 )
 def run_summary(spark, sf_dir):
     """S8 of the cleaning job."""
     return P.run_summary(model(spark, sf_dir))
-
-
-@register("contract_check")
-def contract_check(spark, sf_dir):
-    """S5 on the three people tables of the delivery (metadata only; rows-only check)."""
-    m = model(spark, sf_dir)
-    tables = {"assessments": m.people_raw, "performance": m.perf, "area": m.area_raw}
-    return P.validate(spark, tables)

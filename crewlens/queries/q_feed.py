@@ -4,20 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crewlens.catalog import fixtures, register, session_key
+from crewlens.catalog import fixtures, register
 from crewlens.oracle.ctes import CTES, PY_SPACE, sql_normalize, sql_strip, sql_upper, with_ctes
-from crewlens.plans.feed import FeedJob, import_ids
-
-
-_JOBS: dict[tuple[int, str], FeedJob] = {}
+from crewlens.plans.feed import FeedJob, import_ids, salary_days
+from crewlens.sources.tables import promote_header
 
 
 def job(spark, sf_dir) -> FeedJob:
-    """One feed job per session and directory (its resolved list is persisted)."""
-    k = (*session_key(spark), sf_dir.rstrip("/"))
-    if k not in _JOBS:
-        _JOBS[k] = FeedJob.from_fixtures(fixtures(spark, sf_dir))
-    return _JOBS[k]
+    return FeedJob.from_fixtures(fixtures(spark, sf_dir))
 
 
 _NORM = sql_normalize(sql_upper("colaborador"))
@@ -64,7 +58,13 @@ SELECT * EXCLUDE (rn), 'nome duplicado em Pessoas - Full' AS motivo FROM (
   FROM ids i WHERE EXISTS (
     SELECT 1 FROM (SELECT nome, sobrenome FROM sys_people_norm GROUP BY ALL HAVING count(*) > 1) d
     WHERE i.nome IS NOT DISTINCT FROM d.nome AND i.sobrenome IS NOT DISTINCT FROM d.sobrenome)
-) WHERE rn = 1""",
+) WHERE rn = 1
+UNION ALL
+SELECT *, 'situacao ausente' FROM ids WHERE person IS NOT NULL AND situacao IS NULL
+UNION ALL
+SELECT *, 'departamento ausente' FROM ids WHERE person IS NOT NULL AND starts_with(situacao, 'Atual') AND departamento IS NULL
+UNION ALL
+SELECT *, 'cargo ausente' FROM ids WHERE person IS NOT NULL AND starts_with(situacao, 'Atual') AND cargo IS NULL""",
             ("ids", "sys_people_norm"),
         ),
         "salary_rows": (
@@ -220,3 +220,23 @@ def scd2_job(spark, sf_dir):
 )
 def feed_summary(spark, sf_dir):
     return job(spark, sf_dir).summary()
+
+
+@register(
+    "feed_rejects",
+    """SELECT o_orderkey AS id, o_custkey AS person, strftime(o_orderdate, '%Y-%m-%d') AS date, o_totalprice AS salary,
+  'data de salario invalida' AS motivo FROM orders WHERE o_orderkey % 50 = 0""",
+)
+def feed_rejects(spark, sf_dir):
+    """Salary rows whose day cannot be read, with the reason."""
+    return salary_days(fixtures(spark, sf_dir).sys_salaries_text, "date", "dd/MM/yyyy")[1]
+
+
+@register(
+    "feed_header",
+    """SELECT CAST(c_custkey AS varchar) AS chave, c_name AS nome, c_mktsegment AS segmento,
+  c_custkey + 10 AS linha FROM customer""",
+)
+def feed_header(spark, sf_dir):
+    """S3: a sheet with preamble rows; the third row becomes the header."""
+    return promote_header(fixtures(spark, sf_dir).change_sheet, "linha", 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crewlens.catalog import model, register, session_key
+from crewlens.catalog import model, register
 from crewlens.functions.stats import rounded
 from crewlens.oracle.ctes import with_ctes
 from crewlens.plans import ml
@@ -15,20 +15,15 @@ def kmeans_elbow(spark, sf_dir):
     return ml.kmeans_elbow(model(spark, sf_dir))
 
 
-_ARCHETYPES: dict[tuple, ml.Archetypes] = {}
-
-
 def archetypes(spark, sf_dir) -> ml.Archetypes:
-    """One k = 4 fit (best of 10 seeds) per session and directory, shared by the three views."""
-    k = (*session_key(spark), sf_dir.rstrip("/"))
-    if k not in _ARCHETYPES:
-        _ARCHETYPES[k] = ml.Archetypes(model(spark, sf_dir))
-    return _ARCHETYPES[k]
+    """A k = 4 fit (best of 10 seeds) on the tables as they are now."""
+    return ml.Archetypes(model(spark, sf_dir))
 
 
 @register("kmeans_profile")
 def kmeans_profile(spark, sf_dir):
-    return archetypes(spark, sf_dir).profile()
+    p = archetypes(spark, sf_dir).profile()
+    return p.select("cluster", "perfil", "idx", rounded("_media").alias("media"), "n")
 
 
 @register("kmeans_area_fit")

@@ -38,6 +38,20 @@ def ninebox_listing(spark, sf_dir):
     return ninebox.listing(model(spark, sf_dir))
 
 
+@register(
+    "ninebox_quadrant",
+    with_ctes(
+        """SELECT cpf, nome_completo, area, round(potencial_bruto, 6) AS potencial_bruto,
+  round(perf_media, 6) AS perf_media, pot_cat, perf_cat, quadrante, CAST(coalesce(_ordem, 0) AS int) AS ordem
+FROM nb_quad WHERE quadrante IN ('Estrela', 'Enigma', 'Core')""",
+        "nb_quad",
+    ),
+)
+def ninebox_quadrant(spark, sf_dir):
+    """the listing of chosen quadrants."""
+    return ninebox.listing(model(spark, sf_dir), ("Estrela", "Enigma", "Core"))
+
+
 @register(
     "quadrant_counts",
     with_ctes("SELECT quadrante, count(*) AS n FROM nb_quad GROUP BY 1", "nb_quad"),
