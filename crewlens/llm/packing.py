@@ -24,6 +24,8 @@ from crewlens.llm.tokenize import WORD_BPE, Vocabulary, encoder, with_end
 
 MAX_LENGTH = 4096
 END_ID = 2
+#: Rows of the (bucket, partition) table that may be broadcast, some 30 bytes each.
+BROADCAST_SLICES = 500_000
 
 
 def binary_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
@@ -109,6 +111,8 @@ def pack_documents(
     longer = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     bases = sizes.select("bucket", F.coalesce(F.sum("_size").over(longer), F.lit(0)).alias("_base"))
     starts = slices.join(bases, "bucket").select("bucket", "_part", (F.col("_before") + F.col("_base")).alias("_from"))
+    if slices.count() <= BROADCAST_SLICES:  # the ids then stay where they are; beyond it they are shuffled by slice
+        starts = F.broadcast(starts)
     return pieces.join(starts, ["bucket", "_part"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("_from") + F.col("_nth")).cast("long").alias("sequence_id"),

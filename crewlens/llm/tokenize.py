@@ -20,7 +20,7 @@ import pyarrow as pa
 from crewlens.llm.bytescan import blocks, span_hashes, text_buffer
 
 #: pieces that a worker keeps; beyond it the memo starts anew (memory only, no effect on ids)
-MEMO_PIECES = 400_000
+MEMO_PIECES = 700_000
 
 _OTHER, _SPACE, _LETTER, _DIGIT, _SIGN = range(5)
 _KIND = np.zeros(256, np.uint8)

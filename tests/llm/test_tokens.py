@@ -155,3 +155,11 @@ def test_scripts_without_spaces_are_cut_between_rows():
     for vocab in (tokenize.WORD_BPE, tokenize.BYTE_BPE):
         ids, lengths = tokenize.encoder(vocab).encode(column)
         assert [g.tolist() for g in np.split(ids, np.cumsum(lengths)[:-1])] == library_ids(vocab, texts)
+
+
+def test_packing_is_the_same_without_the_broadcast(small_docs, monkeypatch):
+    from crewlens.llm import packing
+
+    wide = rows_of(pack_documents(small_docs, with_ids=False))
+    monkeypatch.setattr(packing, "BROADCAST_SLICES", 0)
+    assert rows_of(pack_documents(small_docs, with_ids=False)) == wide
