@@ -104,7 +104,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.ngram_lm import language_model_scores
 
-    return language_model_scores(table(spark, sf_dir, "documents"))
+    return language_model_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 # -- DuckDB twins, where SQL can express an operator: all pairs, no index ------
