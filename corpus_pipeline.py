@@ -31,7 +31,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), scaled=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,14 @@ NEEDED = 11  # of them equal: 2 substitutions, a similarity over 0.8
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 #: Items of fewer tokens say too little to tell a leak from ordinary prose.
 LEAST_TOKENS = 5
+#: Scaled rule: the masks that find every overlap of so many tokens (all of the shorter text), whichever of them differ.
+SHORT_MASKS = {
+    (0, 1, 2, 3): (4, 8, 9, 12), (0, 1, 2): (3, 5, 6, 7, 10, 11), (0, 1, 4): (5,), (0, 1): (2,), (0,): (1,),
+}
+#: A text of one token takes part only if it is a run of letters like this, a sentence in a script without spaces.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]{5}"
+#: A text with as many tokens as a window, told from its first words; lower-casing never joins two tokens.
+AT_LEAST_WINDOW = rf"\A(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{{WINDOW}}}"
 #: Benchmark tokens that are broadcast at a time (some 100 bytes each).
 BLOCK_TOKENS = 200_000
 
@@ -31,11 +39,17 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(rows: DataFrame, words: str, masks: list[tuple[int, ...]]) -> DataFrame:
+def _needed(wide: Column) -> Column:
+    """Equal tokens asked of ``wide`` aligned ones under the scaled rule: at least 0.8 of them."""
+    return F.floor((wide * 4 + 4) / 5).cast("int")
+
+
+def _seeds(rows: DataFrame, words: str, masks: list[tuple[int, ...]], only: dict[int, tuple[int, ...]] | None = None) -> DataFrame:
     """``rows`` times each position and mask: ``_pos`` and ``_seed`` (null past the end).
 
-    The word array stays in the task's generated loop: a row is only built for
-    the seeds that survive the join.
+    Mask number m is left to texts of the sizes ``only[m]``, if named. The word
+    array stays in the task's generated loop: a row is only built for the seeds
+    that survive the join.
     """
     n = len(masks)
     spread = rows.where(F.size(words) > 0).withColumn(
@@ -47,6 +61,8 @@ def _seeds(rows: DataFrame, words: str, masks: list[tuple[int, ...]]) -> DataFra
     for m, mask in enumerate(masks):
         under = [F.get(words, F.col("_pos") + F.lit(k)) for k in mask]
         fits = F.col("_pos") + mask[-1] < F.size(words)
+        if only and m in only:
+            fits = fits & F.size(words).isin(*only[m])
         seed = F.when((F.col("_at") % n == m) & fits, F.xxhash64(F.lit(m), *under)).otherwise(seed)
     return spread.withColumn("_seed", seed).where(F.col("_seed").isNotNull())
 
@@ -73,6 +89,7 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_tokens: int = BLOCK_TOKENS,
+    scaled: bool = False,
 ) -> DataFrame:
     """One row per document, item and diagonal with a verified overlap.
 
@@ -82,6 +99,9 @@ def find_leaks(
     ``equal_tokens`` (on the diagonal) and ``window_equal`` (the most in any
     window). An overlap counts if some window of 13 aligned tokens has at least
     11 equal; an item of 5 to 12 tokens must be there whole and unchanged.
+    With ``scaled`` the window is 13 tokens or the whole of a shorter item or
+    document, and at least 0.8 of it must be equal (under 5 tokens: all). Texts
+    of one token then count only as sentences in a script without spaces.
 
     Null and empty texts have no tokens and no leaks. A null id stays null.
     Repeated rows (same id and text) give their leaks once; repeated items too.
@@ -90,24 +110,37 @@ def find_leaks(
     all documents, so documents are never shuffled.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col).cast("string")).alias("_item"))
-    items = items.where(F.size("_item") >= LEAST_TOKENS).distinct()
-    short = items.where(F.size("_item") < WINDOW).select(F.size("_item").alias("n")).distinct().collect()  # 8 at most
-    whole = [tuple(range(r["n"])) for r in sorted(short)]
-    masks = [*MASKS, *whole]
+    lone = (F.size("_item") == 1) & F.get("_item", F.lit(0)).rlike(UNSPACED)
+    items = items.where((F.size("_item") > 1) | lone if scaled else F.size("_item") >= LEAST_TOKENS).distinct()
+    short = items.where(F.size("_item") < WINDOW).select(F.size("_item").alias("n")).distinct().collect()  # 12 at most
+    sizes = sorted(r["n"] for r in short)
+    masks, item_only = [*MASKS], {}
+    if scaled:
+        for mask, fit in SHORT_MASKS.items():
+            if fitting := tuple(n for n in fit if n in sizes):
+                item_only[len(masks)] = fitting
+                masks.append(mask)
+        block_tokens = max(1, block_tokens * len(MASKS) // (len(masks) + len(SHORT_MASKS)))
+    else:
+        masks += [tuple(range(n)) for n in sizes]
     n_blocks = _blocks(items, block_tokens)
-    source = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
-        tokens(F.col(text_col).cast("string")).alias("_words"),
-    )
-    hits = _seeds(source, "_words", masks)
+    text = F.col(text_col).cast("string")
+    source = [F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), tokens(text).alias("_words")]
+    searches = [(_seeds(docs.select(*source), "_words", masks), masks, item_only)]
+    if scaled:
+        # documents shorter than a window, in any item; a pass of their own, so the long ones keep few masks
+        brief = docs.where(~text.rlike(AT_LEAST_WINDOW)).select(*source)
+        brief = brief.where((F.size("_words") > 1) | F.get("_words", F.lit(0)).rlike(UNSPACED))
+        searches.append((_seeds(brief, "_words", [*SHORT_MASKS], dict(enumerate(SHORT_MASKS.values()))), [*SHORT_MASKS], None))
     found = None
     for b in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "_item"), F.lit(n_blocks)) == b)
-        keys = _seeds(part.withColumn("_key", F.xxhash64("item_id", "_item")), "_item", masks)
-        keys = keys.select("_seed", "_key", F.col("_pos").alias("_item_pos"))
         texts = part.select(F.xxhash64("item_id", "_item").alias("_key"), "item_id", "_item")
-        one = hits.join(F.broadcast(keys), "_seed").join(F.broadcast(texts), "_key")
-        found = one if found is None else found.union(one)
+        for hits, with_masks, only in searches:
+            keys = _seeds(part.withColumn("_key", F.xxhash64("item_id", "_item")), "_item", with_masks, only)
+            keys = keys.select("_seed", "_key", F.col("_pos").alias("_item_pos"))
+            one = hits.join(F.broadcast(keys), "_seed").join(F.broadcast(texts), "_key")
+            found = one if found is None else found.union(one)
 
     diagonal = F.col("_pos") - F.col("_item_pos")
     lead = F.greatest(-diagonal, F.lit(0))  # item tokens before the document begins
@@ -121,12 +154,13 @@ def find_leaks(
     )
     # equal tokens by item position, from the first aligned one
     lines = found.select(
-        "doc_id", "text_hash", "item_id", diagonal.alias("doc_token"), F.size("_item").alias("item_tokens"), equal.alias("_equal")
+        "doc_id", "text_hash", "item_id", diagonal.alias("doc_token"), F.size("_item").alias("item_tokens"), equal.alias("_equal"),
+        (F.least(F.lit(WINDOW), F.size("_item"), F.size("_words")) if scaled else F.least(F.lit(WINDOW), F.size("_item"))).alias("_wide"),
     )
-    need = F.when(F.col("item_tokens") < WINDOW, F.col("item_tokens")).otherwise(F.lit(NEEDED))
+    wide = F.col("_wide")
+    need = _needed(wide) if scaled else F.when(F.col("item_tokens") < WINDOW, F.col("item_tokens")).otherwise(F.lit(NEEDED))
     lines = lines.withColumn("equal_tokens", F.length(F.replace("_equal", F.lit("0"), F.lit(""))))
     lines = lines.where(F.col("equal_tokens") >= need).groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("_hits"))
-    wide = F.least(F.lit(WINDOW), F.col("item_tokens"))
     counts = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("_equal") - wide + 1, F.lit(1)), F.lit(1)),
         lambda i: F.length(F.replace(F.substring(F.col("_equal"), i, wide), F.lit("0"), F.lit(""))),

@@ -49,7 +49,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.decontaminate import find_leaks
 
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scaled=True).drop("text_hash")
 
 
 @register("op4_language_id")
