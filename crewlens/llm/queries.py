@@ -107,6 +107,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"), order=3)
 
 
+@register("op13_filter_interactions")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.filter_audit import filter_interactions
+
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # -- DuckDB twins, where SQL can express an operator: all pairs, no index ------
 ORACLE["op2_epsilon_grid_order"] = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS double[]) AS e FROM embeddings),
@@ -139,3 +146,31 @@ SELECT doc_id, item_id, CAST(g AS int) AS doc_token, CAST(n AS int) AS item_toke
   CAST(best AS int) AS window_equal
 FROM f WHERE best >= CASE WHEN n < 13 THEN n ELSE 11 END
 """
+
+ORACLE["op13_filter_interactions"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w,
+    min(doc_id) OVER (PARTITION BY x) AS first_id FROM t),
+m AS (SELECT doc_id, part, CAST(len(w) < 100 AS int) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS int)
+    + 4 * CAST(100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) AS int)
+    + 8 * CAST(regexp_matches(x, '[#$%&*|]') AS int) + 16 * CAST(coalesce(doc_id > first_id, false) AS int) AS m FROM w),
+l AS (SELECT m.*, EXISTS (SELECT 1 FROM labels b WHERE b.doc_id = m.doc_id AND b.quality = 1) AS g,
+    EXISTS (SELECT 1 FROM labels b WHERE b.doc_id = m.doc_id AND b.toxic = 1) AS x FROM m),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (WHERE g) AS g, count(*) FILTER (WHERE x) AS x FROM l GROUP BY part, m),
+f(f) AS (SELECT unnest(['A', 'B', 'C', 'D', 'E'])),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT o, s, CAST(pow(2, ascii(o[s]) - 65) AS int) AS own,
+    CAST(coalesce(list_sum(list_transform(range(1, s), lambda i: pow(2, ascii(o[i]) - 65))), 0) AS int) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS s)),
+r AS (SELECT part, o, s, own, CAST(sum(CASE WHEN m & (own | before) = 0 THEN n ELSE 0 END) AS bigint) AS kept,
+    CAST(sum(CASE WHEN m & own <> 0 AND m & before = 0 THEN n ELSE 0 END) AS bigint) AS removed,
+    CAST(sum(CASE WHEN m & own <> 0 AND m & before <> 0 THEN n ELSE 0 END) AS bigint) AS redundant,
+    CAST(sum(CASE WHEN m = own THEN n ELSE 0 END) AS bigint) AS unique_fails,
+    CAST(sum(CASE WHEN m & own <> 0 AND m & before = 0 THEN g ELSE 0 END) AS bigint) AS good_lost,
+    CAST(sum(CASE WHEN m & own <> 0 AND m & before = 0 THEN x ELSE 0 END) AS bigint) AS toxic_lost
+  FROM c, s GROUP BY part, o, s, own)
+SELECT part, o AS filter_order, CAST(s AS int) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS bigint) AS shapley
+FROM r
+"""
