@@ -107,6 +107,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"), order=3)
 
 
+@register("op11_suffix_levels")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.suffix_dedup import remove_long_repeats
+
+    return remove_long_repeats(table(spark, sf_dir, "documents"))
+
+
+@register("op12_hard_negatives")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crewlens.llm.hard_negatives import mine_hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 @register("op13_filter_interactions")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crewlens.llm.filter_audit import filter_interactions
@@ -174,3 +190,16 @@ SELECT part, o AS filter_order, CAST(s AS int) AS step, kept, removed, redundant
   CAST(sum(removed) OVER (PARTITION BY part, own) AS bigint) AS shapley
 FROM r
 """
+
+ORACLE["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS double[]), lambda x: floor(256 * x)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS bigint) AS s
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, c, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, c) <= 5),
+n AS (SELECT p.a, p.c AS p, p.s AS ps, s.c AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.s DESC, s.c) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND s.s <= p.s)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS int) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE r <= 5
+"""
