@@ -126,3 +126,9 @@ def first_word_level(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     words = F.split(strip_py(c), PY_SPACE + "+")
     return normalize_text(F.upper(F.element_at(words, 1)))
+
+
+def strip_prefix(col, prefix: str) -> Column:
+    """The text without ``prefix`` at its start (unchanged when it has none)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)

@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crewlens.operators import core
-from crewlens.plans.feed import FeedJob, import_ids, salary_days
+from crewlens.plans.feed import FeedJob, salary_days
 from crewlens.plans.people import PeopleModel
 from crewlens.plans.profile import run_summary
-from crewlens.session import written_once
 from crewlens.sources import tables as T
 
 # The reference's input headers -> our column names.
@@ -169,7 +168,7 @@ def salary_history(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def feed_job(spark: SparkSession, changes: str, system_dir: str, out_dir: str, header_row: int | None = None,
-             ext: str = ".parquet", fmt: str | None = None, sequence: bool = False,
+             ext: str = ".parquet", fmt: str | None = None, sequence: bool | str = False,
              normalize_departments: bool = False) -> dict:
     """Lifecycle (2): resolve, diff and write the five import tables and the salary rejects."""
     base = system_dir.rstrip("/")
@@ -183,21 +182,12 @@ def feed_job(spark: SparkSession, changes: str, system_dir: str, out_dir: str, h
         T.read_table(spark, f"{base}/jobs{ext}"),
         sequence=sequence, normalize_departments=normalize_departments,
     )
-    # every output reads the resolved list: it is written once, to the shared folder
-    job.ids = written_once(job.ids, "resolved")
-    new, _ = job.salaries_split
-    outputs = {
-        "pendencias": job.pending,
-        "salarios": new,
-        # ids are internal; the import file leaves them blank
-        "instancia_area": job.created.select(F.lit("").alias("id"), "name"),
-        "areas": import_ids(job.area_changes),
-        "cargos": import_ids(job.job_changes),
-        "rejeitados": rejects,
-    }
-    for name, df in outputs.items():
+    def write(name: str, df: DataFrame) -> None:
         T.write_table(df, f"{out_dir.rstrip('/')}/{name}{ext if fmt is None else '.' + fmt}", fmt)
-    return job.summary().first().asDict()
+
+    counts = job.run(write)
+    write("rejeitados", rejects)
+    return counts
 
 
 def main(argv=None) -> None:
@@ -215,7 +205,8 @@ def main(argv=None) -> None:
     f.add_argument("system_dir")
     f.add_argument("out_dir")
     f.add_argument("--header-row", type=int)
-    f.add_argument("--sequence", action="store_true", help="apply only the latest change of a person")
+    f.add_argument("--sequence", nargs="?", const="latest", default=False, choices=["latest", "chain"],
+                   help="apply only the latest change of a person, or all in order, each ended by the next")
     f.add_argument("--normalize-departments", action="store_true")
     f.add_argument("--ext", default=".parquet")
     f.add_argument("--format")

@@ -147,7 +147,11 @@ WHERE o_orderdate >= timestamp '2000-07-01 00:00:00'""",
     ),
     "attributes_long": (
         """SELECT vec_id AS cpf, CAST(i AS int) AS idx, CAST(embedding[i] AS double) * 100 + 50 AS value
-FROM embeddings, range(1, 17) t(i)""",
+FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
+        (),
+    ),
+    "attribute_names": (
+        """SELECT CAST(p_partkey AS int) AS idx, min(p_name) || ' ' || p_partkey AS atributo FROM part GROUP BY p_partkey""",
         (),
     ),
     # ---- cleaned people model -------------------------------------------
@@ -197,7 +201,8 @@ FROM perf_long l JOIN people p ON l.cpf = p.cpf LEFT JOIN area a ON l.cpf = a.cp
         ("perf_long", "people", "area"),
     ),
     "attrs_complete": (
-        """SELECT cpf FROM attributes_long WHERE value IS NOT NULL GROUP BY cpf HAVING count(idx) = 16""",
+        """SELECT cpf FROM attributes_long WHERE value IS NOT NULL GROUP BY cpf
+HAVING count(idx) = (SELECT max(len(embedding)) FROM embeddings)""",
         ("attributes_long",),
     ),
     # ---- 9-box ----------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crewlens.functions import labels as L
 from crewlens.functions.stats import pearson, quantile_cuts, rounded, strength_words, trend_class
+from crewlens.operators.arrays import array_correlations
 from crewlens.operators.core import attach_one_row, crosstab_zero_fill, ranked, share_within, top_k, unstack, value_counts
 from crewlens.operators.quantiles import exact_quantiles
 from crewlens.plans.people import ASSESSMENT_COLUMNS, PeopleModel, period_column
@@ -157,35 +158,25 @@ def potential_fit(m: PeopleModel) -> DataFrame:
     )
 
 
-def attr_perf_long(m: PeopleModel, with_area: bool) -> DataFrame:
-    """Complete cases of the attribute table (all attributes + perf [+ area]) in long form."""
-    return attr_long(complete_cases(m, with_area))
-
-
 def complete_cases(m: PeopleModel, with_area: bool) -> DataFrame:
     """One row per person with performance [, area] and the whole attribute array."""
     cols = ("perf_media", "area") if with_area else ("perf_media",)
     return m.base(*cols).dropna(subset=list(cols)).join(m.complete_vectors(), "cpf")
 
 
-def attr_long(cases: DataFrame) -> DataFrame:
-    """The attribute array as (idx, value) rows; exploded once, after the person join."""
-    keep = [c for c in cases.columns if c != "attrs"]
-    return cases.select(*keep, F.posexplode("attrs").alias("_p", "value")).withColumn("idx", F.col("_p") + 1).drop("_p")
+def attr_correlations(m: PeopleModel, with_area: bool) -> DataFrame:
+    """R of each attribute with performance [per area], by array moments (no row per attribute)."""
+    return array_correlations(complete_cases(m, with_area), ["area"] if with_area else [], "attrs", "perf_media", m.n_attributes(), "_r")
 
 
 def attr_corr_by_area(m: PeopleModel) -> DataFrame:
-    """Pearson r of each attribute with performance per area (one group-by)."""
-    return attr_perf_long(m, True).groupBy("area", "idx").agg(
-        rounded(pearson("value", "perf_media")).alias("r"), F.count(F.lit(1)).alias("n")
-    )
+    """Pearson r of each attribute with performance per area."""
+    return attr_correlations(m, True).select("area", "idx", rounded("_r").alias("r"), "n")
 
 
 def attr_corr_global(m: PeopleModel) -> DataFrame:
     """Pearson r of each attribute with performance; rank 1 = strongest positive."""
-    corr = attr_perf_long(m, False).groupBy("idx").agg(
-        pearson("value", "perf_media").alias("_r"), F.count(F.lit(1)).alias("n")
-    )
+    corr = attr_correlations(m, False)
     return ranked(corr, [F.col("_r").desc_nulls_last(), F.col("idx")]).select("idx", rounded("_r").alias("r"), "n", "rank")
 
 
@@ -236,25 +227,21 @@ def duration_vs_score(m: PeopleModel, cut_for: dict[str, float] | None = None, d
 
 def top_attrs_by_area(m: PeopleModel) -> DataFrame:
     """Top-3 attributes (by r) per area with >= 5 complete rows."""
-    # one explode: a (area, idx) group has one row per person, so its count is the
-    # area's number of complete rows, and the areas' counts add up to the table's
-    corr = attr_perf_long(m, True).groupBy("area", "idx").agg(
-        pearson("value", "perf_media").alias("_r"), F.count(F.lit(1)).alias("_rows")
-    )
-    total = F.sum(F.when(F.col("idx") == 1, F.col("_rows"))).over(Window.partitionBy())  # areas x attributes rows
+    corr = attr_correlations(m, True)
+    total = F.sum(F.when(F.col("idx") == 1, F.col("n"))).over(Window.partitionBy())  # areas x attributes rows
     # the block runs only when the complete attribute table has > 10 rows
     corr = corr.withColumn("_total", total).where(
-        (F.col("_rows") >= MIN_ROWS_AREA_CORR) & (F.col("_total") > MIN_ROWS_ATTR_TABLE)
+        (F.col("n") >= MIN_ROWS_AREA_CORR) & (F.col("_total") > MIN_ROWS_ATTR_TABLE)
     )
     top = top_k(corr, ["area"], [F.col("_r").desc_nulls_last(), F.col("idx")], TOP_ATTRIBUTES, "rank")
-    return top.select("area", "rank", "idx", rounded("_r").alias("r"))
+    return m.named(top).select("area", "rank", "idx", "atributo", rounded("_r").alias("r"))
 
 
 def hiring_hint(m: PeopleModel) -> DataFrame:
     """Per area the top attributes with r as one text, and the hiring hint."""
-    best = top_attrs_by_area(m).groupBy("area").agg(F.array_sort(F.collect_list(F.struct("rank", "idx", "r"))).alias("t"))
-    shown = F.array_join(F.transform("t", lambda a: F.format_string("%d (r=%.2f)", a["idx"], a["r"])), ", ")
-    names = F.array_join(F.transform(F.slice("t", 1, 2), lambda a: a["idx"].cast("string")), " e ")
+    best = top_attrs_by_area(m).groupBy("area").agg(F.array_sort(F.collect_list(F.struct("rank", "atributo", "r"))).alias("t"))
+    shown = F.array_join(F.transform("t", lambda a: F.format_string("%s (r=%.2f)", a["atributo"], a["r"])), ", ")
+    names = F.array_join(F.transform(F.slice("t", 1, 2), lambda a: a["atributo"]), " e ")
     return best.select(
         "area", shown.alias("atributos"),
         F.concat(F.lit("Priorizar candidatos com alto score em "), names).alias("recomendacao"),

@@ -17,17 +17,21 @@ aggregates (``min_by``), never a sort of a whole name group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from crewlens.functions import labels as L
 from crewlens.functions import text
 from crewlens.operators.core import attach_one_row, keep_by
-from crewlens.operators.scd2 import scd2_diff
+from crewlens.operators.reduce import reduced_by_keys
+from crewlens.operators.scd2 import scd2_chain, scd2_diff
 from crewlens.operators.sequence import numbered
+from crewlens.session import written_once
+
 
 def import_ids(df: DataFrame) -> DataFrame:
     """Import-file form of SCD2 records: the existing id to edit, blank to create."""
@@ -122,8 +126,12 @@ def latest_per_person(ids: DataFrame) -> DataFrame:
 
 
 def salary_rows(found: DataFrame, salaries: DataFrame) -> DataFrame:
-    """E4 part 1: classify every resolved change (X18) against the last salary date."""
-    last = salaries.groupBy("person").agg(F.max("dt").alias("ultima_data_salario"))
+    """E4 part 1: classify every resolved change (X18) against the last salary date.
+
+    Only the history of people in the feed is aggregated and shuffled.
+    """
+    last = reduced_by_keys(salaries, found, "person")
+    last = last.groupBy("person").agg(F.max("dt").alias("ultima_data_salario"))
     j = found.join(last, "person", "left")
     date, lastd = F.col("data_alteracao"), F.col("ultima_data_salario")
     raise_type = (
@@ -152,10 +160,15 @@ def salary_days(salaries: DataFrame, day_col: str, fmt: str) -> tuple[DataFrame,
     return parsed.where(F.col("dt").isNotNull()), bad
 
 
+def paid_days(found: DataFrame, salaries: DataFrame) -> DataFrame:
+    """Distinct (person, day) of the salary history, of people in the feed."""
+    return reduced_by_keys(salaries, found, "person").select("person", F.to_date("dt").alias("_day")).distinct()
+
+
 def salary_split(found: DataFrame, salaries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new salary rows, already-present rows) on the (person, day) key (J4 anti / J5 semi)."""
     rows = salary_rows(found, salaries)
-    hist = salaries.select("person", F.to_date("dt").alias("_day")).distinct()
+    hist = paid_days(found, salaries)
     keys = ["person", "_day"]
     new = rows.join(hist, keys, "left_anti").drop("_day")
     skipped = rows.join(hist, keys, "left_semi").select("person", "date", "salary")
@@ -166,7 +179,7 @@ def new_instances(found: DataFrame, instances: DataFrame) -> DataFrame:
     """E5: departments not yet known, numbered max(id)+1.. in order of first appearance.
 
     Names are free text, so their number grows with the feed: they are numbered
-    slice by slice, never in one window.
+    inside range partitions, never in one window.
     """
     depts = (
         found.where(F.col("departamento").isNotNull())
@@ -193,16 +206,18 @@ def current_rows(found: DataFrame) -> DataFrame:
     return found.where(F.coalesce(F.col("situacao").startswith(L.PRESENT_STATUS_PREFIX), F.lit(False)))
 
 
-def scd2_area(found: DataFrame, areas: DataFrame, instances: DataFrame, created: DataFrame) -> DataFrame:
+def scd2_area(found: DataFrame, areas: DataFrame, instances: DataFrame, created: DataFrame, chain: bool = False) -> DataFrame:
     """Close / open area records; departments mapped to instance ids.
 
     A change whose department is null is not applied (it would open a record
-    without an area); ``pending`` lists it with its reason.
+    without an area); ``pending`` lists it with its reason. ``chain``: the
+    changes of a person follow each other instead of each meeting the system row.
     """
     cur = current_rows(found).where(F.col("departamento").isNotNull())
     mapped = cur.join(instance_map(instances, created), cur["departamento"] == F.col("name"), "left").drop("name")
     active = areas.where(F.col("end_date").isNull()).select("id", "person", "start_date", F.col("area").alias("area_atual"))
-    return scd2_diff(
+    diff = partial(scd2_chain, tie="chg_id") if chain else scd2_diff
+    return diff(
         mapped, active, "person", "data_alteracao", "area_nova", "area_atual",
         new_payload={"area": F.col("area_nova").cast("long")},
         cur_payload={"area": F.col("area_atual").cast("long")},
@@ -210,8 +225,8 @@ def scd2_area(found: DataFrame, areas: DataFrame, instances: DataFrame, created:
     )
 
 
-def scd2_job(found: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Close / open job records on the normalised title.
+def scd2_job(found: DataFrame, jobs: DataFrame, chain: bool = False) -> DataFrame:
+    """Close / open job records on the normalised title (``chain`` as in ``scd2_area``).
 
     New titles are exported upper-case with accents kept; level = first word
     (normalised). A history row without a level gets it from its own title.
@@ -228,7 +243,8 @@ def scd2_job(found: DataFrame, jobs: DataFrame) -> DataFrame:
         text.normalize_text("name").alias("cargo_atual_norm"),
         level.alias("level_atual"),
     )
-    return scd2_diff(
+    diff = partial(scd2_chain, tie="chg_id") if chain else scd2_diff
+    return diff(
         cur, active, "person", "data_alteracao", "cargo_norm", "cargo_atual_norm",
         new_payload={"name": F.upper("cargo"), "level": F.col("level_novo")},
         cur_payload={"name": F.col("cargo_atual"), "level": F.col("level_atual")},
@@ -244,8 +260,9 @@ class FeedJob:
     areas: DataFrame
     instances: DataFrame
     jobs: DataFrame
-    #: Apply only the latest change of a person instead of each against the system row
-    sequence: bool = False
+    #: B10: "each" change against the system row (True / "latest": only a person's latest;
+    #: "chain": in order, each opening closed by the next)
+    sequence: bool | str = False
     #: Compare departments upper-cased, without accents and doubled spaces
     normalize_departments: bool = False
 
@@ -279,7 +296,7 @@ class FeedJob:
 
     @cached_property
     def found(self) -> DataFrame:
-        if self.sequence:
+        if self.sequence in (True, "latest"):
             return latest_per_person(self.ids)
         return self.ids.where(F.col("person").isNotNull())
 
@@ -303,35 +320,56 @@ class FeedJob:
 
     @cached_property
     def area_changes(self) -> DataFrame:
-        return scd2_area(self.found, self.areas, self.known_instances, self.created)
+        return scd2_area(self.found, self.areas, self.known_instances, self.created, self.sequence == "chain")
 
     @cached_property
     def job_changes(self) -> DataFrame:
-        return scd2_job(self.found, self.jobs)
+        return scd2_job(self.found, self.jobs, self.sequence == "chain")
+
+    @property
+    def salary_marks(self) -> DataFrame:
+        """Every salary row of the feed, ``_h`` = 1 where its day is in the history."""
+        hist = paid_days(self.found, self.salaries).withColumn("_h", F.lit(1))
+        return salary_rows(self.found, self.salaries).join(hist, ["person", "_day"], "left")
+
+    def run(self, write: Callable[[str, DataFrame], None]) -> dict[str, int]:
+        """Hand every output to ``write`` once; return the counts taken while they are written.
+
+        The resolved list, where every output starts, is written first. Counts
+        are observed metrics of the writes, so no output is computed twice.
+        """
+        counts: dict[str, int] = {}
+
+        def observed(df: DataFrame, use: Callable[[DataFrame], DataFrame | None], **named) -> DataFrame | None:
+            seen = Observation()
+            out = use(df.observe(seen, *[expr.alias(name) for name, expr in named.items()]))
+            got = seen.get
+            counts.update({name: got.get(name) or 0 for name in named})
+            return out
+
+        def output(name: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df):
+            return lambda df: write(name, shape(df))
+
+        everything, acao, old = F.count(F.lit(1)), F.col("acao"), F.col("_h").isNotNull()
+        self.ids = observed(
+            self.ids, lambda df: written_once(df, "resolved"), linhas=everything, resolvidos=F.count_if(F.col("person").isNotNull()),
+        )
+        observed(self.pending, output("pendencias"), pendentes=everything)
+        observed(
+            self.salary_marks, output("salarios", lambda df: df.where("_h IS NULL").select("id", "person", "date", "salary", "raise_type")),
+            salarios_novos=F.count_if(~old), salarios_ignorados=F.count_if(old),
+        )
+        # ids are internal; the import file leaves them blank
+        observed(self.created, output("instancia_area", lambda df: df.select(F.lit("").alias("id"), "name")), instancias_novas=everything)
+        observed(
+            self.area_changes, output("areas", import_ids), areas_fechadas=F.count_if(acao == "fechar"), areas_abertas=F.count_if(acao == "abrir"),
+        )
+        observed(
+            self.job_changes, output("cargos", import_ids), cargos_fechados=F.count_if(acao == "fechar"), cargos_abertos=F.count_if(acao == "abrir"),
+        )
+        return counts
 
     def summary(self) -> DataFrame:
-        """Run counts as one row. Each output table is aggregated once
-        (conditional counts), then the one-row parts are placed side by side."""
-        def one(df: DataFrame, **named) -> DataFrame:
-            return df.agg(*[expr.alias(name) for name, expr in named.items()])
-
-        def cnt(cond=None):
-            return F.count(F.lit(1)) if cond is None else F.count(F.when(cond, 1))
-
-        acao = F.col("acao")
-        rows = salary_rows(self.found, self.salaries)
-        hist = self.salaries.select("person", F.to_date("dt").alias("_day")).distinct().withColumn("_h", F.lit(1))
-        sal = rows.join(hist, ["person", "_day"], "left")
-        parts = [
-            one(self.changes, linhas=cnt()),
-            one(self.ids, resolvidos=cnt(F.col("person").isNotNull())),
-            one(self.pending, pendentes=cnt()),
-            one(sal, salarios_novos=cnt(F.col("_h").isNull()), salarios_ignorados=cnt(F.col("_h").isNotNull())),
-            one(self.created, instancias_novas=cnt()),
-            one(self.area_changes, areas_fechadas=cnt(acao == "fechar"), areas_abertas=cnt(acao == "abrir")),
-            one(self.job_changes, cargos_fechados=cnt(acao == "fechar"), cargos_abertos=cnt(acao == "abrir")),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = attach_one_row(out, p)
-        return out
+        """Run counts as one row, from one pass over each output."""
+        counts = self.run(lambda name, df: df.write.format("noop").mode("overwrite").save())
+        return self.changes.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))

@@ -1,27 +1,33 @@
-"""Behavioural clusters and regression (D15, D16, D17, D19) with Spark ML.
-
-* Features are read from the person's attribute array (no shuffle), z-scored with *population* std (sklearn
-  ``StandardScaler``; std 0 -> scale 1) using a one-row broadcast of the
-  column statistics.
-* K-Means is Spark's k-means|| ; the reference keeps the best of 10
-  restarts, so each fit keeps the lowest training cost over ``n_init``
-  seeds. Cluster numbers are arbitrary in both engines; here they are
-  renumbered by descending size (ties by centroid of attribute 1).
-* Silhouette is ``ClusteringEvaluator`` (squared Euclidean, linear time):
-  same purpose as the reference's exact pairwise Euclidean score, not the
-  same number (the exact one is O(n^2)).
-* Only model outputs (costs, centres, coefficients: bounded by k and the
-  feature count) come back to the driver.
+"""Behavioural clusters and regression.
+
+* Features stay in the person's attribute array (no shuffle by attribute),
+  z-scored with *population* std (sklearn ``StandardScaler``; std 0 -> scale 1)
+  from one vector aggregate.
+* K-Means fits all (k, start) models over one scan per Lloyd pass
+  (``operators/kmeans.py``) and keeps the least inertia of 10 starts per k, with
+  the reference's stopping rule. Starts are k rows chosen by digest, so results
+  do not depend on the cluster. Clusters are numbered by size.
+* Silhouette is the squared Euclidean one, linear in the rows: same purpose as
+  the reference's pairwise score, not the same number (that one is O(n^2)).
+* Regression solves the normal equations of one vector aggregate; dependent
+  columns get the least-norm solution, as least squares does.
+* Only model outputs (centres, second moments: bounded by k and the feature
+  count) come back to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewlens.functions.stats import apply_zscore, rounded, zscore_stats
+from crewlens.functions.stats import DISPLAY_SCALE, rounded
+from crewlens.operators.arrays import array_mean, element_rows, gram_matrix
 from crewlens.operators.core import top_k
-from crewlens.plans.people import ASSESSMENT_COLUMNS, PeopleModel
+from crewlens.operators.kmeans import assigned, best_of, fit_many, silhouettes
+from crewlens.plans.people import ASSESSMENT_COLUMNS, ATTRIBUTE_PREFIX, PeopleModel
 from crewlens.session import written_once
 
 # Model settings of the reference's analysis.
@@ -33,72 +39,36 @@ MIN_ROWS_REGRESSION = 20
 MIN_ROWS_CLUSTERS = 8
 TOP_CENTROID_ATTRS = 4
 
-#: Fits submitted at a time; each is a run of small distributed jobs.
-FIT_PARALLELISM = 8
+#: A column whose variance is under this share of its mean square is constant; eigenvalues under it are none.
+FLAT = 1e-12
 
 
-def attr_col(i: int) -> str:
-    return f"a{i:02d}"
-
-
-def attribute_matrix(m: PeopleModel) -> tuple[DataFrame, list[str]]:
-    """(cpf, a01, a02, ...) of people with every attribute, and the attribute columns.
-
-    The array of a person is read in place: no explode, no pivot.
-    """
-    names = [attr_col(i + 1) for i in range(m.n_attributes())]
-    return m.complete_vectors().select("cpf", *[F.col("attrs")[i].alias(c) for i, c in enumerate(names)]), names
-
-
-def scaled_features(df: DataFrame, cols: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    z = apply_zscore(df, zscore_stats(df, cols), cols)
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(z)
-
-
-def _fit_many(feats: DataFrame, ks, n_init: int, seed: int, parallelism: int = FIT_PARALLELISM) -> dict[int, tuple[float, object]]:
-    """Fit every (k, seed) pair concurrently; keep the lowest-cost model per k.
-
-    Each fit is a sequence of small distributed jobs; submitting them from a
-    thread pool lets the scheduler run independent fits side by side.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-
-    def fit(job):
-        k, s = job
-        model = KMeans(k=k, seed=s, maxIter=300, tol=1e-4, featuresCol="features").fit(feats)
-        return k, s, float(model.summary.trainingCost), model
-
-    jobs = [(k, seed + i) for k in ks for i in range(n_init)]
-    best: dict[int, tuple[float, int, object]] = {}
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        for k, s, cost, model in pool.map(fit, jobs):
-            if k not in best or (cost, s) < best[k][:2]:
-                best[k] = (cost, s, model)
-    return {k: (v[0], v[2]) for k, v in best.items()}
-
-
-def _best_kmeans(feats: DataFrame, k: int, n_init: int, seed: int):
-    return _fit_many(feats, [k], n_init, seed)[k]
+def scaled_vectors(m: PeopleModel) -> DataFrame:
+    """(cpf, z): the complete attribute arrays, z-scored element by element, written once."""
+    full = m.complete_vectors()
+    stats = full.groupBy(F.lit(0).alias("_all")).agg(
+        Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("attrs")).alias("_s")
+    )
+    n = F.col("_s.count")
+    one = stats.select(
+        vector_to_array("_s.mean").alias("_mean"),
+        F.transform(vector_to_array("_s.variance"), lambda v: F.coalesce(F.nullif(F.sqrt(v * (n - 1) / n), F.lit(0.0)), F.lit(1.0))).alias("_std"),
+    )
+    centred = F.zip_with("attrs", "_mean", lambda v, mean: v - mean)
+    # one row: the statistics of the whole table
+    z = full.crossJoin(F.broadcast(one)).select("cpf", F.zip_with(centred, "_std", lambda v, s: v / s).alias("z"))
+    return written_once(z, "features")
 
 
 def kmeans_elbow(m: PeopleModel, ks=K_RANGE, n_init: int = N_INIT, seed: int = SEED) -> DataFrame:
     """Inertia (best of ``n_init``) and silhouette for each k."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    matrix, names = attribute_matrix(m)
     spark = m.people_raw.sparkSession
-    rows = []
-    if matrix.count() >= MIN_ROWS_CLUSTERS:  # the reference's guard for the whole block
-        feats = written_once(scaled_features(matrix, names).select("cpf", "features"), "features")
-        n = feats.count()
-        evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-        # a model needs more rows than clusters to be evaluated
-        for k, (cost, model) in sorted(_fit_many(feats, [k for k in ks if k < n], n_init, seed).items()):
-            rows.append((k, float(cost), float(evaluator.evaluate(model.transform(feats))), n))
+    z = scaled_vectors(m)
+    n, rows = z.count(), []
+    if n >= MIN_ROWS_CLUSTERS:  # the reference's guard for the whole block
+        best = best_of(fit_many(z, "cpf", "z", [k for k in ks if k < n], range(seed, seed + n_init)))
+        scores = silhouettes(z, "z", list(best.values()))
+        rows = [(k, round(f.inertia, DISPLAY_SCALE), round(scores[k], DISPLAY_SCALE), n) for k, f in best.items()]
     return spark.createDataFrame(rows, "k int, inercia double, silhouette double, n long")
 
 
@@ -107,29 +77,18 @@ class Archetypes:
 
     def __init__(self, m: PeopleModel, k: int = K_ARCHETYPES, n_init: int = N_INIT, seed: int = SEED):
         self.m = m
-        matrix, names = attribute_matrix(m)
-        if matrix.count() < MIN_ROWS_CLUSTERS:  # the reference's guard for the whole block
-            self.assign = matrix.select("cpf", F.lit(0).alias("cluster"), F.lit("").alias("perfil")).where(F.lit(False))
-            return
-        feats = written_once(scaled_features(matrix, names).select("cpf", "features"), "features")
-        _, model = _best_kmeans(feats, k, n_init, seed)
-        pred = model.transform(feats).select("cpf", F.col("prediction").alias("_c"))
-        # renumber by size desc (k rows): stable cluster ids across runs
-        sizes = pred.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
-        centers = model.clusterCenters()
-        first_coord = F.create_map(*[x for i, c in enumerate(centers) for x in (F.lit(i), F.lit(float(c[0])))])
-        order = Window.orderBy(F.col("_n").desc(), first_coord[F.col("_c")].desc(), F.col("_c"))
-        renum = sizes.select("_c", F.row_number().over(order).alias("cluster"))
-        self.assign = pred.join(F.broadcast(renum), "_c").select(
-            "cpf", "cluster", F.concat(F.lit("Perfil "), F.col("cluster")).alias("perfil")
-        )
+        z = scaled_vectors(m)
+        if z.count() < MIN_ROWS_CLUSTERS:  # the reference's guard for the whole block
+            numbered = z.select("cpf", F.lit(0).alias("cluster")).where(F.lit(False))
+        else:
+            numbered = assigned(z, "cpf", "z", best_of(fit_many(z, "cpf", "z", [k], range(seed, seed + n_init)))[k])
+        self.assign = numbered.select("cpf", "cluster", F.concat(F.lit("Perfil "), F.col("cluster")).alias("perfil"))
 
     def profile(self) -> DataFrame:
         """Centroids in original units (mean attribute per cluster) and sizes."""
-        from crewlens.plans.analysis import attr_long
-
-        a = attr_long(self.m.complete_vectors().join(self.assign, "cpf"))
-        return a.groupBy("cluster", "perfil", "idx").agg(F.avg("value").alias("_media"), F.count(F.lit(1)).alias("n"))
+        a = self.m.complete_vectors().join(self.assign, "cpf")
+        means = a.groupBy("cluster", "perfil").agg(array_mean("attrs").alias("_m"), F.count(F.lit(1)).alias("n"))
+        return element_rows(means, ["cluster", "perfil", "n"], {"_media": "_m"}, self.m.n_attributes())
 
     def area_fit(self) -> DataFrame:
         """Mean performance per area x archetype (people with performance)."""
@@ -150,35 +109,47 @@ class Archetypes:
         )
         best = best.select("area", "b.cluster", rounded("b._media").alias("perf_media"), F.col("b.n").alias("n_ideal"), "n_area")
         top = top_k(self.profile().drop("n"), ["cluster"], [F.col("_media").desc(), F.col("idx")], TOP_CENTROID_ATTRS, "rank")
-        return best.join(top, "cluster").select(
-            "area", "cluster", "perfil", "perf_media", "n_ideal", "n_area", "rank", "idx", rounded("_media").alias("media")
+        return self.m.named(best.join(top, "cluster")).select(
+            "area", "cluster", "perfil", "perf_media", "n_ideal", "n_area", "rank", "idx", "atributo", rounded("_media").alias("media")
         )
 
 
+def least_squares(moments: dict) -> tuple[np.ndarray, float]:
+    """(coefficients of the z-scored features, R^2) from raw second moments; the last column is the target.
+
+    The least-norm solution: a constant feature and the surplus of dependent
+    ones get what a pseudo-inverse gives. R^2 of a constant target is 1 if the
+    fit is exact, as every fit of it is.
+    """
+    means = np.array(moments["means"])
+    raw = np.zeros((len(means), len(means)))
+    raw[np.triu_indices(len(means))] = moments["products"]
+    raw += np.triu(raw, 1).T
+    cov = raw - np.outer(means, means)
+    var = np.diag(cov).copy()
+    flat = var <= FLAT * np.diag(raw)
+    std = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, var)))
+    cov[flat, :] = 0.0
+    cov[:, flat] = 0.0
+    r = cov / np.outer(std, std)
+    coefs = np.linalg.pinv(r[:-1, :-1], rcond=FLAT, hermitian=True) @ r[:-1, -1] * std[-1]
+    explained = float(coefs @ r[:-1, -1]) * std[-1]
+    return coefs, 1.0 if flat[-1] else explained / float(var[-1])
+
+
 def regression_coefs(m: PeopleModel) -> DataFrame:
-    """Linear regression of mean performance on 20 z-scored features.
+    """Linear regression of mean performance on the z-scored assessments and attributes.
 
     Coefficients ranked by absolute value, with R^2 and n. Fewer than 21
     complete rows -> empty result with the same schema (reference guard).
     """
-    from pyspark.ml.regression import LinearRegression
-
-    spark = m.people_raw.sparkSession
     assess = list(ASSESSMENT_COLUMNS.values())
-    matrix, columns = attribute_matrix(m)
-    names = list(ASSESSMENT_COLUMNS) + [f"atributo-{i + 1}" for i in range(len(columns))]
-    base = m.base(*assess, "perf_media").dropna(subset=[*assess, "perf_media"])
-    data = written_once(base.join(matrix, "cpf"), "regression")
-    schema = "variavel string, coef double, rank int, r2 double, n long"
-    n = data.count()
-    if n <= MIN_ROWS_REGRESSION:
-        return spark.createDataFrame([], schema)
-    model = LinearRegression(
-        featuresCol="features", labelCol="perf_media", solver="normal", regParam=0.0,
-        standardization=False, fitIntercept=True,
-    ).fit(scaled_features(data, assess + columns))
-    r2 = float(model.summary.r2)
-    coefs = list(zip(names, [float(c) for c in model.coefficients]))
-    ranked = sorted(coefs, key=lambda t: (-abs(t[1]), t[0]))
-    rows = [(v, c, i + 1, r2, n) for i, (v, c) in enumerate(ranked)]
-    return spark.createDataFrame(rows, schema)
+    base = m.base(*assess, "perf_media").dropna(subset=[*assess, "perf_media"]).join(m.complete_vectors(), "cpf")
+    moments = gram_matrix(base, [F.col(c) for c in assess], "attrs", "perf_media")
+    n, rows = moments["n"], []
+    if n > MIN_ROWS_REGRESSION:
+        coefs, r2 = least_squares(moments)
+        names = list(ASSESSMENT_COLUMNS) + [f"{ATTRIBUTE_PREFIX}{i + 1}" for i in range(len(coefs) - len(assess))]
+        ranked = sorted(zip(names, coefs.tolist()), key=lambda t: (-abs(t[1]), t[0]))
+        rows = [(v, round(c, DISPLAY_SCALE), i + 1, round(float(r2), DISPLAY_SCALE), n) for i, (v, c) in enumerate(ranked)]
+    return m.people_raw.sparkSession.createDataFrame(rows, "variavel string, coef double, rank int, r2 double, n long")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from crewlens.functions import labels as L
 from crewlens.functions.stats import cut3, quantile_cuts, rounded
+from crewlens.operators.arrays import array_mean, element_rows
 from crewlens.operators.core import attach_one_row, value_counts
 from crewlens.plans.people import PeopleModel
 
@@ -105,12 +106,9 @@ def profile(m: PeopleModel) -> DataFrame:
     """Mean of each attribute per quadrant, terciles recomputed on the
     complete-attribute population (A26 on long form)."""
     b = banded(m, restrict=m.attrs_complete()).select("cpf", "quadrante")
-    long = m.complete_vectors().join(b, "cpf").select("quadrante", F.posexplode("attrs").alias("_p", "value"))
-    return (
-        long.withColumn("idx", F.col("_p") + 1)
-        .groupBy("quadrante", "idx")
-        .agg(rounded(F.avg("value")).alias("media"), F.count("value").alias("n"))
-    )
+    means = m.complete_vectors().join(b, "cpf").groupBy("quadrante").agg(array_mean("attrs").alias("_m"), F.count(F.lit(1)).alias("n"))
+    rows = element_rows(means, ["quadrante", "n"], {"media": "_m"}, m.n_attributes())
+    return rows.select("quadrante", "idx", rounded("media").alias("media"), "n")
 
 
 def profile_wide(m: PeopleModel) -> DataFrame:

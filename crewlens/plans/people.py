@@ -32,6 +32,9 @@ PRESENCE_FLAGS = {
     "fez_atributos": "atributo_comunicacao",
 }
 
+# Prefix of the attribute columns in the source tables (fixed value).
+ATTRIBUTE_PREFIX = "atributo-"
+
 ASSESSMENT_COLUMNS = {
     # label -> column (fixed order of the reference's assessment list)
     "Raciocínio": "raciocinio",
@@ -96,10 +99,12 @@ class PeopleModel:
     perf: DataFrame
     attrs: DataFrame | None = None
     sessions: DataFrame | None = None
+    #: (idx, coluna): the source's column name of each attribute
+    attr_columns: DataFrame | None = None
 
     @classmethod
     def from_fixtures(cls, fx) -> "PeopleModel":
-        return cls(fx.people_main, fx.area_raw, fx.perf_long, fx.attributes, fx.assess_sessions)
+        return cls(fx.people_main, fx.area_raw, fx.perf_long, fx.attributes, fx.assess_sessions, fx.attribute_columns)
 
     @cached_property
     def people(self) -> DataFrame:
@@ -166,6 +171,17 @@ class PeopleModel:
         """Key set of ``complete_vectors``."""
         return self.complete_vectors().select("cpf")
 
+    def named(self, df: DataFrame) -> DataFrame:
+        """``df`` (with ``idx``) plus ``atributo``, the column name without its group prefix.
+
+        Joined to finished results only: a few rows per group on the left, one
+        row per attribute on the right. Without names the position stands in.
+        """
+        if self.attr_columns is None:
+            return df.withColumn("atributo", F.col("idx").cast("string"))
+        names = self.attr_columns.select("idx", text.strip_prefix("coluna", ATTRIBUTE_PREFIX).alias("atributo"))
+        return df.join(names, "idx", "left")
+
     def n_attributes(self) -> int:
         """Number of attributes, from the data."""
         return self.attrs.agg(F.max(F.size("attrs")).alias("n")).first()["n"] or 0

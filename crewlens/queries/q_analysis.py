@@ -330,12 +330,12 @@ def duration_vs_score(spark, sf_dir):
 @register(
     "top_attrs_by_area",
     with_ctes(
-        f"""SELECT area, rank, idx, {r6('_r')} AS r FROM (
+        f"""SELECT area, rank, idx, atributo, {r6('_r')} AS r FROM (
   SELECT area, idx, _r, CAST(row_number() OVER (PARTITION BY area ORDER BY _r DESC NULLS LAST, idx) AS int) AS rank
   FROM (SELECT area, idx, {sql_pearson('value', 'perf_media')} AS _r FROM apl_area
         WHERE area IN (SELECT area FROM apl_area GROUP BY area HAVING count(DISTINCT cpf) >= 5) GROUP BY 1, 2)
-) WHERE rank <= 3 AND (SELECT count(DISTINCT cpf) FROM apl_area) > 10""",
-        "apl_area",
+) LEFT JOIN attribute_names USING (idx) WHERE rank <= 3 AND (SELECT count(DISTINCT cpf) FROM apl_area) > 10""",
+        "apl_area", "attribute_names",
     ),
 )
 def top_attrs_by_area(spark, sf_dir):
@@ -350,10 +350,10 @@ _TOP3 = f"""SELECT area, idx, _r, CAST(row_number() OVER (PARTITION BY area ORDE
 @register(
     "hiring_hint",
     with_ctes(
-        f"""SELECT area, string_agg(printf('%d (r=%.2f)', idx, round(_r, 6)), ', ' ORDER BY rank) AS atributos,
-  'Priorizar candidatos com alto score em ' || string_agg(CASE WHEN rank <= 2 THEN CAST(idx AS varchar) END, ' e ' ORDER BY rank) AS recomendacao
-FROM ({_TOP3}) WHERE rank <= 3 AND (SELECT count(DISTINCT cpf) FROM apl_area) > 10 GROUP BY area""",
-        "apl_area",
+        f"""SELECT area, string_agg(printf('%s (r=%.2f)', atributo, round(_r, 6)), ', ' ORDER BY rank) AS atributos,
+  'Priorizar candidatos com alto score em ' || string_agg(CASE WHEN rank <= 2 THEN atributo END, ' e ' ORDER BY rank) AS recomendacao
+FROM ({_TOP3}) LEFT JOIN attribute_names USING (idx) WHERE rank <= 3 AND (SELECT count(DISTINCT cpf) FROM apl_area) > 10 GROUP BY area""",
+        "apl_area", "attribute_names",
     ),
 )
 def hiring_hint(spark, sf_dir):

@@ -199,6 +199,60 @@ def scd2_job(spark, sf_dir):
     return import_ids(job(spark, sf_dir).job_changes)
 
 
+def _chain(rows: str, active: str, new: str, cur: str, payload_new: str, payload_cur: str) -> str:
+    """Changes of a person in order: islands of equal values, each opening ended by the next."""
+    return f"""c AS ({rows}), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY start_date DESC, id DESC) AS _r
+  FROM ({active}) WHERE {cur} IS NOT NULL) WHERE _r = 1),
+o AS (SELECT c.*, s.* EXCLUDE (person, id, start_date), s.id AS _aid, s.start_date AS _astart,
+    lag({new}) OVER w AS _b, row_number() OVER w AS _n
+  FROM c LEFT JOIN s ON c.person = s.person WINDOW w AS (PARTITION BY c.person ORDER BY data_alteracao, chg_id)),
+h AS (SELECT *, lead(data_alteracao) OVER w AS _until, row_number() OVER w AS _hn FROM o
+  WHERE CASE WHEN _n = 1 THEN _aid IS NULL OR {new} IS DISTINCT FROM {cur} ELSE {new} IS DISTINCT FROM _b END
+  WINDOW w AS (PARTITION BY person ORDER BY data_alteracao, chg_id))
+SELECT CAST(_aid AS varchar) AS id, person, _astart AS start_date, data_alteracao AS end_date, {payload_cur}, 'fechar' AS acao, chg_id
+FROM h WHERE _hn = 1 AND _aid IS NOT NULL
+UNION ALL
+SELECT '' AS id, person, data_alteracao AS start_date, _until AS end_date, {payload_new}, 'abrir' AS acao, chg_id FROM h"""
+
+
+@register(
+    "scd2_area_chain",
+    with_ctes(
+        "SELECT * FROM chained", "current_rows", "inst_map", "sys_areas",
+        extra=(("chained", "WITH " + _chain(
+            "SELECT c.*, m.area_nova FROM current_rows c LEFT JOIN inst_map m ON c.departamento = m.name WHERE c.departamento IS NOT NULL",
+            "SELECT id, person, start_date, area AS area_atual FROM sys_areas WHERE end_date IS NULL",
+            "area_nova", "area_atual", "area_nova AS area", "area_atual AS area",
+        )),),
+    ),
+)
+def scd2_area_chain(spark, sf_dir):
+    """E6 with B10 as a chain: a person's changes in order."""
+    j = job(spark, sf_dir)
+    j.sequence = "chain"
+    return import_ids(j.area_changes)
+
+
+@register(
+    "scd2_job_chain",
+    with_ctes(
+        "SELECT * FROM chained", "current_rows", "sys_jobs",
+        extra=(("chained", "WITH " + _chain(
+            f"""SELECT c.*, {sql_normalize(sql_upper('cargo'))} AS cargo_norm, {_LEVEL('cargo')} AS level_novo
+  FROM current_rows c WHERE c.cargo IS NOT NULL""",
+            f"""SELECT id, person, start_date, name AS cargo_atual, {sql_normalize('name')} AS cargo_atual_norm, {_LEVEL('name')} AS level_atual
+  FROM sys_jobs WHERE end_date IS NULL""",
+            "cargo_norm", "cargo_atual_norm", f"{sql_upper('cargo')} AS name, level_novo AS level", "cargo_atual AS name, level_atual AS level",
+        )),),
+    ),
+)
+def scd2_job_chain(spark, sf_dir):
+    """E7 with B10 as a chain."""
+    j = job(spark, sf_dir)
+    j.sequence = "chain"
+    return import_ids(j.job_changes)
+
+
 @register(
     "feed_summary",
     with_ctes(

@@ -169,14 +169,14 @@ class Fixtures:
 
     @cached_property
     def attributes(self) -> DataFrame:
-        """(cpf, attrs): the behavioural attributes of a person as one array.
+        """(cpf, attrs): the behavioural attributes of a person as one array, every coordinate one attribute."""
+        return self.t.embeddings.select(F.col("vec_id").alias("cpf"), F.transform("embedding", self._attribute).alias("attrs"))
 
-        The first 16 coordinates stand for the 16 attributes of the source.
-        """
-        return self.t.embeddings.select(
-            F.col("vec_id").alias("cpf"),
-            F.transform(F.slice("embedding", 1, 16), self._attribute).alias("attrs"),
-        )
+    @cached_property
+    def attribute_columns(self) -> DataFrame:
+        """(idx, coluna): the source's column name of each attribute position, one row per part key."""
+        names = self.t.part.groupBy(F.col("p_partkey").cast("int").alias("idx")).agg(F.min("p_name").alias("_name"))
+        return names.select("idx", F.concat(F.lit("atributo-"), F.col("_name"), F.lit(" "), F.col("idx")).alias("coluna"))
 
     # -- activity 2 inputs -------------------------------------------------
     @cached_property

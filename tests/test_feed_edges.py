@@ -119,3 +119,58 @@ def test_options_sequence_and_normalised_departments(spark):
     assert sorted(r.chg_id for r in last.found.collect()) == [1, 3, 6]
     opened = [(r.person, r.chg_id) for r in last.job_changes.collect() if r.acao == "abrir"]
     assert (2, 6) in opened and (2, 2) not in opened
+
+
+def chained(changes, active):
+    """One person at a time: the current value moves with every change."""
+    out = []
+    for person in {p for p, _, _, _ in changes}:
+        rows = sorted((d, c, v) for p, d, c, v in changes if p == person)
+        system = max([(s, i, v) for i, p, s, v in active if p == person and v is not None], default=None)
+        value, has, open_at = (system[2], True, None) if system else (None, False, None)
+        for d, c, v in rows:
+            if has and v == value:
+                continue
+            if open_at:
+                out.append((person, "abrir", open_at[1], open_at[0], d, open_at[2]))
+            elif system:
+                out.append((person, "fechar", c, system[0], d, system[2]))
+            open_at, value, has = (d, c, v), v, True
+        if open_at:
+            out.append((person, "abrir", open_at[1], open_at[0], None, open_at[2]))
+    return sorted(out, key=str)
+
+
+def test_changes_of_a_person_as_a_chain(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from crewlens.operators.scd2 import scd2_chain
+
+    rng = random.Random(3)
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    changes = [(rng.randint(1, 30), day(rng.randint(0, 40)), c, rng.choice(["a", "b", "c", None])) for c in range(400)]
+    changes += [(99, day(c // 3), 1000 + c, rng.choice("ab")) for c in range(300)]  # one person with many changes
+    active = [(10 + p, p, day(-rng.randint(1, 9)), rng.choice(["a", "b", None])) for p in range(1, 25)] + [(900, 3, day(-20), "c")]
+    got = scd2_chain(
+        spark.createDataFrame(changes, "person long, at timestamp_ntz, chg_id long, new string").repartition(3),
+        spark.createDataFrame(active, "id long, person long, start_date timestamp_ntz, cur string"),
+        "person", "at", "new", "cur", {"value": F.col("new")}, {"value": F.col("cur")}, carry=("chg_id",), tie="chg_id",
+    ).collect()
+    assert sorted(((r.person, r.acao, r.chg_id, r.start_date, r.end_date, r.value) for r in got), key=str) == chained(changes, active)
+    assert {r.id for r in got if r.acao == "fechar"} <= {a[0] for a in active} - {900}
+
+
+def test_counts_taken_while_writing_equal_the_outputs(spark):
+    j = build(spark)
+    written = {}
+    counts = j.run(lambda name, df: written.__setitem__(name, df.collect()))
+    assert counts == {
+        "linhas": 5, "resolvidos": 4, "pendentes": len(written["pendencias"]), "salarios_novos": len(written["salarios"]),
+        "salarios_ignorados": 1, "instancias_novas": len(written["instancia_area"]),
+        **{f"areas_{w}s": sum(r.acao == a for r in written["areas"]) for w, a in (("fechada", "fechar"), ("aberta", "abrir"))},
+        **{f"cargos_{w}s": sum(r.acao == a for r in written["cargos"]) for w, a in (("fechado", "fechar"), ("aberto", "abrir"))},
+    }
+    empty = FeedJob(j.changes.limit(0), j.people, j.salaries, j.areas, j.instances, j.jobs)
+    assert set(empty.run(lambda name, df: df.write.format("noop").mode("overwrite").save()).values()) == {0}

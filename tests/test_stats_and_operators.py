@@ -153,14 +153,13 @@ def test_quantiles_with_a_hot_value_and_far_outliers(spark):
 
 def test_building_the_plans_runs_no_job(spark):
     from crewlens.operators.quantiles import exact_quantiles
-    from crewlens.operators.sequence import next_in_group, numbered
+    from crewlens.operators.sequence import next_in_group
 
     df = spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("g"), F.col("id").cast("double").alias("v"))
     spark.sparkContext.setJobGroup("building", "no job may start here")
     try:
         exact_quantiles(df, ["g"], "v", [0.5])
         next_in_group(df, "g", ["id"], "v", "n", F.floor(F.col("id") / 10))
-        numbered(df, "id", "g", "n")
         assert spark.sparkContext.statusTracker().getJobIdsForGroup("building") == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
@@ -174,11 +173,40 @@ def test_numbered_matches_a_window(spark):
     rows = [(i * i % 991, f"n{i}") for i in range(700)] + [(5, "x"), (5, "a"), (10**9, "far")]
     df = spark.createDataFrame(rows, "o long, name string")
     want = df.withColumn("n", F.row_number().over(Window.orderBy("o", "name")).cast("long"))
-    for slices in (1, 7, 4096):
-        assert sorted(numbered(df, "o", "name", "n", slices).collect()) == sorted(want.collect())
+    assert sorted(numbered(df, "o", "name", "n").collect()) == sorted(want.collect())
     assert numbered(df.where("o < 0"), "o", "name", "n").collect() == []
 
 
+def test_an_outlier_id_leaves_the_numbering_spread(spark):
+    from crewlens.operators import sequence
+
+    df = spark.range(40_000).select(F.when(F.col("id") == 7, F.lit(2**50)).otherwise(F.col("id")).alias("o"), F.lit("n").alias("name"))
+    parts = []
+    plain = sequence.written_once
+    try:
+        sequence.written_once = lambda rows, name: parts.append(plain(rows, name)) or parts[-1]
+        got = sequence.numbered(df.repartition(4), "o", "name", "n")
+    finally:
+        sequence.written_once = plain
+    assert got.where("n = 40000").first()["o"] == 2**50 and got.where("n <> o + IF(o > 7, 0, 1)").count() == 1
+    most = parts[0].groupBy("_part").count().agg(F.max("count")).first()[0]
+    assert most < 20_000
+
+
+def test_key_filter_keeps_every_match_and_little_else(spark):
+    from crewlens.operators.reduce import reduced_by_keys
+
+    big = spark.range(200_000).select((F.col("id") % 50_000).alias("k"), F.col("id").alias("_bits"), F.col("id").cast("string").alias("v"))
+    big = big.unionByName(spark.createDataFrame([(None, 1, "x")], big.schema))
+    keys = spark.range(0, 50_000, 100).select(F.col("id").alias("k"), F.lit(1).alias("w")).unionByName(spark.createDataFrame([(None, 1)], "k long, w int"))
+    kept = reduced_by_keys(big, keys, "k")
+    assert kept.columns == big.columns
+    assert kept.where("k % 100 = 0").count() == 2000 and kept.count() < 2050
+    few = reduced_by_keys(big, keys, "k", bits=1 << 10)  # a crowded filter loses nothing either
+    assert few.where("k % 100 = 0").count() == 2000
+    assert reduced_by_keys(big, keys.limit(0), "k").count() == 0
+
+
 def test_next_in_group_matches_window_on_hot_key(spark):
     from pyspark.sql import Window
 
@@ -191,3 +219,8 @@ def test_next_in_group_matches_window_on_hot_key(spark):
     got = next_in_group(df, "k", ["d"], "v", "nxt", F.floor(F.col("d") / 100))
     want = df.withColumn("nxt", F.lead("v").over(Window.partitionBy("k").orderBy("d")))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    from crewlens.operators.sequence import neighbour_in_group
+
+    got = neighbour_in_group(df, "k", ["d"], "v", "prv", F.floor(F.col("d") / 100), back=True)
+    want = df.withColumn("prv", F.lag("v").over(Window.partitionBy("k").orderBy("d")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
