@@ -13,8 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 2 << 20
+#: Spans over so many bytes have a hash of their own.
+LONG_SPAN = 48
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,12 +52,23 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, from one running sum over the buffer."""
+    """64-bit hash of each byte span.
+
+    Short spans come from one running sum over the buffer, a polynomial modulo
+    2^64, whose collisions need long regular strings; spans over ``LONG_SPAN``
+    bytes are hashed one by one with XXH3.
+    """
     n = len(buf)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_WEIGHT[buf] * _power_table(_BASE, n)[:n], out=sums[1:])
     h = (sums[ends] - sums[starts]) * _power_table(_INVERSE, n + 1)[starts]
-    return mix64(h + (ends - starts).astype(np.uint64))
+    out = mix64(h + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts > LONG_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(buf))
+        spans = zip(starts[long].tolist(), ends[long].tolist())
+        out[long] = np.array([xxhash.xxh3_64_intdigest(raw[a:z], seed=len(_WEIGHT)) for a, z in spans], np.uint64)
+    return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

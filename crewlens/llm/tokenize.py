@@ -4,8 +4,9 @@ Calling the library on running text costs about a second a megabyte. Both
 vocabularies split text before merging, so pieces cut at positions where that
 split always breaks can be encoded apart and joined again. A column is cut
 into such pieces with numpy, equal pieces are encoded once, and each worker
-process keeps the ids of pieces it has seen (a bounded memo). Pieces are told
-apart by a 64-bit hash with their length.
+process keeps the ids of pieces it has seen: an open-addressing table in numpy
+arrays, in two generations of bounded size. Pieces are found by a 64-bit hash
+and compared byte by byte before kept ids are used.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import pyarrow as pa
 
 from crewlens.llm.bytescan import blocks, span_hashes, text_buffer
 
-#: pieces that a worker keeps; beyond it the memo starts anew (memory only, no effect on ids)
-MEMO_PIECES = 400_000
+#: pieces of one generation of a worker's table; a full generation becomes the old one, whose pieces move
+#: over when they are met again and are forgotten otherwise (memory only, no effect on ids)
+MEMO_PIECES = 700_000
 
 _OTHER, _SPACE, _LETTER, _DIGIT, _SIGN = range(5)
 _KIND = np.zeros(256, np.uint8)
@@ -31,6 +33,20 @@ for _b in range(0x21, 0x7F):
 _KIND[ord("'")] = _OTHER  # contractions join letters to it
 
 
+#: the last letter of Latin-1, whose lower case is one letter, and of Cyrillic
+_LAST_PLAIN, _LAST_STABLE = "\u00ff", "\u04ff"
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the rest as letters from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 0x100 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """A tokenizer file and how its pre-split treats white space.
@@ -57,6 +73,90 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Growing:
+    """A numpy array that rows are appended to."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        need = self.n + len(rows)
+        if need > len(self.data):
+            grown = np.zeros(max(need, len(self.data) * 3 // 2), self.data.dtype)
+            grown[: self.n] = self.data[: self.n]
+            self.data = grown
+        self.data[self.n : need] = rows
+        self.n = need
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), then those of first[1] and so on."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+class Pieces:
+    """Pieces with their ids: hash -> place by linear probing, bytes and ids one after another."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        size = 1 << (2 * limit - 1).bit_length()
+        self.keys, self.places, self.mask = np.zeros(size, np.uint64), np.full(size, -1, np.int32), np.uint64(size - 1)
+        self.ids, self.id_first, self.id_count = Growing(np.int32), Growing(np.int32), Growing(np.int32)
+        self.raw, self.raw_first, self.raw_count = Growing(np.uint8), Growing(np.int32), Growing(np.int32)
+
+    def __len__(self) -> int:
+        return self.id_first.n
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where there is none."""
+        out = np.full(len(hashes), -1, np.int32)
+        open_, at = np.arange(len(hashes)), hashes & self.mask
+        while len(open_):
+            place = self.places[at]
+            same = (self.keys[at] == hashes[open_]) & (place >= 0)
+            out[open_[same]] = place[same]
+            go = (place >= 0) & ~same
+            open_, at = open_[go], (at[go] + np.uint64(1)) & self.mask
+        return out
+
+    def same(self, places: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the pieces at ``places`` are the given spans of ``buf``, byte by byte."""
+        count = self.raw_count.data[places].astype(np.int64)
+        equal = count == ends - starts
+        at = np.flatnonzero(equal & (count > 0))
+        ours = self.raw.data[ranges(self.raw_first.data[places[at]].astype(np.int64), count[at])]
+        theirs = buf[ranges(starts[at], count[at])]
+        if len(at):
+            equal[at] = np.logical_and.reduceat(ours == theirs, np.cumsum(count[at]) - count[at])
+        return equal
+
+    def add(self, hashes: np.ndarray, raw: np.ndarray, raw_count: np.ndarray, ids: np.ndarray, id_count: np.ndarray) -> np.ndarray:
+        """Keep new pieces (of distinct hashes that are not in); returns their places."""
+        places = np.arange(len(self), len(self) + len(hashes), dtype=np.int32)
+        open_, at = np.arange(len(hashes)), hashes & self.mask
+        while len(open_):
+            free = np.flatnonzero(self.places[at] < 0)
+            _, first = np.unique(at[free], return_index=True)  # one piece takes a free cell
+            won = free[first]
+            self.keys[at[won]], self.places[at[won]] = hashes[open_[won]], places[open_[won]]
+            go = np.ones(len(open_), bool)
+            go[won] = False
+            open_, at = open_[go], (at[go] + np.uint64(1)) & self.mask
+        for first, count, flat, n, rows in (
+            (self.raw_first, self.raw_count, self.raw, raw_count, raw), (self.id_first, self.id_count, self.ids, id_count, ids),
+        ):
+            first.add(flat.n + np.cumsum(n) - n)
+            count.add(n)
+            flat.add(rows)
+        return places
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(raw, raw counts, ids, id counts) of the pieces at ``places``."""
+        rc, ic = self.raw_count.data[places].astype(np.int64), self.id_count.data[places].astype(np.int64)
+        raw = self.raw.data[ranges(self.raw_first.data[places].astype(np.int64), rc)]
+        return raw, rc, self.ids.data[ranges(self.id_first.data[places].astype(np.int64), ic)], ic
+
+
 class Encoder:
     """Encodes Arrow text columns; one per worker process and vocabulary."""
 
@@ -73,14 +173,7 @@ class Encoder:
         self.width = np.array(
             [len((self.full.id_to_token(i) or "").removesuffix(vocab.word_end)) for i in range(n)], np.int64
         )
-        self._reset()
-
-    def _reset(self) -> None:
-        self.memo: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.young, self.old = Pieces(MEMO_PIECES), Pieces(1)
 
     def _pieces(self, buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind = _KIND[buf]
@@ -116,12 +209,17 @@ class Encoder:
         text = [p.decode("utf-8") for p in pieces]
         simple = np.zeros(len(text), bool)
         mark = " " if self.vocab.spaced else ""
-        mapped = []
+        mapped, last = [], _LAST_PLAIN if self.vocab.folded else _LAST_STABLE
         for i, t in enumerate(text):
             core = t.removeprefix(mark)
-            if core.isascii() and core.isalpha():
+            # a run of letters is one word to the pre-split, whatever Unicode version it knows
+            if core.isalpha() and max(core) <= last:
                 simple[i] = True
-                mapped.append(("Ġ" if len(core) < len(t) else "") + (core.lower() if self.vocab.folded else core))
+                if self.vocab.folded:
+                    core = core.lower()
+                if not core.isascii():
+                    core = core.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+                mapped.append(("Ġ" if t[:1] == mark else "") + core)
         counts = np.zeros(len(text), np.int64)
         rest = [t for t, s in zip(text, simple) if not s]
         odd = [e.ids for e in self.full.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
@@ -139,39 +237,42 @@ class Encoder:
             flat[~at] = np.fromiter((i for x in odd for i in x), np.int32, int((~at).sum()))
         return flat, counts
 
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
-        flat, counts = self._encode_new(pieces)
-        have = len(self.memo)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while have + len(pieces) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.first[have : have + len(pieces)] = self.used + np.cumsum(counts) - counts
-        self.count[have : have + len(pieces)] = counts
-        self.memo.update(zip(hashes, range(have, have + len(pieces))))
-        self.used += len(flat)
-
     def _block(self, part: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, token count of each piece, start of each piece) of one block."""
         starts, ends = self._pieces(part, doc_starts)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64), starts
-        hashes = span_hashes(part, starts, ends)
-        uniq, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.memo) + len(uniq) > MEMO_PIECES:
-            self._reset()
-        known = uniq.tolist()
-        new = [i for i, h in enumerate(known) if h not in self.memo]
-        if new:
-            raw = part.tobytes()
-            s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
-            self._learn([known[i] for i in new], [raw[a:b] for a, b in zip(s, e)])
-        slot = np.fromiter((self.memo[h] for h in known), np.int64, len(known))[inverse]
-        counts = self.count[slot]
-        take = np.repeat(self.first[slot] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        return self.ids[take], counts, starts
+        uniq, where, inverse = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
+        s, e = starts[where], ends[where]
+        if len(self.young) + len(uniq) > self.young.limit:
+            # a block's own pieces always fit
+            self.old, self.young = self.young, Pieces(max(MEMO_PIECES, 2 * len(uniq)))
+        place = self.young.find(uniq)
+        lost = np.flatnonzero(place < 0)
+        moved = self.old.find(uniq[lost])
+        back = lost[moved >= 0]
+        moved = moved[moved >= 0]
+        known = self.old.same(moved, part, s[back], e[back])
+        back, moved = back[known], moved[known]
+        place[back] = self.young.add(uniq[back], *self.old.take(moved))
+        held = np.flatnonzero(place >= 0)
+        held = held[~np.isin(held, back)]
+        clash = held[~self.young.same(place[held], part, s[held], e[held])]  # another piece has this hash
+        new = np.flatnonzero(place < 0)
+        raw = part.tobytes()
+        if len(new):
+            flat, counts = self._encode_new([raw[a:z] for a, z in zip(s[new].tolist(), e[new].tolist())])
+            place[new] = self.young.add(uniq[new], part[ranges(s[new], e[new] - s[new])], e[new] - s[new], flat, counts)
+        piece_of = self.young.id_first.data[place].astype(np.int64)
+        count_of = self.young.id_count.data[place].astype(np.int64)
+        ids = self.young.ids.data
+        if len(clash):
+            flat, counts = self._encode_new([raw[a:z] for a, z in zip(s[clash].tolist(), e[clash].tolist())])
+            piece_of[clash] = self.young.ids.n + np.cumsum(counts) - counts
+            count_of[clash] = counts
+            ids = np.concatenate([ids[: self.young.ids.n], flat])
+        counts = count_of[inverse]
+        return ids[ranges(piece_of[inverse], counts)], counts, starts
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths): token ids of all rows one after another, and each row's number of ids."""

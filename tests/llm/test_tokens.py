@@ -12,6 +12,7 @@ from crewlens.llm import tokenize
 from crewlens.llm.bytescan import hashed_words
 from crewlens.llm.common import scratch_path
 from crewlens.llm.packing import binary_lengths, pack_documents
+from crewlens.llm.tokenize import BYTE_BPE, WORD_BPE, Encoder
 from crewlens.llm.token_files import file_digests, read_documents, read_metadata, write_token_files
 
 from .conftest import rows_of
@@ -163,3 +164,51 @@ def test_packing_is_the_same_without_the_broadcast(small_docs, monkeypatch):
     wide = rows_of(pack_documents(small_docs, with_ids=False))
     monkeypatch.setattr(packing, "BROADCAST_SLICES", 0)
     assert rows_of(pack_documents(small_docs, with_ids=False)) == wide
+
+
+def regular_words(bits: int) -> list[str]:
+    """A Thue-Morse word of 2 ** bits letters and its complement: sums of powers modulo 2^64 cannot tell them apart."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate({97: 98, 98: 97})
+    return [word, word.translate({97: 98, 98: 97})]
+
+
+@pytest.mark.parametrize("vocab", [BYTE_BPE, WORD_BPE])
+def test_words_a_polynomial_hash_confuses(vocab):
+    from crewlens.llm.bytescan import hashed_words
+
+    enc = Encoder(vocab)
+    words = [w for bits in (10, 11, 12) for w in regular_words(bits)]
+    texts = words + [f"x {w} y" for w in words] + words
+    ids, lengths = enc.encode(pa.array(texts))
+    edges = [0, *np.cumsum(lengths).tolist()]
+    for i, t in enumerate(texts):
+        assert ids[edges[i] : edges[i + 1]].tolist() == enc.full.encode(t, add_special_tokens=False).ids
+    assert len(set(hashed_words(pa.array(words))[0].tolist())) == len(words)
+
+
+@pytest.mark.parametrize("vocab", [BYTE_BPE, WORD_BPE])
+def test_generations_and_equal_hashes_change_no_id(vocab, monkeypatch):
+    """A tiny table, and a hash under which most pieces are equal."""
+    import crewlens.llm.tokenize as tk
+
+    rng = np.random.default_rng(7)
+    letters = list("abcdeéßñüçÀÖøłŁжΣ") + ["ªb", "µ", "Ǆ", "İ", "ﬁ", "é"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 6))) for _ in range(900)] + ["it's", "x1y2", "--", "日本語", "  "]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(200)]
+    plain = tk.span_hashes
+    for size, weak in ((50, False), (10_000, True)):
+        monkeypatch.setattr(tk, "MEMO_PIECES", size)
+        monkeypatch.setattr(tk, "span_hashes", (lambda b, s, e: (e - s).astype(np.uint64) * np.uint64(1 << 40) + b[s]) if weak else plain)
+        if weak:  # within one block equal hashes must mean equal pieces: one word a block
+            batches = [[w] for w in words * 2]
+        else:
+            batches = [texts[i : i + 20] for i in range(0, 200, 20)] * 2
+        enc = Encoder(vocab)
+        for batch in batches:
+            ids, lengths = enc.encode(pa.array(batch))
+            edges = [0, *np.cumsum(lengths).tolist()]
+            for i, t in enumerate(batch):
+                want = enc.full.encode(t, add_special_tokens=False).ids
+                assert ids[edges[i] : edges[i + 1]].tolist() == want, t
