@@ -23,8 +23,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def free_name(df: DataFrame, base: str) -> str:
-    """``base``, lengthened until no column of ``df`` has that name."""
-    while base in df.columns:
+    """``base``, lengthened until no column of ``df`` has that name; Spark takes names that differ in case as one."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
         base += "_"
     return base
 

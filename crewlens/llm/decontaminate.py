@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crewlens.llm.common import free_name
+
 WINDOW = 13  # tokens of an overlap that must be aligned
 NEEDED = 11  # of them equal: 2 substitutions, a similarity over 0.8
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
@@ -172,9 +174,14 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
-    """``docs`` without the documents that hold benchmark text; all columns stay."""
+    """``docs`` without the documents that hold benchmark text; all columns stay, whatever their names.
+
+    A document is told by its id (null too) and the hash of its text, so of rows
+    that share an id only those with a leak go, and of repeated rows all.
+    """
+    leak_id, leak_hash = free_name(docs, "_leak_id"), free_name(docs, "_leak_hash")
     bad = find_leaks(docs, benchmark, id_col, text_col, **named).select(
-        F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")
+        F.col("doc_id").alias(leak_id), F.col("text_hash").alias(leak_hash)
     ).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_leak_hash"))
+    same = F.col(id_col).eqNullSafe(F.col(leak_id)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(leak_hash))
     return docs.join(bad, same, "left_anti")

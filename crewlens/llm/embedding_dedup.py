@@ -40,10 +40,26 @@ BLOCK_ROWS = 256
 _SLACK = 1e-9  # boxes are widened by this, far above rounding
 
 
+#: Cosines this close to the least one are decided on the stored vectors.
+_DOUBT = 1e-9
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, its largest component in [0.5, 1): squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
+def plain_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each pair of rows in double precision; scaling by powers of two leaves every digit as it is."""
+    a, b = _scaled(a), _scaled(b)
+    return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+
+
 def _stack(column: pa.Array) -> np.ndarray:
     """Rows of an Arrow list column of one length, in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -83,13 +99,15 @@ def _gap(low_a, high_a, low_b, high_b) -> np.ndarray:
 
 def join_intervals(
     x: np.ndarray, y: np.ndarray | None, min_cosine: float, block_rows: int = BLOCK_ROWS
-) -> Iterator[tuple[int, int, np.ndarray]]:
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Blocks of links between two intervals of unit vectors on principal axes (``y`` None: within ``x``).
 
-    Yields (row of x, row of y, boolean matrix). Halves both intervals in turn
-    and drops halves whose boxes are more than epsilon apart.
+    Yields (row of x, row of y, links, doubtful pairs), the last two as boolean
+    matrices. Halves both intervals in turn and drops halves whose boxes are
+    more than epsilon apart. Turning costs a few last digits: pairs within
+    ``_DOUBT`` of ``min_cosine`` are no links yet.
     """
-    epsilon = math.sqrt(max(0.0, 2 - 2 * min_cosine)) + _SLACK
+    epsilon = math.sqrt(max(0.0, 2 - 2 * (min_cosine - _DOUBT))) + _SLACK
     same = y is None
     other = x if same else y
     todo = [(0, len(x), 0, len(other))]
@@ -104,11 +122,13 @@ def join_intervals(
             m, n = (a + b) // 2, (c + d) // 2
             todo += [(a, m, c, n), (a, m, n, d), (m, b, c, n), (m, b, n, d)]
             continue
-        near = p @ q.T >= min_cosine
+        cosine = p @ q.T
         if same and a == c:
-            near = np.triu(near, 1)
-        if near.any():
-            yield a, c, near
+            cosine = np.where(np.triu(np.ones(cosine.shape, bool), 1), cosine, -2.0)
+        near = cosine >= min_cosine + _DOUBT
+        doubt = (cosine > min_cosine - _DOUBT) & ~near
+        if near.any() or doubt.any():
+            yield a, c, near, doubt
 
 
 class _Forest:
@@ -253,7 +273,7 @@ def _join_one_size(groups: DataFrame, size: int, min_cosine: float, grid_axes: i
     boxes = placed.groupBy("interval").agg(
         *[F.min(f"p{i}").alias(f"lo{i}") for i in range(lead)], *[F.max(f"p{i}").alias(f"hi{i}") for i in range(lead)]
     )
-    pairs = _pairs_of_intervals(materialize(boxes, "interval-boxes"), count, lead, epsilon + _SLACK)
+    pairs = _pairs_of_intervals(materialize(boxes, "interval-boxes"), count, lead, math.sqrt(max(0.0, 2 - 2 * (min_cosine - _DOUBT))) + _SLACK)
 
     # each pair of intervals is one group of at most 2 * interval_rows vectors
     sides = pairs.select("a", "b", F.col("a").alias("interval"), F.lit(0).alias("side")).union(
@@ -269,20 +289,50 @@ def _join_one_size(groups: DataFrame, size: int, min_cosine: float, grid_axes: i
         node = pdf["node"].to_numpy() if within else np.concatenate([h["node"].to_numpy() for h in halves])
         copies = pdf["copies"].to_numpy() if within else np.concatenate([h["copies"].to_numpy() for h in halves])
         shift = 0 if within else len(x)
-        links, forest, edges = np.zeros(len(node), np.int64), _Forest(len(node)), []
-        for a, c, near in join_intervals(x, None if within else y, min_cosine):
+        links, forest, edges, open_pairs = np.zeros(len(node), np.int64), _Forest(len(node)), [], []
+        for a, c, near, doubt in join_intervals(x, None if within else y, min_cosine):
             rows = slice(a, a + near.shape[0])
             cols = slice(c + shift, c + shift + near.shape[1])
             links[rows] += near @ copies[cols]
             links[cols] += near.T @ copies[rows]
             i, j = np.nonzero(near)
             edges += forest.links(i + a, j + c + shift)
+            open_pairs += [(u + a, v + c + shift) for u, v in np.argwhere(doubt).tolist()]
         has = np.flatnonzero(links)
-        src, dst = (np.array(e, np.int64) for e in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
+        src, dst = (np.array([e[i] for e in edges + open_pairs], np.int64) for i in (0, 1))
         return pd.DataFrame({
             "node": np.concatenate([node[has], node[src]]),
             "links": np.concatenate([links[has], np.zeros(len(src), np.int64)]),
             "other": pd.array([None] * len(has) + node[dst].tolist(), dtype="Int64"),
+            "doubt": np.arange(len(has) + len(src)) >= len(has) + len(edges),
         })
 
-    return dealt.groupBy("a", "b").applyInPandas(compare, "node long, links long, other long")
+    found = dealt.groupBy("a", "b").applyInPandas(compare, "node long, links long, other long, doubt boolean")
+    found = materialize(found, "vector-links")
+    return found.where("NOT doubt").drop("doubt").unionByName(_decided(found.where("doubt"), groups, min_cosine))
+
+
+def _decided(doubtful: DataFrame, groups: DataFrame, min_cosine: float) -> DataFrame:
+    """The doubtful pairs that are links by the plain cosine of the stored vectors, as counts and forest links."""
+    pairs = doubtful.select("node", "other")
+    for side in ("node", "other"):
+        held = groups.select(F.col("node").alias(side), F.col("vec").alias(f"{side}_vec"), F.col("copies").alias(f"{side}_copies"))
+        pairs = pairs.join(held, side)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near = plain_cosines(_stack(batch.column(2)), _stack(batch.column(3))) >= min_cosine
+            a, b, n, m = (batch.column(i).to_numpy()[near] for i in (0, 1, 4, 5))
+            none = [None] * len(a)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([a, b, a])), pa.array(np.concatenate([m, n, np.zeros(len(a), np.int64)])),
+                    pa.array([*none, *none, *b.tolist()], pa.int64()),
+                ],
+                names=["node", "links", "other"],
+            )
+
+    columns = ["node", "other", "node_vec", "other_vec", "node_copies", "other_copies"]
+    return pairs.select(*columns).mapInArrow(decide, "node long, links long, other long")

@@ -12,10 +12,11 @@ and those words are outside by construction.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,14 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewlens.llm.spans import Span, mask_spans, span_column
+from crewlens.llm.spans import Span, Taken, mask_spans, span_column
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 FEATURES = 1 << 13
 CONTEXT = 2
 ADD_ABOVE = 0.98
-_BATCH = 256
+#: words (padding included) that are decoded together, and words of a long window that are decoded at a time
+_BATCH_WORDS, _PIECE_WORDS = 1 << 15, 1 << 12
 
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -87,14 +89,18 @@ def pattern_spans(text: str) -> list[Span]:
 
 
 # -- the field ---------------------------------------------------------------
+def _sort_of(c: str) -> str:
+    return "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
+
+
+_ASCII_SORT = {i: _sort_of(chr(i)) for i in range(128)}
+_RUN = re.compile(r"([Aa9])\1+")
+
+
 def shape(word: str, full: bool = False) -> str:
-    """Letters as A or a, digits as 9, signs as they are; runs collapsed unless ``full``."""
-    out = []
-    for c in word[:40]:
-        s = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
-        if full or not out or out[-1] != s or s not in "Aa9":
-            out.append(s)
-    return "".join(out)
+    """The whole word, letters as A or a, digits as 9, signs as they are; runs collapsed unless ``full``."""
+    out = word.translate(_ASCII_SORT) if word.isascii() else "".join(map(_sort_of, word))
+    return out if full else _RUN.sub(r"\1", out)
 
 
 def word_features(words: Sequence[str], i: int) -> list[int]:
@@ -126,6 +132,49 @@ class Field:
             out[n, : len(words)] = self.emit[index].sum(axis=1)
         return out, lengths
 
+    def decode_long(self, words: Sequence[str]) -> tuple[list[int], np.ndarray]:
+        """``decode`` of one window of any length, holding one piece of it at a time.
+
+        Forward messages are carried from piece to piece and kept only where a
+        piece begins; then the pieces are gone through backwards with the exact
+        messages from both sides, so the result is that of one long chain.
+        """
+        cuts = list(range(0, len(words), _PIECE_WORDS))
+
+        def scores(a: int) -> np.ndarray:
+            z = min(a + _PIECE_WORDS, len(words))
+            return self.emit[np.array([word_features(words, i) for i in range(a, z)])].sum(axis=1)
+
+        def forward(score: np.ndarray, sums, best):
+            alpha, back = np.empty_like(score), np.zeros(score.shape, np.int8)
+            for t, here in enumerate(score):
+                if best is None:
+                    sums, best = self.begin + here, self.begin + here
+                else:
+                    through = best[:, None] + self.move
+                    back[t] = through.argmax(axis=0)
+                    best = through.max(axis=0) + here
+                    sums = _log_sum(sums[:, None] + self.move, 0) + here
+                alpha[t] = sums
+            return alpha, back, sums, best
+
+        entries, sums, best = [], None, None
+        for a in cuts:
+            entries.append((sums, best))
+            _, _, sums, best = forward(scores(a), sums, best)
+        total, label = _log_sum(sums, 0), int(best.argmax())
+        path, sure = np.zeros(len(words), np.int64), np.zeros(len(words))
+        beta = np.zeros(len(self.begin))
+        for a, (sums, best) in zip(reversed(cuts), reversed(entries)):
+            score = scores(a)
+            alpha, back, _, _ = forward(score, sums, best)
+            for t in range(len(score) - 1, -1, -1):
+                path[a + t], sure[a + t] = label, math.exp(alpha[t, label] + beta[label] - total)
+                if a + t:
+                    label = int(back[t, label])
+                    beta = _log_sum(self.move + (score[t] + beta)[None, :], 1)
+        return path.tolist(), sure
+
     def decode(self, windows: Sequence[Sequence[str]]) -> tuple[list[list[int]], list[np.ndarray]]:
         """Viterbi labels of each window, and the marginal probability of each word's label."""
         score, lengths = self.potentials(windows)
@@ -276,10 +325,11 @@ def field_spans(texts: Sequence[str], field: Field, add_above: float = ADD_ABOVE
             windows.append([text[s:e] for s, e in words[a:z]])
             homes.append((n, words[a:z]))
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
-    for at in range(0, len(order), _BATCH):
-        some = order[at : at + _BATCH]
-        paths, sure = field.decode([windows[i] for i in some])
+    for some in _batches([len(w) for w in windows]):
+        if len(windows[some[0]]) > _PIECE_WORDS:
+            paths, sure = zip(*[field.decode_long(windows[i]) for i in some])
+        else:
+            paths, sure = field.decode([windows[i] for i in some])
         for i, path, p in zip(some, paths, sure):
             n, places = homes[i]
             t = 0
@@ -305,13 +355,26 @@ def field_spans(texts: Sequence[str], field: Field, add_above: float = ADD_ABOVE
     return found
 
 
+def _batches(lengths: Sequence[int]) -> Iterator[list[int]]:
+    """Windows of like length together: their number times the longest stays under ``_BATCH_WORDS``; long ones go alone."""
+    some: list[int] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if some and (len(some) + 1) * lengths[i] > _BATCH_WORDS or lengths[i] > _PIECE_WORDS:
+            if some:
+                yield some
+            some = []
+        some.append(i)
+    if some:
+        yield some
+
+
 def find_spans(texts: Sequence[str], field: Field) -> list[list[Span]]:
     """Pattern spans and the field's additions, by kind as listed, then start."""
     out = []
     for text, extra in zip(texts, field_spans(texts, field)):
         spans = pattern_spans(text)
-        taken = [(a, z) for _, a, z, _ in spans]
-        spans += [(k, a, z, False) for k, a, z in extra if all(z <= s or e <= a for s, e in taken)]
+        taken = Taken(spans)
+        spans += [(k, a, z, False) for k, a, z in extra if not taken.meets(a, z)]
         out.append(sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
     return out
 

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlens.llm.bytescan import text_buffer
-from crewlens.llm.spans import Span, span_column
+from crewlens.llm.spans import Span, Taken, span_column
 
 BASE_KINDS = ("assign", "access", "hex")
 CANDIDATE_CHARS = 16
 #: How sure the test must be that two states differ (Hoeffding's alpha).
-ALPHA = 0.05
+ALPHA = 0.2
 #: States seen less often than this say nothing about a difference.
-LEAST_SEEN = 6
+LEAST_SEEN = 5
 #: Log probability of a move that no example made.
 SURPRISE = math.log(0.02)
 
@@ -98,6 +98,7 @@ def _differ(a: int, n: int, b: int, m: int, alpha: float) -> bool:
 def infer_automaton(examples: Sequence[str], alpha: float = ALPHA) -> Automaton:
     """Fold the prefix tree of class strings; states are tried in breadth-first order."""
     children: list[dict[str, int]] = [{}]
+    counts: list[Counter] = [Counter()]  # how often each edge was taken
     passed, ended = [0], [0]
     for symbols, n in sorted(Counter(map(classes, examples)).items()):
         at = 0
@@ -106,8 +107,10 @@ def infer_automaton(examples: Sequence[str], alpha: float = ALPHA) -> Automaton:
             if s not in children[at]:
                 children[at][s] = len(children)
                 children.append({})
+                counts.append(Counter())
                 passed.append(0)
                 ended.append(0)
+            counts[at][s] += n
             at = children[at][s]
             passed[at] += n
         ended[at] += n
@@ -122,8 +125,7 @@ def infer_automaton(examples: Sequence[str], alpha: float = ALPHA) -> Automaton:
                 return False
             for s in children[x].keys() | children[y].keys():
                 i, j = children[x].get(s), children[y].get(s)
-                p, q = passed[i] if i is not None else 0, passed[j] if j is not None else 0
-                if _differ(p, passed[x], q, passed[y], alpha):
+                if _differ(counts[x][s], passed[x], counts[y][s], passed[y], alpha):
                     return False
                 if i is not None and j is not None and i != j:
                     todo.append((i, j))
@@ -135,6 +137,7 @@ def infer_automaton(examples: Sequence[str], alpha: float = ALPHA) -> Automaton:
             x, y = todo.pop()
             passed[x] += passed[y]
             ended[x] += ended[y]
+            counts[x].update(counts[y])
             for s, j in children[y].items():
                 i = children[x].get(s)
                 if i is None:
@@ -158,7 +161,7 @@ def infer_automaton(examples: Sequence[str], alpha: float = ALPHA) -> Automaton:
     number = {s: i for i, s in enumerate(kept)}
     move, stop = {}, []
     for s in kept:
-        out = {c: passed_edge for c, passed_edge in _edge_counts(s, children, passed, number).items()}
+        out = {c: (number[t], counts[s][c]) for c, t in children[s].items()}
         total = sum(n for _, n in out.values()) + ended[s]
         smooth = total + 0.5 * (len(out) + 1)
         for c, (to, n) in out.items():
@@ -169,12 +172,7 @@ def infer_automaton(examples: Sequence[str], alpha: float = ALPHA) -> Automaton:
     return Automaton(move, tuple(stop), {c: math.log((seen[c] + 0.5) / total) for c in _CLASSES})
 
 
-def _edge_counts(state, children, passed, number):
-    # merged targets share one passing count: an edge's own part is bounded by what its state passes on
-    return {c: (number[t], min(passed[t], passed[state])) for c, t in children[state].items()}
-
-
-def example_credentials(rows: int = 160, seed: int = 23) -> dict[str, list[str]]:
+def example_credentials(rows: int = 1500, seed: int = 23) -> dict[str, list[str]]:
     """Labelled credentials made by rule, by format."""
     rng = random.Random(seed)
     pick = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
@@ -189,7 +187,7 @@ def example_credentials(rows: int = 160, seed: int = 23) -> dict[str, list[str]]
     return {kind: [make() for _ in range(rows)] for kind, make in formats.items()}
 
 
-def example_ordinary(rows: int = 240, seed: int = 29) -> dict[str, list[str]]:
+def example_ordinary(rows: int = 2250, seed: int = 29) -> dict[str, list[str]]:
     """Long runs of credential characters that are no secrets, by type."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgk"
@@ -252,12 +250,12 @@ def find_spans(texts: Sequence[str], grammar: Grammar) -> list[list[Span]]:
             out.append([])
             continue
         spans = pattern_spans(text)
-        taken = [(a, z) for _, a, z, _ in spans]
+        taken = Taken(spans)
         for m in _CANDIDATE.finditer(text):
             a, z = m.span()
             while z > a and text[z - 1] in ".-":
                 z -= 1
-            if z - a < CANDIDATE_CHARS or any(a < e and s < z for s, e in taken):
+            if z - a < CANDIDATE_CHARS or taken.meets(a, z):
                 continue
             kind, score = grammar.score(text[a:z])
             if score > grammar.margin:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -37,6 +38,21 @@ def span_column(find: Callable[[Sequence[str]], list[list[Span]]], text: Column)
     return run(text)
 
 
+class Taken:
+    """Which places of a text spans hold already: a query looks up one bound, however many spans there are."""
+
+    def __init__(self, spans: Sequence[Span]):
+        order = sorted((a, z) for _, a, z, _ in spans)
+        self.starts, self.ends, top = [a for a, _ in order], [], 0
+        for _, z in order:
+            top = max(top, z)
+            self.ends.append(top)
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
+
+
 def written(spans: Column) -> Column:
     """``kind:start:end`` of the spans in their order, comma-joined."""
     return F.array_join(

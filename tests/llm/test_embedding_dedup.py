@@ -75,11 +75,30 @@ def test_recursion_drops_only_distant_blocks():
     x = x / np.linalg.norm(x, axis=1)[:, None]
     x = x[np.lexsort(x.T[::-1])]
     got = np.zeros((len(x), len(x)), bool)
-    for a, c, near in join_intervals(x, None, 0.9, block_rows=16):
+    for a, c, near, doubt in join_intervals(x, None, 0.9, block_rows=16):
+        assert not doubt.any()
         got[a : a + near.shape[0], c : c + near.shape[1]] |= near
     assert np.array_equal(got, np.triu(x @ x.T >= 0.9, 1))
     y, z = x[:200], x[200:]
     got = np.zeros((200, len(z)), bool)
-    for a, c, near in join_intervals(y, z, 0.9, block_rows=16):
+    for a, c, near, _ in join_intervals(y, z, 0.9, block_rows=16):
         got[a : a + near.shape[0], c : c + near.shape[1]] |= near
     assert np.array_equal(got, y @ z.T >= 0.9)
+
+
+def test_links_at_exactly_the_least_cosine(spark):
+    """(1, 0, ..) and (9, 3, 3, 1, 0, ..) have cosine 0.9 to the last digit, whatever the principal axes are."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        near, far = [1.0] + [0.0] * 7, [9.0, 3.0, 3.0, 1.0] + [0.0] * 4
+        below = [9.0, 3.0, 3.0, 1.0 + 1e-12] + [0.0] * 4
+        rows = [(1, near), (2, far), (3, below), (4, [2.0**40 * x for x in near])] + [(10 + i, (rng.normal(size=8) - 3).tolist()) for i in range(40)]
+        got = {r["vec_id"]: r for r in near_duplicates(make(spark, rows, "double")).collect()}
+        assert got[1]["n_links"] == 2 and got[4]["n_links"] == 2  # each other and the vector at 0.9
+        assert got[2]["component_id"] == 1 and got[2]["n_links"] == 3
+
+
+def test_vectors_whose_squares_vanish_or_overflow(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [1.0, 1.0]), (3, [2.0, 2.1]), (4, [1e200, 1e200]), (5, [-1e-310, 1e-310]), (6, [-3e300, 3.1e300]), (7, [1.0, -1.0])]
+    got = sorted(tuple(r) for r in near_duplicates(make(spark, rows, "double")).collect())
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]

@@ -54,3 +54,17 @@ def test_each_stage_works_on_what_came_before(spark, name, request):
 def test_run(spark):
     result = corpus_pipeline.run(spark, SMALL)
     assert result.count() > 0 and {"doc_id", "start", "length", "ids", "sequence_id"} <= set(result.columns)
+
+
+def test_stages_leave_columns_with_internal_names_alone(spark):
+    """Names that stages use inside, in other cases too, come out as they went in."""
+    from crewlens.llm.decontaminate import drop_leaks
+    from crewlens.llm.simhash import keep_one_per_group
+
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    rows = [(1, text, 11, "a", 5, 6), (2, text, 22, "b", 7, 8), (3, "other words altogether here today", 33, "c", 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _FP long, _Row string, _leak_ID long, _LEAK_HASH long")
+    kept = keep_one_per_group(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+    left = drop_leaks(docs, spark.createDataFrame([(1, text)], "item_id long, text string"), scaled=True)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [rows[2]]

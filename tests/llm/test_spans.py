@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from crewlens.llm import pii, secrets
@@ -160,3 +163,89 @@ def test_digests(spark, name):
 @pytest.mark.parametrize("find", [pii.find_personal_data, secrets.find_secrets])
 def test_edges(find, edge_docs, no_docs):
     assert find(edge_docs).count() == edge_docs.count() and find(no_docs).count() == 0
+
+
+def test_shapes_of_whole_words():
+    assert pii.shape("Ab12-cDé9" + "x" * 100 + "7") == "Aa9-aAa9a9" and pii.shape("12é", full=True) == "99a"
+    assert pii.shape("a" * 60 + "9") != pii.shape("a" * 60) and pii.shape("--..99") == "--..9"
+
+
+def test_long_windows_equal_one_chain(monkeypatch):
+    """Pieces with carried messages give the labels and marginals of the whole chain."""
+    rng = random.Random(2)
+    pool = ["call", "+1", "(555)", "123-4567", "4111", "1111", "a.b@c.org", "10.0.0.1", "x9", "end.", "2020"]
+    words = [rng.choice(pool) for _ in range(700)]
+    field = pii.default_field()
+    paths, sure = field.decode([words])
+    for size in (1, 7, 100, 699, 700, 4096):
+        monkeypatch.setattr(pii, "_PIECE_WORDS", size)
+        path, p = field.decode_long(words)
+        assert path == paths[0] and np.allclose(p, sure[0], atol=1e-9)
+
+
+def test_memory_is_bounded_by_words_not_by_the_longest_window():
+    import tracemalloc
+
+    texts = ["1 " * 60_000] + ["call 555 now"] * 255
+    field = pii.default_field()
+    tracemalloc.start()
+    found = pii.find_spans(texts, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 256 and peak < 200 << 20
+
+
+def test_taken_places_against_all_pairs():
+    from crewlens.llm.spans import Taken
+
+    rng = random.Random(6)
+    spans = [("k", a, a + rng.randint(1, 12), True) for a in (rng.randint(0, 200) for _ in range(30))]
+    taken = Taken(spans)
+    for a in range(0, 220):
+        for z in range(a + 1, a + 9):
+            assert taken.meets(a, z) == any(s < z and a < e for _, s, e, _ in spans)
+    assert not Taken([]).meets(0, 5)
+
+
+def test_edges_carry_their_own_counts():
+    """A folded format keeps the frequencies of its characters: 10 digits and 6 letters of 16."""
+    rng = random.Random(11)
+    rows = ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(400)]
+    automaton = secrets.infer_automaton(rows)
+    drawn = "".join(rows)
+    for symbol, want in (("9", 10 / 16), ("f", 6 / 16)):
+        p = [math.exp(v[1]) for (state, c), v in automaton.move.items() if c == symbol]
+        assert any(abs(x - want) < 0.03 for x in p)
+    state, taken = 0, Counter()
+    for value in rows:  # the machine run over its own examples: each edge's share is its probability
+        state = 0
+        for c in secrets.classes(value):
+            taken[state, c] += 1
+            state = automaton.move[state, c][0]
+    for s in {s for s, _ in taken}:
+        total = sum(n for (t, _), n in taken.items() if t == s)
+        if total > 2000:
+            for (t, c), n in taken.items():
+                if t == s:
+                    assert abs(math.exp(automaton.move[t, c][1]) - n / total) < 0.03
+    assert abs(drawn.count("a") / len(drawn) - 1 / 16) < 0.01
+
+
+def test_unmerged_automaton_scores_like_the_examples():
+    """With nothing merged the automaton is the prefix tree: a string's likelihood is its smoothed share, move by move."""
+    rows = ["ab1", "ab1", "zZ", "9"]
+    automaton = secrets.infer_automaton(rows)
+    tree, ends = {}, Counter()
+    for r in rows:
+        for i, c in enumerate(secrets.classes(r)):
+            tree.setdefault(secrets.classes(r)[:i], Counter())[c] += 1
+        ends[secrets.classes(r)] += 1
+    if len(automaton.stop) == len({secrets.classes(r)[:i] for r in rows for i in range(len(r) + 1)}):
+        for r in rows:
+            total, symbols = 0.0, secrets.classes(r)
+            for i, c in enumerate(symbols):
+                out = tree[symbols[:i]]
+                total += math.log((out[c] + 0.5) / (out.total() + ends[symbols[:i]] + 0.5 * (len(out) + 1)))
+            last = tree.get(symbols, Counter())
+            total += math.log((ends[symbols] + 0.5) / (last.total() + ends[symbols] + 0.5 * (len(last) + 1)))
+            assert math.isclose(automaton.log_likelihood(symbols), total, rel_tol=1e-9)
