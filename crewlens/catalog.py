@@ -47,6 +47,7 @@ def load_all() -> None:
         q_analysis,
         q_clean,
         q_feed,
+        q_jobs,
         q_models,
         q_ninebox,
     )

@@ -62,7 +62,8 @@ def fold_ascii(col, form: str = "NFKD") -> Column:
     if multi:
         # multi-letter expansions (ligatures, fractions, roman numerals...):
         # per-character map lookup, only for strings that contain one
-        expand = F.create_map(*[F.lit(x) for pair in multi for x in pair])
+        # one literal, which the optimizer turns into a constant map
+        expand = F.str_to_map(F.lit("\x02".join(f"{ch}\x03{kept}" for ch, kept in multi)), F.lit("\x02"), F.lit("\x03"))
         chars = F.regexp_extract_all(c, F.lit("(?s)."), 0)  # whole code points
         expanded = F.array_join(F.transform(chars, lambda ch: F.coalesce(F.try_element_at(expand, ch), ch)), "")
         c = F.when(c.rlike("[" + "".join(ch for ch, _ in multi) + "]"), expanded).otherwise(c)

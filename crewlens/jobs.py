@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crewlens.operators import core
+from crewlens.operators.sequence import numbered
 from crewlens.plans.feed import FeedJob, salary_days
 from crewlens.plans.people import PeopleModel
 from crewlens.plans.profile import run_summary
@@ -82,6 +83,28 @@ def read_in_order(spark: SparkSession, path: str, name: str = "ordinal", schema_
     return rows.join(F.broadcast(rank), "_file").withColumn(name, order).drop("_file", "_begin", "_place", "_rank")
 
 
+def roundtrip_digests(spark: SparkSession, df: DataFrame, order: str, path: str) -> DataFrame:
+    """Write ``df`` in ``order`` to ``path`` (format by suffix), read it back in file order, and digest every column.
+
+    ``coluna``, ``linhas``, ``preenchidos`` (values that are there) and
+    ``resumo``: the sum of 32 bits of md5("row number:value"), which changes with
+    any value and with its place. Empty input gives zeros.
+    """
+    values = [c for c in df.columns if c != order]
+    T.write_table(df.orderBy(order).select(*values), path)
+    back = numbered(read_in_order(spark, path, "_ordinal"), "_ordinal", "_ordinal", "_linha")
+
+    def digest(c: str):
+        text = F.concat_ws(":", F.col("_linha").cast("string"), F.col(c).cast("string"))
+        return F.when(F.col(c).isNotNull(), F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"))
+
+    parts = [F.count(c).alias(f"n_{i}") for i, c in enumerate(values)]
+    parts += [F.coalesce(F.sum(digest(c)), F.lit(0)).alias(f"s_{i}") for i, c in enumerate(values)]
+    one = back.agg(F.count(F.lit(1)).alias("linhas"), *parts)
+    rows = F.array(*[F.struct(F.lit(c).alias("coluna"), F.col(f"n_{i}").alias("preenchidos"), F.col(f"s_{i}").alias("resumo")) for i, c in enumerate(values)])
+    return one.select("linhas", F.explode(rows).alias("r")).select("r.coluna", "linhas", "r.preenchidos", "r.resumo")
+
+
 def standardize_assessments(df: DataFrame) -> DataFrame:
     """D1 preparation: P1 drop ``Match``, P2 drop ``URL*``, X11/X12 parse
     ``Início``/``Fim`` as UTC timestamps (bad -> null), P5 rename headers."""

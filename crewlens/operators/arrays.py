@@ -17,20 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def element_rows(df: DataFrame, keep: Sequence[str], arrays: dict[str, str], n: int) -> DataFrame:
-    """``keep``, ``idx`` (1 .. ``n``) and one column per array of ``arrays`` (new name -> array column).
+def element_rows(df: DataFrame, keep: Sequence[str], values: str, n: int, out: str) -> DataFrame:
+    """``keep``, ``idx`` (1 .. ``n``) and ``out``, the element of the array ``values`` at ``idx``.
 
     ``df`` has one row per group; elements are placed by an unpivot.
     """
-    cells = [
-        F.struct(*[F.get(source, F.lit(i)).alias(name) for name, source in arrays.items()]).alias(str(i + 1)) for i in range(n)
-    ]
-    wide = df.select(*keep, *cells)
     if not n:
-        empty = [F.lit(None).cast("double").alias(name) for name in arrays]
-        return df.select(*keep, F.lit(0).alias("idx"), *empty).limit(0)
-    long = wide.unpivot(list(keep), [str(i + 1) for i in range(n)], "_i", "_v")
-    return long.select(*keep, F.col("_i").cast("int").alias("idx"), *[F.col(f"_v.{name}").alias(name) for name in arrays])
+        return df.selectExpr(*keep, "0 AS idx", f"CAST(NULL AS double) AS {out}").limit(0)
+    names = [f"_{i + 1}" for i in range(n)]
+    wide = df.selectExpr(*keep, *[f"get({values}, {i}) AS _{i + 1}" for i in range(n)])
+    long = wide.unpivot(list(keep), names, "_i", out)
+    return long.selectExpr(*keep, "CAST(substring(_i, 2) AS int) AS idx", out)
 
 
 def array_mean(values: str | Column) -> Column:
@@ -52,14 +49,11 @@ def array_correlations(df: DataFrame, groups: Sequence[str], values: str, y: str
         Summarizer.metrics("mean", "variance").summary(x).alias("_x"), Summarizer.mean(xy).alias("_xy"),
         F.avg(y).alias("_y"), F.stddev_pop(y).alias("_sy"), F.count(F.lit(1)).alias("n"),
     )
-    parts = sums.select(
-        *groups, "n", "_y", "_sy", vector_to_array("_x.mean").alias("_mx"), vector_to_array("_x.variance").alias("_vx"),
-        vector_to_array("_xy").alias("_mxy"),
-    )
-    rows = element_rows(parts, [*groups, "n", "_y", "_sy"], {"_m": "_mx", "_v": "_vx", "_p": "_mxy"}, n)
-    spread = F.sqrt(F.col("_v") * (F.col("n") - 1) / F.col("n")) * F.col("_sy")
-    r = (F.col("_p") - F.col("_m") * F.col("_y")) / F.nullif(spread, F.lit(0.0))
-    return rows.select(*groups, "idx", r.alias(out), "n")
+    spread = F.transform(vector_to_array("_x.variance"), lambda v: F.sqrt(v * (F.col("n") - 1) / F.col("n")) * F.col("_sy"))
+    shared = F.zip_with(vector_to_array("_xy"), "_mx", lambda p, m: p - m * F.col("_y"))
+    parts = sums.withColumn("_mx", vector_to_array("_x.mean"))
+    parts = parts.select(*groups, "n", F.zip_with(shared, spread, lambda c, s: c / F.nullif(s, F.lit(0.0))).alias("_r"))
+    return element_rows(parts, [*groups, "n"], "_r", n, out).select(*groups, "idx", out, "n")
 
 
 def gram_matrix(df: DataFrame, features: Sequence[Column], values: str | None, y: str) -> dict:

@@ -16,6 +16,7 @@ from crewlens.operators.arrays import array_correlations
 from crewlens.operators.core import attach_one_row, crosstab_zero_fill, ranked, share_within, top_k, unstack, value_counts
 from crewlens.operators.quantiles import exact_quantiles
 from crewlens.plans.people import ASSESSMENT_COLUMNS, PeopleModel, period_column
+from crewlens.session import written_once
 
 # Analyses that need a minimum number of rows (F9, F10) -- fixed values.
 MIN_ROWS_AREA_CORR = 5          # areas with fewer complete rows are skipped
@@ -274,7 +275,10 @@ def culture_mix(m: PeopleModel) -> DataFrame:
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Q1, median, Q3, 1.5 IQR whiskers (most extreme values inside), min, max."""
+    """Q1, median, Q3, 1.5 IQR whiskers (most extreme values inside), min, max.
+
+    The (group, value) table is written once: quartiles and whiskers scan it four times."""
+    df = written_once(df.select(group, value), "box")
     ext = df.groupBy(group).agg(F.min(value).alias("minimo"), F.max(value).alias("maximo"))
     quart = exact_quantiles(df, [group], value, [0.25, 0.5, 0.75], ["q1", "mediana", "q3"]).join(ext, group)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))

@@ -88,7 +88,7 @@ class Archetypes:
         """Centroids in original units (mean attribute per cluster) and sizes."""
         a = self.m.complete_vectors().join(self.assign, "cpf")
         means = a.groupBy("cluster", "perfil").agg(array_mean("attrs").alias("_m"), F.count(F.lit(1)).alias("n"))
-        return element_rows(means, ["cluster", "perfil", "n"], {"_media": "_m"}, self.m.n_attributes())
+        return element_rows(means, ["cluster", "perfil", "n"], "_m", self.m.n_attributes(), "_media")
 
     def area_fit(self) -> DataFrame:
         """Mean performance per area x archetype (people with performance)."""

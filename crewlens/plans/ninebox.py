@@ -107,7 +107,7 @@ def profile(m: PeopleModel) -> DataFrame:
     complete-attribute population (A26 on long form)."""
     b = banded(m, restrict=m.attrs_complete()).select("cpf", "quadrante")
     means = m.complete_vectors().join(b, "cpf").groupBy("quadrante").agg(array_mean("attrs").alias("_m"), F.count(F.lit(1)).alias("n"))
-    rows = element_rows(means, ["quadrante", "n"], {"media": "_m"}, m.n_attributes())
+    rows = element_rows(means, ["quadrante", "n"], "_m", m.n_attributes(), "media")
     return rows.select("quadrante", "idx", rounded("media").alias("media"), "n")
 
 

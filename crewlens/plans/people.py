@@ -14,10 +14,11 @@ between queries, so a result always follows the files as they are.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewlens.functions import text
@@ -32,6 +33,9 @@ PRESENCE_FLAGS = {
     "fez_atributos": "atributo_comunicacao",
 }
 
+# Column of the culture band.
+BAND_COLUMN = "cultura_classificacao"
+
 # Prefix of the attribute columns in the source tables (fixed value).
 ATTRIBUTE_PREFIX = "atributo-"
 
@@ -45,38 +49,55 @@ ASSESSMENT_COLUMNS = {
 
 
 def clean_expressions(people: DataFrame) -> dict[str, "F.Column"]:
-    """D1 step 1 as named expressions: full name (X6), band label (X5), flags."""
+    """D1 step 1 as named expressions: full name (X6), raw band label, flags."""
     exprs = {"nome_completo": text.full_name("nome", "sobrenome")}
     for c in people.columns:
-        if c not in ("nome", "sobrenome", "cultura_classificacao"):
+        if c not in ("nome", "sobrenome", BAND_COLUMN):
             exprs[c] = F.col(c)
-    exprs["cultura_classificacao"] = text.band_label("cultura_classificacao")
+    exprs[BAND_COLUMN] = F.col(BAND_COLUMN)  # folded by ``clean_people``
     for flag, src in PRESENCE_FLAGS.items():
         if src in people.columns:
             exprs[flag] = F.col(src).isNotNull().cast("int")
     return exprs
 
 
+def folded_once(df: DataFrame, source: DataFrame, col: str, fold) -> DataFrame:
+    """``df`` with ``fold`` applied to ``col``, computed once per distinct text of ``source``.
+
+    Labels repeat, folding them is costly, and a filter on a folded column would
+    be pushed down with a copy of the whole expression. So the distinct raw
+    texts (reduced map-side) are folded and joined back: a left join on a unique
+    key, which goes away where the column is not read and which AQE broadcasts.
+    """
+    raw = source.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_raw")).agg(F.lit(1).alias("_one"))
+    folded = raw.select("_raw", fold("_raw").alias("_folded"))
+    joined = df.withColumnRenamed(col, "_text").join(folded, F.col("_text") == F.col("_raw"), "left")
+    return joined.select(*[F.col("_folded").alias(c) if c == col else F.col(c) for c in df.columns])
+
+
 def clean_people(people: DataFrame, cols=None) -> DataFrame:
     """D1 step 1: the cleaned assessment table (optionally only ``cols``)."""
     exprs = clean_expressions(people)
     names = [c for c in exprs if cols is None or c in cols or c == "cpf"]
-    return people.select(*[exprs[c].alias(c) for c in names])
+    plain = people.select(*[exprs[c].alias(c) for c in names])
+    if BAND_COLUMN not in names:
+        return plain
+    return folded_once(plain, people, BAND_COLUMN, text.band_label)
+
+
+def fold_area(col):
+    """Area names: strip -> title -> NFKD fold."""
+    return text.fold_ascii(text.title_case(text.strip_py(col)), "NFKD")
 
 
 def clean_area(area: DataFrame, order_col: str = "ordinal") -> DataFrame:
-    """D1 step 2: strip -> title -> NFKD fold the area name; keep the last row per cpf.
+    """D1 step 2: the last area row per cpf (W2), its name folded.
 
     ``max_by`` over the explicit ordinal is one partial + final aggregate, so a
     person with many area rows never needs a sort of all their rows.
     """
-    cleaned = area.select(
-        "cpf", F.col(order_col).alias("_ord"),
-        text.fold_ascii(text.title_case(text.strip_py("area")), "NFKD").alias("area"),
-    )
-    return cleaned.where(F.col("cpf").isNotNull()).groupBy("cpf").agg(
-        F.max_by("area", "_ord").alias("area")
-    )
+    last = area.where(F.col("cpf").isNotNull()).groupBy("cpf").agg(F.max_by("area", order_col).alias("area"))
+    return folded_once(last, area, "area", fold_area)
 
 
 def perf_summary(perf: DataFrame) -> DataFrame:
@@ -104,7 +125,7 @@ class PeopleModel:
 
     @classmethod
     def from_fixtures(cls, fx) -> "PeopleModel":
-        return cls(fx.people_main, fx.area_raw, fx.perf_long, fx.attributes, fx.assess_sessions, fx.attribute_columns)
+        return FixtureModel(fx)
 
     @cached_property
     def people(self) -> DataFrame:
@@ -185,3 +206,75 @@ class PeopleModel:
     def n_attributes(self) -> int:
         """Number of attributes, from the data."""
         return self.attrs.agg(F.max(F.size("attrs")).alias("n")).first()["n"] or 0
+
+
+class FixtureModel(PeopleModel):
+    """The model over driver tables: a table is opened when an analysis first asks for it."""
+
+    def __init__(self, fx):
+        self._fx = fx
+
+    @cached_property
+    def people_raw(self) -> DataFrame:
+        return self._fx.people_main
+
+    @cached_property
+    def area_raw(self) -> DataFrame:
+        return self._fx.area_raw
+
+    @cached_property
+    def perf(self) -> DataFrame:
+        return self._fx.perf_long
+
+    @cached_property
+    def attrs(self) -> DataFrame:
+        return self._fx.attributes
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self._fx.assess_sessions
+
+    @cached_property
+    def attr_columns(self) -> DataFrame:
+        return self._fx.attribute_columns
+
+
+#: Buckets of stored person tables: a join of two reads no shuffle and one bucket pair a task.
+PERSON_BUCKETS = 64
+
+
+def store_person_tables(m: PeopleModel, path: str, buckets: int = PERSON_BUCKETS) -> "StoredModel":
+    """The cleaned person tables written once under ``path``, all bucketed and sorted by the person key.
+
+    ``people``, ``area``, ``perf`` and ``attrs`` share the key, the number of
+    buckets and the hash, so every later join or group-by on the person reads
+    them without an exchange. Each table is shuffled once, here.
+    """
+    spark, name = m.people.sparkSession, f"person_{uuid.uuid4().hex}"
+    for part, df in (("people", m.people), ("area", m.area), ("perf", m.perf), ("attrs", m.attrs)):
+        spread = df.repartition(buckets, "cpf")
+        spread.write.bucketBy(buckets, "cpf").sortBy("cpf").option("path", f"{path.rstrip('/')}/{part}").saveAsTable(f"{name}_{part}")
+    return StoredModel(spark, name)
+
+
+class StoredModel(PeopleModel):
+    """The model over tables that ``store_person_tables`` has written in this session's catalog."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._name = spark, name
+
+    @cached_property
+    def people(self) -> DataFrame:
+        return self._spark.table(f"{self._name}_people")
+
+    @cached_property
+    def area(self) -> DataFrame:
+        return self._spark.table(f"{self._name}_area")
+
+    @cached_property
+    def perf(self) -> DataFrame:
+        return self._spark.table(f"{self._name}_perf")
+
+    @cached_property
+    def attrs(self) -> DataFrame:
+        return self._spark.table(f"{self._name}_attrs")

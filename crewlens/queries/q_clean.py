@@ -129,15 +129,23 @@ _MERGED_COLS = (
 )
 
 
-@register("clean_merge", with_ctes(f"SELECT {_MERGED_COLS} FROM merged", "merged"))
-def clean_merge(spark, sf_dir):
-    """Cleaned people ⟕ last area per cpf ⟕ performance summary."""
-    df = P.merged(model(spark, sf_dir))
+MERGED_SQL = with_ctes(f"SELECT {_MERGED_COLS} FROM merged", "merged")
+
+
+def merged_columns(m):
+    """The merged person table with its float means rounded for display."""
+    df = P.merged(m)
     return df.select(
         *[rounded(c).alias(c) if c in ("raciocinio", "social", "motivacional", "perf_media") else F.col(c) for c in df.columns]
     )
 
 
+@register("clean_merge", MERGED_SQL)
+def clean_merge(spark, sf_dir):
+    """Cleaned people ⟕ last area per cpf ⟕ performance summary."""
+    return merged_columns(model(spark, sf_dir))
+
+
 @register(
     "rename_periods",
     with_ctes(

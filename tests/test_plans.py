@@ -57,3 +57,23 @@ def test_no_cartesian_and_one_row_nested_loops(spark, name):
     for line in plan.split("\n"):
         if "BroadcastNestedLoopJoin" in line:
             assert "BuildRight" in line
+
+
+def test_stored_person_tables_join_without_a_shuffle(spark, tmp_path):
+    """People, areas and scores share their buckets: nothing but the small label tables is exchanged."""
+    from crewlens.catalog import model
+    from crewlens.plans.people import store_person_tables
+
+    m = model(spark, SF_MID)
+    stored = store_person_tables(m, str(tmp_path / "people"), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (stored.base("area", "perf_media", "cultura_pontuacao"), stored.perf_area, stored.base("perf_media").join(stored.complete_vectors(), "cpf")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan and "Bucketed: true" in formatted(df)
+        plain = m.base("area", "perf_media")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" in plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+    key = ["cpf", "area", "perf_media", "n_avaliacoes"]
+    assert sorted(map(tuple, stored.merged.select(*key).collect())) == sorted(map(tuple, m.merged.select(*key).collect()))
