@@ -145,22 +145,30 @@ SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, least(v.vec_id, coalesce(m.c
 FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN m ON m.a = v.vec_id
 """
 
-# Of 13 aligned tokens with at most 2 unequal, some 4 in a row are equal.
+# The scaled rule. Of `wide` aligned tokens at least floor((4 wide + 4) / 5) equal: from two tokens on some two in
+# a row are equal (of 13 with 2 unequal, some 4), so pairs of tokens find every candidate diagonal.
 ORACLE["op10_spaced_seed_leaks"] = r"""
-WITH d AS (SELECT row_number() OVER () AS u, doc_id, w FROM (SELECT DISTINCT doc_id, text,
-    list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)),
+WITH t AS (SELECT '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]{5}' AS unspaced),
+d AS (SELECT row_number() OVER () AS u, doc_id, w FROM (SELECT DISTINCT doc_id, text,
+    list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents), t
+  WHERE len(w) > 1 OR (len(w) = 1 AND regexp_matches(w[1], unspaced))),
 i AS (SELECT row_number() OVER () AS k, item_id, w FROM (SELECT DISTINCT item_id,
-    list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
-ds AS (SELECT u, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS s FROM (SELECT u, w, unnest(range(0, len(w) - 3)) AS p FROM d)),
-ik AS (SELECT k, q, w[q + 1] || ' ' || w[q + 2] || ' ' || w[q + 3] || ' ' || w[q + 4] AS s FROM (SELECT k, w, unnest(range(0, len(w) - 3)) AS q FROM i)),
-g AS (SELECT DISTINCT u, k, p - q AS g FROM ds JOIN ik ON ds.s = ik.s),
-e AS (SELECT d.doc_id, i.item_id, g.g, len(i.w) AS n, least(13, len(i.w)) AS wide,
+    list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), t
+  WHERE len(w) > 1 OR (len(w) = 1 AND regexp_matches(w[1], unspaced))),
+ds AS (SELECT u, p, w[p + 1] || ' ' || w[p + 2] AS s FROM (SELECT u, w, unnest(range(0, len(w) - 1)) AS p FROM d)),
+ik AS (SELECT k, q, w[q + 1] || ' ' || w[q + 2] AS s FROM (SELECT k, w, unnest(range(0, len(w) - 1)) AS q FROM i)),
+one AS (SELECT d.u, i.k, d.p - i.q AS g FROM (SELECT u, w[p + 1] AS s, p, n FROM (SELECT u, w, len(w) AS n, unnest(range(0, len(w))) AS p FROM d)) d
+  JOIN (SELECT k, w[q + 1] AS s, q, n FROM (SELECT k, w, len(w) AS n, unnest(range(0, len(w))) AS q FROM i)) i
+    ON d.s = i.s AND (d.n = 1 OR i.n = 1)),
+g AS (SELECT u, k, p - q AS g FROM ds JOIN ik ON ds.s = ik.s UNION SELECT u, k, g FROM one),
+e AS (SELECT d.doc_id, i.item_id, g.g, len(i.w) AS n, least(13, len(i.w), len(d.w)) AS wide,
     list_transform(range(greatest(-g.g, 0), least(len(i.w), len(d.w) - g.g)), lambda x: CASE WHEN d.w[g.g + x + 1] = i.w[x + 1] THEN 1 ELSE 0 END) AS q
   FROM g JOIN d ON d.u = g.u JOIN i ON i.k = g.k),
-f AS (SELECT *, list_max(list_transform(range(0, len(q) - wide + 1), lambda x: list_sum(q[x + 1:x + wide]))) AS best FROM e)
+f AS (SELECT *, list_max(list_transform(range(0, len(q) - wide + 1), lambda x: list_sum(q[x + 1:x + wide]))) AS best FROM e
+  WHERE list_sum(q) >= (4 * wide + 4) // 5)
 SELECT doc_id, item_id, CAST(g AS int) AS doc_token, CAST(n AS int) AS item_tokens, CAST(list_sum(q) AS int) AS equal_tokens,
   CAST(best AS int) AS window_equal
-FROM f WHERE best >= CASE WHEN n < 13 THEN n ELSE 11 END
+FROM f WHERE best >= (4 * wide + 4) // 5
 """
 
 ORACLE["op13_filter_interactions"] = r"""

@@ -88,3 +88,32 @@ def test_the_query_and_the_stage_find_short_leaks(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = corpus_pipeline.benchmark_decontamination(spark, docs, folder)
     assert {r["doc_id"] for r in kept.collect()} == {4, 5}
+
+
+def test_sql_twin_states_the_scaled_rule(spark):
+    """Short items and documents, one word off, one-token texts: the registered SQL gives the operator's rows."""
+    import duckdb
+    import pandas as pd
+
+    from crewlens.llm.decontaminate import find_leaks
+    from crewlens.llm.queries import ORACLE
+
+    words = "red fox jumps over the lazy dog while seven wise owls watch from above in silence".split()
+    items = [(n, " ".join(words[:n])) for n in range(1, 17)] + [(40, "光合作用过程"), (41, "photosynthesis"), (42, "")]
+    docs = []
+    for n in range(1, 17):
+        for off in (None, 0, n // 2, n - 1):
+            part = list(words[:n])
+            if off is not None:
+                part[off] = "zzz"
+            docs.append((len(docs), " ".join(part)))
+            docs.append((len(docs), "aa bb " + " ".join(part) + " cc dd ee"))
+    docs += [(900, "光合作用过程"), (901, "photosynthesis"), (902, None), (903, "x 光合作用过程 y"), (904, docs[9][1]), (904, docs[9][1])]
+    got = find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), scaled=True
+    ).drop("text_hash")
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    want = con.execute(ORACLE["op10_spaced_seed_leaks"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 300

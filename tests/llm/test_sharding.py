@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -61,3 +63,38 @@ def test_plan_is_native(small_docs):
 def test_dimensions_of_other_types(spark):
     docs = spark.createDataFrame([(str(i), "t" * i) for i in range(40)], "doc_id string, text string").withColumn("lang", F.lit(None).cast("string"))
     assert {r["shard"] for r in kd_shards(docs, 4).collect()} == {0, 1, 2, 3}
+
+
+def plain_tree(rows, leaves, top=(1 << 30) - 1):
+    """Plain recursion: sort along the widest dimension, cut where the bytes come nearest to the share."""
+    low = [min(r[1][d] for r in rows) for d in range(2)]
+    high = [max(r[1][d] for r in rows) for d in range(2)]
+    scaled = [(doc, [math.floor((v[d] - low[d]) / (high[d] - low[d]) * float(top)) for d in range(2)], size) for doc, v, size in rows]
+
+    def split(part, n):
+        if n == 1:
+            return [part]
+        width = [max(r[1][d] for r in part) - min(r[1][d] for r in part) for d in range(2)]
+        dim = 0 if width[0] >= width[1] else 1
+        part = sorted(part, key=lambda r: r[1][dim])
+        goal, under, cut = sum(r[2] for r in part) * (n // 2) / n, 0, 0
+        while under + part[cut][2] < goal:
+            under += part[cut][2]
+            cut += 1
+        if under + part[cut][2] - goal <= goal - under:
+            cut += 1
+        return split(part[:cut], n // 2) + split(part[cut:], n - n // 2)
+
+    return {doc: i for i, leaf in enumerate(split(scaled, leaves)) for doc, _, _ in leaf}
+
+
+@pytest.mark.parametrize(("leaves", "seed"), [(2, 1), (5, 2), (24, 3)])
+def test_shards_equal_a_plain_tree(spark, leaves, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(600):
+        n = rng.randint(0, 400)
+        rows.append((rng.randint(0, 10**6) * 600 + i, "y" * n, rng.random()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, w double").repartition(5)
+    got = {r["doc_id"]: r["shard"] for r in kd_shards(docs, leaves, dimensions={"order": F.col("doc_id").cast("double"), "w": F.col("w")}).collect()}
+    assert got == plain_tree([(d, (float(d), w), len(t) + 8) for d, t, w in rows], leaves)
