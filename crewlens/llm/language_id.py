@@ -4,9 +4,12 @@ A text is the average of the embeddings of its hashed byte n-grams (within
 words, with word ends); a linear softmax on the average gives the language.
 Embeddings and softmax are trained together by stochastic gradient descent in
 numpy on a bounded sample; a temperature fitted on a part kept back calibrates
-the score, and texts that score below what clean text of that part reaches are
-rejected. Prediction is one pass over whole texts: the product of embeddings
-and softmax weights is a table with one row per hash bucket.
+the score. The softmax only weighs the learnt languages against each other, so
+rejection also looks at the fit: the mean log frequency of the text's n-grams in
+the sample, which a language that was not learnt cannot reach. Both bounds come
+from the part kept back. Prediction is one pass over whole texts: the product of
+embeddings and softmax weights is a table with one row per hash bucket, and the
+log frequencies are one more column of it.
 """
 
 from __future__ import annotations
@@ -25,14 +28,14 @@ UNKNOWN = "und"
 GRAMS = (2, 3, 4)
 BUCKET_BITS = 16
 DIMENSIONS = 16
-#: Rows of each language that training looks at, at most (about; four times this is never passed).
-SAMPLE_ROWS = 400
+#: Distinct texts of each language that training looks at, about, and languages, the most frequent first.
+SAMPLE_ROWS, MAX_LANGUAGES = 400, 200
 EPOCHS = 12
 RATE = 4.0
 #: Share of correctly labelled calibration texts that may be rejected.
 REJECT_SHARE = 0.001
-#: No text that scores at least this is rejected.
-REJECT_BELOW = 0.4
+#: Share of an n-gram that no sampled text holds.
+UNSEEN = 1e-7
 
 _KEEP = np.full(256, 0x20, np.uint8)  # everything that is no letter separates words
 _KEEP[0x80:] = np.arange(0x80, 0x100)
@@ -96,10 +99,11 @@ def bucket_counts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    table: np.ndarray  # bucket x language: embedding times softmax weight
+    table: np.ndarray  # bucket x language: embedding times softmax weight; last column: log frequency
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: float  # least score
+    least_fit: float
 
     def scores(self, sums: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Calibrated probabilities from summed table rows."""
@@ -107,11 +111,11 @@ class Model:
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the best language, its score) for each row, over whole texts."""
+    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the best language, its score, the text's fit) for each row, over whole texts."""
         buf, offs = _padded(column)
         n_rows = len(offs) - 1
-        sums, grams = np.zeros((n_rows, len(self.languages))), np.zeros(n_rows, np.int64)
+        sums, grams = np.zeros((n_rows, self.table.shape[1])), np.zeros(n_rows, np.int64)
         for a, z in blocks(buf, offs):
             letters = np.concatenate([[np.uint8(0x20)], _letters(buf[a:z])])
             first = int(np.searchsorted(offs, a, "right")) - 1
@@ -128,9 +132,9 @@ class Model:
                 if len(full):
                     sums[first + full] += np.add.reduceat(self.table[bucket], cut[full], axis=0)
                     grams[first + full] += size[full]
-        p = self.scores(sums, grams)
+        p = self.scores(sums[:, :-1], grams)
         best = p.argmax(axis=1)
-        return best, p[np.arange(n_rows), best]
+        return best, p[np.arange(n_rows), best], sums[:, -1] / np.maximum(grams, 1)
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 17) -> Model | None:
@@ -165,23 +169,34 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 17) -> Mod
             bias -= 0.05 * rate * p
             embed[buckets] -= rate * np.outer(x, back)
     table = embed @ weight
+    usual = np.zeros(len(embed))
+    for i in fit:
+        usual[rows[i][1]] += share[i] / len(fit)
+    usual = np.log(usual + UNSEEN)
 
     check = sorted(held) or fit
     logits = np.array([share[i] @ table[rows[i][1]] for i in check]) + bias
     truth = np.array([label[rows[i][0]] for i in check])
 
+    # targets a little short of certain, by the number of texts: without them no temperature is cold enough for separable text
+    sure = (len(truth) + 1) / (len(truth) + 2)
+    target = np.full(logits.shape, (1 - sure) / max(1, len(languages) - 1))
+    target[np.arange(len(truth)), truth] = sure
+
     def loss(t: float) -> float:
         z = logits / t
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth]).mean())
+        return float((np.log(np.exp(z).sum(axis=1)) - (target * z).sum(axis=1)).mean())
 
-    temperature = min(np.geomspace(0.05, 20, 121).tolist(), key=loss)
-    model = Model(languages, table.astype(np.float32), bias, temperature, 0.0)
+    temperature = min(np.geomspace(0.001, 20, 201).tolist(), key=loss)
     p = np.exp(logits / temperature - (logits / temperature).max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     right = p[np.arange(len(truth)), truth][p.argmax(axis=1) == truth]
     floor = float(np.quantile(right, REJECT_SHARE)) if len(right) else 0.0
-    return Model(languages, model.table, bias, temperature, min(REJECT_BELOW, floor))
+    # the least fit of texts kept back, less their spread: other topics of the same language fit a little worse
+    fits = np.array([share[i] @ usual[rows[i][1]] for i in check])
+    least = float(np.quantile(fits, REJECT_SHARE) - fits.std())
+    return Model(languages, np.column_stack([table, usual]).astype(np.float32), bias, temperature, floor, least)
 
 
 def held_out(id_col: Column) -> Column:
@@ -192,19 +207,21 @@ def held_out(id_col: Column) -> Column:
 def fit_language_model(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS
 ) -> Model | None:
-    """Train on about ``sample_rows`` rows of each language, chosen by a hash of the id.
+    """Train on about ``sample_rows`` distinct texts of each language, chosen by a hash of id and text.
 
     Rows that ``held_out`` marks, or without text or language, are never looked
-    at. One count per language and the sampled rows' n-gram counts reach the driver.
+    at. An id or a text that many rows share is drawn like any other and counts
+    once. Of more than ``MAX_LANGUAGES`` language values the most frequent are
+    learnt. One count per language and the sampled n-gram counts reach the driver.
     """
     usable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return None
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_rows / r["n"])))])
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.where(draw < share[F.col("lang")]).limit(4 * sample_rows * len(sizes))
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = usable.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("text", "lang").distinct()
 
     def count(batches):
         for batch in batches:
@@ -221,21 +238,22 @@ def fit_language_model(
 
 
 def language_columns(text: Column, model: Model | None) -> Column:
-    """Struct of ``lang`` and ``score`` for a string column; ``und`` with score 0 without a letter."""
+    """Struct of ``lang``, ``score`` and ``fit`` for a string column; ``und`` with score 0 without a letter."""
     if model is None:
-        return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+        return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(0.0).alias("fit"))
     names = pa.array(model.languages)
 
-    @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+    @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())]))
     def predict(texts: pa.Array) -> pa.Array:
-        best, score = model.predict(texts)
-        return pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score, pa.float64())], names=["lang", "score"])
+        best, score, fit = model.predict(texts)
+        columns = [names.take(pa.array(best)), pa.array(score, pa.float64()), pa.array(fit, pa.float64())]
+        return pa.StructArray.from_arrays(columns, names=["lang", "score", "fit"])
 
     found = predict(text)
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     return F.struct(
         F.when(lettered, found["lang"]).otherwise(F.lit(UNKNOWN)).alias("lang"),
-        F.when(lettered, found["score"]).otherwise(F.lit(0.0)).alias("score"),
+        F.when(lettered, found["score"]).otherwise(F.lit(0.0)).alias("score"), found["fit"].alias("fit"),
     )
 
 
@@ -259,11 +277,18 @@ def identify_languages(
 
 
 def rejected(found: Column, model: Model | None) -> Column:
-    return (found["lang"] == UNKNOWN) | (found["score"] < F.lit(model.threshold if model else 0.0))
+    """No letter, a score under what right answers reach, or a fit that no learnt language has."""
+    if model is None:
+        return found["lang"] == UNKNOWN
+    return (found["lang"] == UNKNOWN) | (found["score"] < F.lit(model.threshold)) | (found["fit"] < F.lit(model.least_fit))
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows the model rejects; all columns stay as they are."""
+    """``docs`` without the rows the model rejects; all columns stay as they are.
+
+    A row goes by its own text alone, so null ids and repeated rows are treated
+    alike. If no row has a language to learn, every text is rejected.
+    """
     model = fit_language_model(docs, id_col, text_col, lang_col)
     found = language_columns(F.col(text_col).cast("string"), model)
     return docs.where(~rejected(found, model))

@@ -48,10 +48,11 @@ def test_buckets_equal_a_plain_count():
 def test_prediction_equals_the_counts(small_docs):
     texts = [r["text"] or "" for r in small_docs.collect()] + ["", "a", "word " * 900_000]
     model = L.fit_language_model(small_docs)
-    best, score = model.predict(pa.array(texts))
+    best, score, fit = model.predict(pa.array(texts))
     for i, (bucket, count) in enumerate(L.bucket_counts(pa.array(texts))):
         sums = model.table[bucket].astype(float).T @ count
-        p = model.scores(sums[None], np.array([count.sum()]))[0]
+        p = model.scores(sums[None, :-1], np.array([count.sum()]))[0]
+        assert fit[i] == pytest.approx(sums[-1] / max(1, count.sum()), abs=1e-3)
         assert score[i] == pytest.approx(p.max(), abs=1e-3) and p[best[i]] == pytest.approx(p.max(), abs=1e-3)
 
 
@@ -91,3 +92,41 @@ def test_training_never_looks_at_held_out_rows(spark):
     assert L.fit_language_model(spark.createDataFrame(spoiled, schema)).languages == ("aa", "bb")
     one, two = (L.fit_language_model(spark.createDataFrame(r, schema)) for r in (rows, spoiled))
     assert np.array_equal(one.table, two.table)
+
+
+FOREIGN = [
+    "A kutya a ház előtt ül és nézi az embereket, akik a piacra mennek kenyérért és tejért minden reggel, mert az élet itt lassú és csendes.",
+    "Koira istuu talon edessä ja katselee ihmisiä, jotka kävelevät torille ostamaan leipää ja maitoa joka aamu, koska elämä on hidasta.",
+    "De hond zit voor het huis en kijkt naar de mensen die elke ochtend naar de markt lopen om brood en melk te kopen, want het is rustig.",
+    "Собака сидит перед домом и смотрит на людей, которые каждое утро идут на рынок за хлебом и молоком, потому что жизнь здесь тихая.",
+    "犬は家の前に座って、毎朝市場へパンと牛乳を買いに行く人々を眺めている。ここの生活は静かでゆっくりしているからだ。",
+]
+
+
+def test_unlearnt_languages_are_rejected_and_clean_text_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(4000)
+    model = L.fit_language_model(docs)
+    assert 0.001 < model.temperature < 20  # inside the grid
+    rng = np.random.default_rng(4)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(30)) for _ in range(40)]
+    parts = [t[a : a + n] for t in FOREIGN for a, n in ((0, 60), (0, 200), (20, 80), (40, 90))]
+    bad = spark.createDataFrame([(i, t, None) for i, t in enumerate(noise + parts)], "doc_id long, text string, lang string")
+    got = [r["rejected"] for r in L.identify_languages(bad, model=model).collect()]
+    assert np.mean(got) >= 0.9
+    clean = L.identify_languages(docs, model=model).where("held_out AND lang_pred <> 'und'").collect()
+    assert np.mean([r["rejected"] for r in clean]) < 0.005
+
+
+def test_a_hot_id_and_many_labels_leave_every_language_in(spark):
+    rows = [(1, f"{w} beta {i}", "aa") for i, w in enumerate(["alpha", "omega"] * 1500)]  # one id holds most rows
+    rows += [(i, f"gamma delta {i} epsilon", "bb") for i in range(2, 400)] + [(9, "same words again", "cc")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    a, b = L.fit_language_model(docs), L.fit_language_model(docs.repartition(3))
+    assert a.languages == ("aa", "bb", "cc") and np.array_equal(a.table, b.table)
+
+
+def test_the_most_frequent_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    rows = [(i * 5 + 1, f"text {i % 7} words", f"l{i % 3 if i % 3 < 2 else 100 + i}") for i in range(400)]
+    model = L.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("l0", "l1")
