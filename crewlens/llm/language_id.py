@@ -138,7 +138,10 @@ class Model:
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 17) -> Model | None:
-    """Fit a model on (language, buckets, counts); every fifth row is kept back for calibration."""
+    """Fit a model on (language, buckets, counts); every fifth row is kept back for calibration.
+
+    Under 25 rows none is kept back, and the model rejects only texts without a letter.
+    """
     rows = [r for r in rows if len(r[1])]
     if not rows:
         return None
@@ -192,10 +195,13 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 17) -> Mod
     p = np.exp(logits / temperature - (logits / temperature).max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     right = p[np.arange(len(truth)), truth][p.argmax(axis=1) == truth]
-    floor = float(np.quantile(right, REJECT_SHARE)) if len(right) else 0.0
-    # the least fit of texts kept back, less their spread: other topics of the same language fit a little worse
+    # the least that texts kept back reach, less their spread: a few hundred do not show how far one in a thousand goes
+    odds = np.log(np.maximum(right, 1e-12)) - np.log(np.maximum(1 - right, 1e-12))
+    floor = float(1 / (1 + np.exp(odds.std() - np.quantile(odds, REJECT_SHARE)))) if len(right) else 0.0
     fits = np.array([share[i] @ usual[rows[i][1]] for i in check])
     least = float(np.quantile(fits, REJECT_SHARE) - fits.std())
+    if not held:  # too few texts to keep any back: bounds taken from the fitted ones would reject clean text
+        floor, least = 0.0, -np.inf
     return Model(languages, np.column_stack([table, usual]).astype(np.float32), bias, temperature, floor, least)
 
 

@@ -104,7 +104,7 @@ FOREIGN = [
 
 
 def test_unlearnt_languages_are_rejected_and_clean_text_stays(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(4000)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = L.fit_language_model(docs)
     assert 0.001 < model.temperature < 20  # inside the grid
     rng = np.random.default_rng(4)
@@ -114,7 +114,7 @@ def test_unlearnt_languages_are_rejected_and_clean_text_stays(spark):
     got = [r["rejected"] for r in L.identify_languages(bad, model=model).collect()]
     assert np.mean(got) >= 0.9
     clean = L.identify_languages(docs, model=model).where("held_out AND lang_pred <> 'und'").collect()
-    assert np.mean([r["rejected"] for r in clean]) < 0.005
+    assert np.mean([r["rejected"] for r in clean]) < 0.003
 
 
 def test_a_hot_id_and_many_labels_leave_every_language_in(spark):
