@@ -43,6 +43,7 @@ def pack_documents(
     end_id: int = END_ID,
     max_length: int = MAX_LENGTH,
     with_ids: bool = True,
+    memo_pieces: int | None = None,
 ) -> DataFrame:
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id``, ``offset``, ``bucket`` (the length's power of two) and, unless
@@ -55,7 +56,8 @@ def pack_documents(
     A null text counts as empty (a single piece: the end id); a null id stays
     null; every repeated row is packed as a document of its own; columns other
     than id and text are ignored; an empty table gives no rows. Texts of any
-    length are encoded whole, in blocks.
+    length are encoded whole, in blocks. ``memo_pieces`` bounds what a worker
+    keeps between batches (memory only, no effect on the rows).
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
@@ -70,7 +72,7 @@ def pack_documents(
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab, vocab_path)
+        enc = encoder(vocab, vocab_path, memo_pieces)
         part = TaskContext.get().partitionId()
         seen = [0] * max_length.bit_length()
         for batch in (b for whole in batches for b in small_batches(whole, 1)):

@@ -160,7 +160,7 @@ class Pieces:
 class Encoder:
     """Encodes Arrow text columns; one per worker process and vocabulary."""
 
-    def __init__(self, vocab: Vocabulary, path: str | None = None):
+    def __init__(self, vocab: Vocabulary, path: str | None = None, memo_pieces: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -173,7 +173,8 @@ class Encoder:
         self.width = np.array(
             [len((self.full.id_to_token(i) or "").removesuffix(vocab.word_end)) for i in range(n)], np.int64
         )
-        self.young, self.old = Pieces(MEMO_PIECES), Pieces(1)
+        self.memo_pieces = memo_pieces or MEMO_PIECES
+        self.young, self.old = Pieces(self.memo_pieces), Pieces(1)
 
     def _pieces(self, buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind = _KIND[buf]
@@ -246,7 +247,7 @@ class Encoder:
         s, e = starts[where], ends[where]
         if len(self.young) + len(uniq) > self.young.limit:
             # a block's own pieces always fit
-            self.old, self.young = self.young, Pieces(max(MEMO_PIECES, 2 * len(uniq)))
+            self.old, self.young = self.young, Pieces(max(self.memo_pieces, 2 * len(uniq)))
         place = self.young.find(uniq)
         lost = np.flatnonzero(place < 0)
         moved = self.old.find(uniq[lost])
@@ -290,9 +291,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(vocab: Vocabulary, path: str | None = None) -> Encoder:
-    """This process's encoder for a vocabulary."""
-    return Encoder(vocab, path)
+def encoder(vocab: Vocabulary, path: str | None = None, memo_pieces: int | None = None) -> Encoder:
+    """This process's encoder for a vocabulary, with room for so many pieces a generation."""
+    return Encoder(vocab, path, memo_pieces)
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
