@@ -40,8 +40,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two length, one row each, with their ids."""
-    return pack_documents(docs)
+    """Token sequences of power-of-two length, one row each, with their ids.
+
+    Workers of the other stages live on beside the encoder, so it keeps fewer pieces than it does alone.
+    """
+    return pack_documents(docs, memo_pieces=260_000)
 
 
 STAGES = [
