@@ -30,6 +30,8 @@ BUCKET_BITS = 16
 DIMENSIONS = 16
 #: Distinct texts of each language that training looks at, about, and languages, the most frequent first.
 SAMPLE_ROWS, MAX_LANGUAGES = 400, 200
+#: Rows of an Arrow batch that are predicted together.
+RUN_ROWS = 512
 EPOCHS = 12
 RATE = 4.0
 #: Share of correctly labelled calibration texts that may be rejected.
@@ -251,7 +253,9 @@ def language_columns(text: Column, model: Model | None) -> Column:
 
     @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())]))
     def predict(texts: pa.Array) -> pa.Array:
-        best, score, fit = model.predict(texts)
+        # a few rows at a time: copies of a whole Arrow batch of texts would be most of a worker's memory
+        runs = [model.predict(texts.slice(at, RUN_ROWS)) for at in range(0, max(1, len(texts)), RUN_ROWS)]
+        best, score, fit = (np.concatenate(x) for x in zip(*runs))
         columns = [names.take(pa.array(best)), pa.array(score, pa.float64()), pa.array(fit, pa.float64())]
         return pa.StructArray.from_arrays(columns, names=["lang", "score", "fit"])
 
