@@ -22,6 +22,14 @@ def _place(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
+def _free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has that name; Spark takes names that differ in case as one."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def reduced_by_keys(big: DataFrame, keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of ``big`` whose ``key`` may occur in ``keys``: no such row is lost, few others stay.
 
@@ -31,8 +39,10 @@ def reduced_by_keys(big: DataFrame, keys: DataFrame, key: str, bits: int = FILTE
     Null keys never match.
     """
     found = key_filter(keys, key, bits)
+    bucket, word, at, spot = (_free_name(big, c) for c in ("_bucket", "_bits", "_at", "_place"))
+    found = found.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(word))
     place = _place(F.col(key), bits) + 1
-    marked = big.where(F.col(key).isNotNull()).withColumn("_place", F.bitmap_bit_position(place)).withColumn("_at", F.bitmap_bucket_number(place))
-    joined = marked.join(F.broadcast(found), marked["_at"] == found["_bucket"])
-    byte = F.conv(F.hex(F.substr("_bits", F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return joined.where(F.getbit(byte, F.pmod(F.col("_place"), F.lit(8)).cast("int")) == 1).select(*[big[c] for c in big.columns])
+    marked = big.where(F.col(key).isNotNull()).withColumn(spot, F.bitmap_bit_position(place)).withColumn(at, F.bitmap_bucket_number(place))
+    joined = marked.join(F.broadcast(found), marked[at] == found[bucket])
+    byte = F.conv(F.hex(F.substr(word, F.floor(F.col(spot) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.where(F.getbit(byte, F.pmod(F.col(spot), F.lit(8)).cast("int")) == 1).select(*[big[c] for c in big.columns])

@@ -209,6 +209,15 @@ def test_key_filter_keeps_every_match_and_little_else(spark):
     assert reduced_by_keys(big, keys.limit(0), "k").count() == 0
 
 
+def test_key_filter_leaves_columns_of_its_own_names(spark):
+    from crewlens.operators.reduce import reduced_by_keys
+
+    big = spark.range(1000).selectExpr("id AS k", "id AS _bits", "id + 1 AS _place", "id + 2 AS _AT", "id + 3 AS _bucket")
+    kept = reduced_by_keys(big, spark.range(0, 1000, 100).withColumnRenamed("id", "k"), "k").where("k % 100 = 0")
+    assert kept.columns == big.columns
+    assert sorted(map(tuple, kept.collect())) == [(i, i, i + 1, i + 2, i + 3) for i in range(0, 1000, 100)]
+
+
 def test_next_in_group_matches_window_on_hot_key(spark):
     from pyspark.sql import Window
 
