@@ -88,11 +88,14 @@ def roundtrip_digests(spark: SparkSession, df: DataFrame, order: str, path: str)
 
     ``coluna``, ``linhas``, ``preenchidos`` (values that are there) and
     ``resumo``: the sum of 32 bits of md5("row number:value"), which changes with
-    any value and with its place. Empty input gives zeros.
+    any value and with its place. Empty input gives zeros. JSON keeps no name of
+    a column without a value, so it is read with the names and types written.
     """
     values = [c for c in df.columns if c != order]
-    T.write_table(df.orderBy(order).select(*values), path)
-    back = numbered(read_in_order(spark, path, "_ordinal"), "_ordinal", "_ordinal", "_linha")
+    sheet = df.orderBy(order).select(*values)
+    T.write_table(sheet, path)
+    typed = (lambda p: T.read_table(spark, p, sheet.schema)) if T.suffix_of(path) == ".json" else None
+    back = numbered(read_in_order(spark, path, "_ordinal", typed), "_ordinal", "_ordinal", "_linha")
 
     def digest(c: str):
         text = F.concat_ws(":", F.col("_linha").cast("string"), F.col(c).cast("string"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from crewlens.jobs import clean_job, feed_job
@@ -125,3 +127,15 @@ def test_feed_amounts_stay_decimal_and_header_row_is_found(spark):
     assert [(r.colaborador, r.salario, r.cargo) for r in rows] == [
         ("Ana Lima", Decimal("1234567890123.45"), "Analista"), ("Ze X", Decimal("10.10"), None),
     ]
+
+
+@pytest.mark.parametrize("ext", [".parquet", ".orc", ".json", ".csv"])
+def test_round_trip_keeps_columns_without_a_value(spark, tmp_path, ext):
+    from crewlens.jobs import roundtrip_digests
+
+    df = spark.createDataFrame([(2, "b", None), (1, "a", None), (3, None, None)], "n long, x string, y string")
+    got = {r[0]: tuple(r)[1:] for r in roundtrip_digests(spark, df, "n", str(tmp_path / f"some{ext}")).collect()}
+    digest = sum(int(hashlib.md5(t).hexdigest()[:8], 16) for t in (b"1:a", b"2:b"))
+    assert got == {"x": (3, 2, digest), "y": (3, 0, 0)}
+    none = roundtrip_digests(spark, df.limit(0), "n", str(tmp_path / f"none{ext}")).collect()
+    assert sorted(map(tuple, none)) == [("x", 0, 0, 0), ("y", 0, 0, 0)]
