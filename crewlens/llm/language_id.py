@@ -219,16 +219,19 @@ def fit_language_model(
 
     Rows that ``held_out`` marks, or without text or language, are never looked
     at. An id or a text that many rows share is drawn like any other and counts
-    once. Of more than ``MAX_LANGUAGES`` language values the most frequent are
+    once; the text of least hash is always drawn, so a language of few texts in
+    many copies is not lost. Of more than ``MAX_LANGUAGES`` language values the most frequent are
     learnt. One count per language and the sampled n-gram counts reach the driver.
     """
     usable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "id", "text"), F.lit(1 << 30))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return None
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_rows / r["n"])))])
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    upto = [(r["lang"], max(min(1.0, sample_rows / r["n"]) * (1 << 30), r["least"] + 1.0)) for r in sizes]
+    share = F.create_map(*[F.lit(x) for pair in upto for x in pair])
     sample = usable.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("text", "lang").distinct()
 
     def count(batches):

@@ -125,6 +125,13 @@ def test_a_hot_id_and_many_labels_leave_every_language_in(spark):
     assert a.languages == ("aa", "bb", "cc") and np.array_equal(a.table, b.table)
 
 
+def test_a_language_of_one_text_in_many_copies_is_learnt(spark):
+    for i in range(1, 5):
+        rows = [(1, f"text {n} of many", "aa") for n in range(50)] + [(9, f"copied {i}", "cc")] * 5000
+        model = L.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert model.languages == ("aa", "cc")
+
+
 def test_the_most_frequent_languages_are_learnt(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
     rows = [(i * 5 + 1, f"text {i % 7} words", f"l{i % 3 if i % 3 < 2 else 100 + i}") for i in range(400)]
