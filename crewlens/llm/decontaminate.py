@@ -34,6 +34,8 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 AT_LEAST_WINDOW = rf"\A(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{{WINDOW}}}"
 #: Benchmark tokens that are broadcast at a time (some 100 bytes each).
 BLOCK_TOKENS = 200_000
+#: Document positions that are searched together, or those of the longest item.
+PIECE_TOKENS = 256
 
 
 def tokens(text: Column) -> Column:
@@ -46,31 +48,62 @@ def _needed(wide: Column) -> Column:
     return F.floor((wide * 4 + 4) / 5).cast("int")
 
 
-def _seeds(rows: DataFrame, words: str, masks: list[tuple[int, ...]], only: dict[int, tuple[int, ...]] | None = None) -> DataFrame:
-    """``rows`` times each position and mask: ``_pos`` and ``_seed`` (null past the end).
+def _pieces(rows: DataFrame, around: int) -> DataFrame:
+    """``rows`` in runs of positions: ``_words`` is cut to a run and ``around`` tokens on both sides.
 
-    Mask number m is left to texts of the sizes ``only[m]``, if named. The word
-    array stays in the task's generated loop: a row is only built for the seeds
-    that survive the join.
+    ``_size`` is the size of the whole, ``_from`` the place of the first token kept, ``_lead`` the number
+    of tokens before the run and ``_count`` the run's length. A task's generated loop holds all that one
+    row leads to, so rows are cut before it: ``transform`` keeps the cut out of that loop.
+    """
+    step = max(PIECE_TOKENS, around)
+    start = F.sequence(F.lit(0), F.col("_size") - 1, F.lit(step))
+
+    def piece(at: Column) -> Column:
+        first = F.greatest(at - around, F.lit(0))
+        return F.struct(
+            first.alias("_from"), (at - first).alias("_lead"), F.least(F.lit(step), F.col("_size") - at).alias("_count"),
+            F.slice("_tokens", first + 1, F.lit(step + 2 * around)).alias("_words"),
+        )
+
+    whole = rows.withColumnRenamed("_words", "_tokens").withColumn("_size", F.size("_tokens"))
+    kept = [c for c in whole.columns if c != "_tokens"]
+    return whole.select(*kept, F.inline(F.when(F.col("_size") > 0, F.transform(start, piece))))
+
+
+def _seeds(rows: DataFrame, words: str, masks: list[tuple[int, ...]], only: dict[int, tuple[int, ...]] | None = None, pieces: bool = False) -> DataFrame:
+    """``rows`` times each position and mask that fits there: ``_pos`` and ``_seed``.
+
+    Mask number m is left to texts of the sizes ``only[m]``, if named. With
+    ``pieces`` the rows come from ``_pieces`` and ``_pos`` is a place in the whole.
+    The word array stays in the task's generated loop: a row is only built for
+    the seeds that survive the join.
     """
     n = len(masks)
-    spread = rows.where(F.size(words) > 0).withColumn(
-        "_at", F.explode(F.sequence(F.lit(0), F.size(words) * n - 1, F.lit(1)))
-    )
-    pos = F.floor(F.col("_at") / n).cast("int")
-    spread = spread.withColumn("_pos", pos)
-    seed = F.lit(None).cast("long")
-    for m, mask in enumerate(masks):
-        under = [F.get(words, F.col("_pos") + F.lit(k)) for k in mask]
-        fits = F.col("_pos") + mask[-1] < F.size(words)
-        if only and m in only:
-            fits = fits & F.size(words).isin(*only[m])
-        seed = F.when((F.col("_at") % n == m) & fits, F.xxhash64(F.lit(m), *under)).otherwise(seed)
-    return spread.withColumn("_seed", seed).where(F.col("_seed").isNotNull())
-
-
-def _blocks(items: DataFrame, block_tokens: int) -> int:
-    """How many hash blocks keep every block of the benchmark within twice ``block_tokens``."""
+    size, count = (F.col("_size"), F.col("_count")) if pieces else (F.size(words), F.size(words))
+    first, lead = (F.col("_from"), F.col("_lead")) if pieces else (F.lit(0), F.lit(0))
+    spread = rows.where(count > 0).withColumn("_at", F.explode(F.sequence(F.lit(0), count * n - 1, F.lit(1))))
+    spread = spread.withColumn("_pos", F.floor(F.col("_at") / n).cast("int") + lead + first)
+    # one CASE of small numbers and one of hashes that is never null: as a filter on the hash it would be computed twice,
+    # and the loop outgrow what the JVM compiles (8000 bytes)
+    mask_at = F.col("_at") % n
+    last, seed = F.lit(masks[-1][-1]), None
+    for m, mask in reversed([*enumerate(masks)]):
+        hashed = F.xxhash64(F.lit(m), *[F.get(words, F.col("_pos") - first + F.lit(k)) for k in mask])
+        seed = hashed if seed is None else F.when(mask_at == m, hashed).otherwise(seed)
+        last = last if m == n - 1 else F.when(mask_at == m, F.lit(mask[-1])).otherwise(last)
+    fits = F.col("_pos") + last < size
+    for m, sizes in (only or {}).items():
+        fits = fits & ((mask_at != m) | size.isin(*sizes))
+    return spread.where(fits).withColumn("_seed", seed)
+
+
+def _window(words: str, at: Column) -> Column:
+    """Hash of the tokens from place ``at`` (0 or more) of ``words`` on that any mask may look at."""
+    return F.xxhash64(F.slice(words, F.greatest(at, F.lit(0)) + 1, F.lit(MASKS[-1][-1] + 1)))
+
+
+def _blocks(items: DataFrame, block_tokens: int) -> tuple[int, int]:
+    """How many hash blocks keep every block of the benchmark within twice ``block_tokens``; tokens of the longest item."""
     size = items.agg(F.coalesce(F.sum(F.size("_item")), F.lit(0)).alias("n"), F.coalesce(F.max(F.size("_item")), F.lit(0)).alias("m"))
     got = size.first()
     n = max(1, math.ceil(got["n"] / block_tokens))
@@ -80,7 +113,7 @@ def _blocks(items: DataFrame, block_tokens: int) -> int:
         if most <= max(2 * block_tokens, got["m"]):
             break
         n *= 2
-    return n
+    return n, got["m"]
 
 
 def find_leaks(
@@ -109,7 +142,8 @@ def find_leaks(
     Repeated rows (same id and text) give their leaks once; repeated items too.
     Other columns are ignored; either table may be empty. The benchmark is a
     query set: it is broadcast in blocks of a checked size, each block against
-    all documents, so documents are never shuffled.
+    all documents, so documents are never shuffled. A task holds the hits of one
+    piece of a document at a time, each with the tokens along its item only.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col).cast("string")).alias("_item"))
     lone = (F.size("_item") == 1) & F.get("_item", F.lit(0)).rlike(UNSPACED)
@@ -125,39 +159,50 @@ def find_leaks(
         block_tokens = max(1, block_tokens * len(MASKS) // (len(masks) + len(SHORT_MASKS)))
     else:
         masks += [tuple(range(n)) for n in sizes]
-    n_blocks = _blocks(items, block_tokens)
+    n_blocks, longest = _blocks(items, block_tokens)
+    around = max(longest, MASKS[-1][-1] + 1)
     text = F.col(text_col).cast("string")
     source = [F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), tokens(text).alias("_words")]
-    searches = [(_seeds(docs.select(*source), "_words", masks), masks, item_only)]
+    searches = [(_seeds(_pieces(docs.select(*source), around), "_words", masks, pieces=True), masks, item_only)]
     if scaled:
         # documents shorter than a window, in any item; a pass of their own, so the long ones keep few masks
         brief = docs.where(~text.rlike(AT_LEAST_WINDOW)).select(*source)
         brief = brief.where((F.size("_words") > 1) | F.get("_words", F.lit(0)).rlike(UNSPACED))
-        searches.append((_seeds(brief, "_words", [*SHORT_MASKS], dict(enumerate(SHORT_MASKS.values()))), [*SHORT_MASKS], None))
+        brief = _seeds(_pieces(brief, around), "_words", [*SHORT_MASKS], dict(enumerate(SHORT_MASKS.values())), pieces=True)
+        searches.append((brief, [*SHORT_MASKS], None))
+    diagonal = F.col("_pos") - F.col("_item_pos")
+    lead = F.greatest(-F.col("doc_token"), F.lit(0))  # item tokens before the document begins
     found = None
     for b in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "_item"), F.lit(n_blocks)) == b)
         texts = part.select(F.xxhash64("item_id", "_item").alias("_key"), "item_id", "_item")
         for hits, with_masks, only in searches:
             keys = _seeds(part.withColumn("_key", F.xxhash64("item_id", "_item")), "_item", with_masks, only)
-            keys = keys.select("_seed", "_key", F.col("_pos").alias("_item_pos"))
-            one = hits.join(F.broadcast(keys), "_seed").join(F.broadcast(texts), "_key")
+            earlier = F.when(F.col("_pos") > 0, _window("_item", F.col("_pos") - 1))
+            keys = keys.select("_seed", "_key", F.col("_pos").alias("_item_pos"), F.size("_item").alias("_item_size"), earlier.alias("_earlier"))
+            one = hits.join(F.broadcast(keys), "_seed")
+            # if all is equal one position earlier, a mask hits there too: the first of a run speaks for its diagonal
+            again = (F.col("_pos") > 0) & F.col("_earlier").isNotNull()
+            one = one.where(~again | (_window("_words", F.col("_pos") - F.col("_from") - 1) != F.col("_earlier")))
+            # an item is compared along its diagonal: no more of the document goes on
+            begin = F.greatest(diagonal, F.lit(0))
+            span = F.least(F.col("_item_size") - F.greatest(-diagonal, F.lit(0)), F.col("_size") - begin)
+            along = F.slice("_words", begin - F.col("_from") + 1, span)
+            one = one.select("doc_id", "text_hash", "_size", "_key", diagonal.alias("doc_token"), along.alias("_along"))
+            one = one.join(F.broadcast(texts), "_key")
             found = one if found is None else found.union(one)
 
-    diagonal = F.col("_pos") - F.col("_item_pos")
-    lead = F.greatest(-diagonal, F.lit(0))  # item tokens before the document begins
-    span = F.least(F.size("_item") - lead, F.size("_words") - F.greatest(diagonal, F.lit(0)))
     equal = F.array_join(
         F.zip_with(
-            F.slice("_words", F.greatest(diagonal, F.lit(0)) + 1, span), F.slice("_item", lead + 1, span),
+            "_along", F.slice("_item", lead + 1, F.size("_along")),
             lambda a, b: F.when(a == b, F.lit("1")).otherwise(F.lit("0")),
         ),
         "",
     )
     # equal tokens by item position, from the first aligned one
     lines = found.select(
-        "doc_id", "text_hash", "item_id", diagonal.alias("doc_token"), F.size("_item").alias("item_tokens"), equal.alias("_equal"),
-        (F.least(F.lit(WINDOW), F.size("_item"), F.size("_words")) if scaled else F.least(F.lit(WINDOW), F.size("_item"))).alias("_wide"),
+        "doc_id", "text_hash", "item_id", "doc_token", F.size("_item").alias("item_tokens"), equal.alias("_equal"),
+        (F.least(F.lit(WINDOW), F.size("_item"), F.col("_size")) if scaled else F.least(F.lit(WINDOW), F.size("_item"))).alias("_wide"),
     )
     wide = F.col("_wide")
     need = _needed(wide) if scaled else F.when(F.col("item_tokens") < WINDOW, F.col("item_tokens")).otherwise(F.lit(NEEDED))
