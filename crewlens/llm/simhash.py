@@ -142,10 +142,13 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
 
     A fingerprint has at most 64 * 63 / 2 + 64 others within 2 bits, so the
     links stay proportional to the fingerprints whatever the copies.
+
+    Spark does not see that the copies are some 61 times the fingerprints and
+    would broadcast either side by the size of ``distinct``: the join is told to merge.
     """
     home, copies = _dealt(distinct, 0, "src"), _dealt(distinct, max_bits, "dst")
     near = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits)
-    return home.join(copies, "anchor").where(near).select("src", "dst")
+    return home.hint("merge").join(copies, "anchor").where(near).select("src", "dst")
 
 
 def group_fingerprints(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -114,3 +114,12 @@ def test_keep_one(edge_docs, no_docs):
     groups = {r["component_id"] for r in found.collect()}
     assert sorted(map(str, [r["doc_id"] for r in kept.collect()])) == sorted(map(str, groups))
     assert keep_one_per_group(no_docs).count() == 0
+
+
+def test_copies_are_never_broadcast(spark, tmp_path):
+    """61 copies of each fingerprint stand behind a table that Spark takes as small."""
+    spark.range(500).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/fp")
+    links = fingerprint_links(spark.read.parquet(f"{tmp_path}/fp"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert links.count() == 0
