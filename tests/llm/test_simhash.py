@@ -123,3 +123,19 @@ def test_copies_are_never_broadcast(spark, tmp_path):
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert links.count() == 0
+
+
+def test_keeping_one_never_broadcasts_copies(spark, monkeypatch):
+    """The stage of the pipeline joins by the same links as the operator."""
+    from crewlens.llm import simhash
+
+    plans, links_of = [], simhash.fingerprint_links
+
+    def links(*args):
+        plans.append((got := links_of(*args))._jdf.queryExecution().executedPlan().toString())
+        return got
+
+    monkeypatch.setattr(simhash, "fingerprint_links", links)
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', sha1(cast(id AS string)), ' ', md5(cast(id AS string)), ' end') AS text")
+    assert keep_one_per_group(docs).count() == 300
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
