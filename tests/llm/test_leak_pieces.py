@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 from crewlens.llm.decontaminate import PIECE_TOKENS, find_leaks
 
 from .test_decontaminate import as_set, words
@@ -44,3 +45,12 @@ def test_pieces_meet_anywhere(spark):
     got = find_leaks(frame, bench, scaled=True)
     assert as_set(got) == want and got.count() == len(want)
     assert as_set(find_leaks(frame, bench, scaled=True, block_tokens=3000)) == want
+
+
+def test_the_stage_drops_a_long_document_full_of_an_item(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(30))
+    rows = [(1, " ".join(f"{item} between{i}" for i in range(600))), (2, "nothing of the kind")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert [r["doc_id"] for r in kept.collect()] == [2]
